@@ -89,6 +89,21 @@ SELECT l_orderkey AS submission_id, l_linenumber AS line_number, CAST(l_shipdate
        ELSE CAST(CAST(l_quantity AS DECIMAL(10,2)) % 10 AS DECIMAL(5,2)) END AS calculated_hours,
   l_partkey, l_suppkey
 FROM {lineitem}""",
+    # claims with missing and zero figures
+    "fx_claim": """
+SELECT event_id AS entry_id, user_id AS employee_id, CAST(ts AS DATE) AS work_date,
+  user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END AS submission_id,
+  CASE event_type WHEN 'error' THEN 'LEAVE' WHEN 'signup' THEN 'HOLIDAY' ELSE 'WORK' END AS entry_type,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'SICK' ELSE NULL END AS leave_type,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST(0 AS DECIMAL(5,2))
+       ELSE CAST(CAST(value AS DECIMAL(10,2)) % 20 AS DECIMAL(5,2)) END AS calculated_hours,
+  CASE WHEN event_id % 5 = 0 THEN NULL
+       ELSE CAST(CAST(value AS DECIMAL(10,2)) % 19 AS DECIMAL(5,2)) END AS entered_hours,
+  CASE WHEN event_id % 3 = 0 THEN CAST(0 AS DECIMAL(5,2)) ELSE CAST(6 AS DECIMAL(5,2)) END
+    AS regular_hours,
+  CASE WHEN event_id % 9 = 1 THEN CAST(2 AS DECIMAL(5,2)) ELSE CAST(0 AS DECIMAL(5,2)) END
+    AS overtime_hours
+FROM {events}""",
     # messy rows as an extractor emits them: all strings
     "fx_raw": """
 SELECT event_id AS seq, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
@@ -327,4 +342,18 @@ SELECT t.*, s.seed, s.s_in, s.s_out, s.s_calc, s.s_ent FROM ck_timed t LEFT JOIN
     arg_min(COALESCE(calculated_hours, 0), seq) AS s_calc, arg_min(COALESCE(entered_hours, 0), seq) AS s_ent
   FROM ck_timed WHERE work_date IS NOT NULL AND NOT implausible GROUP BY 1, 2) s
 ON s.submission_id = t.submission_id AND s.work_date = t.work_date""",
+    "ck_holiday": """
+SELECT c.*, employee_type, CASE WHEN entry_type = 'WORK'
+    AND COALESCE(NULLIF(calculated_hours, 0), entered_hours, 0) > 0 THEN (
+  SELECT arg_min(holiday_name, calendar_id) FROM fx_holiday h WHERE h.holiday_date = c.work_date
+    AND (h.applies_to IS NULL OR h.applies_to = e.employee_type)) END AS holiday_name
+FROM fx_claim c LEFT JOIN fx_employee e ON e.employee_id = c.employee_id""",
+    "ck_holiday_scoped": """
+SELECT c.*, employee_type, CASE WHEN entry_type = 'WORK'
+    AND COALESCE(NULLIF(calculated_hours, 0), entered_hours, 0) > 0 THEN (
+  SELECT arg_min(holiday_name, calendar_id) FROM fx_holiday h WHERE h.holiday_date = c.work_date
+    AND h.applies_to IS NOT NULL AND (h.applies_to = e.employee_type
+      OR e.employee_type NOT IN (SELECT applies_to FROM fx_holiday WHERE applies_to IS NOT NULL)))
+  END AS holiday_name
+FROM fx_claim c LEFT JOIN fx_employee e ON e.employee_id = c.employee_id""",
 }
