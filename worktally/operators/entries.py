@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from worktally import params as P
 from worktally.functions import dates as D
 from worktally.functions import hours as H
-from worktally.operators.grouping import attach, running_total
+from worktally.operators.grouping import attach, totals_before
 
 
 def with_vendor(df, employees, vendors, own="vendor_id"):
@@ -56,7 +56,7 @@ def weekly_overtime(df, keys=("submission_id",), day="work_date", row_id="entry_
     allowed = F.coalesce(F.col("overtime_enabled"), F.lit(True))
     wk = [*keys, "_week"]
     sums = week.groupBy(*wk).agg(F.sum("regular_hours").alias("_week_sum"))
-    ran = running_total(week, wk, row_id, "regular_hours", "_prev", before=True, coarse=[(day, True)])
+    ran = totals_before(week, wk, row_id, coarse=[(day, True)], _prev="regular_hours")
     ran = attach(ran, sums, wk)
     left = F.col("_week_sum") - limit - F.col("_prev")
     move = F.when(allowed & F.col(day).isNotNull(),

@@ -2,8 +2,8 @@
 
 A window over a whole group sends the group to one task. These helpers reach the same rows by a
 partially aggregated ``groupBy`` and a join back (one row per key on the small side, so adaptive
-skew handling can split the large side), or by a two-level running total whose windows never span
-more than ``RUN`` rows of detail.
+skew handling can split the large side), or by two-level running totals whose windows never span more
+than ``RUN`` rows of detail.
 """
 
 from pyspark.sql import Window as W
@@ -45,22 +45,23 @@ def _pick(df, keys, order, by):
     return won.select(*keys, "_won.*").select(*df.columns)
 
 
-def running_total(df, keys, pos, value, name, before=False, coarse=()):
-    """Running sum of ``value`` in the order ``(*coarse, pos)`` within ``keys``.
+def totals_before(df, keys, pos, coarse=(), **sums):
+    """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first).
 
-    ``pos`` is a column holding whole numbers that are unique within keys and coarse. Detail
-    windows cover runs of at most ``RUN`` positions; only one total per run is ordered over the
-    whole group. ``coarse`` lists leading sort columns as ``(column name, descending)`` pairs.
+    Rows are ordered by ``(*coarse, pos)``; ``pos`` holds whole numbers unique within keys and
+    coarse. Detail windows cover runs of at most ``RUN`` positions; only one total per run is
+    ordered over the whole group. ``coarse`` lists leading columns as ``(name, descending)`` pairs.
     """
     coarse_cols = [c for c, _ in coarse]
     run_keys = [*keys, *coarse_cols, "_run"]
     tagged = df.withColumn("_run", F.floor(F.col(pos) / RUN))
     order = [F.col(c).desc() if down else F.col(c).asc() for c, down in coarse] + [F.col("_run")]
-    runs = tagged.groupBy(*run_keys).agg(F.sum(value).alias("_run_sum"))
+    runs = tagged.groupBy(*run_keys).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
     over = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("_base", F.sum("_run_sum").over(over)).drop("_run_sum")
-    inside = W.partitionBy(*run_keys).orderBy(pos)
-    inside = inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    joined = attach(tagged, runs, run_keys)
-    total = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
-    return joined.withColumn(name, total).drop("_run", "_base")
+    runs = runs.select(*run_keys, *[F.sum(f"_sum_{n}").over(over).alias(f"_base_{n}") for n in sums])
+    inside = W.partitionBy(*run_keys).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
+    out = attach(tagged, runs, run_keys)
+    for n, v in sums.items():
+        total = F.coalesce(F.col(f"_base_{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(inside), F.lit(0))
+        out = out.withColumn(n, total)
+    return out.drop("_run", *[f"_base_{n}" for n in sums])

@@ -1,7 +1,7 @@
 """Registered queries, grouped by area; importing the modules fills the registry."""
 import importlib
 
-AREAS = ["core", "rules"]
+AREAS = ["core", "rules", "files"]
 
 
 def load():

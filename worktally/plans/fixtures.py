@@ -139,7 +139,9 @@ SELECT event_id AS seq, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN
 FROM {events}""",
     "fx_line": """
 SELECT user_id AS doc_id, event_id AS line_no,
-  CASE CAST(event_id % 12 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'Week 3' WHEN 2 THEN '====='
+  CASE CAST(event_id % 12 AS INT) WHEN 0 THEN ''
+    WHEN 1 THEN CASE WHEN user_id % 3 = 2 THEN 'carried over' ELSE 'Week 3' END
+    WHEN 2 THEN CASE WHEN user_id % 3 = 0 THEN '=====' ELSE 'Mon 8' END
     WHEN 3 THEN 'Total hours: 40'
     ELSE CONCAT(CAST(CAST(ts AS DATE) AS VARCHAR(10)), ' ',
        lpad(CAST(EXTRACT(HOUR FROM ts) AS VARCHAR(2)), 2, '0'), ':',
@@ -237,6 +239,32 @@ SELECT CONCAT(CAST(conv_id AS VARCHAR(20)), '-', CAST(turn AS VARCHAR(20))) AS m
     WHEN 2 THEN 'SKIPPED' ELSE 'NEW' END AS stored_status,
   role
 FROM {conversations}""",
+    # text cells with pipe tables between prose
+    "fx_table_text": """
+SELECT doc_id, CONCAT('intro', chr(10), '| date | hours |', chr(10), '|------|:-----:|', chr(10),
+  '| 2024-01-0', CAST(doc_id % 9 + 1 AS VARCHAR(2)), ' | ', CAST(n_chars AS VARCHAR(10)), ' |', chr(10),
+  CASE WHEN doc_id % 2 = 0 THEN CONCAT('|| 2024-02-01 | 8 ||', chr(10)) ELSE '' END,
+  replace(text, '|', '/'), chr(10), '| alone | row |', chr(10), 'middle', chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN CONCAT(' | a | b | c |', chr(10), '| 1 |  | 3 |') ELSE '| no' END) AS text
+FROM {documents}""",
+    "fx_engine": """
+SELECT doc_id, 0 AS engine_rank, 'ocr' AS engine, text, CAST(0 AS INT) AS table_rows,
+  CAST(doc_id % 100 AS DECIMAL(5,2)) AS confidence_pct FROM {documents}
+UNION ALL SELECT doc_id, 1, 'ocr_vlm', CASE WHEN doc_id % 4 = 0 THEN '' ELSE CONCAT(text, ' 2024-01-05') END,
+  CAST(doc_id % 5 AS INT), CAST(90 AS DECIMAL(5,2)) FROM {documents}
+UNION ALL SELECT doc_id, 2, 'vlm', CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE CONCAT(text, ' 2024-01-05') END,
+  CAST(doc_id % 5 AS INT), CAST(90 AS DECIMAL(5,2)) FROM {documents}""",
+    "fx_page_fact": """
+SELECT CAST(FLOOR(doc_id / 10) AS BIGINT) AS doc_id, doc_id % 10 AS page_no,
+  CASE WHEN FLOOR(doc_id / 10) % 4 = 0 THEN n_chars
+       WHEN FLOOR(doc_id / 10) % 4 = 1 THEN 0
+       WHEN FLOOR(doc_id / 10) % 4 = 2 AND doc_id % 10 < 3 THEN 5
+       WHEN FLOOR(doc_id / 10) % 4 = 3 AND doc_id % 10 < 5 THEN 12 ELSE n_chars END AS text_chars
+FROM {documents}""",
+    "fx_json": """
+SELECT event_id, CASE CAST(event_id % 10 AS INT) WHEN 0 THEN '{{bad' WHEN 1 THEN '{{"k": ""}}'
+  WHEN 2 THEN '{{"k": "12.5", "zz": 1}}' WHEN 3 THEN '{{"k": "abc"}}' WHEN 4 THEN '{{"zz": 2}}'
+  ELSE props END AS js FROM {events}""",
     # an existing table of findings (one per entry with a fault)
     "fx_finding": """
 SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
@@ -356,4 +384,20 @@ SELECT c.*, employee_type, CASE WHEN entry_type = 'WORK'
       OR e.employee_type NOT IN (SELECT applies_to FROM fx_holiday WHERE applies_to IS NOT NULL)))
   END AS holiday_name
 FROM fx_claim c LEFT JOIN fx_employee e ON e.employee_id = c.employee_id""",
+    "ck_pipe_rows": """
+SELECT doc_id, pos, line, pos - ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) AS grp
+FROM (SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY raw_pos) AS pos, line
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+              generate_subscripts(string_split(text, chr(10)), 1) AS raw_pos FROM fx_table_text) a
+      WHERE line NOT LIKE '|---%') b
+WHERE trim(line) LIKE '|%|%'""",
+    "ck_engine": """
+SELECT *, CASE WHEN trim(text) = '' THEN 0 ELSE ROUND(table_rows * 2
+   + CASE WHEN engine = 'ocr' THEN 0 ELSE 1 END + LEAST(CAST(length(text) AS DECIMAL(12,0)) * 0.002, 8.000)
+   + confidence_pct * 0.01 * 3, 2) END AS score FROM fx_engine""",
+    "ck_lines": """
+SELECT *, SUM(CASE WHEN line = '=====' THEN 1 ELSE 0 END) OVER w AS page,
+  SUM(CASE WHEN starts_with(line, 'Week') THEN 1 ELSE 0 END) OVER w AS sect,
+  SUM(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER w - CASE WHEN line <> '' THEN 1 ELSE 0 END AS solid
+FROM fx_line WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""",
 }

@@ -24,16 +24,21 @@ class Tables:
         if name not in self._seen:
             if name in VIEWS:
                 text = VIEWS[name]
-                needs = set(re.findall(r"\{(\w+)\}", text))
+                needs = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))
                 self._seen[name] = self.spark.sql(text, **{n: getattr(self, n) for n in needs})
             else:
                 self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._seen[name]
 
 
+def _plain(text):
+    """View text for the check engine: placeholders become names, doubled braces single ones."""
+    return re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text).replace("{{", "{").replace("}}", "}")
+
+
 def _with_views(body):
     """Prefix the CTEs a check query refers to, in dependency order."""
-    every = {**{n: re.sub(r"\{(\w+)\}", r"\1", s) for n, s in VIEWS.items()}, **CHECK_VIEWS}
+    every = {**{n: _plain(s) for n, s in VIEWS.items()}, **CHECK_VIEWS}
     order = []
 
     def visit(text):
