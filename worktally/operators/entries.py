@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from worktally import params as P
 from worktally.functions import dates as D
 from worktally.functions import hours as H
-from worktally.operators.grouping import attach, totals_before
+from worktally.operators.grouping import attach, computed, totals_before
 
 
 def with_vendor(df, employees, vendors, own="vendor_id"):
@@ -100,13 +100,11 @@ def build_entries(raw, employees, vendors):
     STORED rows carry hours and the daily split; the other labels name the finding that removed
     the row. Weekly overtime is applied to the stored rows by ``weekly_overtime``.
     """
-    typed = (raw.withColumn("work_date", D.parse_date(F.col("raw_date")))
-             .withColumn("in_min", D.parse_minutes(F.col("in_text")))
-             .withColumn("out_min", D.parse_minutes(F.col("out_text")))
-             .withColumn("entered_hours", F.col("hours_text").try_cast(H.HOURS))
-             .withColumn("break_minutes", F.coalesce(
-                 F.round(F.col("break_text").try_cast("double")).cast("int"), F.lit(0)))
-             .withColumn("submission_id", submission_key()))
+    typed = computed(
+        raw.withColumn("submission_id", submission_key()),
+        work_date=D.parse_date(F.col("raw_date")), in_min=D.parse_minutes(F.col("in_text")),
+        out_min=D.parse_minutes(F.col("out_text")), entered_hours=F.col("hours_text").try_cast(H.HOURS),
+        break_minutes=F.coalesce(F.round(F.col("break_text").try_cast("double")).cast("int"), F.lit(0)))
     dated = with_hours(typed)
     dated = mark_implausible(dated)
     judged = same_day_collisions(dated, seq="seq")
@@ -130,7 +128,7 @@ def submission_key():
 
 def build_submissions(raw):
     """Submission span: first and last dated row per file, widened over the merged files."""
-    dated = raw.withColumn("work_date", D.parse_date(F.col("raw_date")))
+    dated = computed(raw, work_date=D.parse_date(F.col("raw_date")))
     per_file = dated.groupBy("batch_id", "file_id", "employee_id").agg(
         F.min_by("work_date", "seq").alias("start_date"),
         F.max_by("work_date", "seq").alias("end_date"),

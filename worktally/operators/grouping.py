@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 RUN = 1 << 16
 
 
+def computed(df, **cols):
+    """Adds columns through a generator: each is evaluated once per row, and later filters and
+    projections use the value instead of repeating a long expression."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def attach(df, facts, keys, how="left"):
     """Join ``facts`` (one row per key) onto ``df``; NULL keys pair with NULL keys."""
     added = [c for c in facts.columns if c not in keys]

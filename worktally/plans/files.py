@@ -151,10 +151,11 @@ def i20(t):
 
 
 @query("b09_document_type", "doc_id:long, document_type:string",
-       r"""SELECT doc_id, CASE WHEN yes >= 2 AND yes > no THEN 'TIMESHEET_CANDIDATE'
+       r"""SELECT doc_id, CASE WHEN length(trim(text, ' ')) < 20 THEN 'UNKNOWN_DOCUMENT_NEEDS_REVIEW'
+    WHEN yes >= 2 AND yes > no THEN 'TIMESHEET_CANDIDATE'
     WHEN no >= 2 AND no >= yes THEN 'NON_TIMESHEET_DOCUMENT' WHEN yes >= 1 THEN 'TIMESHEET_CANDIDATE'
     ELSE 'UNKNOWN_DOCUMENT_NEEDS_REVIEW' END AS document_type
-FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('hour', 'hours', 'timesheet', 'regular', 'overtime', 'employee', 'approved'))) AS yes,
+FROM (SELECT doc_id, text, len(list_filter(w, lambda x: x IN ('hour', 'hours', 'timesheet', 'regular', 'overtime', 'employee', 'approved'))) AS yes,
     len(list_filter(w, lambda x: x IN ('invoice', 'receipt', 'statement')))
       + len(regexp_extract_all(lower(text), '(^|[^a-z0-9_])amount[ ]+due([^a-z0-9_]|$)')) AS no
   FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM fx_kw) a) b""")

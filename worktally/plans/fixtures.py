@@ -265,6 +265,33 @@ FROM {documents}""",
 SELECT event_id, CASE CAST(event_id % 10 AS INT) WHEN 0 THEN '{{bad' WHEN 1 THEN '{{"k": ""}}'
   WHEN 2 THEN '{{"k": "12.5", "zz": 1}}' WHEN 3 THEN '{{"k": "abc"}}' WHEN 4 THEN '{{"zz": 2}}'
   ELSE props END AS js FROM {events}""",
+    "fx_sheet": """
+SELECT user_id AS file_id, CAST(event_id % 3 AS INT) AS sheet_no, event_id AS seq,
+  CAST(ts AS DATE) + CASE WHEN user_id % 4 = 0 AND event_id % 3 = 2 THEN 90 ELSE 0 END AS work_date
+FROM {events} WHERE NOT (user_id % 5 = 1 AND event_id % 3 <> 1)""",
+    # grids of twenty rows; the header sits at a different row in each
+    "fx_grid": """
+SELECT g.*, CASE WHEN row_no < h THEN 'P' WHEN row_no = h THEN 'H' ELSE 'D' END AS part
+FROM (SELECT CAST(FLOOR(event_id / 20) AS BIGINT) AS file_id, CAST(event_id % 20 AS INT) AS row_no,
+  CAST(FLOOR(event_id / 20) AS INT) % 17 AS h, CAST(FLOOR(event_id / 20) AS INT) % 3 AS layout,
+  CASE CAST(event_id % 7 AS INT) WHEN 1 THEN '1/9/2024' WHEN 2 THEN 'INVALID_1900-01-07' WHEN 3 THEN ''
+    ELSE CAST(CAST(ts AS DATE) AS VARCHAR(10)) END AS d,
+  CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '-' WHEN 1 THEN '9:15 AM' WHEN 2 THEN '7:30' ELSE '09:00' END AS i,
+  CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '0:00' WHEN 1 THEN '5:45 pm' WHEN 2 THEN 'late' ELSE '17:30' END AS o,
+  CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '0.5' WHEN 1 THEN '45 min' ELSE 'n/a' END AS b,
+  CASE CAST(event_id % 8 AS INT) WHEN 0 THEN '0' WHEN 1 THEN 'none'
+    ELSE CAST(CAST(CAST(value AS DECIMAL(10,2)) % 14 AS DECIMAL(5,2)) AS VARCHAR(10)) END AS w,
+  CASE CAST(event_id % 9 AS INT) WHEN 0 THEN 'pto' WHEN 1 THEN 'Public holiday' WHEN 2 THEN 'ok' ELSE '' END AS l,
+  CASE CAST(event_id % 6 AS INT) WHEN 0 THEN '8' WHEN 1 THEN '0' ELSE '' END AS s
+FROM {events}) g""",
+    "fx_name": """
+SELECT employee_id, CASE CAST(employee_id % 12 AS INT)
+  WHEN 0 THEN 'Susan Savage April' WHEN 1 THEN 'Savage, Susan' WHEN 2 THEN 'Richard TS'
+  WHEN 3 THEN 'Monthly Time Record' WHEN 4 THEN 'Jane Doe Reimbursement'
+  WHEN 5 THEN CONCAT(full_name, ' Week Start') WHEN 6 THEN UPPER(full_name)
+  WHEN 7 THEN CONCAT('Timesheet 2024 ', full_name) WHEN 8 THEN 'total hours'
+  WHEN 9 THEN CONCAT(' ', full_name, '  ') WHEN 10 THEN '' ELSE full_name END AS name
+FROM {fx_person}""",
     # an existing table of findings (one per entry with a fault)
     "fx_finding": """
 SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
@@ -400,4 +427,45 @@ SELECT *, SUM(CASE WHEN line = '=====' THEN 1 ELSE 0 END) OVER w AS page,
   SUM(CASE WHEN starts_with(line, 'Week') THEN 1 ELSE 0 END) OVER w AS sect,
   SUM(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER w - CASE WHEN line <> '' THEN 1 ELSE 0 END AS solid
 FROM fx_line WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""",
+    "ck_layout": """
+SELECT file_id, row_no, part, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS col_no, unnest(CASE
+  WHEN part = 'P' THEN ['Employee: Ana Lopez', '', '', '', '', '', '', '']
+  WHEN part = 'H' AND layout = 0 THEN ['Date', 'Time In', 'Time Out', 'Break', 'Total Hours', 'Leave Type', 'Sick', 'Notes']
+  WHEN part = 'H' AND layout = 1 THEN ['Work Date', 'Start', 'End', 'Lunch', 'Regular Hrs', 'Billable Hours', 'Daily Total', 'Status']
+  WHEN part = 'H' THEN ['Day', 'Date', 'In', 'Out', 'Worked', 'Vacation', 'Update date', 'Category']
+  WHEN layout = 0 THEN [d, i, o, b, w, l, s, 'x'] WHEN layout = 1 THEN [d, i, o, b, w, s, '', l]
+  ELSE ['Mon', d, i, o, w, s, d, l] END) AS value FROM fx_grid""",
+    "ck_form": """
+SELECT doc_id, line_no, line, CAST(line_no % 16 AS INT) AS k, CAST(line_no % 3 AS INT) AS m,
+  CAST(substr(CAST(e.ts AS VARCHAR), 9, 2) AS INT) AS dd, CAST(e.ts AS DATE) AS day, e.value
+FROM fx_form f JOIN events e ON e.event_id = f.line_no""",
+    "ck_form_rows": """
+SELECT doc_id, line_no, k, CASE k WHEN 14 THEN CASE WHEN dd <= 12 THEN make_date(2024, dd, 1) ELSE day END
+    WHEN 8 THEN day ELSE make_date(2024, 1, dd) END AS work_date,
+  CASE k WHEN 8 THEN 8 WHEN 9 THEN line_no % 9 + 1.5 WHEN 10 THEN 10 WHEN 11 THEN dd ELSE line_no % 40 END AS total,
+  CASE k WHEN 8 THEN 8 WHEN 9 THEN CASE WHEN line_no % 9 = 0 THEN 1.5 ELSE line_no % 9 END WHEN 10 THEN 8
+    WHEN 11 THEN dd ELSE line_no % 40 END AS regular,
+  CASE WHEN k = 9 AND line_no % 9 <> 0 THEN 1.5 WHEN k = 10 THEN 2 END AS overtime
+FROM ck_form WHERE k IN (8, 9, 10, 11, 14)""",
+    "ck_form_period": """
+SELECT doc_id, CASE r WHEN 0 THEN DATE '2024-01-01' WHEN 1 THEN DATE '2024-01-01' ELSE DATE '2024-01-08' END AS p_start,
+  CASE r WHEN 0 THEN DATE '2024-01-15' WHEN 1 THEN DATE '2024-01-31' ELSE DATE '2024-01-14' END AS p_end,
+  CASE r WHEN 0 THEN 'RANGE' WHEN 1 THEN 'MONTH' ELSE 'WEEK' END AS kind
+FROM (SELECT doc_id, MIN(CASE WHEN k = 7 AND m = 0 THEN 0 WHEN k = 7 AND m = 1 OR k = 10 THEN 1
+        WHEN k = 7 THEN 2 END) AS r FROM ck_form GROUP BY doc_id) q WHERE r IS NOT NULL""",
+    "ck_form_totals": """
+SELECT doc_id, arg_min(sub, line_no) FILTER (sub > 0) AS submitted, arg_min(app, line_no) FILTER (app > 0) AS approved
+FROM (SELECT doc_id, line_no, CASE WHEN k = 5 THEN CAST(CAST(value AS DECIMAL(10,2)) % 60 AS DECIMAL(5,1)) END AS sub,
+        CASE WHEN k = 6 THEN line_no % 50 END AS app FROM ck_form) q GROUP BY doc_id""",
+    "ck_judged": """
+SELECT r.*, CASE WHEN total > 24 THEN 'IMPOSSIBLE_HOURS' WHEN total <= 0 THEN 'NO_HOURS'
+  WHEN work_date < p_start OR work_date > p_end THEN 'OUTSIDE_PERIOD' END AS reason
+FROM ck_form_rows r LEFT JOIN ck_form_period p ON p.doc_id = r.doc_id""",
+    "ck_facts": """
+SELECT file_id, COUNT(*) AS rows, COUNT(work_date) AS dated,
+  COUNT(*) FILTER (COALESCE(entered_hours, 0) > 0 OR (in_min IS NOT NULL AND out_min IS NOT NULL)) AS with_hours,
+  MIN(work_date) AS first_date, MAX(work_date) AS last_date, MAX(employee_id) AS name FROM ck_typed GROUP BY file_id""",
+    "ck_scored": """
+SELECT *, ROUND((rows * (CASE WHEN name IS NULL THEN 0 ELSE 25 END + CASE WHEN first_date IS NULL THEN 0 ELSE 10 END + 25)
+  + 20 * (dated + with_hours)) / (100 * rows), 4) AS confidence FROM ck_facts""",
 }

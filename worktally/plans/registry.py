@@ -65,7 +65,7 @@ def query(name, columns, sql=None):
 
         QUERIES[name] = run
         if sql is not None:
-            picks = ", ".join(f"CAST({c} AS {_SQL_TYPES[t]}) AS {c}" for c, t in cols)
+            picks = ", ".join(f'CAST("{c}" AS {_SQL_TYPES[t]}) AS "{c}"' for c, t in cols)
             ORACLES[name] = f"SELECT {picks} FROM (\n{_with_views(sql)}\n) AS answer"
         return fn
 
