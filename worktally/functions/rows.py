@@ -149,7 +149,7 @@ def safe_identifier(value, size=80):
 
 
 def percent_text(ratio):
-    return F.concat(F.format_string("%d", F.bround(ratio * 100, 0).cast("int")), F.lit("%"))
+    return F.concat(F.bround(ratio * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
 def fixed_text(value, missing="MISSING"):

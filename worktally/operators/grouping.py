@@ -51,6 +51,13 @@ def _pick(df, keys, order, by):
     return won.select(*keys, "_won.*").select(*df.columns)
 
 
+def top_rows(df, keys, order, k, rank="rank"):
+    """The first ``k`` rows of every group with their rank. Every task keeps at most ``k`` rows per
+    group before the shuffle, so a hot group costs no more than others."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
 def totals_before(df, keys, pos, coarse=(), **sums):
     """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first).
 

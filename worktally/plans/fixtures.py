@@ -292,6 +292,21 @@ SELECT employee_id, CASE CAST(employee_id % 12 AS INT)
   WHEN 7 THEN CONCAT('Timesheet 2024 ', full_name) WHEN 8 THEN 'total hours'
   WHEN 9 THEN CONCAT(' ', full_name, '  ') WHEN 10 THEN '' ELSE full_name END AS name
 FROM {fx_person}""",
+    "fx_people": """
+SELECT p.employee_id, CASE WHEN p.employee_id % 20 = 7 THEN CONCAT('=', p.full_name) ELSE p.full_name END AS full_name,
+  e.vendor_id, e.is_active, e.employee_type, e.email,
+  CASE WHEN p.employee_id % 3 = 0 THEN NULL ELSE CONCAT('E', CAST(p.employee_id AS VARCHAR(20))) END AS employee_code
+FROM {fx_person} p JOIN {fx_employee} e ON e.employee_id = p.employee_id""",
+    "fx_batch": """
+SELECT o_orderkey AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'PROCESSING'
+  ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'PAYROLL_READY' END END AS status,
+  o_orderdate AS created_at, o_totalprice AS size FROM {orders}""",
+    "fx_approval": """
+SELECT event_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END AS submission_id,
+  CASE event_type WHEN 'click' THEN 'APPROVED' WHEN 'view' THEN 'REJECTED' ELSE 'PENDING' END AS status,
+  CASE WHEN event_id % 4 = 0 THEN '' ELSE CONCAT('lead', CAST(event_id % 7 AS VARCHAR(3))) END AS name,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CONCAT('l', CAST(event_id % 7 AS VARCHAR(3)), '@mail.test') END AS email,
+  ts AS decided_at FROM {events} WHERE event_id % 5 < 2""",
     # an existing table of findings (one per entry with a fault)
     "fx_finding": """
 SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
@@ -468,4 +483,93 @@ SELECT file_id, COUNT(*) AS rows, COUNT(work_date) AS dated,
     "ck_scored": """
 SELECT *, ROUND((rows * (CASE WHEN name IS NULL THEN 0 ELSE 25 END + CASE WHEN first_date IS NULL THEN 0 ELSE 10 END + 25)
   + 20 * (dated + with_hours)) / (100 * rows), 4) AS confidence FROM ck_facts""",
+    "ck_sub": """
+SELECT s.*, CAST(FLOOR(s.employee_id / 50) AS INT) AS batch_id,
+  CASE WHEN s.employee_id % 3 <> 2 THEN s.employee_id * 5 END AS file_id,
+  CASE WHEN COALESCE(bad, 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS validation_status,
+  CASE WHEN COALESCE(bad, 0) > 0 THEN 'NOT_READY' ELSE 'READY' END AS payroll_status
+FROM fx_submission s LEFT JOIN (SELECT submission_id, COUNT(*) AS bad FROM fx_finding
+  WHERE status = 'OPEN' AND severity = 'BLOCKER' AND finding_id % 3 = 1 GROUP BY 1) f ON f.submission_id = s.submission_id""",
+    "ck_money": """
+SELECT s.*, COALESCE(t.regular_hours, 0) AS rh, COALESCE(t.overtime_hours, 0) AS oh, r.regular_rate AS rr,
+  CASE WHEN COALESCE(r.overtime_rate, 0) = 0 THEN r.regular_rate * 1.5 ELSE r.overtime_rate END AS orate,
+  CAST(COALESCE(t.regular_hours, 0) * r.regular_rate AS DECIMAL(18,2)) AS rp,
+  CAST(COALESCE(t.overtime_hours, 0) * CASE WHEN COALESCE(r.overtime_rate, 0) = 0 THEN r.regular_rate * 1.5
+    ELSE r.overtime_rate END AS DECIMAL(18,2)) AS op
+FROM ck_sub s JOIN ck_rated r ON r.submission_id = s.submission_id
+LEFT JOIN ck_totals t ON t.submission_id = s.submission_id""",
+    "ck_final": """
+SELECT b.*, COALESCE(payroll_ready, 0) AS payroll_ready, COALESCE(open_blockers, 0) AS open_blockers,
+  CASE WHEN failed > 0 OR review > 0 OR COALESCE(open_blockers, 0) > 0 THEN 'NEEDS_REVIEW' ELSE 'PAYROLL_READY' END AS status
+FROM (SELECT batch_id, COUNT(*) AS total, COUNT(*) FILTER (is_noise) AS ignored,
+   COUNT(*) FILTER (is_duplicate) AS duplicates,
+   COUNT(*) FILTER (processing_status IN ('COMPLETED', 'MATCHED', 'NORMALIZED')) AS processed,
+   COUNT(*) FILTER (processing_status = 'FAILED') AS failed,
+   COUNT(*) FILTER (processing_status IN ('NEEDS_REVIEW', 'EXTRACTION_FAILED')) AS review FROM fx_file GROUP BY 1) b
+LEFT JOIN (SELECT batch_id, COUNT(*) FILTER (payroll_status = 'READY') AS payroll_ready FROM ck_sub GROUP BY 1) s USING (batch_id)
+LEFT JOIN (SELECT batch_id, COUNT(*) FILTER (status = 'OPEN' AND severity = 'BLOCKER') AS open_blockers FROM fx_finding GROUP BY 1) f
+  USING (batch_id)""",
+    "ck_summary": """
+SELECT f.batch_id, f.file_id, CASE WHEN regexp_matches(f.file_name, '^[-=+@]') THEN concat('''', f.file_name) ELSE f.file_name END AS file_name,
+  f.folder_path, f.processing_status AS document_type,
+  CASE WHEN detected_name LIKE '-%' THEN concat('''', detected_name) ELSE COALESCE(detected_name, '') END AS employee_candidate,
+  CASE WHEN p.full_name LIKE '=%' THEN concat('''', p.full_name) ELSE COALESCE(p.full_name, '') END AS matched_employee,
+  f.match_status, CASE WHEN match_percent IS NULL THEN '' ELSE concat(CAST(match_percent AS INT), '%') END AS match_confidence,
+  f.extraction_method, f.processing_status AS extraction_status,
+  concat(CAST(COALESCE(extraction_percent, 0) AS INT), '%') AS extraction_confidence, f.entry_count,
+  CASE WHEN s.submission_id IS NULL THEN 'MISSING' ELSE CAST(CAST(COALESCE(h.c, 0) AS DECIMAL(18,2)) AS VARCHAR) END AS total_hours,
+  CASE WHEN s.submission_id IS NULL THEN 'MISSING' ELSE CAST(CAST(COALESCE(h.r, 0) AS DECIMAL(18,2)) AS VARCHAR) END AS regular_hours,
+  CASE WHEN s.submission_id IS NULL THEN 'MISSING' ELSE CAST(CAST(COALESCE(h.o, 0) AS DECIMAL(18,2)) AS VARCHAR) END AS overtime_hours,
+  COALESCE(CAST(s.start_date AS VARCHAR), '') AS period_start, COALESCE(CAST(s.end_date AS VARCHAR), '') AS period_end,
+  COALESCE(s.approval_status, '') AS approval_status,
+  CASE WHEN s.submission_id IS NOT NULL THEN s.payroll_status WHEN NOT is_candidate THEN 'EXCLUDED' ELSE 'NOT_READY' END AS payroll_status,
+  CASE WHEN s.submission_id IS NOT NULL THEN COALESCE(xs.bad, 0) ELSE COALESCE(xf.bad, 0) END AS blocker_count,
+  CASE WHEN s.submission_id IS NOT NULL THEN COALESCE(xs.warn, 0) ELSE COALESCE(xf.warn, 0) END AS warning_count,
+  CASE WHEN ocr_required THEN 'Yes' ELSE 'No' END AS ocr_used, CASE WHEN is_duplicate THEN 'Yes' ELSE 'No' END AS duplicate,
+  COALESCE(NULLIF(concat_ws(' | ', CASE WHEN is_noise THEN 'NOISE_FILE' WHEN is_duplicate THEN 'DUPLICATE_FILE'
+      WHEN f.processing_status IN ('UNSUPPORTED_FILE_TYPE', 'NON_TIMESHEET_DOCUMENT', 'NEEDS_REVIEW') THEN f.processing_status
+      WHEN f.processing_status IN ('EXTRACTION_FAILED', 'FAILED') THEN 'EXTRACTION_FAILED'
+      WHEN s.submission_id IS NULL AND is_candidate THEN 'MISSING_SUBMISSION' WHEN s.submission_id IS NULL THEN 'MISSING' END,
+    CASE WHEN s.submission_id IS NULL THEN xf.codes END), ''), 'OK') AS notes
+FROM fx_file f LEFT JOIN fx_people p ON p.employee_id = f.matched_employee_id
+LEFT JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY submitted_at DESC, submission_id DESC) AS rn
+  FROM ck_sub WHERE file_id IS NOT NULL) q WHERE rn = 1) s ON s.file_id = f.file_id
+LEFT JOIN (SELECT submission_id, COALESCE(NULLIF(SUM(calculated_hours), 0), SUM(entered_hours), 0) AS c,
+  SUM(regular_hours) AS r, SUM(overtime_hours) AS o FROM ck_weekly GROUP BY 1) h ON h.submission_id = s.submission_id
+LEFT JOIN (SELECT submission_id, COUNT(*) FILTER (severity IN ('BLOCKER', 'ERROR')) AS bad,
+  COUNT(*) FILTER (severity = 'WARNING') AS warn FROM fx_finding WHERE status = 'OPEN' GROUP BY 1) xs ON xs.submission_id = s.submission_id
+LEFT JOIN (SELECT file_id, COUNT(*) FILTER (severity IN ('BLOCKER', 'ERROR')) AS bad, COUNT(*) FILTER (severity = 'WARNING') AS warn,
+  string_agg(DISTINCT rule_code, ' | ' ORDER BY rule_code) AS codes FROM fx_finding WHERE status = 'OPEN' GROUP BY 1) xf ON xf.file_id = f.file_id""",
+    "ck_probe": """
+SELECT p.employee_id AS probe_id, CASE CAST(p.employee_id % 9 AS INT) WHEN 0 THEN full_name WHEN 1 THEN upper(full_name)
+  WHEN 2 THEN split_part(full_name, ' ', 2) WHEN 3 THEN CONCAT(full_name, ' Junior') WHEN 4 THEN email
+  WHEN 5 THEN CONCAT(split_part(full_name, ' ', 2), ' ', split_part(full_name, ' ', 1)) WHEN 6 THEN ''
+  WHEN 7 THEN CONCAT('Timesheet ', full_name, ' April') ELSE 'Zed Unknown' END AS name,
+  CASE CAST(p.employee_id % 9 AS INT) WHEN 0 THEN plain WHEN 1 THEN plain WHEN 2 THEN split_part(full_name, ' ', 2)
+    WHEN 3 THEN CONCAT(plain, ' Junior') WHEN 4 THEN email WHEN 5 THEN CONCAT(split_part(plain, ' ', 2), ' ', split_part(plain, ' ', 1))
+    WHEN 7 THEN plain WHEN 8 THEN 'Zed Unknown' END AS clean
+FROM (SELECT *, CONCAT(split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2)) AS plain FROM fx_person) p
+JOIN fx_employee e ON e.employee_id = p.employee_id""",
+    "ck_roster": """
+SELECT p.employee_id, lower(full_name) AS full_name, lower(CONCAT(split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2))) AS clean, email
+FROM fx_person p JOIN fx_employee e ON e.employee_id = p.employee_id WHERE is_active""",
+    "ck_exact": """
+SELECT probe_id, employee_id, method FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY probe_id ORDER BY employee_id, rank) AS rn FROM (
+  SELECT probe_id, employee_id, 1 AS rank, 'EXACT' AS method FROM ck_probe p JOIN ck_roster r ON r.full_name = lower(p.clean)
+  UNION ALL SELECT probe_id, employee_id, 2, 'EMAIL_EXACT' FROM ck_probe p JOIN ck_roster r ON r.email = lower(p.clean)
+  UNION ALL SELECT probe_id, employee_id, 3, 'EXACT_CLEANED' FROM ck_probe p JOIN ck_roster r ON r.clean = lower(p.clean)) u) q WHERE rn = 1""",
+    "ck_contained": """
+SELECT probe_id, employee_id, CASE WHEN inside THEN LEAST(0.95, 0.70 + 0.05 * n) ELSE LEAST(0.90, 0.65 + 0.05 * m) END AS confidence,
+  CASE WHEN inside THEN 'PARTIAL_SUBSET' ELSE 'PARTIAL_SUPERSET' END AS method
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY probe_id ORDER BY employee_id) AS rn FROM (
+  SELECT probe_id, employee_id, list_has_all(b, a) AS inside, len(a) AS n, len(b) AS m
+  FROM (SELECT probe_id, list_distinct(string_split(lower(clean), ' ')) AS a FROM ck_probe WHERE clean IS NOT NULL) p,
+       (SELECT employee_id, list_distinct(string_split(full_name, ' ')) AS b FROM ck_roster) r
+  WHERE list_has_all(b, a) OR list_has_all(a, b)) j) q WHERE rn = 1""",
+    "ck_sender": """
+SELECT CAST(p.employee_id AS VARCHAR) AS message_id, CASE WHEN p.employee_id % 3 = 0 THEN email ELSE 'other@mail.test' END AS sender_email,
+  CASE WHEN p.employee_id % 5 = 0 THEN '' WHEN p.employee_id < 56 AND p.employee_id % 2 = 1 THEN full_name ELSE '' END AS sender_name
+FROM fx_person p JOIN fx_employee e ON e.employee_id = p.employee_id""",
+    "ck_scores": """
+SELECT submission_id AS probe_id, entry_id AS employee_id, CAST(break_minutes AS DECIMAL(8,4)) * 0.01 + entered_hours * 0.02 AS score FROM fx_entry""",
 }
