@@ -1,7 +1,7 @@
 """Registered queries, grouped by area; importing the modules fills the registry."""
 import importlib
 
-AREAS = ["core", "rules", "files", "normalise", "reports", "messages", "matching"]
+AREAS = ["core", "rules", "files", "normalise", "reports", "messages", "matching", "streams"]
 
 
 def load():

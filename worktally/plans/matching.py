@@ -74,8 +74,7 @@ def c13(t):
 
 @query("c14_sender_match", "message_id:string, employee_id:long, how:string",
        """SELECT message_id, e.employee_id, 'EMAIL' AS how FROM ck_sender s JOIN fx_employee e ON e.email = s.sender_email AND e.is_active
-UNION ALL SELECT message_id, MIN(p.employee_id), 'NAME' FROM ck_sender s JOIN fx_person p ON p.full_name = s.sender_name
-  JOIN fx_employee e ON e.employee_id = p.employee_id AND e.is_active
+UNION ALL SELECT message_id, MIN(p.employee_id), 'NAME' FROM ck_sender s JOIN ck_roster p ON p.clean = lower(s.sender_name)
   WHERE s.sender_email NOT IN (SELECT email FROM fx_employee WHERE is_active) GROUP BY 1""")
 def c14(t):
     k = F.col("probe_id")

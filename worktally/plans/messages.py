@@ -37,7 +37,7 @@ def a08(t):
 
 @query("a09_message_flattening", "message_id:string, body:string, files:string",
        """SELECT message_id, substr(CONCAT('Dear all', CASE WHEN body = '' THEN '' ELSE CONCAT(' ', body) END), 1, 2000) AS body,
-          COALESCE(CONCAT(attachment_name, '/', attachment_mime), '') AS files FROM fx_message""")
+          COALESCE(attachment_name || '/' || attachment_mime, '') AS files FROM fx_message""")
 def a09(t):
     part = lambda mime, name, aid, text: F.struct(
         mime.alias("mime"), name.alias("filename"), aid.alias("attachment_id"), F.lit(10).alias("size"), text.alias("text"))
