@@ -3,53 +3,106 @@
 from pyspark.sql import functions as F
 
 from worktally import params as P
+from worktally.functions.names import bind
 
-# Accepted layouts, tried in order after the ISO form.
-MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M/d/yy"]
-DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d/M/yy"]
-NAMED = ["d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy",
-         "MMMM d yyyy"]
+# Accepted ways of writing a date and a clock time.
+ISO_START = r"^(\d{4})-(\d{2})-(\d{2})"
+YEAR_FIRST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
+NUMERIC = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})$"
+DAY_NAMED = r"(?i)^(\d{1,2})[-\s]+([a-z]{3,9})\.?[-,\s]+(\d{4}|\d{2})$"
+MONTH_NAMED = r"(?i)^([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})$"
+MONTH_WORDS = P.MONTHS_SHORT + P.MONTHS_LONG
+CLOCK = r"(\d{1,2}[:.]\d{2})"
+BARE_HOUR = r"(?:^|[^\w])(\d{1,2})\s*(?:am|pm)(?:$|[^\w])"
 
 
 def try_date(text, layout):
     return F.try_to_timestamp(text, F.lit(layout)).cast("date")
 
 
+def valid_date(year, month, day):
+    """Date of whole numbers, NULL when there is no such day. Never fails, so costs no exceptions."""
+    ok = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
+    date = F.when(ok, F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
+    return F.when(F.month(date) == month, date)
+
+
+def _numbers(text, pattern, *groups):
+    return [F.regexp_extract(text, pattern, g).try_cast("int") for g in groups]
+
+
+def _full_year(year):
+    return F.when(year < 100, year + 2000).otherwise(year)
+
+
+def month_number(word):
+    at = F.array_position(F.array(*[F.lit(m) for m in MONTH_WORDS]), F.lower(word))
+    return F.when(at > 0, (at - 1) % 12 + 1).cast("int")
+
+
+def year_first_date(text):
+    return F.when(text.rlike(YEAR_FIRST), valid_date(*_numbers(text, YEAR_FIRST, 1, 2, 3)))
+
+
+def numeric_date(text, day_first):
+    """``a/b/year``: in the given order, swapped only when that gives no date."""
+    def read(x):
+        usual = (x.y, x.b, x.a) if day_first else (x.y, x.a, x.b)
+        return F.coalesce(valid_date(*usual), valid_date(usual[0], usual[2], usual[1]))
+    a, b, y = _numbers(text, NUMERIC, 1, 2, 3)
+    return F.when(text.rlike(NUMERIC), bind(
+        F.struct(a.alias("a"), b.alias("b"), _full_year(y).alias("y")), read))
+
+
+def named_date(text):
+    d, y = _numbers(text, DAY_NAMED, 1, 3)
+    e, z = _numbers(text, MONTH_NAMED, 2, 3)
+    return (F.when(text.rlike(DAY_NAMED), valid_date(
+        _full_year(y), month_number(F.regexp_extract(text, DAY_NAMED, 2)), d))
+        .when(text.rlike(MONTH_NAMED), valid_date(
+            z, month_number(F.regexp_extract(text, MONTH_NAMED, 1)), e)))
+
+
 def parse_date(text, day_first=False):
     """ISO text first (a bad ISO date is NULL), then slashed or dashed, then named months."""
-    s = F.trim(text)
-    iso = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1)
-    orders = DAY_FIRST + MONTH_FIRST if day_first else MONTH_FIRST + DAY_FIRST
-    other = F.coalesce(*[try_date(s, f) for f in orders + NAMED])
-    unusable = F.lower(s).isin(P.EMPTY_TOKENS) | F.upper(s).startswith("INVALID")
-    return (F.when(unusable, None)
-            .when(iso != "", try_date(iso, "yyyy-MM-dd"))
-            .otherwise(other))
+    def read(s):
+        unusable = F.lower(s).isin(P.EMPTY_TOKENS) | F.upper(s).startswith("INVALID")
+        return (F.when(unusable, None)
+                .when(s.rlike(ISO_START), valid_date(*_numbers(s, ISO_START, 1, 2, 3)))
+                .otherwise(F.coalesce(numeric_date(s, day_first), named_date(s))))
+    return bind(F.trim(text), read)
 
 
 def parse_minutes(text, infer_pm=False):
     """Minute of day from ``9:30``, ``9.30 pm`` or ``5 pm``; NULL when out of range."""
-    s = F.lower(F.trim(text))
-    pm, am = s.contains("pm"), s.contains("am")
-    clock_h = F.regexp_extract(s, r"(\d{1,2})[:.](\d{2})", 1)
-    clock_m = F.regexp_extract(s, r"(\d{1,2})[:.](\d{2})", 2)
-    bare = F.regexp_extract(s, r"(^|[^\w])(\d{1,2})\s*(am|pm)($|[^\w])", 2)
-    hour = F.when(clock_h != "", clock_h).when(bare != "", bare).cast("int")
-    minute = F.when(clock_h != "", clock_m).otherwise("0").cast("int")
-    shifted = F.when(pm & (hour < 12), hour + 12).when(~pm & am & (hour == 12), 0)
-    if infer_pm:
-        shifted = shifted.when(~pm & ~am & (hour > 0) & (hour < 8), hour + 12)
-    hour = shifted.otherwise(hour)
-    ok = hour.between(0, 23) & minute.between(0, 59) & ~s.isin(P.EMPTY_TOKENS)
-    return F.when(ok, hour * 60 + minute)
+    def read(s):
+        return bind(F.struct(
+            F.regexp_extract(s, CLOCK, 1).alias("clock"), s.contains("pm").alias("pm"),
+            s.contains("am").alias("am"),
+            F.when(s.rlike(BARE_HOUR), F.regexp_extract(s, BARE_HOUR, 1)).alias("bare")), split)
+
+    def split(x):
+        parts = F.split(x.clock, "[:.]")
+        hour = F.when(x.clock != "", parts[0]).otherwise(x.bare).try_cast("int")
+        minute = F.when(x.clock != "", parts[1]).otherwise("0").try_cast("int")
+        return bind(F.struct(hour.alias("h"), minute.alias("m"), x.pm.alias("pm"), x.am.alias("am")), shift)
+
+    def shift(x):
+        hour = F.when(x.pm & (x.h < 12), x.h + 12).when(~x.pm & x.am & (x.h == 12), 0)
+        if infer_pm:
+            hour = hour.when(~x.pm & ~x.am & (x.h > 0) & (x.h < 8), x.h + 12)
+        hour = hour.otherwise(x.h)
+        return F.when(hour.between(0, 23) & x.m.between(0, 59), hour * 60 + x.m)
+
+    return bind(F.lower(F.trim(text)), read)
 
 
 def parse_work_minutes(text):
     """As ``parse_minutes`` for worked shifts: midnight is no time, 1 to 7 without am/pm is pm."""
-    s = F.upper(F.trim(text))
-    marked = s.rlike("AM|A[.]M|PM|P[.]M")
-    base = parse_minutes(text)
-    return F.when(base == 0, None).when(base.between(60, 479) & ~marked, base + 720).otherwise(base)
+    def read(x):
+        marked = F.upper(x.s).rlike("AM|A[.]M|PM|P[.]M")
+        return F.when(x.t == 0, None).when(x.t.between(60, 479) & ~marked, x.t + 720).otherwise(x.t)
+    return bind(F.struct(text.alias("s"), parse_minutes(text).alias("t")), read)
 
 
 def repair_pm(start, end):

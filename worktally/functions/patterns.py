@@ -16,11 +16,10 @@ PATH_DATE_WORDS = rf"(?i)\b(?:{MONTH})\b|\b\d{{4}}\b|\b\d{{1,2}}\b"
 PATH_DOC_WORDS = r"(?i)\b(?:timesheets?|monthly|weekly|record|hours?|submission)\b"
 
 # document type
-DOC_YES = (r"(?i)\bhours?\b|\btime\s*sheet\b|\bwork\s*date\b|\bin\s*time\b|\bout\s*time\b"
-           r"|\bclock\s*in\b|\bclock\s*out\b|\bregular\b|\bovertime\b|\bemployee\b|\bapproved\b"
-           rf"|\b(?:{MON3})\w+\s+20\d{{2}}\b")
-DOC_NO = (r"(?i)\binvoice\b|\breimburs\b|\breceipt\b|\bpurchase\s*order\b|\bstatement\b"
-          r"|\bcheck\s*number\b|\bamount\s*due\b|\bpayment\s*terms\b")
+DOC_YES = (r"(?i)\b(?:hours?|time\s*sheet|work\s*date|in\s*time|out\s*time|clock\s*in|clock\s*out|regular"
+           rf"|overtime|employee|approved|(?:{MON3})\w+\s+20\d{{2}})\b")
+DOC_NO = (r"(?i)\b(?:invoice|reimburs|receipt|purchase\s*order|statement|check\s*number|amount\s*due"
+          r"|payment\s*terms)\b")
 SCORE_DATES = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
 HAS_SHEET_SIGNS = r"(?i)\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|\bhours?\b|\bhrs?\b"
 

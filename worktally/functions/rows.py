@@ -15,32 +15,14 @@ def groups(text, pattern, *idx):
     return [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in idx]
 
 
-def safe_date(year, month, day):
-    return D.try_date(F.concat_ws("-", year, month, day), "y-M-d")
-
-
 def find_date(line, day_first=True):
     """First date in a line: ISO, then slashed (day first, swapped when impossible), then named."""
     iso, = groups(line, r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b", 1)
     slashed, = groups(line, r"\b(\d{1,2}[/\-]\d{1,2}[/\-]\d{4})\b", 1)
     day_named, = groups(line, rf"(?i)\b(\d{{1,2}}\s+(?:{RX.MONTH})\.?\s+\d{{4}})\b", 1)
     month_named, = groups(line, rf"(?i)\b((?:{RX.MONTH})\.?\s+\d{{1,2}},?\s+\d{{4}})\b", 1)
-
-    def words(text, *layouts):
-        plain = F.regexp_replace(text, r"[.,\s]+", " ")
-        return [D.try_date(plain, f) for f in layouts]
-
-    marks = F.translate(slashed, "-", "/")
-    orders = ["d/M/yyyy", "M/d/yyyy"] if day_first else ["M/d/yyyy", "d/M/yyyy"]
-    return F.coalesce(D.try_date(F.translate(iso, "/", "-"), "y-M-d"),
-                      *[D.try_date(marks, f) for f in orders],
-                      *words(day_named, "d MMM yyyy", "d MMMM yyyy"),
-                      *words(month_named, "MMM d yyyy", "MMMM d yyyy"))
-
-
-def month_number(word):
-    names = F.array(*[F.lit(m) for m in P.MONTHS_SHORT])
-    return F.nullif(F.array_position(names, F.lower(F.substring(word, 1, 3))), F.lit(0))
+    return F.coalesce(D.year_first_date(iso), D.numeric_date(slashed, day_first),
+                      D.named_date(day_named), D.named_date(month_named))
 
 
 def span_hours(start, end):
@@ -104,20 +86,14 @@ def label_value(line, field):
     return F.when(F.length(value) > 1, value)
 
 
-def slashed_date(text):
-    """Day first, then month first, four or two digit years."""
-    layouts = ["d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yy", "M/d/yy", "d-M-yy"]
-    return F.coalesce(*[D.try_date(text, f) for f in layouts])
-
-
 def find_period(text):
     """Struct of start, end and kind: explicit range, else month and year, else ISO week."""
     a, b = groups(text, RX.PERIOD_RANGE, 1, 2)
     c, d = groups(text, RX.DATE_RANGE, 1, 2)
-    start = slashed_date(F.coalesce(a, c))
-    end = slashed_date(F.when(a.isNotNull(), b).otherwise(d))
+    start = D.numeric_date(F.coalesce(a, c), True)
+    end = D.numeric_date(F.when(a.isNotNull(), b).otherwise(d), True)
     month, year = groups(text, RX.MONTH_YEAR, 1, 2)
-    first = safe_date(year, month_number(month).cast("string"), F.lit("1"))
+    first = D.valid_date(year.try_cast("int"), D.month_number(month), F.lit(1))
     week, wyear = groups(text, RX.WEEK_YEAR, 1, 2)
     monday = F.date_add(F.date_trunc("week", F.make_date(wyear.try_cast("int"), F.lit(1), F.lit(4))).cast("date"),
                         (week.try_cast("int") - 1) * 7)

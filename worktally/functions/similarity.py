@@ -30,7 +30,7 @@ class Texts:
         self.texts = list(texts)
         self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.short = self.length <= WORD
-        self.masks, self.counts = {}, {}
+        self.masks = {}
         for i, t in enumerate(self.texts):
             if not self.short[i]:
                 continue
@@ -38,20 +38,9 @@ class Texts:
                 column = self.masks.get(ch)
                 if column is None:
                     column = self.masks[ch] = np.zeros(len(self.texts), dtype=np.uint64)
-                    self.counts[ch] = np.zeros(len(self.texts), dtype=np.int64)
                 column[i] |= np.uint64(1 << j)
-                self.counts[ch][i] += 1
         self.full = (np.uint64(1) << self.length.clip(max=WORD).astype(np.uint64)) - np.uint64(1)
 
-    def common(self, a):
-        """Upper bound of the common subsequence: shared characters with their multiplicity."""
-        out = np.where(self.short, 0, len(a))
-        for ch in set(a):
-            column = self.counts.get(ch)
-            if column is not None:
-                out = out + np.where(self.short, np.minimum(column, a.count(ch)), 0)
-        return np.minimum(out, len(a))
-
     def lcs(self, a, rows=None):
         """Common subsequence length of ``a`` with every candidate (or the given rows)."""
         rows = np.arange(len(self.texts)) if rows is None else rows
@@ -117,7 +106,7 @@ class Roster:
         clean = self.sorted_clean.ratio(key)
         score = np.maximum(self.sorted_full.ratio(key), np.where(self.sorted_clean.length > 0, clean, 0.0))
         shorter = np.minimum(len(name), self.raw.length)
-        common = np.minimum(self.raw.common(name), shorter)
+        common = self.raw.lcs(name)  # no window has a longer common subsequence than the whole
         bound = self.weight * np.where(shorter > 0, 2 * common / np.maximum(shorter + common, 1), 0.0)
         floor = np.partition(score, -k)[-k] if len(score) > k else -1.0
         order = np.argsort(-bound, kind="stable")

@@ -55,16 +55,14 @@ def weekly_overtime(df, keys=("submission_id",), day="work_date", row_id="entry_
     limit = F.coalesce(F.col("weekly_limit"), F.lit(P.WEEKLY_LIMIT)).cast(H.HOURS)
     allowed = F.coalesce(F.col("overtime_enabled"), F.lit(True))
     wk = [*keys, "_week"]
-    sums = week.groupBy(*wk).agg(F.sum("regular_hours").alias("_week_sum"))
-    ran = totals_before(week, wk, row_id, coarse=[(day, True)], _prev="regular_hours")
-    ran = attach(ran, sums, wk)
-    left = F.col("_week_sum") - limit - F.col("_prev")
+    ran = totals_before(week, wk, row_id, coarse=[(day, True)], whole=True, _prev="regular_hours")
+    left = F.col("_prev_all") - limit - F.col("_prev")
     move = F.when(allowed & F.col(day).isNotNull(),
                   F.greatest(F.lit(0), F.least(F.col("regular_hours"), left))).otherwise(0)
     return (ran.withColumn("moved_hours", move.cast(H.HOURS))
             .withColumn("regular_hours", (F.col("regular_hours") - F.col("moved_hours")).cast(H.HOURS))
             .withColumn("overtime_hours", (F.col("overtime_hours") + F.col("moved_hours")).cast(H.HOURS))
-            .drop("_week", "_week_sum", "_prev"))
+            .drop("_week", "_prev", "_prev_all"))
 
 
 def same_day_collisions(df, key="submission_id", day="work_date", seq="entry_id"):

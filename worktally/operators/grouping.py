@@ -18,8 +18,11 @@ def computed(df, **cols):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def attach(df, facts, keys, how="left"):
-    """Join ``facts`` (one row per key) onto ``df``; NULL keys pair with NULL keys."""
+def attach(df, facts, keys, how="left", null_keys=False):
+    """Joins ``facts`` (one row per key) onto ``df``. With ``null_keys`` NULL keys pair up too; the
+    plain form keeps the key partitioning, so a window over the same keys needs no second shuffle."""
+    if not null_keys:
+        return df.join(facts, list(keys), how)
     added = [c for c in facts.columns if c not in keys]
     right = facts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *added)
     cond = F.lit(True)
@@ -28,29 +31,6 @@ def attach(df, facts, keys, how="left"):
     return df.join(right, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def group_facts(df, keys, **aggs):
-    """Append group aggregates to every row of the group."""
-    facts = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return attach(df, facts, keys)
-
-
-def first_rows(df, keys, *order):
-    """The first row of every group by ascending ``order`` (which must be unique in the group)."""
-    return _pick(df, keys, order, F.min_by)
-
-
-def last_rows(df, keys, *order):
-    """The last row of every group by ascending ``order``."""
-    return _pick(df, keys, order, F.max_by)
-
-
-def _pick(df, keys, order, by):
-    rest = [c for c in df.columns if c not in keys]
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    won = df.groupBy(*keys).agg(by(F.struct(*rest), F.struct(*order)).alias("_won"))
-    return won.select(*keys, "_won.*").select(*df.columns)
-
-
 def top_rows(df, keys, order, k, rank="rank"):
     """The first ``k`` rows of every group with their rank. Every task keeps at most ``k`` rows per
     group before the shuffle, so a hot group costs no more than others."""
@@ -58,8 +38,9 @@ def top_rows(df, keys, order, k, rank="rank"):
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def totals_before(df, keys, pos, coarse=(), **sums):
-    """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first).
+def totals_before(df, keys, pos, coarse=(), whole=False, **sums):
+    """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first);
+    with ``whole`` also the sum over the group as ``name_all``.
 
     Rows are ordered by ``(*coarse, pos)``; ``pos`` holds whole numbers unique within keys and
     coarse. Detail windows cover runs of at most ``RUN`` positions; only one total per run is
@@ -71,7 +52,9 @@ def totals_before(df, keys, pos, coarse=(), **sums):
     order = [F.col(c).desc() if down else F.col(c).asc() for c, down in coarse] + [F.col("_run")]
     runs = tagged.groupBy(*run_keys).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
     over = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.select(*run_keys, *[F.sum(f"_sum_{n}").over(over).alias(f"_base_{n}") for n in sums])
+    group = W.partitionBy(*keys)
+    runs = runs.select(*run_keys, *[F.sum(f"_sum_{n}").over(over).alias(f"_base_{n}") for n in sums],
+                       *[F.sum(f"_sum_{n}").over(group).alias(f"{n}_all") for n in sums if whole])
     inside = W.partitionBy(*run_keys).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     out = attach(tagged, runs, run_keys)
     for n, v in sums.items():

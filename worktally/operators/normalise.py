@@ -1,5 +1,7 @@
 """Turning extracted rows and cell grids into clean dated entries."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from worktally import params as P
@@ -25,7 +27,7 @@ def drop_ghosts(rows, key="file_id", day="work_date", seq="seq"):
     df = rows.withColumn("_real", has_data())
     per_day = df.groupBy(key, day).agg(F.bool_or("_real").alias("_any"), F.min(seq).alias("_first"))
     per_doc = df.groupBy(key).agg(F.count("*").alias("_n"))
-    df = attach(attach(df, per_day, [key, day]), per_doc, [key])
+    df = attach(attach(df, per_day, [key, day], null_keys=True), per_doc, [key])
     keep = F.col("_real") | (~F.col("_any") & (F.col(seq) == F.col("_first"))) | (F.col("_n") < 3)
     return df.filter(keep).drop("_real", "_any", "_first", "_n")
 
@@ -92,7 +94,7 @@ def merge_sheets(rows, key="file_id", sheet="sheet_no", day="work_date", seq="se
         F.count("*").alias("_sheets"), F.datediff(F.max("_hi"), F.min("_lo")).alias("_span"),
         F.min_by(sheet, F.struct((-F.col("_n")).alias("a"), F.col(sheet).alias("b"))).alias("_best"))
     firsts = rows.groupBy(key, day).agg(F.min_by(seq, F.struct(sheet, seq)).alias("_first"))
-    df = attach(attach(rows, docs, [key]), firsts, [key, day])
+    df = attach(attach(rows, docs, [key]), firsts, [key, day], null_keys=True)
     merged = (F.col("_sheets") > 1) & (F.col("_span") <= P.MULTISHEET_SPAN_DAYS)
     keep = F.when(merged, F.col(seq) == F.col("_first")).otherwise(F.col(sheet) == F.col("_best"))
     return df.filter(keep).withColumn("merged", merged).drop("_sheets", "_span", "_best", "_first")
@@ -106,12 +108,13 @@ def cell_text(value):
 
 def header_rows(cells):
     """First of the leading rows in which two or more header keywords occur."""
-    words = F.array(*[F.lit(w) for w in P.HEADER_KEYWORDS])
-    hits = F.filter(words, lambda w: F.contains(cell_text(F.col("value")), w))
+    # one bit per keyword: rows combine by bitwise or, without exploding or counting distinct
+    text = cell_text(F.col("value"))
+    bits = [F.when(text.contains(w), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(P.HEADER_KEYWORDS)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
     per_row = (cells.filter(F.col("row_no") < P.HEADER_SEARCH_ROWS)
-               .select("file_id", "row_no", F.explode(hits).alias("word"))
-               .groupBy("file_id", "row_no").agg(F.count_distinct("word").alias("n")))
-    return per_row.filter("n >= 2").groupBy("file_id").agg(F.min("row_no").alias("header_row"))
+               .groupBy("file_id", "row_no").agg(F.bit_or(mask).alias("hits")))
+    return per_row.filter(F.bit_count("hits") >= 2).groupBy("file_id").agg(F.min("row_no").alias("header_row"))
 
 
 def column_role(name):

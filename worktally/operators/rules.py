@@ -66,15 +66,49 @@ def claimed():
     return H.first_nonzero(F.col("calculated_hours"), F.col("entered_hours"))
 
 
-def daily_hours_exceed(entries, limit=P.MAX_DAILY_HOURS):
-    rows = entries.withColumn("_h", claimed()).filter(F.col("_h") > limit)
-    return finding(rows, "DAILY_HOURS_EXCEED", "ERROR", F.lit(limit), F.col("_h"))
+# Row rules are (code, severity, condition, expected, actual); one alone is a filter, several share
+# a pass over the entries.
 
+def daily_hours_rule(limit=P.MAX_DAILY_HOURS):
+    return "DAILY_HOURS_EXCEED", "ERROR", claimed() > limit, F.lit(limit), claimed()
 
-def daily_regular_limit(entries):
+
+def regular_limit_rule():
     limit = F.coalesce(F.col("daily_limit"), F.lit(P.DAILY_LIMIT)).cast(H.HOURS)
-    rows = entries.filter(F.col("regular_hours") > limit + H.hours_lit(P.HOURS_TOLERANCE))
-    return finding(rows, "DAILY_REGULAR_LIMIT_EXCEEDED", "WARNING", limit, F.col("regular_hours"))
+    hit = F.col("regular_hours") > limit + H.hours_lit(P.HOURS_TOLERANCE)
+    return "DAILY_REGULAR_LIMIT_EXCEEDED", "WARNING", hit, limit, F.col("regular_hours")
+
+
+def total_mismatch_rule():
+    parts = (F.coalesce("regular_hours", F.lit(0)) + F.coalesce("overtime_hours", F.lit(0))).cast(H.HOURS)
+    hit = (claimed() > 0) & (F.abs(claimed() - parts) > H.hours_lit(P.HOURS_TOLERANCE))
+    return "HOURS_TOTAL_MISMATCH", "ERROR", hit, claimed(), parts
+
+
+def hours_mismatch_rule():
+    return ("DAILY_HOURS_MISMATCH", "ERROR", F.col("mismatch"), F.col("calculated_hours"),
+            F.col("entered_hours").cast(H.HOURS))
+
+
+def overtime_barred_rule(strict=False):
+    """Hours above the limit where the vendor bars overtime; ``strict`` only after a split."""
+    hours = F.col("overtime_hours") if strict else F.col("payroll_hours") - F.col("daily_limit")
+    return "OVERTIME_NOT_ALLOWED", "ERROR", ~F.col("overtime_enabled") & (hours > 0), F.lit("0"), hours.cast(H.HOURS)
+
+
+def apply_rule(entries, rule):
+    code, severity, hit, expected, actual = rule
+    return finding(entries.filter(hit), code, severity, expected, actual)
+
+
+def apply_rules(entries, rules):
+    """Findings of several row rules in one pass over the entries."""
+    made = [F.when(hit, F.struct(
+        F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"),
+        expected.cast("string").alias("expected_value"), actual.cast("string").alias("actual_value")))
+        for code, severity, hit, expected, actual in rules]
+    ids = [(F.col(c) if c in entries.columns else F.lit(None)).cast("string").alias(c) for c in IDS]
+    return entries.select(*ids, F.inline(F.array_compact(F.array(*made))), F.lit("OPEN").alias("status"))
 
 
 def weekly_hours_exceed(entries):
@@ -124,27 +158,6 @@ def holiday_work(entries, employees, holidays):
     return finding(rows, "HOLIDAY_WORK", "WARNING", F.lit("0"), claimed())
 
 
-def hours_total_mismatch(entries):
-    parts = F.coalesce("regular_hours", F.lit(0)) + F.coalesce("overtime_hours", F.lit(0))
-    rows = entries.withColumns({"_h": claimed(), "_p": parts.cast(H.HOURS)})
-    rows = rows.filter((F.col("_h") > 0)
-                       & (F.abs(F.col("_h") - F.col("_p")) > H.hours_lit(P.HOURS_TOLERANCE)))
-    return finding(rows, "HOURS_TOTAL_MISMATCH", "ERROR", F.col("_h"), F.col("_p"))
-
-
-def daily_hours_mismatch(entries):
-    rows = entries.filter(F.col("mismatch"))
-    return finding(rows, "DAILY_HOURS_MISMATCH", "ERROR", F.col("calculated_hours"),
-                   F.col("entered_hours").cast(H.HOURS))
-
-
-def overtime_not_allowed(entries, strict=False):
-    """Hours above the limit where the vendor bars overtime; ``strict`` only after a split."""
-    hours = F.col("overtime_hours") if strict else F.col("payroll_hours") - F.col("daily_limit")
-    rows = entries.filter(~F.col("overtime_enabled") & (hours > 0))
-    return finding(rows, "OVERTIME_NOT_ALLOWED", "ERROR", F.lit("0"), hours.cast(H.HOURS))
-
-
 BUILD_SEVERITY = {"INVALID_DATE": "ERROR", "OVERLAPPING_DATE_CONFLICT": "BLOCKER",
                   "DUPLICATE_DATE": "WARNING", "IMPLAUSIBLE_HOURS": "ERROR"}
 

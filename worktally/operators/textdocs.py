@@ -47,10 +47,9 @@ def pipe_tables(docs, text="text"):
 
 def line_dates(line):
     """Every date written in a line, parsed; unknown layouts give NULL elements."""
-    layouts = ["M/d/yyyy", "d/M/yyyy", "yyyy-M-d", "d-MMM-yy", "d-MMM-yyyy", "MMM d, yyyy", "M/d/yy",
-               "d MMM yyyy"]
     found = F.regexp_extract_all(line, F.lit(f"({RX.LINE_DATE})"), F.lit(1))
-    return F.transform(found, lambda s: F.coalesce(*[D.try_date(s, f) for f in layouts]))
+    return F.transform(found, lambda s: F.coalesce(
+        D.year_first_date(s), D.numeric_date(s, False), D.named_date(s)))
 
 
 def source_profile(lines):

@@ -7,6 +7,7 @@ from worktally.operators import calendar as CAL
 from worktally.operators import changes as CH
 from worktally.operators import counters as CO
 from worktally.operators import entries as E
+from worktally.operators import payroll as PAY
 from worktally.operators import reports as RP
 from worktally.operators import rules as R
 from worktally.plans.core import totals_of, weekly_of
@@ -369,13 +370,19 @@ def r09(t):
   UNION ALL SELECT 'payroll', COUNT(*) FROM ck_money UNION ALL SELECT 'export', COUNT(*) FROM ({R8_SQL}) x""")
 def a10(t):
     root = shared_folder(t.spark, "reports")
-    subs, totals = subs_of(t), totals_of(t)
-    reports = {"summary": r01(t), "files": r02(t), "entries": r03(t), "exceptions": r04(t),
-               "employees": RP.employee_summary(subs, totals, t.fx_people),
+    people, rates = t.fx_people, t.fx_rate
+    entries, subs = weekly_of(t).persist(), subs_of(t).persist()  # both feed several reports
+    totals = PAY.submission_totals(entries.withColumn("is_holiday", F.col("entry_type") == "HOLIDAY"))
+    reports = {"summary": RP.batch_summary(CO.finalise(t.fx_file, subs, t.fx_finding)),
+               "files": RP.file_inventory(t.fx_file), "entries": RP.entry_rows(entries, subs),
+               "exceptions": RP.exceptions(t.fx_finding),
+               "employees": RP.employee_summary(subs, totals, people),
                "vendors": CO.vendor_rollup(subs, totals, t.fx_vendor),
-               "payroll": RP.payroll_report(subs, totals, t.fx_rate, t.fx_people),
-               "export": RP.pay_export(subs, totals, t.fx_rate, t.fx_people)}
+               "payroll": RP.payroll_report(subs, totals, rates, people),
+               "export": RP.pay_export(subs, totals, rates, people)}
     SK.write_reports(reports, root)
+    entries.unpersist()
+    subs.unpersist()
     return CH.union_counts({n: t.spark.read.parquet(f"{root}/{n}") for n in reports})
 
 

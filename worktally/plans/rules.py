@@ -125,12 +125,12 @@ def i03(t):
 
 @query("i04_daily_hours_exceed", COLS, SQL["i04"])
 def i04(t):
-    return R.daily_hours_exceed(t.fx_claim)
+    return R.apply_rule(t.fx_claim, R.daily_hours_rule())
 
 
 @query("i05_daily_regular_limit", COLS, SQL["i05"])
 def i05(t):
-    return R.daily_regular_limit(weekly_of(t))
+    return R.apply_rule(weekly_of(t), R.regular_limit_rule())
 
 
 @query("i06_weekly_hours_exceed", COLS, SQL["i06"])
@@ -182,7 +182,7 @@ def i10(t):
 
 @query("i11_hours_total_mismatch", COLS, SQL["i11"])
 def i11(t):
-    return R.hours_total_mismatch(weekly_of(t))
+    return R.apply_rule(weekly_of(t), R.total_mismatch_rule())
 
 
 @query("i12_missing_timesheet", COLS, SQL["i12"])
@@ -216,12 +216,12 @@ def i16(t):
 
 @query("i17_daily_hours_mismatch", COLS, SQL["i17"])
 def i17(t):
-    return R.daily_hours_mismatch(weekly_of(t))
+    return R.apply_rule(weekly_of(t), R.hours_mismatch_rule())
 
 
 @query("i18_overtime_not_allowed", COLS, SQL["i18"])
 def i18(t):
-    return R.overtime_not_allowed(weekly_of(t))
+    return R.apply_rule(weekly_of(t), R.overtime_barred_rule())
 
 
 @query("i19_out_of_period_entry", COLS, SQL["i19"])
@@ -260,9 +260,10 @@ ALL_ENTRY = ["i05", "i06", "i11", "i17", "i18"]
 def batch_findings(t):
     weekly = weekly_of(t)
     return R.union_all([
-        R.daily_regular_limit(weekly), R.weekly_hours_exceed(weekly), R.hours_total_mismatch(weekly),
-        R.daily_hours_mismatch(weekly), R.overtime_not_allowed(weekly),
-        R.daily_hours_exceed(t.fx_claim), R.holiday_work(t.fx_claim, t.fx_employee, t.fx_holiday),
+        R.apply_rules(weekly, [R.regular_limit_rule(), R.total_mismatch_rule(), R.hours_mismatch_rule(),
+                               R.overtime_barred_rule()]),
+        R.weekly_hours_exceed(weekly),
+        R.apply_rule(t.fx_claim, R.daily_hours_rule()), R.holiday_work(t.fx_claim, t.fx_employee, t.fx_holiday),
         R.missing_approval(t.fx_submission), R.late_submission(t.fx_submission, t.fx_period),
         R.missing_rate(t.fx_submission, t.fx_employee, t.fx_rate, F.lit("2024-02-01").cast("date")),
         R.missing_timesheet(t.fx_employee, t.fx_submission)])
@@ -298,7 +299,7 @@ def i22(t):
   UNION ALL SELECT rule_code, 'OPEN', severity FROM ({SQL["i04"]}) n) q GROUP BY ALL""")
 def g04(t):
     old = t.fx_finding.select("rule_code", "severity", "status")
-    new = R.daily_hours_exceed(t.fx_claim).select("rule_code", "severity", "status")
+    new = R.apply_rule(t.fx_claim, R.daily_hours_rule()).select("rule_code", "severity", "status")
     return R.refresh(old, new).groupBy("rule_code", "status", "severity").agg(F.count("*").alias("n"))
 
 

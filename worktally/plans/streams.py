@@ -41,7 +41,7 @@ def k03(t):
   WHERE COALESCE(NULLIF(calculated_hours, 0), entered_hours) > 9""")
 def k04(t):
     shifts = E.with_hours(shift_stream(t))
-    return J.stateless_rules(shifts, [R.daily_hours_mismatch, lambda s: R.daily_hours_exceed(s, limit=9)])
+    return J.append_out(R.apply_rules(shifts, [R.hours_mismatch_rule(), R.daily_hours_rule(limit=9)]), "rules")
 
 
 def shift_stream(t):

@@ -1,7 +1,5 @@
 """Structured Streaming jobs. State and output live in the shared folder; every job restarts safely."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from worktally.session import shared_folder
@@ -77,11 +75,6 @@ def progress_counts(stream, event_time, status, width="1 day", delay="1 day"):
     return seen.groupBy("window_start", "status").agg(F.max_by("n", "batch").alias("n"))
 
 
-def stateless_rules(stream, rules):
-    """Findings of row-wise rules over a stream."""
-    return append_out(reduce(lambda a, b: a.unionByName(b), [r(stream) for r in rules]), "rules")
-
-
 def dead_letters(stream, good, purpose="letters"):
     """Rows failing ``good`` go to a dead-letter table; the batch itself never fails on them."""
     ok = F.coalesce(good, F.lit(False))
