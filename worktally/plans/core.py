@@ -184,7 +184,7 @@ FROM ck_built"""
 
 
 @query("j02_entry_builder", "seq:long, file_id:long, submission_id:string, work_date:string, disposition:string",
-       DISPOSITION_SQL)
+       DISPOSITION_SQL, heavy=True)
 def j02(t):
     return E.build_entries(t.fx_raw, t.fx_employee, t.fx_vendor)
 
@@ -197,7 +197,7 @@ def j02(t):
   CAST(MAX(e) AS VARCHAR) AS end_date, COUNT(*) AS files, SUM(n) AS rows
 FROM (SELECT submission_id, batch_id, employee_id, file_id, MIN(seq) AS fseq, COUNT(*) AS n,
         arg_min_null(work_date, seq) AS s, arg_max_null(work_date, seq) AS e
-      FROM ck_typed GROUP BY ALL) f GROUP BY submission_id""")
+      FROM ck_typed GROUP BY ALL) f GROUP BY submission_id""", heavy=True)
 def j01(t):
     return E.build_submissions(t.fx_raw)
 
@@ -206,7 +206,7 @@ def j01(t):
        """SELECT file_id, CAST(arg_min(work_date, seq) FILTER (work_date IS NOT NULL) AS VARCHAR) AS first_date,
   CAST(arg_max(work_date, seq) FILTER (work_date IS NOT NULL) AS VARCHAR) AS last_date,
   CAST(MIN(work_date) AS VARCHAR) AS low, CAST(MAX(work_date) AS VARCHAR) AS high
-  FROM ck_typed GROUP BY file_id""")
+  FROM ck_typed GROUP BY file_id""", heavy=True)
 def e11(t):
     from worktally.functions import dates as D
     dated = t.fx_raw.withColumn("d", D.parse_date(F.col("raw_date")))

@@ -54,7 +54,7 @@ def a04(t):
        """SELECT doc_id, DENSE_RANK() OVER (PARTITION BY doc_id ORDER BY grp) AS table_no,
   ROW_NUMBER() OVER (PARTITION BY doc_id, grp ORDER BY pos) - 1 AS row_no,
   array_to_string(list_transform(string_split(trim(trim(line), '|'), '|'), lambda x: trim(x)), '~') AS cells
-FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, grp) AS n FROM ck_pipe_rows) q WHERE n >= 2""")
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, grp) AS n FROM ck_pipe_rows) q WHERE n >= 2""", heavy=True)
 def a05(t):
     return TX.pipe_tables(t.fx_table_text).withColumn("cells", F.array_join("cells", "~"))
 
@@ -158,7 +158,7 @@ def i20(t):
 FROM (SELECT doc_id, text, len(list_filter(w, lambda x: x IN ('hour', 'hours', 'timesheet', 'regular', 'overtime', 'employee', 'approved'))) AS yes,
     len(list_filter(w, lambda x: x IN ('invoice', 'receipt', 'statement')))
       + len(regexp_extract_all(lower(text), '(^|[^a-z0-9_])amount[ ]+due([^a-z0-9_]|$)')) AS no
-  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM fx_kw) a) b""")
+  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM fx_kw) a) b""", heavy=True)
 def b09(t):
     return t.fx_kw.select("doc_id", FI.document_type(F.col("text")).alias("document_type"))
 
@@ -173,7 +173,7 @@ FROM fx_line GROUP BY doc_id"""
 
 
 @query("d13_source_profile", "doc_id:long, candidate_rows:long, sections:long, date_count:long, first_date:string, last_date:string",
-       PROFILE_SQL)
+       PROFILE_SQL, heavy=True)
 def d13(t):
     return TX.source_profile(t.fx_line)
 
@@ -183,7 +183,7 @@ def d13(t):
   CASE WHEN candidate_rows > 0 THEN ROUND(COALESCE(n, 0) * 100.0 / candidate_rows, 1) ELSE 100 END AS completeness_pct,
   CASE WHEN candidate_rows > 0 AND COALESCE(n, 0) < candidate_rows * 0.7 THEN 1 ELSE 0 END AS incomplete
 FROM ({PROFILE_SQL}) p LEFT JOIN (SELECT employee_id, COUNT(*) AS n FROM fx_entry
-  WHERE entry_type = 'WORK' GROUP BY 1) e ON e.employee_id = p.doc_id""")
+  WHERE entry_type = 'WORK' GROUP BY 1) e ON e.employee_id = p.doc_id""", heavy=True)
 def d12(t):
     got = t.fx_entry.filter("entry_type = 'WORK'").groupBy(F.col("employee_id").alias("doc_id")).agg(
         F.count("*").alias("entries"))
@@ -195,7 +195,7 @@ def d12(t):
 
 
 @query("d15_extraction_score", "doc_id:long, engine:string, score:double",
-       "SELECT doc_id, engine, score FROM ck_engine")
+       "SELECT doc_id, engine, score FROM ck_engine", heavy=True)
 def d15(t):
     return scored(t)
 
@@ -207,7 +207,7 @@ def scored(t):
 
 @query("e05_best_engine", "doc_id:long, engine:string, score:double",
        """SELECT doc_id, engine, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id
-          ORDER BY score DESC, engine_rank) AS rn FROM ck_engine) q WHERE rn = 1 AND trim(text) <> ''""")
+          ORDER BY score DESC, engine_rank) AS rn FROM ck_engine) q WHERE rn = 1 AND trim(text) <> ''""", heavy=True)
 def e05(t):
     return TX.best_engine(scored(t).withColumn("has_text", F.trim("text") != ""))
 
@@ -240,7 +240,7 @@ def e13(t):
 @query("h32_content_presence", "doc_id:long, sufficient:long",
        r"""SELECT doc_id, CASE WHEN doc_id % 4 > 2 OR (length(trim(text)) >= 80 AND regexp_matches(lower(text),
    '[0-9]{1,2}:[0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(^|[^a-z0-9_])(hours?|hrs?)([^a-z0-9_]|$)'))
-   THEN 1 ELSE 0 END AS sufficient FROM fx_kw""")
+   THEN 1 ELSE 0 END AS sufficient FROM fx_kw""", heavy=True)
 def h32(t):
     ok = FI.is_sufficient(F.col("text"), F.col("doc_id") % 4)
     return t.fx_kw.select("doc_id", ok.cast("int").alias("sufficient"))
@@ -257,7 +257,7 @@ def h33(t):
     return FI.page_mix(t.fx_page_fact)
 
 
-@query("e14_token_rows", "page_id:long, segment:long, row_no:long, token_id:long")
+@query("e14_token_rows", "page_id:long, segment:long, row_no:long, token_id:long", heavy=True)
 def e14(t):
     tokens = t.events.select(
         F.col("user_id").alias("page_id"), F.col("event_id").alias("token_id"),

@@ -85,7 +85,7 @@ def c14(t):
     return MA.match_sender(senders, roster_of(t), fuzzy=False)
 
 
-@query("c11_fuzzy_match", "probe_id:long, employee_id:long, confidence:double, alternatives:long")
+@query("c11_fuzzy_match", "probe_id:long, employee_id:long, confidence:double, alternatives:long", heavy=True)
 def c11(t):
     probes = typo_probes(t)
     best = MA.with_alternatives(MA.similar(probes, roster_of(t)))

@@ -26,7 +26,7 @@ def day(text):
 @query("h01_parse_date", "seq:long, us:string, eu:string",
        """SELECT seq, CAST(work_date AS VARCHAR) AS us, CAST(CASE WHEN raw_date LIKE '%/%' THEN COALESCE(
             TRY_STRPTIME(raw_date, '%d/%m/%Y'), TRY_STRPTIME(raw_date, '%m/%d/%Y'))::DATE ELSE work_date END AS VARCHAR) AS eu
-          FROM ck_typed""")
+          FROM ck_typed""", heavy=True)
 def h01(t):
     return t.fx_raw.select("seq", D.parse_date(F.col("raw_date")).alias("us"),
                            D.parse_date(F.col("raw_date"), day_first=True).alias("eu"))
@@ -34,7 +34,7 @@ def h01(t):
 
 @query("h02_parse_time", "seq:long, in_min:long, out_min:long, inferred:long",
        """SELECT seq, in_min, out_min, CASE WHEN out_min BETWEEN 60 AND 479 THEN out_min + 720 ELSE out_min END AS inferred
-          FROM ck_typed""")
+          FROM ck_typed""", heavy=True)
 def h02(t):
     return t.fx_raw.select("seq", D.parse_minutes(F.col("in_text")).alias("in_min"),
                            D.parse_minutes(F.col("out_text")).alias("out_min"),
@@ -44,7 +44,7 @@ def h02(t):
 @query("h03_parse_time_work", "seq:long, in_min:long, in_text24:string",
        """SELECT seq, m AS in_min, CONCAT(lpad(CAST(m // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(m % 60 AS VARCHAR), 2, '0')) AS in_text24
 FROM (SELECT seq, CASE WHEN in_min = 0 THEN NULL WHEN in_min BETWEEN 60 AND 479 AND NOT regexp_matches(upper(in_text), 'AM|PM')
-        THEN in_min + 720 ELSE in_min END AS m FROM ck_typed) q WHERE m IS NOT NULL""")
+        THEN in_min + 720 ELSE in_min END AS m FROM ck_typed) q WHERE m IS NOT NULL""", heavy=True)
 def h03(t):
     out = t.fx_raw.select("seq", D.parse_work_minutes(F.col("in_text")).alias("in_min"))
     return out.filter("in_min IS NOT NULL").withColumn("in_text24", D.clock_text(F.col("in_min")))
@@ -140,7 +140,7 @@ def cells_of(t):
 
 
 @query("e10_header_row", "file_id:long, header_row:long",
-       "SELECT file_id, MIN(row_no) AS header_row FROM ck_layout WHERE part = 'H' AND row_no < 15 GROUP BY file_id")
+       "SELECT file_id, MIN(row_no) AS header_row FROM ck_layout WHERE part = 'H' AND row_no < 15 GROUP BY file_id", heavy=True)
 def e10(t):
     return NO.header_rows(cells_of(t))
 
@@ -164,13 +164,13 @@ FROM fx_grid WHERE part = 'D' AND h < 15 AND d <> ''"""
 
 
 @query("h19_grid_entries", "file_id:long, row_no:long, work_date:string, in_min:long, out_min:long, break_minutes:long, "
-       "hours:double, entry_type:string, leave_type:string", GRID_SQL)
+       "hours:double, entry_type:string, leave_type:string", GRID_SQL, heavy=True)
 def h19(t):
     return NO.grid_entries(cells_of(t))
 
 
 @query("h20_leave_detection", "entry_type:string, leave_type:string, n:long",
-       f"SELECT entry_type, leave_type, COUNT(*) AS n FROM ({GRID_SQL}) q GROUP BY ALL")
+       f"SELECT entry_type, leave_type, COUNT(*) AS n FROM ({GRID_SQL}) q GROUP BY ALL", heavy=True)
 def h20(t):
     return NO.grid_entries(cells_of(t)).groupBy("entry_type", "leave_type").agg(F.count("*").alias("n"))
 
@@ -178,20 +178,20 @@ def h20(t):
 @query("h21_text_line_rows", "doc_id:long, line_no:long, work_date:string, in_min:long, hours:double",
        """SELECT doc_id, line_no, substr(line, 1, 10) AS work_date, CASE WHEN m = 0 THEN NULL WHEN m BETWEEN 60 AND 479 THEN m + 720 ELSE m END AS in_min,
   CAST(split_part(line, ' ', 3) AS DECIMAL(10,2)) AS hours
-FROM (SELECT *, CAST(substr(line, 12, 2) AS INT) * 60 + CAST(substr(line, 15, 2) AS INT) AS m FROM fx_line WHERE line LIKE '2024-%') q""")
+FROM (SELECT *, CAST(substr(line, 12, 2) AS INT) * 60 + CAST(substr(line, 15, 2) AS INT) AS m FROM fx_line WHERE line LIKE '2024-%') q""", heavy=True)
 def h21(t):
     rows = t.fx_line.select("doc_id", "line_no", RW.text_row(F.col("line")).alias("r"))
     return rows.filter("r.work_date IS NOT NULL").select("doc_id", "line_no", "r.*")
 
 
 @query("h22_rule_rows", "doc_id:long, line_no:long, work_date:string, regular:double, overtime:double, total:double",
-       "SELECT doc_id, line_no, work_date, regular, overtime, total FROM ck_form_rows")
+       "SELECT doc_id, line_no, work_date, regular, overtime, total FROM ck_form_rows", heavy=True)
 def h22(t):
     return NO.form_rows(t.fx_form)
 
 
 @query("h23_row_acceptance", "doc_id:long, line_no:long, reason:string",
-       "SELECT doc_id, line_no, reason FROM ck_judged")
+       "SELECT doc_id, line_no, reason FROM ck_judged", heavy=True)
 def h23(t):
     return NO.judged_rows(t.fx_form)
 
@@ -200,19 +200,19 @@ def h23(t):
        """SELECT j.doc_id, COALESCE(SUM(total) FILTER (reason IS NULL), 0) AS calculated, COUNT(reason) AS rejected,
   MAX(submitted) AS submitted, CASE WHEN COUNT(*) FILTER (reason IS NULL) > 0 AND
     abs(COALESCE(SUM(total) FILTER (reason IS NULL), 0) - MAX(submitted)) > 0.25 THEN 1 ELSE 0 END AS differs
-FROM ck_judged j LEFT JOIN ck_form_totals f ON f.doc_id = j.doc_id GROUP BY j.doc_id""")
+FROM ck_judged j LEFT JOIN ck_form_totals f ON f.doc_id = j.doc_id GROUP BY j.doc_id""", heavy=True)
 def h23b(t):
     return NO.totals_check(t.fx_form).withColumn("differs", F.col("differs").cast("int"))
 
 
 @query("h24_document_totals", "doc_id:long, submitted:double, approved:double",
-       "SELECT doc_id, submitted, approved FROM ck_form_totals")
+       "SELECT doc_id, submitted, approved FROM ck_form_totals", heavy=True)
 def h24(t):
     return NO.form_header(t.fx_form)
 
 
 @query("h25_period_detection", "doc_id:long, start:string, end:string, kind:string",
-       'SELECT doc_id, p_start AS start, p_end AS "end", kind FROM ck_form_period')
+       'SELECT doc_id, p_start AS start, p_end AS "end", kind FROM ck_form_period', heavy=True)
 def h25(t):
     return NO.form_period(t.fx_form)
 
@@ -224,7 +224,7 @@ def h25(t):
   MAX(CASE WHEN k = 2 THEN 'Field Ops' END) AS department, MAX(CASE WHEN k = 2 THEN 'Greta Costa' END) AS manager,
   arg_min(CONCAT('Acme', line_no % 4), line_no) FILTER (k = 3) AS company,
   arg_min(CASE WHEN k = 4 AND m <> 0 THEN 'pending' ELSE 'approved' END, line_no) FILTER (k IN (4, 6)) AS approval
-FROM ck_form GROUP BY doc_id""")
+FROM ck_form GROUP BY doc_id""", heavy=True)
 def h26(t):
     return NO.form_header(t.fx_form)
 
@@ -235,7 +235,7 @@ def h26(t):
     WHEN k = 14 THEN CASE WHEN dd <= 12 THEN make_date(2024, dd, 1) ELSE make_date(2024, 1, dd) END END AS VARCHAR) AS day_first,
   CAST(CASE WHEN k = 7 THEN CASE WHEN m = 0 THEN DATE '2024-01-01' END WHEN k = 8 THEN day
     WHEN k = 9 THEN CASE WHEN dd <= 12 THEN make_date(2024, dd, 1) ELSE make_date(2024, 1, dd) END
-    WHEN k IN (10, 11, 14) THEN make_date(2024, 1, dd) END AS VARCHAR) AS month_first FROM ck_form""")
+    WHEN k IN (10, 11, 14) THEN make_date(2024, 1, dd) END AS VARCHAR) AS month_first FROM ck_form""", heavy=True)
 def h27(t):
     return t.fx_form.select("line_no", RW.find_date(F.col("line")).alias("day_first"),
                             RW.find_date(F.col("line"), day_first=False).alias("month_first"))
@@ -272,7 +272,7 @@ def b04(t):
 
 @query("b05_lenient_period_filter", "seq:long, work_date:string",
        """SELECT seq, CAST(work_date AS VARCHAR) AS work_date FROM ck_typed
-          WHERE work_date IS NULL OR work_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
+          WHERE work_date IS NULL OR work_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""", heavy=True)
 def b05(t):
     return R.period_split(typed(t), day("2024-01-10"), day("2024-01-20"))[0]
 
@@ -302,7 +302,7 @@ def b06(t):
         FROM (SELECT seq, file_id, work_date, CASE WHEN seq % 3 = 0 THEN in_min END AS in_min,
                 CASE WHEN seq % 7 = 0 THEN out_min END AS out_min, CASE WHEN seq % 4 = 0 THEN entered_hours END AS entered_hours
               FROM ck_typed) z) y WINDOW d AS (PARTITION BY file_id, work_date)) x
-WHERE real OR (any_real = 0 AND seq = first_seq) OR n < 3""")
+WHERE real OR (any_real = 0 AND seq = first_seq) OR n < 3""", heavy=True)
 def b07(t):
     k = F.col("seq")
     thin = typed(t).withColumns({"in_min": F.when(k % 3 == 0, F.col("in_min")),
@@ -311,14 +311,14 @@ def b07(t):
     return NO.drop_ghosts(thin)
 
 
-@query("d14_completeness_score", "file_id:long, confidence:double", "SELECT file_id, confidence FROM ck_scored")
+@query("d14_completeness_score", "file_id:long, confidence:double", "SELECT file_id, confidence FROM ck_scored", heavy=True)
 def d14(t):
     return NO.completeness(NO.document_facts(typed(t)))
 
 
 @query("b08_status_gating", "file_id:long, status:string",
        """SELECT file_id, CASE WHEN rows >= 1 AND dated / rows >= 0.5 AND with_hours / rows >= 0.3 AND confidence >= 0.6
-          THEN 'NORMALIZED' ELSE 'NEEDS_REVIEW' END AS status FROM ck_scored""")
+          THEN 'NORMALIZED' ELSE 'NEEDS_REVIEW' END AS status FROM ck_scored""", heavy=True)
 def b08(t):
     return NO.gate(NO.completeness(NO.document_facts(typed(t))))
 
@@ -328,7 +328,7 @@ def b08(t):
     ORDER BY entries DESC, with_hours DESC, has_name DESC, candidate) AS rn
   FROM (SELECT file_id, CAST(seq % 4 AS INT) AS candidate, COUNT(*) AS entries,
           COUNT(*) FILTER (entered_hours IS NOT NULL OR (in_min IS NOT NULL AND out_min IS NOT NULL)) AS with_hours,
-          MAX(CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END) AS has_name FROM ck_typed GROUP BY ALL) a) b WHERE rn = 1""")
+          MAX(CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END) AS has_name FROM ck_typed GROUP BY ALL) a) b WHERE rn = 1""", heavy=True)
 def e04(t):
     hours = F.col("entered_hours").isNotNull() | (F.col("in_min").isNotNull() & F.col("out_min").isNotNull())
     cands = typed(t).groupBy("file_id", (F.col("seq") % 4).cast("int").alias("candidate")).agg(
@@ -348,7 +348,7 @@ def e07(t):
 
 @query("e08_key_dedup", "file_id:long, seq:long",
        """SELECT file_id, seq FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file_id, work_date, floor(in_min / 240), floor(out_min / 240)
-          ORDER BY COALESCE(entered_hours, 0) DESC, seq) AS rn FROM ck_typed) q WHERE rn = 1""")
+          ORDER BY COALESCE(entered_hours, 0) DESC, seq) AS rn FROM ck_typed) q WHERE rn = 1""", heavy=True)
 def e08(t):
     rows = typed(t).withColumns({"i": F.floor(F.col("in_min") / 240), "o": F.floor(F.col("out_min") / 240)})
     hours = F.coalesce("entered_hours", F.lit(0))

@@ -12,11 +12,18 @@ ORACLES = {}
 _SQL_TYPES = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
+def spread_rows(df):
+    """Deals rows over all cores when the scan has fewer splits than cores (a single row group);
+    large tables have more splits and are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the given tables (``t.events``) and derived views (``t.fx_entry``)."""
 
-    def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir, self._seen = spark, sf_dir, {}
+    def __init__(self, spark, sf_dir, spread=False):
+        self.spark, self.sf_dir, self.spread, self._seen = spark, sf_dir, spread, {}
 
     def __getattr__(self, name):
         if name.startswith("__"):
@@ -27,7 +34,8 @@ class Tables:
                 needs = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))
                 self._seen[name] = self.spark.sql(text, **{n: getattr(self, n) for n in needs})
             else:
-                self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._seen[name] = spread_rows(df) if self.spread else df
         return self._seen[name]
 
 
@@ -54,13 +62,16 @@ def _with_views(body):
     return "WITH " + ",\n".join(f"{n} AS ({every[n]})" for n in order) + "\n" + body
 
 
-def query(name, columns, sql=None):
-    """Register ``fn(tables) -> DataFrame``; both sides are cast to the declared columns."""
+def query(name, columns, sql=None, heavy=False):
+    """Register ``fn(tables) -> DataFrame``; both sides are cast to the declared columns.
+
+    ``heavy`` marks plans with much work per row: their input is spread over the cores first.
+    """
     cols = [c.strip().split(":") for c in columns.split(",")]
 
     def wrap(fn):
         def run(spark, sf_dir):
-            out = fn(Tables(prepare(spark), sf_dir))
+            out = fn(Tables(prepare(spark), sf_dir, spread=heavy))
             return out.select(*[F.col(c).cast(t).alias(c) for c, t in cols])
 
         QUERIES[name] = run

@@ -199,17 +199,17 @@ def built_of(t):
     return E.build_entries(t.fx_raw, t.fx_employee, t.fx_vendor)
 
 
-@query("i14_invalid_date", COLS, SQL["i14"])
+@query("i14_invalid_date", COLS, SQL["i14"], heavy=True)
 def i14(t):
     return R.build_findings(built_of(t), ["INVALID_DATE"])
 
 
-@query("i15_duplicate_or_conflicting_date", COLS, later_rows("'OVERLAPPING_DATE_CONFLICT', 'DUPLICATE_DATE'"))
+@query("i15_duplicate_or_conflicting_date", COLS, later_rows("'OVERLAPPING_DATE_CONFLICT', 'DUPLICATE_DATE'"), heavy=True)
 def i15(t):
     return R.build_findings(built_of(t), ["OVERLAPPING_DATE_CONFLICT", "DUPLICATE_DATE"])
 
 
-@query("i16_implausible_hours", COLS, later_rows("'IMPLAUSIBLE_HOURS'"))
+@query("i16_implausible_hours", COLS, later_rows("'IMPLAUSIBLE_HOURS'"), heavy=True)
 def i16(t):
     return R.build_findings(built_of(t), ["IMPLAUSIBLE_HOURS"])
 
