@@ -20,8 +20,15 @@ def in_list(word, vocabulary):
     return F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), word)
 
 
+def title(text):
+    """Every run of letters starts with a capital, also after hyphens and apostrophes."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(
+        F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
+
+
 def title_if_upper(text):
-    return F.when((text == F.upper(text)) & (text != ""), F.initcap(text)).otherwise(text)
+    return F.when((text == F.upper(text)) & (text != ""), title(text)).otherwise(text)
 
 
 def clean_for_matching(name):
@@ -50,7 +57,7 @@ def clean_extracted(name):
     def after_case(s):
         letters = F.filter(words(s), lambda w: w.rlike(r"^[A-Za-z]+$"))
         shout = F.forall(letters, lambda w: w == F.upper(w))
-        cased = F.when(shout, F.initcap(s)).otherwise(s)
+        cased = F.when(shout, title(s)).otherwise(s)
         tokens = words(F.regexp_replace(cased, r"\b\d+\b", ""))
         return bind(tokens, decide)
 

@@ -55,5 +55,5 @@ def read_delimited(spark, path, columns=None):
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
     rows = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt").na.drop("all").na.fill("")
     rows = rows.select(*[F.trim(c).alias(c) for c in names])
-    lost = raw.agg(F.count("_corrupt").alias("lost_rows"))
+    lost = raw.agg(F.count("_corrupt").alias("lost_rows"), F.count(names[0]).alias("first_cells"))
     return rows, lost
