@@ -14,6 +14,7 @@ from worktally.plans.core import totals_of, weekly_of
 from worktally.plans.registry import query
 from worktally.session import shared_folder
 from worktally.sources import sinks as SK
+from worktally.sources import tables as ST
 
 
 def subs_of(t):
@@ -68,7 +69,7 @@ def c15(t):
   UNION ALL SELECT 'entries', COUNT(*) FROM fx_entry e WHERE FLOOR(employee_id / 50) <> 1
   UNION ALL SELECT 'findings', COUNT(*) FROM fx_finding WHERE batch_id <> 1""")
 def c18(t):
-    doomed = subs_of(t).filter("batch_id = 1").select("batch_id").distinct()
+    doomed = t.fx_file.filter("batch_id = 1").select("batch_id").distinct()
     kept = CH.without_batches({
         "files": (t.fx_file, "batch_id", None), "findings": (t.fx_finding, "batch_id", None),
         "submissions": (subs_of(t), "batch_id", None), "entries": (t.fx_entry, "submission_id", "submissions")},
@@ -84,6 +85,17 @@ def e12(t):
     return t.fx_order_sub.groupBy("employee_id").agg(best).select("employee_id", "m.*")
 
 
+@query("a12_table_round_trip", "entry_id:long, work_date:string, entered_hours:double",
+       """SELECT entry_id, CAST(work_date AS VARCHAR) AS work_date, entered_hours FROM fx_entry
+          WHERE work_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""")
+def a12(t):
+    path = shared_folder(t.spark, "table")
+    for part in (0, 1):  # appended in two loads
+        ST.append_table(t.fx_entry.filter(F.col("entry_id") % 2 == part), path, ["work_date"])
+    back = ST.read_table(t.spark, path, ["entry_id", "work_date", "entered_hours"])
+    return back.filter(F.col("work_date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-14").cast("date")))
+
+
 # --- counters ---
 
 @query("d01_dashboard", "total:long, processing:long, needs_review:long, payroll_ready:long, failed:long, "

@@ -36,7 +36,7 @@ def sniff_delimiter(spark, path, encoding="UTF-8", sample=200):
 
 def _undecodable(spark, path):
     """True when UTF-8 decoding would lose characters."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�"))
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     return not bad.isEmpty()
 
 
@@ -55,5 +55,7 @@ def read_delimited(spark, path, columns=None):
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
     rows = raw.filter(F.col("_corrupt").isNull()).drop("_corrupt").na.drop("all").na.fill("")
     rows = rows.select(*[F.trim(c).alias(c) for c in names])
-    lost = raw.agg(F.count("_corrupt").alias("lost_rows"), F.count(names[0]).alias("first_cells"))
+    # every column is read: a pruned parse would not notice missing cells
+    lost = raw.agg(F.count("_corrupt").alias("lost_rows"),
+                   F.sum(F.length(F.concat_ws("", *names))).alias("characters"))
     return rows, lost
