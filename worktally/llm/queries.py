@@ -9,7 +9,7 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 MIX_SEED = 7
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-QUALITY_THRESHOLD = -0.1
+QUALITY_THRESHOLD = -0.06
 QUERIES, ORACLES = {}, {}
 
 
