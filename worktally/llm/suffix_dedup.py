@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from worktally.llm import blocks as B
 
 SEED = 20
-RUN = 1 << 20  # window starts hashed at a time
+RUN = 1 << 18  # window starts hashed at a time
 _T = B.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _B = 0x9FB21C651E98DF25
 
@@ -158,7 +158,7 @@ def _least_documents(place, count, body, low, width):
     return least
 
 
-def repeats(docs, id_col="doc_id", text_col="text", min_bytes=50, block_bytes=B.BLOCK_BYTES):
+def repeats(docs, id_col="doc_id", text_col="text", min_bytes=50, block_bytes=B.BLOCK_BYTES // 2):
     """Removes each byte covered by a ``min_bytes``-byte string that also starts in a document of smaller id.
 
     Returns one row per input row: id, n_bytes, spans array<struct<start, length>> (removed runs, in bytes), kept binary.
@@ -170,7 +170,7 @@ def repeats(docs, id_col="doc_id", text_col="text", min_bytes=50, block_bytes=B.
         raise ValueError(f"min_bytes must be over {SEED}")
     rows, _, size = B.deal(docs, id_col, text_col, block_bytes)
     seeds = 2 * size / (min_bytes - SEED + 2)
-    bits, bits2 = B.bucket_bits(seeds), B.bucket_bits(seeds, 1 << 18)
+    bits, bits2 = B.bucket_bits(seeds, 1 << 19), B.bucket_bits(seeds, 1 << 17)
     left = min_bytes - SEED
 
     def look(table):
