@@ -77,7 +77,8 @@ def segments(data, starts, ends, width):
 
         f = B.mix(B.mix(whole(a)) * np.uint64(3) + whole(z) + (stop - a).astype(np.uint64) * _power(3)
                   + (at[a] - a).astype(np.uint64) * _power(5))
-        found.append((a + s0, stop - a, at[a] + s0, hm[at[a]], f))
+        # least hashes are small numbers: mixed anew, they spread over the buckets
+        found.append((a + s0, stop - a, at[a] + s0, B.mix(hm[at[a]] + np.uint64(1)), f))
     if not found:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64), z
