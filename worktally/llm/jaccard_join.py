@@ -142,7 +142,7 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", width=5, percent=80,
     """
     spark = docs.sparkSession
     rows, _, size = B.deal(docs, id_col, text_col, block_bytes)
-    bits = B.bucket_bits(size / 6)
+    bits = B.bucket_bits(size / 6, 1 << 19)
 
     def look(table):
         ids, data, starts, ends = B.texts(table)

@@ -203,7 +203,7 @@ def score(docs, train, id_col="doc_id", text_col="text", block_bytes=B.BLOCK_BYT
     spark = docs.sparkSession
     rows, n_blocks, size = B.deal(docs, id_col, text_col, block_bytes, train=F.coalesce(train, F.lit(False)))
     low = spark.sparkContext.broadcast(_low_counts(rows))
-    bits, bits_words = B.bucket_bits(size / 16), B.bucket_bits(size / 32)
+    bits, bits_words = B.bucket_bits(size / 16, 1 << 19), B.bucket_bits(size / 32)
     groups = max(1, -(-n_blocks // GROUP))
 
     def look(table):
