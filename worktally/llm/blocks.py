@@ -36,6 +36,7 @@ def deal(docs, id_col, text_col, block_bytes=BLOCK_BYTES, **more):
     The block comes from a hash of id and text: null or repeated ids spread as well. A block holds about
     ``block_bytes``, or one longer document.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        *[c.alias(k) for k, c in more.items()])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -49,22 +50,33 @@ def bucket_bits(items, per_bucket=ITEMS_PER_BUCKET):
     return max(0, int(np.ceil(np.log2(max(1, items / per_bucket)))))
 
 
-def texts(table, *more):
-    """(ids, bytes of all texts, starts, ends, further columns ...) of a block, rows in a fixed order."""
-    extra = [np.asarray(table.column(c)) for c in more]
-    ids = table.column("id").combine_chunks()
-    ids = np.asarray(ids.fill_null(int(LAST)), dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
-    col = table.column("text").combine_chunks()
+def bounded(spark):
+    """Rows go to Python in batches of some megabytes, however long their texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES // 2))
+    return spark
+
+
+def raw(col):
+    """(bytes, offsets) of a binary column without nulls."""
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.binary())
     if not len(col):
-        return ids, np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), *extra
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
-    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset:col.offset + len(col) + 1]
-    off = off.astype(np.int64)
+    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset:col.offset + len(col) + 1].astype(np.int64)
     data = col.buffers()[2]
     data = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if data is not None else np.zeros(0, np.uint8)
-    off = off - off[0]
+    return data, off - off[0]
+
+
+def texts(table, *more):
+    """(ids, bytes of all texts, starts, ends, further columns ...) of a block, rows in a fixed order."""
+    extra = [np.asarray(table.column(c)) for c in more]
+    ids = table.column("id").combine_chunks()
+    ids = np.asarray(ids.fill_null(int(LAST)), dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
+    data, off = raw(table.column("text"))
+    if not len(ids):
+        return ids, data, np.zeros(0, np.int64), np.zeros(0, np.int64), *extra
     lens = np.diff(off)
     # the order of rows from a shuffle may change when a stage runs again: sort by id, length, then content
     order = np.lexsort((lens, ids))
@@ -128,7 +140,7 @@ def words(data, starts, ends):
 _LETTER = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def hash_words(data, at, lens, run=1 << 20):
+def hash_words(data, at, lens, run=1 << 18):
     """A 64-bit hash of each byte string [at, at + lens): a polynomial over random letter values, mixed."""
     out = np.empty(len(at), np.uint64)
     total = np.cumsum(lens)

@@ -125,6 +125,7 @@ def train(docs, learn, text_col="text", lang_col="lang", dim=DIM):
                 have = {}
         yield out()
 
+    B.bounded(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).alias("lang"))
     sums = (rows.mapInArrow(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
             .groupBy("lang", "k").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")))
@@ -141,6 +142,7 @@ def predict(docs, model, text_col="text", keep=()):
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned. Of equal cosines the
     alphabetically first language wins. Other columns play no part; rows are judged one by one.
     """
+    B.bounded(docs.sparkSession)
     names, protos = model
     dim = protos.shape[1]
     norms = np.sqrt((protos**2).sum(1))

@@ -51,6 +51,7 @@ def tokenize(docs, ranks, pattern, id_col="doc_id", text_col="text", size=1024,
     ids. ``ranks`` and ``pattern`` are the tokenizer's; the file must lie at the same path on every executor.
     Null text: empty (the end id alone). Markers of special tokens inside a text are ordinary text.
     """
+    B.bounded(docs.sparkSession)
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches):

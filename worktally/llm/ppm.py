@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from worktally.llm import blocks as B
 
 ORDER = 5
+RUN = 1 << 20  # bytes turned into strings at a time
 GROUP = 512  # blocks whose requests one task answers
 _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 
@@ -122,9 +123,9 @@ def _low_counts(rows):
     """Counts of three-byte strings (two of context) in the training texts: (strings ascending, counts)."""
     def count(batches):
         for batch in batches:
-            t = pa.table({"id": pa.nulls(batch.num_rows, pa.int64()), "text": batch.column("text")})
-            _, data, starts, ends = B.texts(t)
-            for i, j in _runs(ends - starts, 2 << 20):
+            data, off = B.raw(batch.column("text"))
+            starts, ends = off[:-1], off[1:]
+            for i, j in _runs(ends - starts, RUN):
                 x, begin, n = _padded(B.lower(data[starts[i]:ends[j - 1]]), starts[i:j] - starts[i], ends[i:j] - starts[i])
                 v = _strings(x, 3)[B.spans(begin + ORDER - 2, n)].astype(np.uint32)
                 v.sort()
@@ -149,7 +150,7 @@ def _runs(lens, most):
 def _block_strings(data, starts, ends, train):
     """Different six-byte strings of a block ascending, with their counts in training texts."""
     keys, counts = [], []
-    for i, j in _runs(ends - starts, 2 << 20):
+    for i, j in _runs(ends - starts, RUN):
         x, begin, n = _padded(data[starts[i]:ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
         v = _strings(x, ORDER + 1)[B.spans(begin, n)]
         v <<= np.uint64(1)
@@ -294,7 +295,7 @@ def score(docs, train, id_col="doc_id", text_col="text", block_bytes=B.BLOCK_BYT
             value[order[i:j]] = np.frombuffer(got[k], np.float32)
         find = B.Index(keys)
         scores = []
-        for i, j in _runs(ends - starts, 2 << 20):
+        for i, j in _runs(ends - starts, RUN):
             x, begin, n = _padded(data[starts[i]:ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
             v = value[find(_strings(x, ORDER + 1)[B.spans(begin, n)])].astype(np.float64)
             scores.append(np.add.reduceat(v, np.cumsum(n) - n))
