@@ -33,7 +33,7 @@ def _features(h):
 def weights(docs, trusted, id_col="doc_id", text_col="text"):
     """List of ``BUCKETS`` weights in millionths. ``trusted`` is a DataFrame with the ids of the target; ids it repeats count once."""
     marks = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(marks, "_id", "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(marks.hint("merge"), "_id", "left")  # by a shuffle at every size
     rows = computed(rows.select(F.coalesce("_trusted", F.lit(False)).alias("t"), F.transform(_words("_text"), lambda w: F.xxhash64(w)).alias("w")), h=F.col("w"))
     single, pairs = _features("h")
     counts = rows.select("t", F.explode(F.concat(single, pairs)).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("raw"), F.count_if("t").alias("target")).collect()
