@@ -21,8 +21,8 @@ def is_document(name):
     return reduce(lambda a, b: a | b, [low.endswith(e) for e in P.ATTACHMENT_EXTENSIONS])
 
 
-def flatten_parts(messages, parts="parts"):
-    """Text parts joined and cut to the stored length; named parts become attachments.
+def flatten_parts(messages, parts="parts", body_chars=None):
+    """Text parts joined (and cut to ``body_chars`` characters if given); named parts become attachments.
 
     ``parts`` is an array of (mime, filename, attachment_id, size, text).
     """
@@ -31,7 +31,8 @@ def flatten_parts(messages, parts="parts"):
                         lambda p: p.text)
     files = F.transform(F.filter(F.col(parts), lambda p: F.coalesce(named(p), F.lit(False))),
                         lambda p: F.struct(p.filename.alias("name"), p.mime.alias("mime"), p["size"].alias("size")))
-    return (messages.withColumn("body", F.substring(F.array_join(texts, " "), 1, P.BODY_CHARS))
+    body = F.array_join(texts, " ")
+    return (messages.withColumn("body", body if body_chars is None else F.substring(body, 1, body_chars))
             .withColumn("attachments", files).drop(parts))
 
 

@@ -58,9 +58,11 @@ def overtime_rate(regular, overtime):
 
 
 def payroll_results(submissions, totals, rates):
-    """One result per submission: pay where a rate is valid, else BLOCKED."""
+    """One result per submission: pay where a rate is valid, else BLOCKED. Without entries it has zero hours."""
     rated = rate_as_of(submissions, rates, worked_until())
-    out = rated.join(totals, "submission_id")
+    out = rated.join(totals, "submission_id", "left")
+    hours = [c for c in totals.columns if c.endswith("_hours")]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)) for c in hours})
     ot_rate = overtime_rate(F.col("regular_rate"), F.col("overtime_rate")).cast("decimal(12,4)")
     out = out.withColumn("overtime_rate", ot_rate)
     pay = {f"{k}_pay": (F.col(f"{k}_hours") * F.col(f"{k}_rate")).cast("decimal(18,4)")

@@ -102,7 +102,7 @@ def pay_export(submissions, totals, rates, people):
     names = people.select("employee_id", "full_name", "employee_code")
     out = _paid(submissions.filter("payroll_status = 'READY'"), totals, rates).join(names, "employee_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(MONEY)
-    code = F.coalesce(F.nullif(F.col("employee_code"), F.lit("")), F.substring(F.col("employee_id").cast("string"), 1, 8))
+    code = F.coalesce(F.nullif(F.col("employee_code"), F.lit("")), F.col("employee_id").cast("string"))
     return out.select(
         "submission_id", formula_safe(F.coalesce(code, F.lit(""))).alias("employee_id"),
         formula_safe(F.coalesce("full_name", F.lit(""))).alias("employee_name"),

@@ -43,7 +43,6 @@ INACTIVE_MONTHS = 2
 SUBJECT_SCORE, BODY_SCORE, ATTACHMENT_SCORE = 0.50, 0.25, 0.30
 VETO_CONFIDENCE, NO_ATTACHMENT_CONFIDENCE = 0.95, 0.70
 MESSAGE_THRESHOLD, DECISIVE_CONFIDENCE, MODEL_OVERRIDE = 0.40, 0.80, 0.70
-BODY_CHARS, SNIPPET_CHARS = 2000, 500
 
 # --- fixed word lists -------------------------------------------------------------------------
 NOISE_NAMES = ["desktop.ini", "thumbs.db", ".ds_store", ".gitkeep", "__macosx"]

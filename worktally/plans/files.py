@@ -11,7 +11,8 @@ from worktally.sources import files as SF
 from worktally.sources import tables as ST
 
 
-@query("a01_file_inventory", "folder_path:string, file_ext:string, has_size:long")
+@query("a01_file_inventory", "folder_path:string, file_ext:string, has_size:long",
+       "SELECT DISTINCT 'source=' || source || '/lang=' || lang AS folder_path, '.txt' AS file_ext, 1 AS has_size FROM documents")
 def a01(t):
     root = shared_folder(t.spark, "inventory")
     docs = t.documents.select("source", "lang", "text")

@@ -341,7 +341,7 @@ def r07(t):
 
 R8_COLS = ("submission_id:long, employee_id:string, employee_name:string, period_start:string, period_end:string, reg_hours:double, "
            "ot_hours:double, reg_pay:double, ot_pay:double, total_pay:double, currency:string, cost_center:string, department:string")
-R8_SQL = """SELECT m.submission_id, COALESCE(employee_code, substr(CAST(m.employee_id AS VARCHAR), 1, 8)) AS employee_id,
+R8_SQL = """SELECT m.submission_id, COALESCE(employee_code, CAST(m.employee_id AS VARCHAR)) AS employee_id,
   CASE WHEN full_name LIKE '=%' THEN CONCAT('''', full_name) ELSE full_name END AS employee_name,
   CAST(start_date AS VARCHAR) AS period_start, CAST(end_date AS VARCHAR) AS period_end, rh AS reg_hours, oh AS ot_hours,
   COALESCE(rp, 0) AS reg_pay, COALESCE(op, 0) AS ot_pay, COALESCE(rp, 0) + COALESCE(op, 0) AS total_pay,
