@@ -124,3 +124,12 @@ def test_periods_in_text(column):
     assert [(str(p.start), str(p.end), p.kind) if p else None for p in got] == [
         ("2026-05-01", "2026-05-15", "RANGE"), ("2026-04-01", "2026-04-30", "MONTH"),
         ("2026-05-18", "2026-05-24", "WEEK"), None]
+
+
+def test_everyday_date_layouts(column):
+    want = day("2024-01-05")
+    texts = ["2024/01/05", "Mon, Jan 5, 2024", "Friday 01/05/2024", "01/05/2024 00:00", "20240105", "1.5.2024", "Jan-05-2024", "January 5th, 2024",
+             "5 Jan 24", "2024-1-5", "2024-01-05T09:30:00", "Jan 5 2024 9:30 pm", "1/5/24"]
+    assert column(texts, D.parse_date(F.col("x"))) == [want] * len(texts)
+    assert column(["5.1.2024", "2024/05/01", "20240501", "2024/01/25"], D.parse_date(F.col("x"), day_first=True)) == [want] * 3 + [day("2024-01-25")]
+    assert column(["1/5/75", "1/5/76", "2024/13/01", "20241301", "Monday", "5th"], D.parse_date(F.col("x"))) == [day("2075-01-05"), day("1976-01-05")] + [None] * 4

@@ -28,7 +28,29 @@ def test_bad_rows_never_stop_the_job(spark, tmp_path):
 
 def test_replayed_batch_leaves_no_doubles(spark, tmp_path):
     s = stream_of(spark, tmp_path, [[(1, 1, "a")], [(2, 1, "b")]])
-    home = J.per_batch(s, "replay", lambda b: {"rows": b})
+    home = J.per_batch(s, "replay", lambda b, *_: b)
     # the same batch written again replaces its own folder only
     spark.createDataFrame([(1, 1, "a")], "id long, version int, text string").write.mode("overwrite").parquet(f"{home}/rows/batch=0")
-    assert J.read_parts(spark, home, "rows").count() == 2
+    assert J.read_parts(spark, home).count() == 2
+
+
+def test_messages_stay_unique_after_a_restart(spark, tmp_path):
+    home = str(tmp_path / "home")
+    s = stream_of(spark, tmp_path, [[(1, 5, "a"), (1, 4, "b"), (None, 1, "n")], [(1, 1, "late copy"), (2, 0, "late")]])
+    at = s.withColumn("at", F.make_date(F.lit(2024), F.lit(1), F.col("version") + 1).cast("timestamp"))
+    got = sorted((r.id or 0, r.text) for r in J.dedup_messages(at, "id", "at", home).collect())
+    assert [g[0] for g in got] == [0, 1, 2]
+    stream_of(spark, tmp_path, [[(2, 30, "again"), (3, 1, "new")]])
+    later = J.dedup_messages(at, "id", "at", home).collect()
+    assert sorted(r.id or 0 for r in later) == [0, 1, 2, 3] and {r.text for r in later if r.id == 2} == {"late"}
+
+
+def test_progress_counts_late_rows_and_goes_on(spark, tmp_path):
+    home = str(tmp_path / "home")
+    s = stream_of(spark, tmp_path, [[(1, 20, "A"), (2, 20, "A")], [(3, 1, "A"), (4, 20, "B")]])
+    at = s.withColumn("at", F.make_date(F.lit(2024), F.lit(1), F.col("version")).cast("timestamp"))
+    count = lambda: {(r.window_start.day, r.status): r.n for r in J.progress_counts(at, "at", "text", home=home).collect()}
+    assert count() == {(20, "A"): 2, (1, "A"): 1, (20, "B"): 1}
+    assert count()[20, "A"] == 2
+    stream_of(spark, tmp_path, [[(5, 20, "A")]])
+    assert count() == {(20, "A"): 3, (1, "A"): 1, (20, "B"): 1}

@@ -7,10 +7,14 @@ from worktally.functions.names import bind
 
 # Accepted ways of writing a date and a clock time.
 ISO_START = r"^(\d{4})-(\d{2})-(\d{2})"
-YEAR_FIRST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$"
-NUMERIC = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4}|\d{2})$"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+NUMERIC = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
 DAY_NAMED = r"(?i)^(\d{1,2})[-\s]+([a-z]{3,9})\.?[-,\s]+(\d{4}|\d{2})$"
-MONTH_NAMED = r"(?i)^([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})$"
+MONTH_NAMED = r"(?i)^([a-z]{3,9})\.?[-\s]+(\d{1,2})[-,\s]+(\d{4}|\d{2})$"
+WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,\s]+"
+TIME_AFTER = r"(?i)[\sT]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]m)?$"
+ORDINAL = r"(?i)(\d)(?:st|nd|rd|th)\b"
 MONTH_WORDS = P.MONTHS_SHORT + P.MONTHS_LONG
 CLOCK = r"(\d{1,2}[:.]\d{2})"
 BARE_HOUR = r"(?:^|[^\w])(\d{1,2})\s*(?:am|pm)(?:$|[^\w])"
@@ -32,7 +36,8 @@ def _numbers(text, pattern, *groups):
 
 
 def _full_year(year):
-    return F.when(year < 100, year + 2000).otherwise(year)
+    """Years of two digits: below ``P.CENTURY_PIVOT`` in this century, else in the last one."""
+    return F.when(year < P.CENTURY_PIVOT, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
 def month_number(word):
@@ -40,8 +45,13 @@ def month_number(word):
     return F.when(at > 0, (at - 1) % 12 + 1).cast("int")
 
 
-def year_first_date(text):
-    return F.when(text.rlike(YEAR_FIRST), valid_date(*_numbers(text, YEAR_FIRST, 1, 2, 3)))
+def year_first_date(text, day_first=False, pattern=YEAR_FIRST):
+    """``year/a/b``: month before day, but day before month where ``day_first`` is set and b can be a month."""
+    y, a, b = _numbers(text, pattern, 1, 2, 3)
+    date = valid_date(y, a, b)
+    if day_first:
+        date = F.when(b <= 12, valid_date(y, b, a)).otherwise(date)
+    return F.when(text.rlike(pattern), date)
 
 
 def numeric_date(text, day_first):
@@ -60,16 +70,24 @@ def named_date(text):
     return (F.when(text.rlike(DAY_NAMED), valid_date(
         _full_year(y), month_number(F.regexp_extract(text, DAY_NAMED, 2)), d))
         .when(text.rlike(MONTH_NAMED), valid_date(
-            z, month_number(F.regexp_extract(text, MONTH_NAMED, 1)), e)))
+            _full_year(z), month_number(F.regexp_extract(text, MONTH_NAMED, 1)), e)))
 
 
 def parse_date(text, day_first=False):
-    """ISO text first (a bad ISO date is NULL), then slashed or dashed, then named months."""
+    """ISO text first (a bad ISO date is NULL), then numbers in the given order, year-first, then named months.
+
+    Numbers may be parted by slashes, dashes or dots; a leading weekday, a trailing clock time and ordinal endings play no part.
+    """
+    def bare(s):
+        s = F.regexp_replace(F.regexp_replace(s, WEEKDAY, ""), TIME_AFTER, "")
+        return F.regexp_replace(s, ORDINAL, "$1")
+
     def read(s):
         unusable = F.lower(s).isin(P.EMPTY_TOKENS) | F.upper(s).startswith("INVALID")
         return (F.when(unusable, None)
                 .when(s.rlike(ISO_START), valid_date(*_numbers(s, ISO_START, 1, 2, 3)))
-                .otherwise(F.coalesce(numeric_date(s, day_first), named_date(s))))
+                .otherwise(bind(bare(s), lambda b: F.coalesce(
+                    numeric_date(b, day_first), year_first_date(b, day_first), year_first_date(b, day_first, COMPACT), named_date(b)))))
     return bind(F.trim(text), read)
 
 

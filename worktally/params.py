@@ -89,6 +89,8 @@ HEADER_KEYWORDS = ["date", "day", "in", "out", "hours", "regular", "overtime", "
                    "non-billable", "hrs", "start", "end", "punch"]
 BREAK_KEYWORDS = ["break", "lunch", "minus", "deduct", "unpaid"]
 EMPTY_TOKENS = ["", "none", "nan", "nat", "null"]
+# two-digit years from here on are years of the last century
+CENTURY_PIVOT = 76
 ADMIN_RULES = ["TWO_MONTH_INACTIVE"]
 REGENERATED_RULES = ["EMPLOYEE_NOT_MATCHED", "EXTRACTION_FAILED", "NON_TIMESHEET_DOCUMENT",
                      "DAILY_HOURS_EXCEED", "DAILY_REGULAR_LIMIT_EXCEEDED", "WEEKLY_HOURS_EXCEED",

@@ -41,6 +41,24 @@ def a03(t):
     return SF.read_delimited(t.spark, path, ["entry_id", "work_date", "hours"])[0]
 
 
+@query("a03_mixed_folder", "entry_id:string, work_date:string, hours:string",
+       """SELECT CAST(entry_id AS VARCHAR) AS entry_id, CAST(work_date AS VARCHAR) AS work_date,
+          CASE WHEN entry_id % 5 = 0 THEN '' ELSE COALESCE(CAST(calculated_hours AS VARCHAR), '') END AS hours FROM fx_claim
+          UNION ALL SELECT 'Läufe', '', ''""")
+def a03_mixed(t):
+    """Two files of other delimiters and encodings below one folder, the second with a title line; each fifth row is short."""
+    path = shared_folder(t.spark, "mixed")
+    parts = [F.col("entry_id").cast("string"), F.col("work_date").cast("string"),
+             F.when(F.col("entry_id") % 5 != 0, F.coalesce(F.col("calculated_hours").cast("string"), F.lit("")))]
+    rows = t.fx_claim
+    for i, (sep, encoding) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1")]):
+        lines = rows.filter(F.col("entry_id") % 2 == i).select(F.concat_ws(sep, *parts).alias("line")).coalesce(1)
+        if i:  # one file, so that the title tells the encoding of all its lines
+            lines = t.spark.range(1).select(F.lit("Läufe").alias("line")).unionByName(lines).coalesce(1)
+        lines.select(F.encode("line", encoding).cast("string").alias("line")).write.mode("append").text(path)
+    return SF.read_delimited(t.spark, path, ["entry_id", "work_date", "hours"])[0]
+
+
 @query("a04_json_ingest", "event_id:long, k:double, outcome:string",
        """SELECT event_id, CASE WHEN NOT json_valid(js) THEN NULL
             ELSE COALESCE(TRY_CAST(NULLIF(json_extract_string(js, '$.k'), '') AS DOUBLE), 0) END AS k,

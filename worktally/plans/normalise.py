@@ -32,6 +32,17 @@ def h01(t):
                            D.parse_date(F.col("raw_date"), day_first=True).alias("eu"))
 
 
+LAYOUTS = ["yyyy/MM/dd", "EEE, MMM d, yyyy", "EEEE MM/dd/yyyy", "MM/dd/yyyy HH:mm", "yyyyMMdd", "M.d.yyyy", "MMM-dd-yyyy", "MMMM d'th', yyyy",
+           "d MMMM yy", "yyyy-M-d", "yyyy-MM-dd'T'HH:mm:ss", "dd-MMM-yyyy"]
+
+
+@query("h01_date_layouts", "o_orderkey:long, us:string", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS us FROM orders")
+def h01_layouts(t):
+    """Order dates written in a dozen layouts and read again."""
+    written = F.coalesce(*[F.when(F.col("o_orderkey") % len(LAYOUTS) == i, F.date_format("o_orderdate", x)) for i, x in enumerate(LAYOUTS)])
+    return t.orders.select("o_orderkey", D.parse_date(written).alias("us"))
+
+
 @query("h02_parse_time", "seq:long, in_min:long, out_min:long, inferred:long",
        """SELECT seq, in_min, out_min, CASE WHEN out_min BETWEEN 60 AND 479 THEN out_min + 720 ELSE out_min END AS inferred
           FROM ck_typed""", heavy=True)

@@ -1,4 +1,8 @@
-"""Structured Streaming jobs. State and output live in the shared folder; every job restarts safely."""
+"""Structured Streaming jobs.
+
+State and output live below ``home``. A job called again with the same ``home`` goes on where it stopped: files it has read are
+skipped, and what it has stored counts. Without ``home`` a new folder in the shared one is taken, so the run starts afresh.
+"""
 
 from pyspark.sql import functions as F
 
@@ -20,64 +24,74 @@ def run_available(writer, home):
     q.awaitTermination()
 
 
-def append_out(stream, purpose):
+def append_out(stream, purpose, home=None):
     """Appends a stream to parquet and returns the result as a table."""
     spark = stream.sparkSession
-    home = shared_folder(spark, purpose)
+    home = home or shared_folder(spark, purpose)
     run_available(stream.writeStream.format("parquet").option("path", f"{home}/rows").outputMode("append"), home)
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")
 
 
-def per_batch(stream, purpose, split, mode="append"):
-    """Writes every micro-batch through ``split(batch) -> {name: frame}``.
+def per_batch(stream, purpose, change, home=None, by=()):
+    """Writes ``change(batch, batch_id, home)`` of every micro-batch, partitioned by the columns ``by``.
 
-    Each part goes to its own folder per batch id, overwritten on replay, so a retried batch leaves
-    no doubles. Returns the home folder; read a part with ``read_parts``.
+    Each batch has its own folder, overwritten on replay, so a retried batch leaves no doubles. Returns the home folder; read
+    all batches with ``read_parts``.
     """
-    home = shared_folder(stream.sparkSession, purpose)
+    home = home or shared_folder(stream.sparkSession, purpose)
 
     def write(batch, batch_id):
-        for name, part in split(batch).items():
-            part.write.mode("overwrite").parquet(f"{home}/{name}/batch={batch_id}")
+        change(batch, batch_id, home).write.mode("overwrite").partitionBy(*by).parquet(f"{home}/rows/batch={batch_id}")
 
-    run_available(stream.writeStream.foreachBatch(write).outputMode(mode), home)
+    run_available(stream.writeStream.foreachBatch(write), home)
     return home
 
 
-def read_parts(spark, home, name):
-    return spark.read.option("basePath", f"{home}/{name}").parquet(f"{home}/{name}")
+def read_parts(spark, home):
+    return spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows")
 
 
-def ingest_latest(stream, key, version):
+def ingest_latest(stream, key, version, home=None):
     """Incremental ingest: batches are appended, the latest version per key is taken on reading."""
     rest = [c for c in stream.columns if c != key]
     pick = lambda df, *more: df.groupBy(key).agg(
         F.max_by(F.struct(*rest), F.struct(version, *more)).alias("w")).select(key, "w.*")
-    home = per_batch(stream, "ingest", lambda b: {"rows": pick(b)})
-    return pick(read_parts(stream.sparkSession, home, "rows"), "batch")
+    home = per_batch(stream, "ingest", lambda b, *_: pick(b), home)
+    return pick(read_parts(stream.sparkSession, home), "batch")
 
 
-def dedup_messages(stream, key, event_time, delay="2 days"):
-    """First arrival of every message id; ids are remembered for the delay."""
-    timed = stream.withColumn("_at", F.col(event_time).cast("timestamp"))
-    fresh = timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
-    return append_out(fresh, "dedup")
+def dedup_messages(stream, key, event_time, home=None):
+    """First arrival of every message id (in one batch the earliest); ids are remembered for good, however late a copy comes.
 
+    Each batch is compared with the ids of the batches before it, so a replayed batch does not meet itself. Null ids are no
+    ids: all such messages stay.
+    """
+    spark = stream.sparkSession
+    rest = [c for c in stream.columns if c != key]
 
-def progress_counts(stream, event_time, status, width="1 day", delay="1 day"):
-    """Counts per window and status; each batch writes its updates, the last one per key is current."""
+    def fresh(batch, batch_id, home):
+        named = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(event_time, *rest)).alias("w"))
+        out = named.select(key, "w.*").unionByName(batch.filter(F.col(key).isNull()).select(key, *rest))
+        if batch_id == 0:
+            return out
+        return out.join(read_parts(batch.sparkSession, home).filter(F.col("batch") < batch_id).select(key), key, "left_anti")
+
+    home = per_batch(stream, "dedup", fresh, home)
+    return read_parts(spark, home).drop("batch")
+
+
+def progress_counts(stream, event_time, status, width="1 day", home=None):
+    """Counts per window and status: each batch stores its own counts, and reading adds them up. No row is too late."""
     timed = stream.withColumn("_at", F.col(event_time).cast("timestamp"))
-    counts = (timed.withWatermark("_at", delay)
-              .groupBy(F.window("_at", width).alias("w"), F.col(status).alias("status")).agg(F.count("*").alias("n"))
-              .select(F.col("w.start").alias("window_start"), "status", "n"))
-    home = per_batch(counts, "progress", lambda b: {"counts": b}, mode="update")
-    seen = read_parts(stream.sparkSession, home, "counts")
-    return seen.groupBy("window_start", "status").agg(F.max_by("n", "batch").alias("n"))
-
-
-def dead_letters(stream, good, purpose="letters"):
-    """Rows failing ``good`` go to a dead-letter table; the batch itself never fails on them."""
-    ok = F.coalesce(good, F.lit(False))
-    home = per_batch(stream, purpose, lambda b: {"rows": b.filter(ok), "dead": b.filter(~ok)})
-    spark = stream.sparkSession
-    return read_parts(spark, home, "rows"), read_parts(spark, home, "dead")
+    count = lambda b, *_: (b.groupBy(F.window("_at", width).alias("w"), F.col(status).alias("status")).agg(F.count("*").alias("n"))
+                           .select(F.col("w.start").alias("window_start"), "status", "n"))
+    home = per_batch(timed, "progress", count, home)
+    return read_parts(stream.sparkSession, home).groupBy("window_start", "status").agg(F.sum("n").alias("n"))
+
+
+def dead_letters(stream, good, purpose="letters", home=None):
+    """Rows failing ``good`` go to a dead-letter table; the batch itself never fails on them and is written once."""
+    mark = lambda b, *_: b.withColumn("dead_letter", F.when(good, 0).otherwise(1))
+    home = per_batch(stream, purpose, mark, home, by=["dead_letter"])
+    parts = read_parts(stream.sparkSession, home)
+    return parts.filter("dead_letter = 0").drop("dead_letter"), parts.filter("dead_letter = 1").drop("dead_letter")
