@@ -59,8 +59,7 @@ ATTACHMENT_MIMES = [
     "image/png", "image/jpeg", "image/tiff",
 ]
 # Company words that occur in file names but are no person names; a deployment adds its own here.
-COMPANY_STOPWORDS = ["brillio", "akkodis", "innova", "hcpss", "hexaware", "npo",
-                     "reimburs", "reimbursement", "staffing", "consulting", "services",
+COMPANY_STOPWORDS = ["reimburs", "reimbursement", "staffing", "consulting", "services",
                      "solutions", "inc", "llc", "ltd", "corp", "group"]
 LEAVE_TOKENS = ["leave", "sick", "vacation", "pto", "al", "sl", "pl", "cl", "ml", "el", "fl",
                 "wfh", "holiday", "ph", "comp", "compensatory", "bereavement", "jury",
