@@ -7,6 +7,8 @@ Candidates of over 63 characters use whole Python integers with the same recurre
 
 import numpy as np
 
+from worktally.session import by_value
+
 WORD = 63
 
 
@@ -121,3 +123,6 @@ class Roster:
                         floor = np.partition(score, -k)[-k]
         top = np.lexsort((self.ids, -score))[:k]
         return [(int(self.ids[i]), float(score[i])) for i in top]
+
+
+by_value(__name__)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from worktally import params as P
 from worktally.functions import names as N
 from worktally.functions.similarity import Roster
-from worktally.session import shared_folder
+from worktally.session import by_value, shared_folder
 
 SUBSET_WORDS = 6     # up to 63 word subsets per name; longer names take the anchored join
 PROBE_BLOCK = 2048   # distinct probes per similarity call
@@ -187,3 +187,6 @@ def match_sender(messages, roster, threshold=P.SENDER_MATCH, fuzzy=True):
     found = match(probes.withColumnRenamed("message_id", "probe_id"), roster, fuzzy).filter(F.col("confidence") >= threshold)
     by_name = found.select(F.col("probe_id").alias("message_id"), "employee_id", F.lit("NAME").alias("how"))
     return by_mail.select("message_id", "employee_id", F.lit("EMAIL").alias("how")).unionByName(by_name)
+
+
+by_value(__name__)

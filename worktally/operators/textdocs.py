@@ -8,6 +8,7 @@ from worktally.functions import dates as D
 from worktally.functions import patterns as RX
 from worktally.functions.names import bind
 from worktally.operators.grouping import attach, totals_before
+from worktally.session import by_value
 
 
 def pipe_tables(docs, text="text"):
@@ -188,3 +189,6 @@ def _cluster(pdf):
             row = len(seeds) - 1
         labels.append(row)
     return pdf.assign(row_no=labels)[["page_id", "segment", "row_no", "token_id", "x"]]
+
+
+by_value(__name__)

@@ -1,8 +1,10 @@
 """Session settings and the shared scratch folder."""
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -46,3 +48,8 @@ def shared_folder(spark, purpose):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/worktally/{purpose}-{uuid.uuid4().hex}"
+
+
+def by_value(module_name):
+    """Functions of this module travel to the Python workers with the plan; workers need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
