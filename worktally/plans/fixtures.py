@@ -266,9 +266,9 @@ SELECT event_id, CASE CAST(event_id % 10 AS INT) WHEN 0 THEN '{{bad' WHEN 1 THEN
   WHEN 2 THEN '{{"k": "12.5", "zz": 1}}' WHEN 3 THEN '{{"k": "abc"}}' WHEN 4 THEN '{{"zz": 2}}'
   ELSE props END AS js FROM {events}""",
     "fx_sheet": """
-SELECT user_id AS file_id, CAST(event_id % 3 AS INT) AS sheet_no, event_id AS seq,
-  CAST(ts AS DATE) + CASE WHEN user_id % 4 = 0 AND event_id % 3 = 2 THEN 90 ELSE 0 END AS work_date
-FROM {events} WHERE NOT (user_id % 5 = 1 AND event_id % 3 <> 1)""",
+SELECT user_id AS file_id, CASE WHEN user_id % 5 = 1 THEN 1 ELSE CAST(event_id % 3 AS INT) END AS sheet_no, event_id AS seq,
+  CAST(ts AS DATE) + CASE WHEN user_id % 5 <> 1 AND user_id % 4 = 0 AND event_id % 3 = 2 THEN 90 ELSE 0 END AS work_date
+FROM {events}""",
     # grids of twenty rows; the header sits at a different row in each
     "fx_grid": """
 SELECT g.*, CASE WHEN row_no < h THEN 'P' WHEN row_no = h THEN 'H' ELSE 'D' END AS part
@@ -302,11 +302,11 @@ SELECT o_orderkey AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P
   ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'PAYROLL_READY' END END AS status,
   o_orderdate AS created_at, o_totalprice AS size FROM {orders}""",
     "fx_approval": """
-SELECT event_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END AS submission_id,
+SELECT event_id, user_id * 10 + CASE WHEN user_id % 5 = 4 THEN 9 WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END AS submission_id,
   CASE event_type WHEN 'click' THEN 'APPROVED' WHEN 'view' THEN 'REJECTED' ELSE 'PENDING' END AS status,
   CASE WHEN event_id % 4 = 0 THEN '' ELSE CONCAT('lead', CAST(event_id % 7 AS VARCHAR(3))) END AS name,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CONCAT('l', CAST(event_id % 7 AS VARCHAR(3)), '@mail.test') END AS email,
-  ts AS decided_at FROM {events} WHERE event_id % 5 < 2""",
+  ts AS decided_at FROM {events}""",
     # an existing table of findings (one per entry with a fault)
     "fx_finding": """
 SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
@@ -316,9 +316,9 @@ SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <=
   split_part(CONCAT('MISSING_RATE,INVALID_DATE,TWO_MONTH_INACTIVE,NON_TIMESHEET_DOCUMENT,',
                     'HOLIDAY_WORK,EMPLOYEE_NOT_MATCHED,EXTRACTION_FAILED'), ',',
              CAST(event_id % 7 AS INT) + 1) AS rule_code,
-  CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status,
+  CASE WHEN user_id % 5 <> 2 OR event_id % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status,
   ts AS created_at
-FROM {events} WHERE event_id % 4 = 1""",
+FROM {events}""",
     "fx_patch": """
 SELECT event_id AS entry_id,
   CASE WHEN event_id % 2 = 0 THEN CAST(7.5 AS DECIMAL(5,2)) ELSE NULL END AS entered_hours,
@@ -489,7 +489,7 @@ SELECT s.*, CAST(FLOOR(s.employee_id / 50) AS INT) AS batch_id,
   CASE WHEN COALESCE(bad, 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS validation_status,
   CASE WHEN COALESCE(bad, 0) > 0 THEN 'NOT_READY' ELSE 'READY' END AS payroll_status
 FROM fx_submission s LEFT JOIN (SELECT submission_id, COUNT(*) AS bad FROM fx_finding
-  WHERE status = 'OPEN' AND severity = 'BLOCKER' AND finding_id % 3 = 1 GROUP BY 1) f ON f.submission_id = s.submission_id""",
+  WHERE status = 'OPEN' AND severity IN ('BLOCKER', 'ERROR') GROUP BY 1) f ON f.submission_id = s.submission_id""",
     "ck_money": """
 SELECT s.*, COALESCE(t.regular_hours, 0) AS rh, COALESCE(t.overtime_hours, 0) AS oh, r.regular_rate AS rr,
   CASE WHEN COALESCE(r.overtime_rate, 0) = 0 THEN r.regular_rate * 1.5 ELSE r.overtime_rate END AS orate,
