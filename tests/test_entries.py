@@ -113,6 +113,24 @@ def test_pay_uses_one_and_a_half_times_when_no_overtime_rate(spark):
     assert (run.ready, run.blocked, float(run.total_pay), run.run_status) == (1, 1, 950.0, "NEEDS_REVIEW")
 
 
+def test_payroll_takes_ready_and_passed_submissions_of_its_period(spark):
+    d = dt.date(2024, 1, 15)
+    subs = spark.createDataFrame([(i, i, d, d, 1 + (i == 5)) for i in range(1, 6)],
+                                 "submission_id long, employee_id long, start_date date, end_date date, period_id int")
+    found = spark.createDataFrame([("2", "BLOCKER", "OPEN"), ("3", "BLOCKER", "RESOLVED"), ("4", "ERROR", "OPEN"), ("3", "WARNING", "OPEN")],
+                                  "submission_id string, severity string, status string")
+    judged = R.readiness(subs, found)
+    ids = lambda df: sorted(int(r.submission_id) for r in df.collect())
+    assert ids(PAY.payable(judged)) == [1, 3, 5]
+    assert ids(PAY.payable(judged, period=1)) == [1, 3]
+    totals = spark.createDataFrame([(1, Decimal(8), Decimal(0))], "submission_id long, regular_hours decimal(10,2), overtime_hours decimal(10,2)")
+    rates = spark.createDataFrame([(1, Decimal(20), Decimal(0), d, None), (3, Decimal(20), Decimal(0), d, None)],
+                                  "employee_id long, regular_rate decimal(10,4), overtime_rate decimal(10,4), effective_start date, effective_end date")
+    out = PAY.payroll_results(PAY.payable(judged), totals, rates)
+    assert ids(out) == [1, 3, 5]  # a submission without entries keeps its result
+    assert ids(R.missing_pay_rate(out)) == [5]
+
+
 def test_rules_together_equal_rules_alone(spark):
     rows = [(i, 1, Decimal(i % 20), Decimal(i % 9), Decimal(i % 3)) for i in range(60)]
     df = spark.createDataFrame(rows, "entry_id long, submission_id long, calculated_hours decimal(10,2), regular_hours decimal(10,2), overtime_hours decimal(10,2)")

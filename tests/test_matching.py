@@ -107,3 +107,11 @@ def test_no_cross_join_in_tiers(spark):
     probes = spark.range(2000).select(F.col("id").alias("probe_id"), F.concat(F.lit("n"), "id").alias("name"))
     plan = MA.match(probes, roster, fuzzy=False)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_nothing_left_for_the_similarity_tier(spark):
+    roster = spark.createDataFrame([(1, "Ana Lopez", "ana@mail.test")], "employee_id long, full_name string, email string")
+    probes = spark.createDataFrame([(7, "ana lopez")], "probe_id long, name string")
+    assert [(r.probe_id, r.employee_id, r.method) for r in MA.match(probes, roster).collect()] == [(7, 1, "EXACT")]
+    assert MA.similar(probes.limit(0), roster).count() == 0
+    assert MA.similar(probes, roster.limit(0)).count() == 0

@@ -126,7 +126,7 @@ def similar(probes, roster):
 
     def score(lhs, rhs):
         if lhs.empty or rhs.empty:
-            return pd.DataFrame({"name": [], "employee_id": [], "score": []})
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("name", object), ("employee_id", "int64"), ("score", "float64"))})
         rhs = rhs.sort_values("employee_id")
         block = Roster(rhs["employee_id"], rhs["full_name"], rhs["cleaned"], weight)
         rows = [(n, e, s) for n in lhs["name"] for e, s in block.best(n, top)]

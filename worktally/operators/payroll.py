@@ -57,6 +57,12 @@ def overtime_rate(regular, overtime):
                   (regular * F.lit(P.OVERTIME_FACTOR).cast("decimal(3,1)"))).otherwise(overtime)
 
 
+def payable(submissions, period=None):
+    """Submissions a payroll run takes: validated and ready, of one period where it is given."""
+    ready = submissions.filter("validation_status = 'PASSED' AND payroll_status = 'READY'")
+    return ready if period is None else ready.filter(F.col("period_id") == period)
+
+
 def payroll_results(submissions, totals, rates):
     """One result per submission: pay where a rate is valid, else BLOCKED. Without entries it has zero hours."""
     rated = rate_as_of(submissions, rates, worked_until())

@@ -279,6 +279,11 @@ def readiness(subs, findings):
             .withColumn("payroll_status", F.when(blocked, "NOT_READY").otherwise("READY")))
 
 
+def missing_pay_rate(results):
+    """A blocker for every payroll result held back for want of a rate."""
+    return finding(results.filter("payroll_status = 'BLOCKED'"), "MISSING_RATE", "BLOCKER")
+
+
 def refresh(existing, new, owned=P.REGENERATED_RULES):
     """Drops OPEN findings of the owned codes, keeps all others, appends the new ones."""
     keep = existing.filter(~((F.col("status") == "OPEN") & F.col("rule_code").isin(owned)))

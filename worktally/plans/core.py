@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from worktally.functions import hours as H
 from worktally.operators import entries as E
 from worktally.operators import payroll as PAY
+from worktally.operators import rules as R
 from worktally.plans.registry import query
 
 
@@ -26,7 +27,8 @@ def totals_of(t):
 
 
 def pay_of(t):
-    subs = t.fx_submission.select("submission_id", "employee_id", "start_date", "end_date")
+    subs = PAY.payable(R.readiness(t.fx_submission, t.fx_finding))
+    subs = subs.select("submission_id", "employee_id", "start_date", "end_date")
     return PAY.payroll_results(subs, totals_of(t), t.fx_rate)
 
 
@@ -122,6 +124,13 @@ def j03(t):
     return pay_of(t)
 
 
+@query("j03_missing_rate_findings", "submission_id:string, employee_id:string, rule_code:string, severity:string, status:string",
+       """SELECT CAST(submission_id AS VARCHAR) AS submission_id, CAST(employee_id AS VARCHAR) AS employee_id, 'MISSING_RATE' AS rule_code,
+          'BLOCKER' AS severity, 'OPEN' AS status FROM ck_pay WHERE payroll_status = 'BLOCKED'""")
+def j03_findings(t):
+    return R.missing_pay_rate(pay_of(t))
+
+
 @query("d09_payroll_run_totals",
        "submissions:long, employees:long, ready:long, blocked:long, total_regular_hours:double, "
        "total_overtime_hours:double, total_regular_pay:double, total_overtime_pay:double, "

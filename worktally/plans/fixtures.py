@@ -378,7 +378,8 @@ SELECT r.submission_id, r.employee_id, t.regular_hours, t.overtime_hours, t.leav
   CAST(t.overtime_hours * CASE WHEN r.overtime_rate IS NULL OR r.overtime_rate = 0
        THEN r.regular_rate * 1.5 ELSE r.overtime_rate END AS DECIMAL(18,4)) AS overtime_pay,
   CASE WHEN r.regular_rate IS NULL THEN 'BLOCKED' ELSE 'READY' END AS payroll_status
-FROM ck_rated r JOIN ck_totals t ON t.submission_id = r.submission_id""",
+FROM ck_rated r JOIN ck_totals t ON t.submission_id = r.submission_id
+JOIN ck_sub k ON k.submission_id = r.submission_id AND k.validation_status = 'PASSED' AND k.payroll_status = 'READY'""",
     # the messy rows, typed; raw_date layouts are those of fx_raw
     "ck_typed": """
 SELECT r.*, CASE WHEN employee_id IS NULL THEN CONCAT('f', file_id)
@@ -568,7 +569,7 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY probe_id ORDER BY employee_id) A
   WHERE list_has_all(b, a) OR list_has_all(a, b)) j) q WHERE rn = 1""",
     "ck_sender": """
 SELECT CAST(p.employee_id AS VARCHAR) AS message_id, CASE WHEN p.employee_id % 3 = 0 THEN email ELSE 'other@mail.test' END AS sender_email,
-  CASE WHEN p.employee_id % 5 = 0 THEN '' WHEN p.employee_id < 56 AND p.employee_id % 2 = 1 THEN full_name ELSE '' END AS sender_name
+  CASE WHEN p.employee_id % 5 = 0 THEN '' ELSE CONCAT(split_part(full_name, ' ', 1), ' ', split_part(full_name, ' ', 2)) END AS sender_name
 FROM fx_person p JOIN fx_employee e ON e.employee_id = p.employee_id""",
     "ck_scores": """
 SELECT submission_id AS probe_id, entry_id AS employee_id, CAST(break_minutes AS DECIMAL(8,4)) * 0.01 + entered_hours * 0.02 AS score FROM fx_entry""",

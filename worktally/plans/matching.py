@@ -62,6 +62,12 @@ def c12(t):
     return MA.decide(probes, MA.match(probes, roster_of(t), fuzzy=False))
 
 
+@query("c12_match_all_tiers", "probe_id:long, employee_id:long, confidence:double, method:string, match_status:string", heavy=True)
+def c12_all(t):
+    probes = probes_of(t)
+    return MA.decide(probes, MA.match(probes, roster_of(t)))
+
+
 @query("c13_candidate_name", "file_id:long, candidate:string",
        """SELECT file_id, COALESCE(CASE WHEN length(trim(e)) > 2 THEN trim(e) END, CASE WHEN length(detected_name) > 2 THEN detected_name END) AS candidate
           FROM (SELECT file_id, detected_name, CASE file_id % 4 WHEN 0 THEN ' Al ' WHEN 1 THEN '  Greta Costa ' END AS e FROM fx_file) q""")
@@ -81,8 +87,8 @@ def c14(t):
     people = people_of(t).select(F.col("employee_id").alias("probe_id"), "full_name", "email")
     senders = people.select(k.cast("string").alias("message_id"),
                             F.when(k % 3 == 0, F.col("email")).otherwise("other@mail.test").alias("sender_email"),
-                            F.when(k % 5 == 0, "").when((k < 56) & (k % 2 == 1), F.col("full_name")).otherwise("").alias("sender_name"))
-    return MA.match_sender(senders, roster_of(t), fuzzy=False)
+                            F.when(k % 5 == 0, "").otherwise(F.col("full_name")).alias("sender_name"))
+    return MA.match_sender(senders, roster_of(t))
 
 
 @query("c11_fuzzy_match", "probe_id:long, employee_id:long, confidence:double, alternatives:long", heavy=True)
@@ -119,10 +125,12 @@ def f04(t):
 @query("g03_token_overlap", "doc_id:long, subset:long, shared:long",
        """SELECT doc_id, CASE WHEN list_has_all(b, a) THEN 1 ELSE 0 END AS subset, len(list_intersect(a, b)) AS shared
 FROM (SELECT p.employee_id AS doc_id, list_distinct(string_split(lower(p.full_name), ' ')) AS a,
-  list_distinct(string_split(lower(q.full_name), ' ')) AS b FROM fx_person p JOIN fx_person q ON q.employee_id = p.employee_id % 56) x""")
+  list_distinct(string_split(lower(q.full_name), ' ')) AS b FROM fx_person p JOIN fx_person q
+  ON q.employee_id = p.employee_id - CASE WHEN p.employee_id > 56 AND p.employee_id % 2 = 0 THEN 56 WHEN p.employee_id > 8 THEN 8 ELSE 0 END) x""")
 def g03(t):
     a = t.fx_person.select(F.col("employee_id").alias("doc_id"), MA.word_set(F.col("full_name")).alias("a"))
-    b = t.fx_person.filter("employee_id < 56").select(F.col("employee_id").alias("k"), MA.word_set(F.col("full_name")).alias("b"))
-    j = a.join(b, F.col("doc_id") % 56 == F.col("k"))
+    b = t.fx_person.select(F.col("employee_id").alias("k"), MA.word_set(F.col("full_name")).alias("b"))
+    d = F.col("doc_id")  # against the person 56 or 8 numbers before: names that share two words or one
+    j = a.join(b, d - F.when((d > 56) & (d % 2 == 0), 56).when(d > 8, 8).otherwise(0) == F.col("k"))
     return j.select("doc_id", (F.size(F.array_except("a", "b")) == 0).cast("int").alias("subset"),
                     F.size(F.array_intersect("a", "b")).alias("shared"))
