@@ -106,17 +106,22 @@ def cell_text(value):
     return F.trim(F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), "\n", " ")))
 
 
-def header_rows(cells):
-    """First of the leading rows in which two or more header keywords occur."""
+def header_rows(cells, depth=P.HEADER_SEARCH_ROWS):
+    """First of the leading ``depth`` rows (None: of all rows) in which two or more header keywords occur."""
     # one bit per keyword: rows combine by bitwise or, without exploding or counting distinct
     text = cell_text(F.col("value"))
     bits = [F.when(text.contains(w), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(P.HEADER_KEYWORDS)]
     mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    per_row = (cells.filter(F.col("row_no") < P.HEADER_SEARCH_ROWS)
-               .groupBy("file_id", "row_no").agg(F.bit_or(mask).alias("hits")))
+    leading = cells if depth is None else cells.filter(F.col("row_no") < depth)
+    per_row = leading.groupBy("file_id", "row_no").agg(F.bit_or(mask).alias("hits"))
     return per_row.filter(F.bit_count("hits") >= 2).groupBy("file_id").agg(F.min("row_no").alias("header_row"))
 
 
+def files_without_header(cells, depth=P.HEADER_SEARCH_ROWS):
+    """Files in which ``header_rows`` finds nothing, so that ``grid_entries`` has no rows of them."""
+    return cells.select("file_id").distinct().join(header_rows(cells, depth), "file_id", "left_anti")
+
+
 def column_role(name):
     """Role of a header cell by the first rule that applies."""
     has = lambda p: name.rlike(p)
@@ -150,13 +155,14 @@ def leave_of(value, column):
             .when(~column.contains("sick") & paid & (figure > 0), label("LEAVE", first_word, figure, "OVERRIDE")))
 
 
-def grid_entries(cells):
+def grid_entries(cells, depth=P.HEADER_SEARCH_ROWS):
     """Cells below the header row to one entry per dated row.
 
     Date, in and out: first usable column. Break: last. Hours: a total or leave figure overrides,
-    the last one wins; other hour columns fill in only when nothing was found before.
+    the last one wins; other hour columns fill in only when nothing was found before. Files whose
+    leading ``depth`` rows hold no header have no entries: see ``files_without_header``.
     """
-    heads = header_rows(cells)
+    heads = header_rows(cells, depth)
     body = cells.join(heads, "file_id")
     names = body.filter("row_no = header_row").select(
         "file_id", "col_no", cell_text(F.col("value")).alias("column"))

@@ -156,6 +156,18 @@ def e10(t):
     return NO.header_rows(cells_of(t))
 
 
+@query("e10_files_without_header", "file_id:long",
+       "SELECT file_id FROM fx_grid GROUP BY 1 HAVING COUNT(*) FILTER (part = 'H' AND row_no < 15) = 0", heavy=True)
+def e10_missing(t):
+    return NO.files_without_header(cells_of(t))
+
+
+@query("e10_header_row_any_depth", "file_id:long, header_row:long",
+       "SELECT file_id, MIN(row_no) AS header_row FROM fx_grid WHERE part = 'H' GROUP BY 1", heavy=True)
+def e10_deep(t):
+    return NO.header_rows(cells_of(t), depth=None)
+
+
 GRID_SQL = """
 SELECT file_id, row_no, CASE WHEN d LIKE 'INVALID%' THEN d WHEN d LIKE '%/%' THEN '2024-01-09' ELSE d END AS work_date,
   CASE i WHEN '9:15 AM' THEN 555 WHEN '7:30' THEN 1170 WHEN '09:00' THEN 540 END AS in_min,
