@@ -311,7 +311,7 @@ SELECT event_id, user_id * 10 + CASE WHEN user_id % 5 = 4 THEN 9 WHEN EXTRACT(DA
     "fx_finding": """
 SELECT event_id AS finding_id, user_id * 10 + CASE WHEN EXTRACT(DAY FROM ts) <= 15 THEN 1 ELSE 2 END
     AS submission_id,
-  user_id AS employee_id, CAST(FLOOR(user_id / 50) AS INT) AS batch_id, event_id % 1000 AS file_id,
+  user_id AS employee_id, CAST(FLOOR(user_id / 50) AS INT) AS batch_id, event_id % 1000 * 5 AS file_id,
   split_part('BLOCKER,ERROR,WARNING,INFO,WARNING', ',', CAST(event_id % 5 AS INT) + 1) AS severity,
   split_part(CONCAT('MISSING_RATE,INVALID_DATE,TWO_MONTH_INACTIVE,NON_TIMESHEET_DOCUMENT,',
                     'HOLIDAY_WORK,EMPLOYEE_NOT_MATCHED,EXTRACTION_FAILED'), ',',
