@@ -6,9 +6,12 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from worktally.llm import line_dedup, quality_llr, replication, url_rules
+from worktally.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,3 +164,16 @@ def test_replication_equals_brute_force(spark):
     out = replication.replicate(df).select("place", "rate").collect()
     assert [x.place for x in out] == sorted(x.place for x in out)
     assert replication.replicate(df.limit(0)).count() == 0
+
+
+def test_mix_shuffles_whole_texts(spark, monkeypatch, tmp_path):
+    rows = [(i, f"t{i % 40}" if i % 9 else None, "ab"[i % 3 == 0], "en", 2) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["op4_poisson_mix"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = re.split(r"RepartitionByExpression.*", plan)
+    assert "md5(cast(text" in above and re.search(r"Project \[[^\n]*\btext#", below.split("Generate")[0])
+    whole = replication.replicate
+    monkeypatch.setattr(replication, "replicate", lambda *a, **b: whole(*a, **b).withColumn("text", F.lit("t1")))
+    with pytest.raises(Exception, match="text of a copy"):
+        QUERIES["op4_poisson_mix"](spark, str(tmp_path)).collect()

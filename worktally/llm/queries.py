@@ -70,7 +70,11 @@ e AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM n)
 SELECT doc_id, source, lang, n_chars, CAST(copy AS INTEGER) AS copy, round(rate, 9) AS rate,
  CAST('0x' || substr(md5('{MIX_SEED}:place:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS place FROM e""")
 def op4(spark, t):
-    return replication.replicate(t("documents"), MIX_SEED).select("doc_id", "source", "lang", "n_chars", "copy", F.round("rate", 9).alias("rate"), "place")
+    docs = t("documents").select("doc_id", "text", "source", "lang", "n_chars").withColumn("digest", F.md5("text"))
+    # the digest is taken again from each copy, so that texts go through the shuffle and none is lost or mixed up
+    same = F.md5("text").eqNullSafe(F.col("digest"))
+    n_chars = F.when(same, F.col("n_chars")).otherwise(F.raise_error("the text of a copy differs from its document")).alias("n_chars")
+    return replication.replicate(docs, MIX_SEED).select("doc_id", "source", "lang", n_chars, "copy", F.round("rate", 9).alias("rate"), "place")
 
 
 @query("op5_best_fit_pack")
