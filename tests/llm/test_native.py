@@ -1,6 +1,7 @@
 """Operators made of built-in functions only, against brute-force versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -166,6 +167,15 @@ def test_replication_equals_brute_force(spark):
     assert replication.replicate(df.limit(0)).count() == 0
 
 
+def test_steps_of_large_rates(spark):
+    rate = 40_000.0
+    x = spark.range(1).select(replication.first_step(F.lit(rate)).alias("first"), replication.poisson_steps(F.lit(rate)).alias("steps")).first()
+    logs = [0.0, *itertools.accumulate(math.log(k) for k in range(1, 43_000))]
+    want = list(itertools.accumulate(math.exp(k * math.log(rate) - rate - logs[k]) for k in range(43_000)))
+    assert len(x.steps) < 30 * rate ** 0.5 and want[x.first - 1] < 2**-52
+    assert all(abs(a - b) < 1e-9 for a, b in zip(x.steps, want[x.first:]))
+
+
 def test_mix_shuffles_whole_texts(spark, monkeypatch, tmp_path):
     rows = [(i, f"t{i % 40}" if i % 9 else None, "ab"[i % 3 == 0], "en", 2) for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")

@@ -1,6 +1,7 @@
 import random
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -46,6 +47,22 @@ def test_round_trip(spark):
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string, shard int"), RANKS, P.PATTERN).count() == 0
 
 
+def test_copies_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD", 100)
+    rows = [(1, "the same document")] * 2000 + [(i, f"another {i}") for i in range(2, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = K.pack_documents(docs, RANKS, P.PATTERN, size=128).collect()
+    assert Counter(r.id for r in got) == Counter(d for d, _ in rows)
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) <= 200
+
+
+def test_search_tries_equal_bins_once():
+    lengths = np.array([600] * 2_000 + [400] * 2_000 + [390] * 2_250 + [500] * 1_500)
+    begin = time.time()
+    after = K.swap_search(K.best_fit(lengths, 1024), lengths, 1024)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths))) and time.time() - begin < 10
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_search_never_worsens(seed):
     r = np.random.default_rng(seed)

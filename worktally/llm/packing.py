@@ -103,38 +103,55 @@ def swap_search(bins, lengths, size):
     """Empties underfull bins by moves and one-for-one and two-for-one exchanges; every step increases the squared fill."""
     lens = lengths.tolist()
     fill = [sum(lens[i] for i in b) for b in bins]
-    under = {b for b in range(len(bins)) if fill[b] < size}
-    holders = {}  # length -> underfull bins that hold a piece of it
+    under = set()
+    by_room = [{} for _ in range(size + 1)]  # room -> lengths of a bin's pieces -> underfull bins; alike bins are tried once
+    holders = {}  # length -> room -> underfull bins that hold a piece of it
 
     def note(b):
+        under.add(b)
+        room = size - fill[b]
+        by_room[room].setdefault(tuple(sorted(lens[i] for i in bins[b])), set()).add(b)
         for i in bins[b]:
-            holders.setdefault(lens[i], set()).add(b)
+            holders.setdefault(lens[i], {}).setdefault(room, set()).add(b)
+
+    def forget(b):
+        under.discard(b)
+        room, kind = size - fill[b], tuple(sorted(lens[i] for i in bins[b]))
+        by_room[room][kind].discard(b)
+        if not by_room[room][kind]:
+            del by_room[room][kind]
+        for n in set(kind):
+            holders[n][room].discard(b)
+            if not holders[n][room]:
+                del holders[n][room]
+            if not holders[n]:
+                del holders[n]
+
+    for b in range(len(bins)):
+        if fill[b] < size:
+            note(b)
 
-    by_room = [set() for _ in range(size + 1)]
-    for b in under:
-        note(b)
-        by_room[size - fill[b]].add(b)
+    def other(found, v):
+        """A bin of ``found`` that is not v."""
+        return next((b for b in found if b != v), None)
 
     def change(b, out, into):
         """Takes pieces ``out`` from bin b and puts ``into`` there."""
         if b in under:
-            by_room[size - fill[b]].discard(b)
-            for i in bins[b]:
-                holders[lens[i]].discard(b)
+            forget(b)
         bins[b] = [i for i in bins[b] if i not in out] + list(into)
         fill[b] = sum(lens[i] for i in bins[b])
         if bins[b] and fill[b] < size:
-            under.add(b)
             note(b)
-            by_room[size - fill[b]].add(b)
-        else:
-            under.discard(b)
 
     def move(v, i):
         n = lens[i]
         for room in range(n, size + 1):  # tightest first
-            for b in by_room[room]:
-                if b != v and fill[b] + n > fill[v]:
+            if size - room + n <= fill[v]:
+                return False
+            for found in by_room[room].values():
+                b = other(found, v)
+                if b is not None:
                     change(v, (i,), ())
                     change(b, (), (i,))
                     return True
@@ -143,10 +160,11 @@ def swap_search(bins, lengths, size):
     def exchange(v, give):
         """Pieces ``give`` of v for one smaller piece of another bin, the one that fills most."""
         n = sum(lens[i] for i in give)
-        for got in range(1, n):
-            for b in holders.get(got, ()):
-                gain = n - got
-                if b != v and gain <= size - fill[b] and fill[b] + gain > fill[v]:
+        for got in range(1, n) if n < len(holders) else sorted(k for k in holders if k < n):
+            gain = n - got
+            for room, found in holders.get(got, {}).items():
+                b = other(found, v) if gain <= room and size - room + gain > fill[v] else None
+                if b is not None:
                     j = next(k for k in bins[b] if lens[k] == got)
                     change(v, give, (j,))
                     change(b, (j,), give)
@@ -157,13 +175,14 @@ def swap_search(bins, lengths, size):
         """Piece i of v for two smaller pieces of another bin."""
         n = lens[i]
         for room in range(1, size + 1):
-            for b in by_room[room]:
-                if b == v or len(bins[b]) < 2:
+            for found in by_room[room].values():
+                b = other(found, v)
+                if b is None or len(bins[b]) < 2:
                     continue
                 seen = {}
                 for k in bins[b]:
-                    for j, other in seen.items():
-                        gain = n - lens[k] - other
+                    for j, had in seen.items():
+                        gain = n - lens[k] - had
                         if 0 < gain <= room and fill[b] + gain > fill[v]:
                             change(v, (i,), (j, k))
                             change(b, (j, k), (i,))
@@ -205,8 +224,11 @@ def pack(pieces, n_shards, size=1024):
                 at += lengths[i]
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    shard = F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(n_shards)).alias("shard")
-    return pieces.select("id", "piece", "start", "length", "ids_crc32", shard).groupBy("shard").applyInArrow(
+    # copies of one piece go to different shards: the hash takes in each row's number. Sorted inside their task, rows get the
+    # same numbers when a task runs again
+    columns = ["id", "piece", "start", "length", "ids_crc32"]
+    shard = F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(n_shards)).alias("shard")
+    return pieces.select(*columns).sortWithinPartitions(*columns).select(*columns, shard).groupBy("shard").applyInArrow(
         fill, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
