@@ -1,10 +1,12 @@
 """The pipeline's stages against plain versions, on a small table with planted cases."""
 
+import base64
 import random
 import re
 from collections import Counter
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 from worktally.llm.queries import QUERIES
 
 from tests.llm.test_jaccard_join import brute as components
@@ -46,5 +48,22 @@ def test_stages(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).count() == len(after)
 
 
+def test_language_stage_drops_gibberish_and_keeps_clean_texts(spark):
+    r = random.Random(3)
+    clean = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*C.COLUMNS)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["x 12 34 %% " * 60, base64.b64encode(r.randbytes(600)).decode(), "<td><td/><br>{;}" * 50, "".join(r.choice(letters) for _ in range(700)),
+            " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(100))]
+    junk = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in C.identify_language(spark, clean.unionByName(junk), "").collect()}
+    assert got == {x.doc_id for x in clean.where(F.col("text").rlike("\\p{L}")).collect()}
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    rows = [(1, "the house", None, "s", 9), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "漢字", None, "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in C.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))
