@@ -116,6 +116,37 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_runs(rows, k):
+    """Numbers of the lines in any run of k words or more that stands earlier, for rows of different ids."""
+    docs = {d: [(i, x, len(WORD.findall(x))) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in rows}
+    first, gone = {}, {d: set() for d in docs}
+    spans = [(d, a, b) for d in sorted(docs) for a in range(len(docs[d])) for b in range(a + 1, len(docs[d]) + 1)]
+    for d, a, b in spans:
+        if sum(x[2] for x in docs[d][a:b]) >= k and first.setdefault(tuple(x[1] for x in docs[d][a:b]), (d, a)) < (d, a):
+            gone[d] |= set(range(docs[d][a][0], docs[d][b - 1][0] + 1))
+    return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in rows)
+
+
+def test_lines_both_ways_delete_whole_runs(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(10))
+    own = " ".join(f"c{i}" for i in range(55))
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n \n{b}\n{own}"), (3, f"{b}\n{own[3:]}")]
+    out = lambda rows, **more: sorted((x.doc_id, x.text, x.n_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect())
+    assert out(rows, both_ways=True) == [(1, rows[0][1], 0), (2, own, 3), (3, rows[2][1], 0)]
+    r = random.Random(9)
+    line = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 8)))
+    shared = ["\n".join(line() for _ in range(n)) for n in (1, 3, 6, 12)]
+    rows = []
+    for i in range(50):
+        parts = [line() for _ in range(r.randint(0, 5))]
+        for _ in range(r.randint(0, 2)):
+            parts.insert(r.randint(0, len(parts)), r.choice(shared))
+        rows.append((i, "\n".join(parts)))
+    rows.append((90, "x y\n" * 30))
+    want = brute_runs(rows, 10)
+    assert out(rows, min_words=10, both_ways=True) == want != out(rows, min_words=10)
+
+
 # url_rules
 
 def test_urls_equal_brute_force(spark, monkeypatch):
