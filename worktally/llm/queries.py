@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from worktally.llm import jaccard_join, kmeans_tree, language_id, line_dedup, packing, ppm, quality_llr, replication, suffix_dedup, url_rules
+from worktally.llm import importance, jaccard_join, kmeans_tree, language_id, line_dedup, packing, ppm, quality_llr, replication, spelling, suffix_dedup, token_counts, url_rules
 from worktally.session import prepare
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -133,3 +133,55 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict FR
 def op10(spark, t):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(t("pages").select("page_id", "url"), rules).drop("url")
+
+
+# DuckDB has no CRC: its table of 256 entries and the fold over a text's bytes, as SQL
+_CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text):
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), "
+            f"lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)")
+
+
+@query("op11_importance_resample", f"""
+WITH {_CRC_SQL},
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents),
+x AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM w UNION ALL SELECT w FROM x)),
+h AS (SELECT w, {_crc_sql('w')} % 10000 AS b FROM v, crc_table),
+s AS (SELECT b, count(*) AS s FROM w JOIN h USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM x JOIN h USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b)),
+f AS (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM w JOIN h USING (w) JOIN g USING (b) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN f USING (doc_id)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM e WHERE n_features >= 20) THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)""")
+def op11(spark, t):
+    out = importance.resample(t("documents"), t("benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op12_token_counts")
+def op12(spark, t):
+    import public_tokenizers
+    return token_counts.count_tokens(t("documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE {_CRC_SQL},
+o AS (SELECT doc_id, w, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+k AS (SELECT doc_id::VARCHAR || ':' || w AS key, w, times FROM o),
+h AS (SELECT w, times, CAST({_crc_sql('key')} AS BIGINT) AS h FROM k, crc_table),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, times FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN (SELECT min(other) FROM near WHERE near.word = words.word AND near.m = best.m) END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT path.word, forms.form, k + 1 FROM path JOIN forms ON forms.word = path.here WHERE forms.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, (SELECT max_by(here, k) FROM path WHERE path.word = f.word) AS root FROM forms f""")
+def op13(spark, t):
+    return spelling.variants(t("documents")).select("word", "n", "n_near", "form", "form_n", "root")
