@@ -74,24 +74,27 @@ def test_quality_without_trusted(spark):
 # line_dedup
 
 def brute_lines(rows, k):
+    """(id, text, lines deleted, lines) of each row: a line goes if a run of k words or more that holds it stands earlier."""
     docs = {}
     for d, t in rows:
         docs.setdefault((2**63 - 1 if d is None else d, h64(t or "")), t or "")
-    seen, gone = set(), {}
-    for key in sorted(docs):
-        lines = docs[key].split("\n")
-        full = [(i, len(WORD.findall(x))) for i, x in enumerate(lines) if WORD.search(x)]
-        gone[key] = set()
-        for a in range(len(full)):
-            n, b = 0, a
-            while b < len(full) and n < k:
-                n += full[b][1]
-                b += 1
-            if n >= k:
-                run = tuple(lines[i] for i, _ in full[a:b])
-                if run in seen:
-                    gone[key] |= set(range(full[a][0], full[b - 1][0] + 1))
-                seen.add(run)
+    full = {key: [(i, x, len(WORD.findall(x))) for i, x in enumerate(docs[key].split("\n")) if WORD.search(x)] for key in sorted(docs)}
+    places = {}
+    for key in full:
+        for i, x in enumerate(full[key]):
+            places.setdefault(x[1], []).append((key, i))
+    gone = {key: set() for key in full}
+    for key, lines in full.items():
+        for i, x in enumerate(lines):
+            for other, j in places[x[1]]:
+                theirs = full[other]
+                if (other, j) >= (key, i) or i and j and lines[i - 1][1] == theirs[j - 1][1]:
+                    continue  # not earlier, or not the start of the common run
+                n = 0
+                while i + n < len(lines) and j + n < len(theirs) and lines[i + n][1] == theirs[j + n][1]:
+                    n += 1
+                if sum(x[2] for x in lines[i:i + n]) >= k:
+                    gone[key] |= set(range(lines[i][0], lines[i + n - 1][0] + 1))
     out = []
     for d, t in rows:
         lines, g = (t or "").split("\n"), gone[2**63 - 1 if d is None else d, h64(t or "")]
@@ -109,8 +112,10 @@ def test_lines_equal_brute_force(spark):
         for _ in range(r.randint(0, 2)):
             parts.insert(r.randint(0, len(parts)), r.choice(shared))
         rows.append((r.randint(0, 60), "\n".join(parts)))
-    rows += [(None, None), (None, rows[0][1]), (3, None), (90, "x y\n" * 300), (91, rows[5][1]), (91, rows[5][1]), (92, ""), (93, "\n\n")]
-    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, n_lines int")
+    rows += [(None, None), (None, rows[0][1]), (3, None), (90, "x y\n" * 300), (91, rows[5][1]), (91, rows[5][1]), (92, ""), (93, "\n\n"), (94, "\n".join(f"long {i % 1700}" for i in range(3_000)))]
+    df = spark.createDataFrame([(*x, 0, "d", "g", "r") for x in rows], "doc_id long, text string, n_lines int, doc string, gone string, run string")
+    assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "doc", "gone", "run", "n_lines", "n_removed", "words_removed"]
+    assert {tuple(x) for x in line_dedup.dedup_lines(df).select("doc", "gone", "run").collect()} == {("d", "g", "r")}
     got = sorted([(repr(x.doc_id), x.text, x.n_removed, x.n_lines) for x in line_dedup.dedup_lines(df, min_words=10).collect()], key=repr)
     assert got == brute_lines(rows, 10)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
@@ -127,12 +132,12 @@ def brute_runs(rows, k):
     return sorted((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in rows)
 
 
-def test_lines_both_ways_delete_whole_runs(spark):
+def test_whole_runs_are_deleted(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(10))
     own = " ".join(f"c{i}" for i in range(55))
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\n \n{b}\n{own}"), (3, f"{b}\n{own[3:]}")]
     out = lambda rows, **more: sorted((x.doc_id, x.text, x.n_removed) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect())
-    assert out(rows, both_ways=True) == [(1, rows[0][1], 0), (2, own, 3), (3, rows[2][1], 0)]
+    assert out(rows) == [(1, rows[0][1], 0), (2, own, 3), (3, rows[2][1], 0)]
     r = random.Random(9)
     line = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 8)))
     shared = ["\n".join(line() for _ in range(n)) for n in (1, 3, 6, 12)]
@@ -144,7 +149,8 @@ def test_lines_both_ways_delete_whole_runs(spark):
         rows.append((i, "\n".join(parts)))
     rows.append((90, "x y\n" * 30))
     want = brute_runs(rows, 10)
-    assert out(rows, min_words=10, both_ways=True) == want != out(rows, min_words=10)
+    assert out(rows, min_words=10) == want
+    assert [(int(d), t, n) for d, t, n, _ in sorted(brute_lines(rows, 10), key=lambda x: int(x[0]))] == want
 
 
 # url_rules
@@ -157,7 +163,7 @@ def test_urls_equal_brute_force(spark, monkeypatch):
     hosts = ["a.org", "w.a.org", "B.com", "ba.org", "org", "x.b.COM", "net", "", "a..org", "a.org:80"]
     urls = [f"{r.choice(['http', 'x'])}://{r.choice(hosts)}{r.choice(['', '/', '/x', '/x/', '/x/y', '/x/yy', '/x/y/z1', '/é/q', '/x/\U0010ffff'])}{r.choice(['', '?q=/', '#f', '?a://b'])}" for _ in range(400)]
     urls += [None, "", "a.org/x/", "://", "http://a.org", "http://a.org/x/" + "y" * 40_000, *urls[:30]]
-    df = spark.createDataFrame([(i % 100, u, "s") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(i % 100, u, "s", "b", "a") for i, u in enumerate(urls)], "page_id long, url string, rule string, b string, at string")
     got = [(x.page_id, x.host, x.path, x.rule, x.verdict) for x in url_rules.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()]
     low = {}
     for h, p, v in rules:
@@ -171,6 +177,14 @@ def test_urls_equal_brute_force(spark, monkeypatch):
         want.append((i % 100, host, path, *(max(fit)[2:] if fit else (None, "allow"))))
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert url_rules.judge(df.limit(0), spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
+    out = url_rules.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert out.columns == ["page_id", "url", "b", "at", "host", "path", "rule", "verdict"]
+    assert {tuple(x) for x in out.select("b", "at").collect()} == {("b", "a")}
+    # a hot host is dealt to its parts: the sweep's window reads an exchange by host and part
+    plan = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1]
+    sweep = plan[plan.index("Window [last(open"):]
+    below = next(x for x in sweep.split("\n")[1:] if not re.search("Sort|InputAdapter|Codegen", x))
+    assert re.search(r"Exchange hashpartitioning\(at#\d+, part#\d+", below), below
 
 
 # replication

@@ -15,7 +15,7 @@ RANKS = P.path("byte_bpe_50k.tiktoken")
 
 def check(spark, rows, size, **more):
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
+    tk.encode_special_tokens = more.get("markers") == {}
     got = K.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, P.PATTERN, size=size, **more).collect()
     want = []
     for d, t in rows:
@@ -42,6 +42,8 @@ def test_round_trip(spark):
     parts = ["the ", "größe", "\n\n", "don't", "  ", "œuvre", "漢字", "x²", "\x1c", "\x85", "\xa0", "42", "<|endoftext|>", "_a_", "…", "\t ", "½", "Ⅷ", "é"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 200)))) for i in range(80)]
     rows += [(None, None), (7, ""), (7, ""), (9, "a" * 5000), (None, "word " * 3000)]
+    rows += [(300, "<|endoftext|>"), (301, "a <|endoftext|><|endoftext|>  b\n<|endoftext|> x <|endoftext"), (302, "é <|endoftext|>漢")]
+    check(spark, rows, 64, markers={})
     n, total = check(spark, rows, 128)
     assert n <= 1.05 * total / 128 + 1
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string, shard int"), RANKS, P.PATTERN).count() == 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from worktally.llm import blocks as B
 
 SHARD = 20_000  # pieces packed together
+MARKERS = {"<|endoftext|>": 50256}  # the public tokenizer's added token
 CACHE = 400_000  # different words kept with their ids in a worker
 _LETTERS, _DIGITS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 # the tokenizer's word pattern for texts of the first 256 code points
@@ -22,15 +23,17 @@ _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?
 
 
 class Words(dict):
-    """Ids of each word of the pattern, as little-endian 32-bit numbers."""
+    """Ids of each word of the pattern, as little-endian 32-bit numbers; ``markers`` are added tokens that are never cut."""
 
-    def __init__(self, ranks, pattern):
+    def __init__(self, ranks, pattern, markers):
         import regex
         import tiktoken
         with open(ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.markers = {m: np.array([i], "<u4").tobytes() for m, i in markers.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(markers, key=len, reverse=True))) + ")") if markers else None
 
     def __missing__(self, word):
         out = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
@@ -40,22 +43,28 @@ class Words(dict):
         return out
 
     def ids(self, text):
+        if self.cuts and any(m in text for m in self.markers):
+            return b"".join([self.markers[x] if x in self.markers else self.plain(x) for x in self.cuts.split(text) if x])
+        return self.plain(text) if text else b""
+
+    def plain(self, text):
         found = _LATIN if text.isascii() or max(text) <= "ÿ" else self.pattern
         return b"".join([self[w] for w in found.findall(text)])
 
 
-def tokenize(docs, ranks, pattern, id_col="doc_id", text_col="text", size=1024, end=2):
+def tokenize(docs, ranks, pattern, id_col="doc_id", text_col="text", size=1024, end=2, markers=MARKERS):
     """Pieces of every text: id, piece, start, length, ids_crc32 (of the piece's ids as little-endian 32-bit numbers).
 
     A text is its ids and then ``end``. Only texts longer than ``size`` are cut: all pieces but the first have ``size``
     ids. ``ranks`` and ``pattern`` are the tokenizer's; the file must lie at the same path on every executor.
-    Null text: empty (the end id alone). Markers of special tokens inside a text are ordinary text.
+    Null text: empty (the end id alone). ``markers`` maps the tokenizer's added tokens to their ids: one that stands inside a
+    text is that id, as the tokenizer's library has it by default; with {} it is ordinary text.
     """
     B.bounded(docs.sparkSession)
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches):
-        words = Words(ranks, pattern)
+        words = Words(ranks, pattern, markers)
         for batch in batches:
             out = {"id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -232,11 +241,11 @@ def pack(pieces, n_shards, size=1024):
         fill, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs, ranks, pattern, id_col="doc_id", text_col="text", size=1024, end=2):
+def pack_documents(docs, ranks, pattern, id_col="doc_id", text_col="text", size=1024, end=2, markers=MARKERS):
     """``tokenize`` and ``pack``; the number of shards comes from the number of texts and bytes."""
     n, octets = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     shards = max(1, -(-(n + (octets or 0) // (4 * size)) // SHARD))
-    return pack(tokenize(docs, ranks, pattern, id_col, text_col, size, end), shards, size)
+    return pack(tokenize(docs, ranks, pattern, id_col, text_col, size, end, markers), shards, size)
 
 
 B.by_value(__name__)

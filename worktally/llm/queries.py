@@ -109,10 +109,11 @@ def op8(spark, t):
 @query("op9_line_dedup", """
 WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
 n AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM l),
-b AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM n WHERE n > 0),
-w AS (SELECT doc_id, pos, list(line) OVER a AS run, sum(n) OVER a AS words, max(pos) OVER a AS upto FROM b WINDOW a AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM w WHERE words >= 50),
-g AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN f ON f.doc_id = l.doc_id AND f.k > 1 AND l.pos BETWEEN f.pos AND f.upto),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM n WHERE n > 0),
+m AS (SELECT y.doc_id, y.pos, y.i, y.n, x.doc_id AS other, y.i - x.i AS shift FROM b x JOIN b y ON x.line = y.line AND (x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.i < y.i)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS run FROM m),
+c AS (SELECT doc_id, min(pos) AS a, max(pos) AS z FROM r GROUP BY doc_id, other, shift, run HAVING sum(n) >= 50),
+g AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN (SELECT DISTINCT * FROM c) c ON l.doc_id = c.doc_id AND l.pos BETWEEN c.a AND c.z),
 o AS (SELECT n.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(sum(n.n) FILTER (g.pos IS NOT NULL), 0) AS words_removed, string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (g.pos IS NULL) AS kept
  FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.pos = n.pos GROUP BY n.doc_id)
 SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, CAST(words_removed AS INTEGER) AS words_removed, md5(coalesce(kept, '')) AS kept_md5 FROM o""")

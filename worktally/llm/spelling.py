@@ -9,14 +9,18 @@
    ``Q_MAX`` - 1 characters of it. The most that any place can affect is the word's bound; all its other grams stand in
    every near word too, at a position shifted by one at most.
 4. *Lists.* So two near words share one of the bound + 1 rarest grams of each, in the same order of rarity: only these
-   short lists are merged. A list is kept by gram, position and length of the word, and a word asks three of them: its own
-   length, and the next length with the gram at its place or one on.
-5. *Verification* of the candidates by edit distance, inside the join: no candidate is written.
+   short lists are merged. A list is kept by gram and position, and a word asks two of them: the one with the gram at its
+   place, for words of its own length or one more, and for these the one with the gram a place further on.
+5. *Verification.* A task holds whole lists, or parts of a long one, and compares the words of its candidates as rows of
+   code points, many pairs at once; no candidate is written, only near words are.
 
-Words, not texts, go through steps 1 to 5; counting words in the texts is an aggregation that combines before the shuffle.
+Words, not texts, go through steps 1 to 5; counting words in the texts combines in the task before the shuffle.
 """
 
+import re
+import zlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,14 @@ from worktally.session import shared_folder
 Q_MIN, Q_MAX = 2, 4
 GRAMS = 1 << 17
 RARE = 8  # a gram in fewer places is never in the dictionary
-LIST = 1 << 12  # entries of one list that meet in one task
+LIST = 1 << 12  # entries of one list that meet as a whole; longer lists are cut
+ENTRIES = 1 << 17  # entries of the lists in one task
+PAIRS = 1 << 18  # candidates compared at once
+WIDE = 48  # longer words are compared one by one
+WORDS = 1 << 18  # different words a task holds before it passes their counts on
+LONG = 1 << 22  # a longer text's words are not listed at once
 HEAD, TAIL = "\x02", "\x03"  # marks of a word's ends
-RUN = "[A-Za-zÀ-ÿ]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RUN = re.compile("[a-zÀ-ÿ]+")
 
 
 def count_words(docs, id_col="doc_id", text_col="text", every=97, min_chars=5, min_count=3):
@@ -41,15 +49,31 @@ def count_words(docs, id_col="doc_id", text_col="text", every=97, min_chars=5, m
     Where ``every`` divides the CRC h of ``id:run`` (a null id is empty), the run first loses its character h % length;
     0 leaves all runs as they are.
     """
-    runs = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(RUN), F.lit(0))).alias("word"))
-    runs = runs.select("id", F.translate("word", _UPPER, _LOWER).alias("word"))
-    if every:
-        h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
-        runs = runs.select("word", h.alias("h"))
-        at = (F.col("h") % F.length("word")).cast("int")
-        less = F.concat(F.substring("word", 1, at), F.substring("word", at + 2, F.length("word")))
-        runs = runs.select(F.when(F.col("h") % every == 0, less).otherwise(F.col("word")).alias("word"))
-    return runs.where(F.length("word") >= min_chars).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    B.bounded(docs.sparkSession)
+
+    def counts(batches):
+        total = {}
+        for batch in batches:
+            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = raw.lower().decode("utf-8", "replace")  # of bytes, lower() changes A-Z alone
+                runs = RUN.findall(text) if len(text) <= LONG else (m[0] for m in RUN.finditer(text))
+                start = zlib.crc32(f"{'' if d is None else d}:".encode())
+                for w, n in Counter(runs).items():
+                    if every and (h := zlib.crc32(w.encode(), start)) % every == 0:
+                        i = h % len(w)
+                        w = w[:i] + w[i + 1:]
+                    if len(w) >= min_chars:
+                        total[w] = total.get(w, 0) + n
+            if len(total) > WORDS:
+                yield told(total)
+                total = {}
+        yield told(total)
+
+    def told(total):
+        return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def marks(min_chars):
@@ -100,51 +124,121 @@ def affected(grams, ends, chars):
     return most
 
 
-def index(words, longer, frequency, min_chars=5):
-    """(word, n, chars, p, gram): of each word its rarest grams, as many as its bound and one more."""
+def index(words, sent, min_chars=5):
+    """(word, n, p, gram): of each word its rarest grams, as many as its bound and one more. ``sent`` is the broadcast dictionary."""
     ends = marks(min_chars)
 
     def rows(batches):
+        longer = sent.value
+        rare = lambda x: (longer.get(x[1], 1 << 60), x[1], x[0])  # noqa: E731  the shortest grams count as the most frequent
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            at, pos, gram, chars = [], [], [], []
-            for i, w in enumerate(found):
+            at, pos, gram = [], [], []
+            for i, w in enumerate(batch.column(0).to_pylist()):
                 grams = decompose(_marked(w, ends), longer)
-                keep = sorted(grams, key=lambda x: (frequency(x[1]), x[1], x[0]))[:affected(grams, ends, len(w)) + 1]
+                keep = sorted(grams, key=rare)[:affected(grams, ends, len(w)) + 1]
                 at += [i] * len(keep)
                 pos += [p for p, _ in keep]
                 gram += [g for _, g in keep]
-                chars += [len(w)] * len(keep)
             at = pa.array(np.array(at, np.int64))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(chars, pa.int32()), pa.array(pos, pa.int32()), pa.array(gram, pa.string())], ["word", "n", "chars", "p", "gram"])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(gram, pa.string())], ["word", "n", "p", "gram"])
+
+    return words.select("word", "n").mapInArrow(rows, "word string, n long, p int, gram string")
+
+
+def one_edit(a, b):
+    """Whether b, of a's length or one more, differs from a by one replaced or inserted character."""
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a != b and a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
 
-    return words.select("word", "n").mapInArrow(rows, "word string, n long, chars int, p int, gram string")
 
+def _same_edit(letters, a, b):
+    """``one_edit`` of many pairs, given as rows of ``letters`` (code points, zeros at the end)."""
+    x, y = letters[a], letters[b]
+    equal = x == y
+    replaced = equal.sum(1) == letters.shape[1] - 1
+    # up to the first difference both agree; from there on, b goes on one place later
+    shifted = np.zeros_like(y)
+    shifted[:, :-1] = y[:, 1:]
+    inserted = (np.logical_and.accumulate(equal, axis=1) | (x == shifted)).all(1)
+    same = (x != 0).sum(1) == (y != 0).sum(1)
+    return np.where(same, replaced, inserted)
 
-def near_pairs(words, min_chars=5):
+
+def _ranges(first, last):
+    """(row, index) of all indices first <= index < last of each row, a bounded number at a time."""
+    size = np.maximum(last - first, 0)
+    done = np.append(0, np.cumsum(size))
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + PAIRS, side="right")) - 1)
+        yield np.repeat(np.arange(i, j), size[i:j]), B.spans(first[i:j], size[i:j])
+        i = j
+
+
+def merge_lists(table):
+    """Near words among the entries of some lists: (a, an, b, bn), b as long as a and after it, or one longer.
+
+    ``asks``: the entry asks its list; ``holds``: it stands in it; ``on``: it asks from a place before, hence only longer words.
+    """
+    words, which = np.unique(np.array(table.column("word").to_pylist(), dtype=object), return_inverse=True)
+    words = words.tolist()
+    chars = np.array([len(w) for w in words])
+    n = np.zeros(len(words), np.int64)
+    n[which] = table.column("n").to_numpy()
+    letters = np.zeros((len(words), WIDE + 1), np.uint32)
+    for i, w in enumerate(words):
+        if len(w) <= WIDE:
+            letters[i, :len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+    listed = table.column("list").to_numpy()
+    asks, holds, on = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "holds", "on"))
+    # the entries of a list in order of length, then word: a question's candidates are neighbours
+    _, listed = np.unique(listed, return_inverse=True)
+    held = np.flatnonzero(holds)
+    width = int(chars.max()) + 3
+    key = lambda lists, chars, w: (lists * width + chars) * len(words) + w
+    held = held[np.argsort(key(listed[held], chars[which[held]], which[held]), kind="stable")]
+    place = key(listed[held], chars[which[held]], which[held])
+    ask = np.flatnonzero(asks)
+    w, l = which[ask], listed[ask]
+    first = np.searchsorted(place, np.where(on[ask], key(l, chars[w] + 1, 0), key(l, chars[w], w) + 1))
+    last = np.searchsorted(place, key(l, chars[w] + 2, 0))
+    found = []
+    for row, at in _ranges(first, last):
+        a, b = w[row], which[held[at]]
+        wide = chars[b] > WIDE
+        near = np.zeros(len(a), bool)
+        near[~wide] = _same_edit(letters, a[~wide], b[~wide])
+        near[wide] = [one_edit(words[i], words[j]) for i, j in zip(a[wide].tolist(), b[wide].tolist(), strict=True)]
+        found.append(np.unique(a[near] * len(words) + b[near]))
+    found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    a, b = found // max(1, len(words)), found % max(1, len(words))
+    return pa.table({"a": pa.array([words[i] for i in a.tolist()], pa.string()), "an": pa.array(n[a]), "b": pa.array([words[i] for i in b.tolist()], pa.string()), "bn": pa.array(n[b])})
+
+
+def near_pairs(words, home, min_chars=5):
     """(a, an, b, bn): the pairs of words, a before b or shorter, that differ by one inserted, deleted or replaced character.
 
-    ``words`` is a written table (word, n) of different words of ``min_chars`` characters or more. A pair may come more than once.
+    ``words`` is a written table (word, n) of different words of ``min_chars`` characters or more, ``home`` a shared folder for
+    the lists. A pair may come more than once.
     """
-    longer = dictionary(words, min_chars)
-    sent = words.sparkSession.sparkContext.broadcast(longer)
-
-    class Lookup:  # the dictionary as the tasks see it
-        def __contains__(self, g):
-            return g in sent.value
-
-    # shorter grams are taken as more frequent than all others, in their own order
-    lists = index(words, Lookup(), lambda g: sent.value.get(g, 0) if len(g) > Q_MIN else 1 << 60, min_chars)
-    ask = lists.select(F.col("word").alias("a"), F.col("n").alias("an"), "gram", F.explode(F.array(
-        F.struct("p", "chars"), F.struct("p", (F.col("chars") + 1).alias("chars")), F.struct((F.col("p") + 1).alias("p"), (F.col("chars") + 1).alias("chars")))).alias("k"), F.col("chars").alias("own"))
-    have = lists.select(F.col("word").alias("b"), F.col("n").alias("bn"), "gram", F.struct("p", "chars").alias("k"))
+    spark = words.sparkSession
+    sent = spark.sparkContext.broadcast(dictionary(words, min_chars))
+    # of the longest pieces' size a batch may be, so words are cut finer
+    index(words.repartition(max(1, -(-words.count() // 50_000))), sent, min_chars).write.parquet(f"{home}/lists")
+    lists = spark.read.parquet(f"{home}/lists")
     # a long list is cut in parts by word, and each question asks all parts
-    size = have.groupBy("gram", "k").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")).where("parts > 1")
-    have = have.join(size, ["gram", "k"], "left").select("b", "bn", "gram", "k", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    ask = ask.join(size, ["gram", "k"], "left").select("a", "an", "own", "gram", "k", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    fits = (F.col("a") != F.col("b")) & ((F.col("own") < F.col("k.chars")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    return ask.join(have.select("b", "bn", F.col("gram").alias("_g"), F.col("k").alias("_k"), F.col("part").alias("_p")),
-                    (F.col("gram") == F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("part") == F.col("_p")) & fits).select("a", "an", "b", "bn")
+    size = lists.groupBy("gram", "p").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")).where("parts > 1")
+    yes, no = F.lit(True), F.lit(False)
+    asked = lists.select("word", "n", "gram", "p").join(size, ["gram", "p"], "left").select("word", "n", "gram", "p", F.coalesce("parts", F.lit(1)).alias("parts"))
+    onward = lists.select("word", "n", "gram", (F.col("p") + 1).alias("p")).join(size, ["gram", "p"], "left").select("word", "n", "gram", "p", F.coalesce("parts", F.lit(1)).alias("parts"))
+    own = F.pmod(F.xxhash64("word"), "parts").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    entries = (asked.select("word", "n", "gram", "p", own.alias("own"), every).select("word", "n", "gram", "p", "part", yes.alias("asks"), (F.col("part") == F.col("own")).alias("holds"), no.alias("on"))
+               .unionByName(onward.select("word", "n", "gram", "p", every, yes.alias("asks"), no.alias("holds"), yes.alias("on"))))
+    tasks = max(1, -(-2 * lists.count() // ENTRIES))
+    named = F.xxhash64("gram", "p", "part")
+    entries = entries.select("word", "n", named.alias("list"), "asks", "holds", "on", F.pmod(named, F.lit(tasks)).cast("int").alias("task"))
+    return entries.groupBy("task").applyInArrow(merge_lists, "a string, an long, b string, bn long")
 
 
 def variants(docs, id_col="doc_id", text_col="text", every=97, min_chars=5, min_count=3, ratio=2):
@@ -159,7 +253,7 @@ def variants(docs, id_col="doc_id", text_col="text", every=97, min_chars=5, min_
     home = shared_folder(spark, "spelling")
     count_words(docs, id_col, text_col, every, min_chars, min_count).write.parquet(f"{home}/words")
     words = spark.read.parquet(f"{home}/words")
-    pairs = near_pairs(words, min_chars).distinct()
+    pairs = near_pairs(words, home, min_chars).distinct()
     links = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("other"), F.col("bn").alias("m")),
                                            F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("other"), F.col("an").alias("m")))).alias("x")).select("x.*")
     best = links.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))

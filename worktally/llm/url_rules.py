@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 PART = 1 << 18
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +40,8 @@ def judge(pages, rules, url_col="url", default="allow"):
     rules = (rules.groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path").agg(F.min("verdict").alias("verdict")))
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = host_and_path(url)
-    pages = pages.drop("host", "path", "rule", "verdict").withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    added = ("host", "path", "rule", "verdict")
+    pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in added]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     # the rule that a rule lies in: the longest other one of its host whose path is a beginning of its path
     begins = rules.select("host", F.col("path").alias("inner"), F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n")).where(F.col("n") < F.length("inner"))
     outer = (begins.select("host", "inner", F.expr("substring(inner, 1, n)").alias("path")).join(rules.select("host", "path"), ["host", "path"])
@@ -50,10 +52,13 @@ def judge(pages, rules, url_col="url", default="allow"):
     label = F.split("host", "\\.")
     above = pairs.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(label))).alias("k")).select(
         "host", "path", F.array_join(F.slice(F.split("host", "\\."), F.col("k"), F.lit(2**31 - 1) - F.col("k")), ".").alias("at"))
-    above = above.join(rules.select(F.col("host").alias("at")).distinct(), "at")
+    # a hot host's pairs meet its rules under several salts, and are then dealt to its parts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    above = above.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    above = above.join(rules.select(F.col("host").alias("at")).distinct().select("at", salts), ["at", "salt"])
     parts = above.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     none = F.lit(None)
-    urls = above.join(parts, "at").select("at", F.pmod(F.xxhash64("host", "path"), "parts").cast("int").alias("part"), _key(F.col("at"), F.col("path")).alias("key"),
+    urls = above.join(parts.select("at", "parts", salts), ["at", "salt"]).select("at", F.pmod(F.xxhash64(F.lit(1), "host", "path"), "parts").cast("int").alias("part"), _key(F.col("at"), F.col("path")).alias("key"),
                                           F.lit(1).alias("turn"), "host", "path", none.cast("string").alias("open"))
     held = rules.join(parts, rules.host == parts["at"]).select("host", "path", "outer", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     own = _key(F.col("host"), F.col("path"))
@@ -61,11 +66,10 @@ def judge(pages, rules, url_col="url", default="allow"):
                                                none.cast("string").alias("host"), none.cast("string").alias("path"), rule.alias("open"))
     # "open": the path of the active rule after a "/"-independent mark; "-" is no rule
     mark = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
-    events = urls.unionByName(edge(own, 0, mark(F.col("path")))).unionByName(edge(F.concat(own, F.lit(b"\xff")), 2, mark(F.col("outer"))))
+    events = urls.unionByName(edge(own, 0, mark(F.col("path")))).unionByName(edge(F.concat(own, F.lit(b"\xff")), 2, mark(F.col("outer")))).repartition("at", "part")
     sweep = Window.partitionBy("at", "part").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = events.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("turn = 1 AND open LIKE '+%'")
     hit = active.select("host", "path", "at", F.expr("substring(open, 2)").alias("begin")).join(
         rules.select(F.col("host").alias("at"), F.col("path").alias("begin"), "verdict"), ["at", "begin"])
     best = hit.groupBy("host", "path").agg(F.max(F.struct((F.length("at") + F.length("begin")).alias("n"), F.length("at").alias("h"), F.concat("at", "begin").alias("rule"), "verdict")).alias("b"))
-    return (pages.join(best, ["host", "path"], "left").withColumn("rule", F.col("b.rule"))
-            .withColumn("verdict", F.coalesce("b.verdict", F.lit(default))).drop("b"))
+    return pages.join(best, ["host", "path"], "left").select("row.*", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
