@@ -93,6 +93,17 @@ def test_chains_of_forms(spark):
     assert {x[5] for x in got} == {"abcdefghij"} and [x[3] for x in got] == [*chain[1:], None]
 
 
+def test_dictionary_holds_the_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(S, "RARE", 2)
+    words = ["banana", "bandana", "anabel", "cabana"]
+    got = S.dictionary(spark.createDataFrame([(w, 3) for w in words], "word string, n long"))
+    marked = [S._marked(w, S.marks(5)) for w in words]
+    n = Counter(m[i:i + q] for m in marked for q in (3, 4) for i in range(len(m) - q + 1))
+    assert got == {g: c for g, c in n.items() if c >= 2} and {len(g) for g in got} == {3, 4}
+    monkeypatch.setattr(S, "GRAMS", 20)
+    assert len(S.dictionary(spark.createDataFrame([(w, 3) for w in words], "word string, n long"))) <= 20
+
+
 letters = st.text("abc", min_size=5, max_size=12)
 
 

@@ -91,8 +91,9 @@ def dictionary(words, min_chars=5):
     marked = words.select(F.concat(F.lit(HEAD * ends), "word", F.lit(TAIL * ends)).alias("w"))
     places = marked.agg(F.sum(F.length("w"))).first()[0] or 0
     least = max(RARE, -(-places * (Q_MAX - Q_MIN) // GRAMS))  # the grams of one length stand in ``places`` places at most
-    grams = F.flatten(F.array(*[F.transform(F.when(F.length("w") >= q, F.sequence(F.lit(1), F.length("w") - (q - 1))).otherwise(F.array().cast("array<int>")),
-                                            lambda i, q=q: F.substring(F.col("w"), i, F.lit(q))) for q in range(Q_MIN + 1, Q_MAX + 1)]))
+    of = lambda q: F.transform(
+        F.when(F.length("w") >= q, F.sequence(F.lit(1), F.length("w") - (q - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col("w"), i, F.lit(q)))
+    grams = F.flatten(F.array(*[of(q) for q in range(Q_MIN + 1, Q_MAX + 1)]))
     return {r.g: r.n for r in marked.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
 
 
@@ -151,17 +152,29 @@ def one_edit(a, b):
     return a != b and a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
 
 
-def _same_edit(letters, a, b):
-    """``one_edit`` of many pairs, given as rows of ``letters`` (code points, zeros at the end)."""
+def _letters(words):
+    """Rows of code points, zeros at the end, of the words of at most ``WIDE`` characters; longer words have no letters."""
+    short = [w if len(w) <= WIDE else "" for w in words]
+    flat = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(words), max(map(len, short), default=0) + 1), np.uint8 if not len(flat) or flat.max() < 256 else np.uint32)
+    size = np.array([len(w) for w in short])
+    out[np.repeat(np.arange(len(words)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out
+
+
+def _replaced(letters, a, b):
+    """``one_edit`` of pairs of equal length."""
+    return (letters[a] != letters[b]).sum(1) == 1
+
+
+def _inserted(letters, a, b):
+    """``one_edit`` of pairs of which b is one longer: up to the first difference both agree, from there on b goes on one place later."""
     x, y = letters[a], letters[b]
-    equal = x == y
-    replaced = equal.sum(1) == letters.shape[1] - 1
-    # up to the first difference both agree; from there on, b goes on one place later
-    shifted = np.zeros_like(y)
-    shifted[:, :-1] = y[:, 1:]
-    inserted = (np.logical_and.accumulate(equal, axis=1) | (x == shifted)).all(1)
-    same = (x != 0).sum(1) == (y != 0).sum(1)
-    return np.where(same, replaced, inserted)
+    later = x[:, :-1] != y[:, 1:]
+    same = (x != y)[:, :-1]
+    first = np.where(same.any(1), same.argmax(1), same.shape[1])
+    last = np.where(later.any(1), later.shape[1] - 1 - later[:, ::-1].argmax(1), -1)
+    return last < first
 
 
 def _ranges(first, last):
@@ -180,15 +193,16 @@ def merge_lists(table):
 
     ``asks``: the entry asks its list; ``holds``: it stands in it; ``on``: it asks from a place before, hence only longer words.
     """
-    words, which = np.unique(np.array(table.column("word").to_pylist(), dtype=object), return_inverse=True)
-    words = words.tolist()
+    coded = pa.chunked_array([table.column("word").combine_chunks().dictionary_encode()]).combine_chunks() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)  # in order of code points: the same pair comes the same way round from every task
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    words, which = [words[i] for i in order], rank[np.asarray(coded.indices)]
     chars = np.array([len(w) for w in words])
     n = np.zeros(len(words), np.int64)
     n[which] = table.column("n").to_numpy()
-    letters = np.zeros((len(words), WIDE + 1), np.uint32)
-    for i, w in enumerate(words):
-        if len(w) <= WIDE:
-            letters[i, :len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+    letters = _letters(words)
     listed = table.column("list").to_numpy()
     asks, holds, on = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "holds", "on"))
     # the entries of a list in order of length, then word: a question's candidates are neighbours
@@ -207,7 +221,9 @@ def merge_lists(table):
         a, b = w[row], which[held[at]]
         wide = chars[b] > WIDE
         near = np.zeros(len(a), bool)
-        near[~wide] = _same_edit(letters, a[~wide], b[~wide])
+        alike = chars[a] == chars[b]
+        for kind, test in ((alike & ~wide, _replaced), (~alike & ~wide, _inserted)):
+            near[kind] = test(letters, a[kind], b[kind])
         near[wide] = [one_edit(words[i], words[j]) for i, j in zip(a[wide].tolist(), b[wide].tolist(), strict=True)]
         found.append(np.unique(a[near] * len(words) + b[near]))
     found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
