@@ -1,11 +1,18 @@
-"""Entry building: hours, daily split, same-day collisions, weekly overtime."""
+"""Entry building: hours, daily split, same-day collisions, weekly overtime.
 
+``entry_store`` is the one path from claims, as extracted, to entries that rules, verdict and pay read.
+"""
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktally import params as P
 from worktally.functions import dates as D
 from worktally.functions import hours as H
 from worktally.operators.grouping import attach, computed, totals_before
+from worktally.sources.stages import staged
 
 
 def with_vendor(df, employees, vendors, own="vendor_id"):
@@ -72,8 +79,8 @@ def same_day_collisions(df, key="submission_id", day="work_date", seq="entry_id"
     implausible row is never stored, so it cannot be the first one.
     """
     cols = [seq, "in_min", "out_min", "entered_hours", "calculated_hours"]
-    storable = F.when(F.col(day).isNotNull() & ~F.col("implausible"), F.col(seq))
-    seed = df.groupBy(key, day).agg(F.min_by(F.struct(*cols), storable).alias("_seed"))
+    storable = df.filter(F.col(day).isNotNull() & ~F.col("implausible"))
+    seed = storable.groupBy(key, day).agg(F.min_by(F.struct(*cols), seq).alias("_seed"))
     seed = seed.select(key, day, F.col(f"_seed.{seq}").alias("seed_id"),
                        F.col("_seed.in_min").alias("_s_in"), F.col("_seed.out_min").alias("_s_out"),
                        H.first_nonzero(F.col("_seed.calculated_hours").cast(H.HOURS),
@@ -92,20 +99,19 @@ def same_day_collisions(df, key="submission_id", day="work_date", seq="entry_id"
     return out.withColumn("collision", label).drop("_s_in", "_s_out")
 
 
-def build_entries(raw, employees, vendors):
-    """Extracted string rows to typed entries with a ``disposition`` for every row.
-
-    STORED rows carry hours and the daily split; the other labels name the finding that removed
-    the row. Weekly overtime is applied to the stored rows by ``weekly_overtime``.
-    """
+def typed_claims(raw, employees, vendors):
+    """Extracted string rows to typed ones, with hours, plausibility and the limits of their vendor."""
     typed = computed(
         raw.withColumn("submission_id", submission_key()),
         work_date=D.parse_date(F.col("raw_date")), in_min=D.parse_minutes(F.col("in_text")),
         out_min=D.parse_minutes(F.col("out_text")), entered_hours=F.col("hours_text").try_cast(H.HOURS),
         break_minutes=F.coalesce(F.round(F.col("break_text").try_cast("double")).cast("int"), F.lit(0)))
-    dated = with_hours(typed)
-    dated = mark_implausible(dated)
-    judged = same_day_collisions(dated, seq="seq")
+    return with_vendor(mark_implausible(with_hours(typed)), employees, vendors)
+
+
+def judge_claims(typed):
+    """Adds the ``disposition`` of every typed row and its daily split: STORED, or the finding that removes the row."""
+    judged = same_day_collisions(typed, seq="seq")
     judged = judged.withColumn(
         "disposition",
         F.when(F.col("work_date").isNull() & F.upper(F.trim("raw_date")).startswith("INVALID_"),
@@ -113,7 +119,43 @@ def build_entries(raw, employees, vendors):
         .when(F.col("work_date").isNull(), "NO_DATE")
         .when(F.col("collision").isin("OVERLAPPING_DATE_CONFLICT", "DUPLICATE_DATE"), F.col("collision"))
         .when(F.col("implausible"), "IMPLAUSIBLE_HOURS").otherwise("STORED"))
-    return with_daily_split(with_vendor(judged, employees, vendors))
+    return with_daily_split(judged)
+
+
+def build_entries(raw, employees, vendors):
+    """Extracted string rows to typed entries with a ``disposition`` for every row.
+
+    STORED rows carry hours and the daily split; the other labels name the finding that removed
+    the row. ``entry_store`` applies weekly overtime as well.
+    """
+    return judge_claims(typed_claims(raw, employees, vendors))
+
+
+class EntryStore(NamedTuple):
+    """``entries``: every claim with its disposition and, if STORED, its final hours. ``submissions``: their spans."""
+
+    entries: DataFrame
+    submissions: DataFrame
+
+    def stored(self):
+        return self.entries.filter("disposition = 'STORED'").withColumn("entry_id", F.col("seq"))
+
+
+def entry_store(raw, employees, vendors):
+    """Builds the entries of ``raw`` once and writes them; all later steps read the written table.
+
+    Claims are parsed into a first stage, as the search for the first row of each day and the rows themselves
+    both need them. The judged rows are the second: totals of a week, and then the rows, are read from it. Rows that
+    are not STORED have no regular, overtime or moved hours and take no part in a week's total.
+    """
+    typed = staged(typed_claims(raw, employees, vendors), "claims")
+    judged = staged(judge_claims(typed), "judged")
+    stored = F.col("disposition") == "STORED"
+    parts = ["regular_hours", "overtime_hours"]
+    counted = judged.withColumns({c: F.when(stored, F.col(c)).otherwise(F.lit(0)).cast(H.HOURS) for c in parts})
+    final = weekly_overtime(counted, row_id="seq")
+    final = final.withColumns({c: F.when(stored, F.col(c)) for c in [*parts, "moved_hours", "payroll_hours"]})
+    return EntryStore(staged(final, "entries"), spans(typed))
 
 
 def submission_key():
@@ -126,7 +168,11 @@ def submission_key():
 
 def build_submissions(raw):
     """Submission span: first and last dated row per file, widened over the merged files."""
-    dated = computed(raw, work_date=D.parse_date(F.col("raw_date")))
+    return spans(computed(raw, work_date=D.parse_date(F.col("raw_date"))))
+
+
+def spans(dated):
+    """``build_submissions`` of rows whose dates are typed."""
     per_file = dated.groupBy("batch_id", "file_id", "employee_id").agg(
         F.min_by("work_date", "seq").alias("start_date"),
         F.max_by("work_date", "seq").alias("end_date"),

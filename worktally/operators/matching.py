@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from worktally import params as P
 from worktally.functions import names as N
 from worktally.functions.similarity import Roster
-from worktally.session import by_value, shared_folder
+from worktally.session import by_value
+from worktally.sources.stages import staged
 
-SUBSET_WORDS = 6     # up to 63 word subsets per name; longer names take the anchored join
 PROBE_BLOCK = 2048   # distinct probes per similarity call
 ROSTER_BLOCK = 20000  # roster names per similarity call
 TOP = 6
@@ -43,43 +43,36 @@ def exact(probes, roster):
                       F.col("w.method").alias("method"))
 
 
-def _subset_keys(words):
-    """Every non-empty word subset as one text key (words sorted); for at most SUBSET_WORDS words."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1)
-
-    def pick(mask):
-        return F.array_join(F.filter(words, lambda w, i: F.getbit(mask, i) == 1), " ")
-
-    return F.transform(masks, pick)
-
-
 def contained(probes, roster):
-    """Token containment either way; the first employee in roster order wins.
+    """Token containment either way; the first employee in roster order wins. One row per probe that has one.
 
-    Both directions become equi joins on word-set keys: a probe inside a name meets one of the
-    name's word subsets, a name inside a probe meets one of the probe's. Keys are reduced to their
-    first employee before the join, so no pairs of probes and employees are formed. Names of more
-    than SUBSET_WORDS words are joined on their rarest word instead.
+    Names are reduced to different word sets, those of the roster with their first employee. An inverted index
+    holds every word of every set; a set asks it for its rarest word only, as whatever contains the set holds that word
+    too. So one join serves both directions and names of any length, and pairs form only under a set's rarest word.
+    A set of one word needs no pairs at all: the first employee of the word, and of the sets of that word alone, answer it.
     """
-    p = probes.select("probe_id", word_set(F.col("name")).alias("words"))
-    r = roster.select("employee_id", word_set(F.col("full_name")).alias("r_words"))
-    p = p.withColumn("n", F.size("words")).filter("n > 0")
-    r = r.withColumn("m", F.size("r_words")).filter("m > 0")
-    short_p, long_p = p.filter(F.col("n") <= SUBSET_WORDS), p.filter(F.col("n") > SUBSET_WORDS)
-    short_r, long_r = r.filter(F.col("m") <= SUBSET_WORDS), r.filter(F.col("m") > SUBSET_WORDS)
-    first = F.min(F.struct("employee_id", "m")).alias("w")
-    found = ["probe_id", "n", "w.employee_id", "w.m"]
-    # probe words all in the name
-    inner = short_r.select("employee_id", "m", F.explode(_subset_keys(F.col("r_words"))).alias("key"))
-    sub = short_p.withColumn("key", F.array_join("words", " ")).join(inner.groupBy("key").agg(first), "key")
-    sub = sub.select(*found).unionByName(_anchored(p, long_r, "words", "r_words", "probe_id"))
-    # name words all in the probe
-    names = short_r.groupBy(F.array_join("r_words", " ").alias("key")).agg(first)
-    sup = short_p.select("probe_id", "n", F.explode(_subset_keys(F.col("words"))).alias("key")).join(names, "key")
-    sup = sup.select(*found).unionByName(_anchored(long_p, r, "r_words", "words", "employee_id"))
-    both = sub.withColumn("rank", F.lit(1)).unionByName(sup.withColumn("rank", F.lit(2)))
-    best = both.groupBy("probe_id").agg(F.min(F.struct("employee_id", "rank", "n", "m")).alias("w"))
-    out = best.select("probe_id", "w.*")
+    p = probes.select("probe_id", word_set(F.col("name")).alias("words")).filter(F.size("words") > 0)
+    p = staged(p, "probe-words")
+    names = roster.select("employee_id", word_set(F.col("full_name")).alias("words")).filter(F.size("words") > 0)
+    sets = p.select("words").distinct().select("words", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("employee_id"))
+    sets = staged(sets.unionByName(names.groupBy("words").agg(F.min("employee_id").cast("long").alias("employee_id"), F.lit(False).alias("asks"))), "word-sets")
+    index = sets.select("words", "asks", "employee_id", F.explode("words").alias("word"))
+    counts = index.groupBy("word").agg(F.count("*").alias("c"), F.min("employee_id").alias("first"))
+    # the rarest word of a set; for single words also the first employee who has it
+    anchor = index.join(counts, "word").groupBy("words", "asks").agg(
+        F.min_by(F.struct("word", "employee_id", "first"), F.struct("c", "word")).alias("a"))
+    anchor = anchor.select(F.col("words").alias("part"), F.col("asks").alias("part_asks"), "a.*").withColumnRenamed("employee_id", "part_id")
+    single = (F.size("part") == 1) & F.col("part_asks")
+    direct = anchor.filter(single & F.col("first").isNotNull()).select(
+        F.col("part").alias("words"), F.struct(F.col("first").alias("employee_id"), F.lit(1).alias("rank"), F.lit(None).cast("int").alias("m")).alias("w"))
+    pairs = anchor.filter(~single).join(index, "word").filter(
+        (F.col("asks") != F.col("part_asks")) & (F.size("part") <= F.size("words")) & (F.size(F.array_except("part", "words")) == 0))
+    of = lambda words, who, rank, m: F.struct(words.alias("words"), F.struct(who.alias("employee_id"), F.lit(rank).alias("rank"), m.alias("m")).alias("w"))
+    # a probe inside a name, or a name inside a probe
+    pairs = pairs.select(F.when(F.col("part_asks"), of(F.col("part"), F.col("employee_id"), 1, F.lit(None).cast("int")))
+                         .otherwise(of(F.col("words"), F.col("part_id"), 2, F.size("part"))).alias("x")).select("x.*")
+    best = direct.unionByName(pairs).groupBy("words").agg(F.min("w").alias("w"))
+    out = p.join(best, "words").select("probe_id", F.size("words").alias("n"), "w.*")
     inside = F.col("rank") == 1
     conf = F.when(inside, F.least(F.lit(0.95), 0.70 + 0.05 * F.col("n"))).otherwise(
         F.least(F.lit(0.90), 0.65 + 0.05 * F.col("m")))
@@ -87,23 +80,6 @@ def contained(probes, roster):
                       F.when(inside, "PARTIAL_SUBSET").otherwise("PARTIAL_SUPERSET").alias("method"))
 
 
-def _anchored(probes, roster, part, whole, key):
-    """First employee per probe where all words of ``part`` occur in ``whole``, via a rare word.
-
-    The contained side is keyed by its rarest word, the containing side by each of its words.
-    """
-    inner, outer = (probes, roster) if part == "words" else (roster, probes)
-    counts = outer.select(F.explode(whole).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    worded = inner.select("*", F.explode(part).alias("word")).join(counts, "word", "left")
-    rest = [c for c in inner.columns if c != key]
-    anchor = worded.groupBy(key).agg(
-        F.min_by(F.struct("word", *rest), F.struct(F.coalesce("c", F.lit(0)), "word")).alias("a"))
-    pairs = anchor.select(key, "a.*").join(outer.withColumn("word", F.explode(whole)), "word")
-    fits = pairs.filter(F.size(F.array_except(part, whole)) == 0)
-    return fits.groupBy("probe_id", "n").agg(F.min(F.struct("employee_id", "m")).alias("w")).select(
-        "probe_id", "n", "w.employee_id", "w.m")
-
-
 def similar(probes, roster):
     """The best employees by similarity for every distinct probe name, exact over the whole roster.
 
@@ -112,9 +88,7 @@ def similar(probes, roster):
     driver and no name pairs are written.
     """
     names = probes.select(F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
-    path = shared_folder(probes.sparkSession, "open-names")
-    names.write.parquet(path)  # counted and read again without redoing the tiers before
-    names = probes.sparkSession.read.parquet(path)
+    names = staged(names, "open-names")  # counted and read again without redoing the tiers before
     people = roster.select("employee_id", "full_name", N.clean_for_matching(F.col("full_name")).alias("cleaned"))
     pb = max(1, -(-names.count() // PROBE_BLOCK))
     rb = max(1, -(-people.count() // ROSTER_BLOCK))
@@ -149,18 +123,29 @@ def with_alternatives(scored, keep=5, threshold=P.REVIEW_MATCH):
                          F.slice(rest, 1, keep).alias("alternatives"))
 
 
+ALTERNATIVES = "array<struct<employee_id: bigint, score: double>>"
+
+
 def match(probes, roster, fuzzy=True):
-    """All tiers in order; each sees only the probes the tiers before it left open."""
-    clean = probes.withColumn("name", N.clean_for_matching(F.col("name"))).filter("name <> ''")
-    first = exact(clean, roster)
-    open_1 = clean.join(first.select("probe_id"), "probe_id", "left_anti")
-    second = contained(open_1, roster)
-    out = first.unionByName(second)
+    """All tiers in order; each sees only the probes the tiers before it left open. One row per matched probe.
+
+    The probes travel as one frame: a tier writes them with its answers, the next reads those without one. alternatives
+    holds the ranks after the best of the similarity tier, null for others.
+    """
+    none = F.lit(None).cast(ALTERNATIVES).alias("alternatives")
+    columns = ["probe_id", "employee_id", "confidence", "method", "alternatives"]
+    clean = probes.select("probe_id", N.clean_for_matching(F.col("name")).alias("name")).filter("name <> ''")
+    clean = staged(clean, "clean-names")
+    answered = lambda rows, tier: staged(rows.join(tier, "probe_id", "left"), "tier")
+    first = answered(clean, exact(clean, roster))
+    open_1 = first.filter("employee_id IS NULL").select("probe_id", "name")
+    second = answered(open_1, contained(open_1, roster)) if fuzzy else contained(open_1, roster)
+    out = first.unionByName(second, allowMissingColumns=True).filter("employee_id IS NOT NULL").withColumn("alternatives", none).select(*columns)
     if fuzzy:
-        open_2 = open_1.join(second.select("probe_id"), "probe_id", "left_anti")
+        open_2 = second.filter("employee_id IS NULL").select("probe_id", "name")
         best = with_alternatives(similar(open_2, roster)).filter("confidence > 0")
         third = open_2.withColumn("name", F.lower(F.trim("name"))).join(best, "name")
-        out = out.unionByName(third.select("probe_id", "employee_id", "confidence", F.lit("FUZZY").alias("method")))
+        out = out.unionByName(third.select("probe_id", "employee_id", "confidence", F.lit("FUZZY").alias("method"), F.col("alternatives").cast(ALTERNATIVES).alias("alternatives")))
     return out
 
 
@@ -181,10 +166,10 @@ def match_sender(messages, roster, threshold=P.SENDER_MATCH, fuzzy=True):
     """Employee of a sender: address first, else the name at or above the threshold."""
     mails = roster.filter("email IS NOT NULL").groupBy(F.lower("email").alias("sender_email")).agg(
         F.min("employee_id").alias("employee_id"))
-    by_mail = messages.join(mails, "sender_email")
-    rest = messages.join(mails, "sender_email", "left_anti").filter("sender_name <> ''")
-    probes = rest.select("message_id", F.col("sender_name").alias("name"))
-    found = match(probes.withColumnRenamed("message_id", "probe_id"), roster, fuzzy).filter(F.col("confidence") >= threshold)
+    known = staged(messages.join(mails, "sender_email", "left"), "senders")
+    by_mail = known.filter("employee_id IS NOT NULL")
+    probes = known.filter("employee_id IS NULL AND sender_name <> ''").select(F.col("message_id").alias("probe_id"), F.col("sender_name").alias("name"))
+    found = match(probes, roster, fuzzy).filter(F.col("confidence") >= threshold)
     by_name = found.select(F.col("probe_id").alias("message_id"), "employee_id", F.lit("NAME").alias("how"))
     return by_mail.select("message_id", "employee_id", F.lit("EMAIL").alias("how")).unionByName(by_name)
 

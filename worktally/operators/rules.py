@@ -126,23 +126,19 @@ def weekly_hours_exceed(entries):
 def with_holiday(entries, employees, holidays):
     """Adds holiday_name: calendars of the employee's type or unscoped ones; all if none applies.
 
-    The three lookups hold one row per date (and type), so entries are never multiplied.
+    The lookup holds one row per date, with the names by employee type as a map, so entries are never multiplied.
     """
-    best = F.min(F.struct("calendar_id", "holiday_name"))
-    by_date = holidays.groupBy("holiday_date").agg(
-        best.alias("_any"),
-        F.min(F.when(F.col("applies_to").isNull(), F.struct("calendar_id", "holiday_name")))
-        .alias("_open"))
-    by_type = holidays.filter(F.col("applies_to").isNotNull()).groupBy(
-        "holiday_date", F.col("applies_to").alias("employee_type")).agg(best.alias("_own"))
-    types = holidays.filter(F.col("applies_to").isNotNull()).select(
-        F.col("applies_to").alias("employee_type")).distinct().withColumn("_scoped", F.lit(True))
-    any_open = holidays.agg((F.count_if(F.col("applies_to").isNull()) > 0).alias("x")).scalar()
+    per = holidays.groupBy("holiday_date", "applies_to").agg(F.min(F.struct("calendar_id", "holiday_name")).alias("b"))
+    scoped_row = F.col("applies_to").isNotNull()
+    by_date = per.groupBy("holiday_date").agg(
+        F.min("b").alias("_any"), F.min(F.when(~scoped_row, F.col("b"))).alias("_open"),
+        F.map_from_entries(F.collect_list(F.when(scoped_row, F.struct("applies_to", "b")))).alias("_types"))
+    # the types are those of an enumeration: a few
+    facts = holidays.agg(F.struct((F.count_if(~scoped_row) > 0).alias("open"), F.collect_set("applies_to").alias("types"))).scalar()
     out = entries.join(employees.select("employee_id", "employee_type"), "employee_id", "left")
-    out = out.withColumnRenamed("work_date", "holiday_date")
-    out = out.join(by_date, "holiday_date", "left")
-    out = out.join(by_type, ["holiday_date", "employee_type"], "left").join(types, "employee_type", "left")
-    scoped = any_open | F.coalesce(F.col("_scoped"), F.lit(False))
+    out = out.withColumnRenamed("work_date", "holiday_date").join(by_date, "holiday_date", "left")
+    out = out.withColumn("_own", F.try_element_at("_types", F.col("employee_type")))
+    scoped = facts["open"] | F.coalesce(F.array_contains(facts["types"], F.col("employee_type")), F.lit(False))
     own_first = (F.when(F.col("_own").isNull() | (F.col("_open.calendar_id") < F.col("_own.calendar_id")),
                         F.coalesce("_open.holiday_name", "_own.holiday_name"))
                  .otherwise(F.col("_own.holiday_name")))
@@ -150,12 +146,22 @@ def with_holiday(entries, employees, holidays):
     works = (F.col("entry_type") == "WORK") & (claimed() > 0)
     return (out.withColumn("holiday_name", F.when(works, name))
             .withColumnRenamed("holiday_date", "work_date")
-            .drop("_any", "_open", "_own", "_scoped"))
+            .drop("_any", "_open", "_own", "_types"))
+
+
+def holiday_rule():
+    """For rows that ``with_holiday`` has named."""
+    return "HOLIDAY_WORK", "WARNING", F.col("holiday_name").isNotNull(), F.lit("0"), claimed()
+
+
+def flag_holidays(named):
+    """The rows themselves, updated: is_holiday where work fell on a holiday (a true flag stays)."""
+    was = F.col("is_holiday") if "is_holiday" in named.columns else F.lit(False)
+    return named.withColumn("is_holiday", F.coalesce(was, F.lit(False)) | F.col("holiday_name").isNotNull())
 
 
 def holiday_work(entries, employees, holidays):
-    rows = with_holiday(entries, employees, holidays).filter(F.col("holiday_name").isNotNull())
-    return finding(rows, "HOLIDAY_WORK", "WARNING", F.lit("0"), claimed())
+    return apply_rule(with_holiday(entries, employees, holidays), holiday_rule())
 
 
 BUILD_SEVERITY = {"INVALID_DATE": "ERROR", "OVERLAPPING_DATE_CONFLICT": "BLOCKER",
@@ -226,6 +232,28 @@ def late_submission(subs, periods):
                    F.col("cutoff_date"), F.col("submitted_at").cast("date"))
 
 
+def with_submission_facts(subs, periods, employees, rates, as_of):
+    """One row per submission with what its rules look at: cutoff_date, is_late, and whether its employee is known and has a rate on ``as_of``.
+
+    Periods and employees are keyed by their ids. Each table is read once.
+    """
+    known = employees.select("employee_id", F.lit(True).alias("is_known"))
+    valid = (F.col("effective_start") <= as_of) & (F.col("effective_end").isNull() | (F.col("effective_end") >= as_of))
+    rated = rates.filter(valid).groupBy("employee_id").agg(F.lit(True).alias("is_rated"))
+    out = subs.join(periods.select("period_id", "cutoff_date"), "period_id", "left").join(known, "employee_id", "left").join(rated, "employee_id", "left")
+    late = F.col("submitted_at") > F.col("cutoff_date").cast("timestamp_ntz")
+    return out.withColumn("is_late", F.coalesce(late, F.lit(False))).fillna(False, ["is_known", "is_rated"])
+
+
+def submission_rules():
+    """Row rules for submissions with their facts."""
+    none = F.lit(None)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return [("MISSING_APPROVAL", "BLOCKER", blank("approver_name") & blank("approver_email"), none, none),
+            ("LATE_SUBMISSION", "WARNING", F.col("is_late"), F.col("cutoff_date"), F.col("submitted_at").cast("date")),
+            ("MISSING_RATE", "BLOCKER", F.col("is_known") & ~F.col("is_rated"), none, none)]
+
+
 def missing_rate(subs, employees, rates, as_of):
     known = subs.join(employees.select("employee_id"), "employee_id", "left_semi")
     return finding(without_active_rate(known, rates, as_of), "MISSING_RATE", "BLOCKER")

@@ -7,6 +7,7 @@ from worktally.operators import entries as E
 from worktally.operators import payroll as PAY
 from worktally.operators import rules as R
 from worktally.plans.registry import query
+from worktally.sources.stages import staged
 
 
 def hours_of(t):
@@ -18,7 +19,8 @@ def split_of(t):
 
 
 def weekly_of(t):
-    return E.weekly_overtime(split_of(t))
+    """Weekly overtime reads the split rows twice, so they are written first."""
+    return E.weekly_overtime(staged(split_of(t), "split"))
 
 
 def totals_of(t):
@@ -26,9 +28,10 @@ def totals_of(t):
     return PAY.submission_totals(worked)
 
 
-def pay_of(t):
-    subs = PAY.payable(R.readiness(t.fx_submission, t.fx_finding))
-    subs = subs.select("submission_id", "employee_id", "start_date", "end_date")
+def pay_of(t, period=None):
+    """Pay of the submissions that passed. The verdict is written once; rates and totals meet those rows only."""
+    subs = PAY.payable(R.readiness(t.fx_submission, t.fx_finding), period)
+    subs = staged(subs.select("submission_id", "employee_id", "start_date", "end_date"), "gated")
     return PAY.payroll_results(subs, totals_of(t), t.fx_rate)
 
 
@@ -124,6 +127,13 @@ def j03(t):
     return pay_of(t)
 
 
+@query("j03_payroll_of_period", PAY_COLUMNS,
+       """SELECT p.*, regular_pay + overtime_pay AS total_pay FROM ck_pay p
+          JOIN fx_submission s ON s.submission_id = p.submission_id WHERE s.period_id = 2""")
+def j03_period(t):
+    return pay_of(t, period=2)
+
+
 @query("j03_missing_rate_findings", "submission_id:string, employee_id:string, rule_code:string, severity:string, status:string",
        """SELECT CAST(submission_id AS VARCHAR) AS submission_id, CAST(employee_id AS VARCHAR) AS employee_id, 'MISSING_RATE' AS rule_code,
           'BLOCKER' AS severity, 'OPEN' AS status FROM ck_pay WHERE payroll_status = 'BLOCKED'""")
@@ -192,10 +202,72 @@ SELECT seq, file_id, submission_id, CAST(work_date AS VARCHAR) AS work_date,
 FROM ck_built"""
 
 
-@query("j02_entry_builder", "seq:long, file_id:long, submission_id:string, work_date:string, disposition:string",
-       DISPOSITION_SQL, heavy=True)
+@query("j02_entry_builder", "seq:long, file_id:long, submission_id:string, work_date:string, disposition:string, vendor_id:long, "
+       "entered_hours:double, calculated_hours:double, payroll_hours:double, regular_hours:double, overtime_hours:double, moved_hours:double",
+       "SELECT * FROM ck_store", heavy=True)
 def j02(t):
-    return E.build_entries(t.fx_raw, t.fx_employee, t.fx_vendor)
+    return store_of(t).entries
+
+
+def store_of(t):
+    return E.entry_store(t.fx_raw, t.fx_employee, t.fx_vendor)
+
+
+REVIEWED = 5  # of the submissions under test, every fifth employee's findings are still open; the others are resolved
+
+
+def findings_of(store):
+    """Findings of a built store: what the builder removed, row rules in one pass, and weeks over their limit."""
+    stored = store.stored()
+    return R.union_all([
+        R.build_findings(store.entries),
+        R.apply_rules(stored, [R.daily_hours_rule(), R.regular_limit_rule(), R.total_mismatch_rule(), R.hours_mismatch_rule(), R.overtime_barred_rule()]),
+        R.weekly_hours_exceed(stored)])
+
+
+def reviewed(findings):
+    still = F.col("employee_id").isNull() | (F.col("employee_id").cast("long") % REVIEWED == 0)
+    return findings.withColumn("status", F.when(still, "OPEN").otherwise("RESOLVED"))
+
+
+@query("j02_claim_findings", "rule_code:string, severity:string, file_id:string, submission_id:string, entry_id:string, employee_id:string, "
+       "expected_value:string, actual_value:string", "SELECT * FROM ck_store_finding", heavy=True)
+def j02_findings(t):
+    return findings_of(store_of(t))
+
+
+@query("j02_claims_to_pay", "submission_id:string, employee_id:long, entries:long, blockers:long, errors:long, warnings:long, validation_status:string, "
+       "payroll_status:string, regular_hours:double, overtime_hours:double, leave_days:long, regular_pay:double, overtime_pay:double, total_pay:double",
+       """SELECT s.submission_id, s.employee_id, COALESCE(t.entries, 0) AS entries, COALESCE(blockers, 0) AS blockers,
+  COALESCE(errors, 0) AS errors, COALESCE(warnings, 0) AS warnings,
+  CASE WHEN COALESCE(blockers, 0) + COALESCE(errors, 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS validation_status,
+  CASE WHEN COALESCE(blockers, 0) + COALESCE(errors, 0) > 0 THEN 'NOT_READY' WHEN rr IS NULL THEN 'BLOCKED' ELSE 'READY' END AS payroll_status,
+  COALESCE(rh, 0) AS regular_hours, COALESCE(oh, 0) AS overtime_hours, COALESCE(leave, 0) AS leave_days,
+  CASE WHEN COALESCE(blockers, 0) + COALESCE(errors, 0) = 0 THEN CAST(COALESCE(rh, 0) * rr AS DECIMAL(18,4)) END AS regular_pay,
+  CASE WHEN COALESCE(blockers, 0) + COALESCE(errors, 0) = 0 THEN CAST(COALESCE(oh, 0) * orate AS DECIMAL(18,4)) END AS overtime_pay,
+  CASE WHEN COALESCE(blockers, 0) + COALESCE(errors, 0) = 0 THEN CAST(COALESCE(rh, 0) * rr + COALESCE(oh, 0) * orate AS DECIMAL(18,4)) END AS total_pay
+FROM (SELECT q.*, r.regular_rate AS rr, CASE WHEN COALESCE(r.overtime_rate, 0) = 0 THEN r.regular_rate * 1.5 ELSE r.overtime_rate END AS orate
+  FROM (SELECT submission_id, MIN(employee_id) AS employee_id, COALESCE(MAX(e), MIN(s)) AS day
+    FROM (SELECT submission_id, employee_id, file_id, arg_min_null(work_date, seq) AS s, arg_max_null(work_date, seq) AS e FROM ck_typed GROUP BY ALL) f
+    GROUP BY submission_id) q
+  LEFT JOIN LATERAL (SELECT * FROM fx_rate r WHERE r.employee_id = q.employee_id AND r.effective_start <= q.day
+    AND (r.effective_end IS NULL OR r.effective_end >= q.day) ORDER BY r.effective_start DESC LIMIT 1) r ON TRUE) s
+LEFT JOIN (SELECT submission_id, COUNT(*) AS entries, SUM(regular_hours) AS rh, SUM(overtime_hours) AS oh,
+    COUNT(*) FILTER (entry_type = 'LEAVE') AS leave FROM ck_stored GROUP BY 1) t ON t.submission_id = s.submission_id
+LEFT JOIN (SELECT submission_id, COUNT(*) FILTER (severity = 'BLOCKER') AS blockers, COUNT(*) FILTER (severity = 'ERROR') AS errors,
+    COUNT(*) FILTER (severity = 'WARNING') AS warnings FROM ck_store_finding
+    WHERE employee_id IS NULL OR CAST(employee_id AS BIGINT) % 5 = 0 GROUP BY 1) f ON f.submission_id = s.submission_id""", heavy=True)
+def j02_pay(t):
+    """From claims as extracted to pay: every submission with its verdict, and the pay of those that passed."""
+    store = store_of(t)
+    verdict = staged(R.readiness(store.submissions, reviewed(findings_of(store))), "verdict")
+    totals = PAY.submission_totals(store.stored().withColumn("is_holiday", F.col("entry_type") == "HOLIDAY"))
+    gated = PAY.payable(verdict).select("submission_id", "employee_id", "start_date", "end_date")
+    paid = PAY.payroll_results(gated, totals, t.fx_rate)
+    hours = totals.select("submission_id", "entries", "regular_hours", "overtime_hours", "leave_days")
+    paid = paid.select("submission_id", "regular_pay", "overtime_pay", "total_pay", F.col("payroll_status").alias("_run"))
+    out = verdict.join(hours, "submission_id", "left").join(paid, "submission_id", "left")
+    return out.withColumn("payroll_status", F.coalesce("_run", "payroll_status")).fillna(0, ["entries", "regular_hours", "overtime_hours", "leave_days"])
 
 
 @query("j01_submission_builder",

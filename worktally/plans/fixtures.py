@@ -413,6 +413,60 @@ SELECT t.*, s.seed, s.s_in, s.s_out, s.s_calc, s.s_ent FROM ck_timed t LEFT JOIN
     arg_min(COALESCE(calculated_hours, 0), seq) AS s_calc, arg_min(COALESCE(entered_hours, 0), seq) AS s_ent
   FROM ck_timed WHERE work_date IS NOT NULL AND NOT implausible GROUP BY 1, 2) s
 ON s.submission_id = t.submission_id AND s.work_date = t.work_date""",
+    # built rows to stored entries: disposition, daily split, weekly overtime
+    "ck_disposed": """
+SELECT *, CASE WHEN work_date IS NULL THEN CASE WHEN raw_date LIKE 'INVALID%' THEN 'INVALID_DATE' ELSE 'NO_DATE' END
+    WHEN seed IS NOT NULL AND seq > seed AND NOT COALESCE(in_min IS NOT NULL AND out_min IS NOT NULL
+          AND s_in IS NOT NULL AND s_out IS NOT NULL AND (in_min <> s_in OR out_min <> s_out), FALSE)
+      THEN CASE WHEN abs(COALESCE(NULLIF(s_calc, 0), s_ent, 0) - COALESCE(entered_hours, 0)) > 0.1
+                THEN 'OVERLAPPING_DATE_CONFLICT' ELSE 'DUPLICATE_DATE' END
+    WHEN implausible THEN 'IMPLAUSIBLE_HOURS' ELSE 'STORED' END AS disposition FROM ck_built""",
+    "ck_stored": """
+SELECT * REPLACE (regular_hours - move AS regular_hours, hours - regular_hours + move AS overtime_hours)
+FROM (SELECT *, CASE WHEN NOT ot_allowed THEN 0 ELSE GREATEST(0, LEAST(regular_hours, wk - weekly_limit - prev)) END AS move
+  FROM (SELECT *, hours - regular_hours AS overtime_hours, SUM(regular_hours) OVER w AS wk,
+      COALESCE(SUM(regular_hours) OVER (PARTITION BY submission_id, date_trunc('week', work_date)
+        ORDER BY work_date DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+    FROM (SELECT *, CASE WHEN ot_allowed THEN LEAST(hours, daily_limit) ELSE hours END AS regular_hours
+      FROM (SELECT *, CASE WHEN mismatch THEN entered_hours ELSE calculated_hours END AS payroll_hours,
+          COALESCE(CASE WHEN mismatch THEN entered_hours ELSE calculated_hours END, 0) AS hours
+        FROM (SELECT d.*, v.vendor_id, COALESCE(v.daily_limit, 8) AS daily_limit, COALESCE(v.weekly_limit, 40) AS weekly_limit,
+            v.overtime_enabled, COALESCE(v.overtime_enabled, TRUE) AS ot_allowed,
+            COALESCE(in_min IS NOT NULL AND out_min IS NOT NULL AND abs(entered_hours - calculated_hours) > 0.1, FALSE) AS mismatch
+          FROM ck_disposed d LEFT JOIN fx_employee e ON e.employee_id = d.employee_id LEFT JOIN fx_vendor v ON v.vendor_id = e.vendor_id
+          WHERE disposition = 'STORED') a) b) c WINDOW w AS (PARTITION BY submission_id, date_trunc('week', work_date))) x) s""",
+    "ck_store": """
+SELECT d.seq, d.file_id, d.submission_id, d.work_date, d.disposition, e.vendor_id, d.entered_hours, d.calculated_hours,
+  s.payroll_hours, s.regular_hours, s.overtime_hours, s.move AS moved_hours
+FROM ck_disposed d LEFT JOIN fx_employee e ON e.employee_id = d.employee_id LEFT JOIN ck_stored s ON s.seq = d.seq""",
+    "ck_store_finding": """
+SELECT disposition AS rule_code, CASE disposition WHEN 'OVERLAPPING_DATE_CONFLICT' THEN 'BLOCKER' WHEN 'DUPLICATE_DATE' THEN 'WARNING'
+    ELSE 'ERROR' END AS severity, CAST(file_id AS VARCHAR) AS file_id, submission_id, CAST(seq AS VARCHAR) AS entry_id,
+  CAST(employee_id AS VARCHAR) AS employee_id,
+  CASE WHEN disposition = 'OVERLAPPING_DATE_CONFLICT' THEN CAST(CAST(COALESCE(NULLIF(s_calc, 0), s_ent, 0) AS DECIMAL(10,2)) AS VARCHAR) END AS expected_value,
+  CASE disposition WHEN 'INVALID_DATE' THEN raw_date WHEN 'DUPLICATE_DATE' THEN CAST(work_date AS VARCHAR)
+    WHEN 'IMPLAUSIBLE_HOURS' THEN CAST(CAST(GREATEST(COALESCE(entered_hours, 0), COALESCE(calculated_hours, 0)) AS DECIMAL(10,2)) AS VARCHAR)
+    ELSE CAST(CAST(COALESCE(entered_hours, 0) AS DECIMAL(10,2)) AS VARCHAR) END AS actual_value
+FROM ck_disposed WHERE disposition NOT IN ('STORED', 'NO_DATE')
+UNION ALL SELECT rule_code, severity, CAST(file_id AS VARCHAR), submission_id, CAST(seq AS VARCHAR), CAST(employee_id AS VARCHAR),
+  CAST(CAST(expected AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(actual AS DECIMAL(10,2)) AS VARCHAR)
+FROM (SELECT *, 'DAILY_REGULAR_LIMIT_EXCEEDED' AS rule_code, 'WARNING' AS severity, daily_limit AS expected, regular_hours AS actual
+    FROM ck_stored WHERE regular_hours > daily_limit + 0.1
+  UNION ALL SELECT *, 'HOURS_TOTAL_MISMATCH', 'ERROR', COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0), regular_hours + overtime_hours
+    FROM ck_stored WHERE COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0) > 0
+      AND abs(COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0) - regular_hours - overtime_hours) > 0.1
+  UNION ALL SELECT *, 'DAILY_HOURS_MISMATCH', 'ERROR', calculated_hours, entered_hours FROM ck_stored WHERE mismatch
+) q
+UNION ALL SELECT 'DAILY_HOURS_EXCEED', 'ERROR', CAST(file_id AS VARCHAR), submission_id, CAST(seq AS VARCHAR), CAST(employee_id AS VARCHAR), '16',
+  CAST(CAST(COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0) AS DECIMAL(10,2)) AS VARCHAR)
+FROM ck_stored WHERE COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0) > 16
+UNION ALL SELECT 'OVERTIME_NOT_ALLOWED', 'ERROR', CAST(file_id AS VARCHAR), submission_id, CAST(seq AS VARCHAR), CAST(employee_id AS VARCHAR), '0',
+  CAST(CAST(payroll_hours - daily_limit AS DECIMAL(10,2)) AS VARCHAR) FROM ck_stored WHERE NOT overtime_enabled AND payroll_hours > daily_limit
+UNION ALL SELECT 'WEEKLY_HOURS_EXCEED', CASE WHEN allowed THEN 'WARNING' ELSE 'ERROR' END, NULL, submission_id, NULL, CAST(employee_id AS VARCHAR),
+  CAST(CAST(lim AS DECIMAL(10,2)) AS VARCHAR), CAST(CAST(total AS DECIMAL(20,2)) AS VARCHAR)
+FROM (SELECT submission_id, employee_id, strftime(work_date, '%Y-W%W') AS week, MAX(weekly_limit) AS lim, BOOL_AND(ot_allowed) AS allowed,
+    SUM(COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0)) AS total FROM ck_stored WHERE entry_type = 'WORK' GROUP BY ALL) w
+WHERE total > lim""",
     "ck_holiday": """
 SELECT c.*, employee_type, CASE WHEN entry_type = 'WORK'
     AND COALESCE(NULLIF(calculated_hours, 0), entered_hours, 0) > 0 THEN (

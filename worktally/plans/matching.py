@@ -62,10 +62,13 @@ def c12(t):
     return MA.decide(probes, MA.match(probes, roster_of(t), fuzzy=False))
 
 
-@query("c12_match_all_tiers", "probe_id:long, employee_id:long, confidence:double, method:string, match_status:string", heavy=True)
+@query("c12_match_all_tiers", "probe_id:long, employee_id:long, confidence:double, method:string, match_status:string, alternatives:long, next_employee:long, next_score:double", heavy=True)
 def c12_all(t):
     probes = probes_of(t)
-    return MA.decide(probes, MA.match(probes, roster_of(t)))
+    decided = MA.decide(probes, MA.match(probes, roster_of(t)))
+    following = F.get("alternatives", F.lit(0))
+    return decided.select("*", F.coalesce(F.size("alternatives"), F.lit(0)).alias("n"), following["employee_id"].alias("next_employee"),
+                          following["score"].alias("next_score")).drop("alternatives").withColumnRenamed("n", "alternatives")
 
 
 @query("c13_candidate_name", "file_id:long, candidate:string",

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from worktally import params as P
 from worktally.operators import entries as E
 from worktally.operators import rules as R
+from worktally.operators.payroll import submission_totals
 from worktally.plans.core import weekly_of
 from worktally.plans.registry import query
+from worktally.sources.stages import staged
 
 COLS = ("rule_code:string, severity:string, file_id:string, submission_id:string, entry_id:string, "
         "employee_id:string, expected_value:string, actual_value:string")
@@ -143,6 +145,22 @@ def i07(t):
     return R.holiday_work(t.fx_claim, t.fx_employee, t.fx_holiday)
 
 
+@query("i07_holiday_flags", "entry_id:long, entry_type:string, is_holiday:long, holiday_name:string",
+       """SELECT entry_id, entry_type, CASE WHEN holiday_name IS NOT NULL THEN 1 ELSE 0 END AS is_holiday, holiday_name FROM ck_holiday""")
+def i07_flags(t):
+    """The rule's second output: all entries, flagged."""
+    named = R.with_holiday(t.fx_claim, t.fx_employee, t.fx_holiday)
+    return R.flag_holidays(named).withColumn("is_holiday", F.col("is_holiday").cast("int"))
+
+
+@query("d06_flagged_holiday_hours", "submission_id:long, holiday_hours:double, leave_days:long, entries:long",
+       """SELECT submission_id, COALESCE(SUM(calculated_hours) FILTER (holiday_name IS NOT NULL), 0) AS holiday_hours,
+          COUNT(*) FILTER (entry_type = 'LEAVE') AS leave_days, COUNT(*) AS entries FROM ck_holiday GROUP BY 1""")
+def d06_flagged(t):
+    """Submission totals that count holiday hours by the flag the rule has set."""
+    return submission_totals(R.flag_holidays(R.with_holiday(t.fx_claim, t.fx_employee, t.fx_holiday)))
+
+
 @query("c05_holiday_match", "entry_id:long, employee_type:string, holiday_name:string",
        "SELECT entry_id, employee_type, holiday_name FROM ck_holiday")
 def c05(t):
@@ -166,6 +184,15 @@ def i09(t):
     return R.late_submission(t.fx_submission, t.fx_period)
 
 
+@query("i09_late_flags", "submission_id:long, is_late:long",
+       """SELECT submission_id, CASE WHEN submitted_at > cutoff_date THEN 1 ELSE 0 END AS is_late
+          FROM fx_submission s LEFT JOIN fx_period p ON p.period_id = s.period_id""")
+def i09_flags(t):
+    """The rule's second output: all submissions, flagged."""
+    as_of = F.lit("2024-02-01").cast("date")
+    return R.with_submission_facts(t.fx_submission, t.fx_period, t.fx_employee, t.fx_rate, as_of).withColumn("is_late", F.col("is_late").cast("int"))
+
+
 @query("c08_late_check", "submission_id:long, submitted_at:string, cutoff_date:string",
        """SELECT submission_id, CAST(CAST(submitted_at AS DATE) AS VARCHAR) AS submitted_at, cutoff_date
           FROM fx_submission s, fx_period p
@@ -257,16 +284,23 @@ def d11(t):
 ALL_ENTRY = ["i05", "i06", "i11", "i17", "i18"]
 
 
-def batch_findings(t):
-    weekly = weekly_of(t)
+def batch_findings(t, subs=None):
+    """All findings of a batch. Each base table is read in one tagged pass that lists a row's findings, exploded once; only
+    totals of weeks and the roster's missing sheets need a second look, at written tables."""
+    weekly = staged(weekly_of(t), "weekly")
+    subs = subs or submission_facts(t)
+    claims = R.with_holiday(t.fx_claim, t.fx_employee, t.fx_holiday)
     return R.union_all([
         R.apply_rules(weekly, [R.regular_limit_rule(), R.total_mismatch_rule(), R.hours_mismatch_rule(),
                                R.overtime_barred_rule()]),
         R.weekly_hours_exceed(weekly),
-        R.apply_rule(t.fx_claim, R.daily_hours_rule()), R.holiday_work(t.fx_claim, t.fx_employee, t.fx_holiday),
-        R.missing_approval(t.fx_submission), R.late_submission(t.fx_submission, t.fx_period),
-        R.missing_rate(t.fx_submission, t.fx_employee, t.fx_rate, F.lit("2024-02-01").cast("date")),
-        R.missing_timesheet(t.fx_employee, t.fx_submission)])
+        R.apply_rules(claims, [R.daily_hours_rule(), R.holiday_rule()]),
+        R.apply_rules(subs, R.submission_rules()),
+        R.missing_timesheet(t.fx_employee, subs)])
+
+
+def submission_facts(t):
+    return staged(R.with_submission_facts(t.fx_submission, t.fx_period, t.fx_employee, t.fx_rate, F.lit("2024-02-01").cast("date")), "submissions")
 
 
 UNION_SQL = "\nUNION ALL ".join(SQL[k] for k in [*ALL_ENTRY, "i04", "i07", "i08", "i09", "i10", "i12"])
@@ -289,7 +323,8 @@ def g01(t):
 FROM fx_submission s LEFT JOIN ({UNION_SQL}) f ON f.submission_id = s.submission_id
 GROUP BY s.submission_id""")
 def i22(t):
-    return R.readiness(t.fx_submission.select("submission_id"), batch_findings(t))
+    subs = submission_facts(t)
+    return R.readiness(subs.select("submission_id"), batch_findings(t, subs))
 
 
 @query("g04_refresh_by_rule", "rule_code:string, status:string, severity:string, n:long",

@@ -5,8 +5,12 @@ skipped, and what it has stored counts. Without ``home`` a new folder in the sha
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from worktally.session import shared_folder
+from worktally.session import by_value, shared_folder
+from worktally.streaming.buckets import BucketTable
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark, folder, name, files_per_trigger=None):
@@ -51,32 +55,66 @@ def read_parts(spark, home):
     return spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows")
 
 
-def ingest_latest(stream, key, version, home=None):
-    """Incremental ingest: batches are appended, the latest version per key is taken on reading."""
-    rest = [c for c in stream.columns if c != key]
-    pick = lambda df, *more: df.groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.struct(version, *more)).alias("w")).select(key, "w.*")
-    home = per_batch(stream, "ingest", lambda b, *_: pick(b), home)
-    return pick(read_parts(stream.sparkSession, home), "batch")
+def ingest_latest(stream, key, version, home=None, buckets=16):
+    """Incremental ingest: the latest version per key (of equal versions the one that came later) in a bucketed table.
+
+    Every batch is merged into the buckets its keys fall in; the others are left alone. The result is a plain scan. A batch
+    that runs again starts from the table as it was before it, so a replay changes nothing. ``buckets`` holds for the life of a home.
+    Null keys are one key.
+    """
+    spark = stream.sparkSession
+    home = home or shared_folder(spark, "ingest")
+    table = BucketTable(spark, home, key, version, stream.schema, buckets)
+    run_available(stream.writeStream.foreachBatch(table.merge), home)
+    return table.read()
+
+
+class FirstArrival(StatefulProcessor):
+    """Lets the first row of a key through, of one batch the earliest; the key is remembered for good."""
+
+    def init(self, handle):
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timer):
+        (_, named) = key
+        if not named:  # rows without an id are no copies of each other
+            for row in rows:
+                yield row
+        elif not self.seen.exists():
+            first = min(rows, key=lambda r: (r["_at"], r["_tie"]))
+            self.seen.update((True,))
+            yield first
+
+    def close(self):
+        pass
 
 
 def dedup_messages(stream, key, event_time, home=None):
     """First arrival of every message id (in one batch the earliest); ids are remembered for good, however late a copy comes.
 
-    Each batch is compared with the ids of the batches before it, so a replayed batch does not meet itself. Null ids are no
-    ids: all such messages stay.
+    The ids are keyed state in RocksDB, checkpointed with the stream: a batch looks up its own ids only, and costs the same
+    however many came before. State and output belong to the batch, so a replay starts from the same ids and writes the same
+    folder. Null ids are no ids: all such messages stay, dealt over the tasks by their content. Rows of one id and
+    time are taken in the order of their text.
     """
     spark = stream.sparkSession
-    rest = [c for c in stream.columns if c != key]
-
-    def fresh(batch, batch_id, home):
-        named = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(event_time, *rest)).alias("w"))
-        out = named.select(key, "w.*").unionByName(batch.filter(F.col(key).isNull()).select(key, *rest))
-        if batch_id == 0:
-            return out
-        return out.join(read_parts(batch.sparkSession, home).filter(F.col("batch") < batch_id).select(key), key, "left_anti")
-
-    home = per_batch(stream, "dedup", fresh, home)
+    home = home or shared_folder(spark, "dedup")
+    named = F.col(key).isNotNull()
+    at = F.coalesce(F.unix_micros(F.col(event_time).cast("timestamp")), F.lit(-(2**63)))
+    tie = F.to_json(F.struct(*stream.columns))
+    # the key in text form: it is grouped by, and never read back
+    dealt = F.when(named, F.col(key).cast("string")).otherwise(F.pmod(F.xxhash64(tie), F.lit(1 << 12)).cast("string"))
+    rows = stream.withColumns({"_at": at, "_tie": tie, "_key": dealt, "_named": named})
+    schema = rows.drop("_key", "_named").schema
+    rows = rows.groupBy("_key", "_named")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        first = rows.transformWithState(FirstArrival(), schema, "Append", "None")
+        per_batch(first.drop("_at", "_tie"), "dedup", lambda b, *_: b, home)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return read_parts(spark, home).drop("batch")
 
 
@@ -95,3 +133,6 @@ def dead_letters(stream, good, purpose="letters", home=None):
     home = per_batch(stream, purpose, mark, home, by=["dead_letter"])
     parts = read_parts(stream.sparkSession, home)
     return parts.filter("dead_letter = 0").drop("dead_letter"), parts.filter("dead_letter = 1").drop("dead_letter")
+
+
+by_value(__name__)
