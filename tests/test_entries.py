@@ -151,3 +151,71 @@ def test_unscoped_rules_for_holidays(spark):
                                 "entry_id long, employee_id long, work_date date, entry_type string, calculated_hours decimal(5,2), entered_hours decimal(5,2)")
     got = {r.entry_id: r.holiday_name for r in R.with_holiday(ent, emp, hol).collect()}
     assert got == {1: "Own", 2: "Foreign", 3: "Foreign", 4: "Foreign"}
+
+
+def raw_claims(spark, rows):
+    names = ("seq", "file_id", "employee_id", "raw_date", "in_text", "out_text", "hours_text", "break_text", "entry_type")
+    return spark.createDataFrame([dict(zip(names, r, strict=True)) | {"batch_id": 1, "leave_type": None} for r in rows],
+                                 "seq long, file_id long, employee_id long, batch_id int, raw_date string, in_text string, out_text string, "
+                                 "hours_text string, break_text string, entry_type string, leave_type string")
+
+
+def store_inputs(spark):
+    employees = spark.createDataFrame([(1, 7), (2, 8)], "employee_id long, vendor_id long")
+    vendors = spark.createDataFrame([(7, "V", Decimal(8), Decimal(40), True), (8, "W", Decimal(8), Decimal(40), False)],
+                                    "vendor_id long, name string, daily_limit decimal(5,2), weekly_limit decimal(6,2), overtime_enabled boolean")
+    return employees, vendors
+
+
+def test_store_from_messy_claims_to_final_hours(spark):
+    days = [f"2024-01-0{d}" for d in range(1, 7)]
+    rows = [(i, 10, 1, d, "08:00", "17:00", "9", "0", "WORK") for i, d in enumerate(days)]  # six nine-hour days of a week
+    rows += [(10, 10, 1, days[0], None, None, "9", "", "WORK"),  # the same day once more
+             (11, 11, 1, days[1], None, None, "3", "", "WORK"),  # another figure for a stored day
+             (12, 10, 1, days[2], "18:00", "20:00", "2", "0", "WORK"),  # a second shift
+             (13, 10, 1, "INVALID_x", None, None, "5", "", "WORK"), (14, 10, 1, "none", None, None, "5", "", "WORK"),
+             (15, 10, 1, "2024-01-09", None, None, "30", "", "WORK"), (16, 10, 1, "2024-01-09", None, None, "7", "", "WORK"),
+             (20, 20, 2, days[0], "08:00", "18:00", "10", "0", "WORK"), (21, 21, None, "01/02/2024", None, None, None, None, "LEAVE")]
+    store = E.entry_store(raw_claims(spark, rows), *store_inputs(spark))
+    got = {r.seq: r for r in store.entries.collect()}
+    assert len(got) == len(rows)
+    assert {k: r.disposition for k, r in got.items() if r.disposition != "STORED"} == {
+        10: "DUPLICATE_DATE", 11: "OVERLAPPING_DATE_CONFLICT", 13: "INVALID_DATE", 14: "NO_DATE", 15: "IMPLAUSIBLE_HOURS"}
+    assert all(r.regular_hours is None and r.moved_hours is None for r in got.values() if r.disposition != "STORED")
+    week = [r for k, r in got.items() if r.submission_id == "e1-b1" and r.disposition == "STORED" and str(r.work_date) < "2024-01-08"]
+    assert sum(r.regular_hours for r in week) == 40 and sum(r.overtime_hours for r in week) == 6 * 9 + 2 - 40
+    assert got[5].regular_hours == 0 and got[4].regular_hours == 6 and got[0].regular_hours == 8  # latest days first: 8 of the sixth, 2 of the fifth
+    assert (got[20].regular_hours, got[20].overtime_hours) == (10, 0) and got[21].regular_hours == 0
+    subs = {r.submission_id: r for r in store.submissions.collect()}
+    assert set(subs) == {"e1-b1", "e2-b1", "f21"} and subs["e1-b1"].files == 2 and str(subs["e1-b1"].end_date) == "2024-01-09"
+    assert {r.entry_id for r in store.stored().collect()} == set(got) - {10, 11, 13, 14, 15}
+
+
+def test_store_of_a_hot_week_equals_the_sequential_rule(spark, monkeypatch):
+    monkeypatch.setattr(G, "RUN", 16)
+    rnd = random.Random(4)
+    rows = [(i, 10, 1, f"2024-01-0{rnd.randint(1, 7)}", f"{rnd.randint(0, 11):02d}:{i % 60:02d}", f"{rnd.randint(12, 23)}:{i // 60 % 60:02d}", "1", "0", "WORK") for i in range(400)]
+    store = E.entry_store(raw_claims(spark, rows), *store_inputs(spark))
+    kept = store.stored().collect()
+    assert len(kept) > 300
+    split = [dict(entry_id=r.seq, submission_id=r.submission_id, work_date=r.work_date, overtime_enabled=True, regular_hours=r.regular_hours + r.moved_hours,
+                  overtime_hours=r.overtime_hours - r.moved_hours) for r in kept]
+    assert {r.seq: (r.regular_hours, r.overtime_hours) for r in kept} == sequential_overtime(split, Decimal(40))
+
+
+def test_empty_store(spark):
+    store = E.entry_store(raw_claims(spark, []), *store_inputs(spark))
+    assert store.entries.count() == 0 and store.submissions.count() == 0
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1]
+    return plan.count("FileScan"), plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") + plan.count("Exchange rangepartitioning")
+
+
+@pytest.mark.parametrize("name, most", [("j03_payroll_result", 6), ("d09_payroll_run_totals", 6), ("g01_rule_union", 8), ("i22_readiness_verdict", 9), ("e03_weekly_overtime", 2), ("c10_containment_match", 4)])
+def test_final_plans_read_few_tables(spark, name, most):
+    from __spark_entry__ import queries
+    n, shuffles = scans(queries()[name](spark, "/root/testdata/sf0.001"))
+    print(name, n, shuffles)
+    assert n <= most

@@ -115,3 +115,31 @@ def test_nothing_left_for_the_similarity_tier(spark):
     assert [(r.probe_id, r.employee_id, r.method) for r in MA.match(probes, roster).collect()] == [(7, 1, "EXACT")]
     assert MA.similar(probes.limit(0), roster).count() == 0
     assert MA.similar(probes, roster.limit(0)).count() == 0
+
+
+def test_hot_words_and_long_names_in_one_path(spark):
+    """A word that most names hold forms no pairs for sets with a rarer one, nor for the word alone."""
+    rnd = random.Random(8)
+    people = [(i, f"ana w{i % 90} x{i // 90}") for i in range(900)] + [(900, "solo"), (901, " ".join(f"l{k}" for k in range(30)))]
+    probes = [(i, rnd.choice(["ana", f"w{i} ana", f"zz ana x{i % 10} w{i}", "solo ana", "nobody", f"{people[-1][1]} more", "l3 l29 l7"])) for i in range(120)]
+    got = {r.probe_id: (r.employee_id, r.method) for r in MA.contained(
+        spark.createDataFrame(probes, "probe_id long, name string"), spark.createDataFrame(people, "employee_id long, full_name string")).collect()}
+    want = {}
+    for pid, name in probes:
+        a = set(name.split())
+        for eid, full in people:
+            b = set(full.split())
+            if a <= b or b <= a:
+                want[pid] = (eid, "PARTIAL_SUBSET" if a <= b else "PARTIAL_SUPERSET")
+                break
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_alternatives_stay_with_a_match(spark):
+    roster = spark.createDataFrame([(1, "Ana Lopez", "a@x"), (2, "Ana Lopes", "b@x"), (3, "Anna Lopezz", None), (4, "Zed Quill", None)],
+                                   "employee_id long, full_name string, email string")
+    probes = spark.createDataFrame([(1, "Anna Lopez"), (2, "Zed Quill")], "probe_id long, name string")
+    out = {r.probe_id: r for r in MA.decide(probes, MA.match(probes, roster)).collect()}
+    assert out[1].method == "FUZZY" and {a.employee_id for a in out[1].alternatives} == {1, 2, 3} - {out[1].employee_id}
+    assert [a.score for a in out[1].alternatives] == sorted((a.score for a in out[1].alternatives), reverse=True)
+    assert out[2].method == "EXACT" and out[2].alternatives is None

@@ -176,3 +176,13 @@ def resolve_period(kind, value, monday_weeks=False):
            .when(kind == "year", F.date_add(F.add_months(year, 12), -1))
            .when(kind == "custom", try_date(right, "yyyy-MM-dd")))
     return start, end
+
+
+def day_name(d):
+    """English name of the day."""
+    return F.date_format(d, "EEEE")
+
+
+def is_weekday(d):
+    """Monday to Friday."""
+    return F.weekday(d) < 5

@@ -64,6 +64,13 @@ ROW_STRIPS = [r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}",
 TEXT_LABEL = (r"(?i)(?:employee|name|staff|worker|prepared\s*by|consultant|contractor|submitted\s*by"
               r"|timesheet\s*for|for\s*employee)[:\s]+([A-Za-z][A-Za-z\-' ]{2,})")
 TEXT_SIGNATURE = r"(?i)([A-Za-z][A-Za-z\-' ]{2,})\s*\|?\s*Employee\s+(?:signature|sign)"
+HEADER_LABEL = (r"(?i)(?:employee|name|staff|worker|consultant|contractor|prepared\s*by)"
+                r"[:\s]+([A-Za-z][A-Za-z\-' ]{2,})")
+HEADER_NAME = r"^([A-Z][A-Za-z\-']{1,}\s+[A-Z][A-Za-z\-']{1,}(?:\s+[A-Z][A-Za-z\-']{1,})?)$"
+NOT_A_NAME_CELL = r"[@\d/\-:]"
+SIGNER = r"([A-Za-z][A-Za-z\-' ]{2,})"
+SIGNER_BEFORE = r"([A-Za-z][A-Za-z\-' ]{5,})"
+NOT_A_SIGNER_ON_LINE = r"(?i)employee|signature|date|manager|supervisor"
 SIGNATURE_LINE = r"(?i)employee\s+(?:signature|sign)"
 NOT_A_SIGNER = r"(?i)employee|signature|date|manager"
 PROPER_RUN = r"([A-Z][A-Za-z\-']{1,}(?:\s+[A-Z][A-Za-z\-']{1,})+)"

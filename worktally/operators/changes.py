@@ -77,3 +77,33 @@ def without_batches(tables, doomed):
 def union_counts(frames):
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in frames.items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def audit_log(before, after, key, entity, action):
+    """One record per row that changed, appeared or went: entity_id, fields (names of what changed), before_json, after_json.
+
+    Works on any columns, nested ones too: a field changes when its JSON does. The JSON holds the changed fields with their
+    types; a field that ``fields`` names and the JSON lacks is null there.
+    """
+    fields = [c for c in before.columns if c != key and c in after.columns]
+    side = lambda df, name: df.select(key, F.struct(*fields).alias(name), F.lit(True).alias(f"_in_{name}"))
+    both = side(before, "_b").join(side(after, "_a"), key, "full")
+    as_json = lambda s, f: F.to_json(F.struct(F.col(f"{s}.{f}").alias(f)))
+    new = F.col("_in__b").isNull() | F.col("_in__a").isNull()
+    moved = {f: new & F.coalesce(F.col(f"_b.{f}").isNotNull() | F.col(f"_a.{f}").isNotNull(), F.lit(False)) | ~as_json("_b", f).eqNullSafe(as_json("_a", f)) for f in fields}
+    only = lambda s: F.to_json(F.struct(*[F.when(moved[f], F.col(f"{s}.{f}")).alias(f) for f in fields]))
+    names = F.array_compact(F.array(*[F.when(moved[f], F.lit(f)) for f in fields]))
+    out = both.withColumn("fields", names).filter(new | (F.size("fields") > 0))
+    kind = F.when(F.col("_in__b").isNull(), "INSERT").when(F.col("_in__a").isNull(), "DELETE").otherwise(F.lit(action))
+    return out.select(F.lit(entity).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), kind.alias("action"), "fields",
+                      F.when(F.col("_in__b"), only("_b")).alias("before_json"), F.when(F.col("_in__a"), only("_a")).alias("after_json"))
+
+
+def append_version(records, home, version):
+    """Adds the records of one change to the log below ``home``. A version written again replaces itself: a replay leaves no doubles."""
+    records.write.mode("overwrite").parquet(f"{home.rstrip('/')}/version={int(version)}")
+
+
+def read_log(spark, home):
+    """All records with their version."""
+    return spark.read.option("basePath", home).parquet(home)

@@ -126,3 +126,19 @@ def vendor_rollup(submissions, totals, vendors):
         F.coalesce(F.sum("overtime_hours"), F.lit(0)).alias("overtime_hours"),
         count_where(F.col("payroll_status") == "READY").alias("ready"))
     return sums.join(vendors.select("vendor_id", "name"), "vendor_id")
+
+
+def completeness(profile, entries, key="doc_id", least=P.COMPLETE_RATIO):
+    """Entries found against the candidate rows of the source, in percent; incomplete below ``least``. No candidates: complete."""
+    got = entries.groupBy(key).agg(F.count("*").alias("entries"))
+    out = profile.join(got, key, "left").fillna(0, ["entries"])
+    rows = F.col("candidate_rows")
+    pct = F.when(rows > 0, F.round((F.col("entries") * 100 / rows), 1)).otherwise(100)
+    return out.withColumns({"completeness_pct": pct, "incomplete": (rows > 0) & (F.col("entries") < rows * least)})
+
+
+def compare_engines(results, name="model"):
+    """Score of each engine (ten an entry, the completeness in percent, less its seconds) and which is best; ties: the first name."""
+    scored = results.withColumn("score", F.round(F.col("entries") * 10 + F.col("pct") - F.col("seconds"), 2))
+    top = scored.agg(F.min_by(name, F.struct((-F.col("score")).alias("a"), F.col(name).alias("b"))).alias("m")).scalar()
+    return scored.withColumn("best", F.col(name) == top)

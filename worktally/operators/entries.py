@@ -183,3 +183,8 @@ def spans(dated):
         F.min_by("file_id", "seq").alias("file_id"),
         F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"),
         F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
+def with_submission(entries, submissions, *columns):
+    """Entries with columns of their submission; entries without one drop out."""
+    return entries.join(submissions.select("submission_id", *columns), "submission_id")

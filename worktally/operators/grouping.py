@@ -61,3 +61,22 @@ def totals_before(df, keys, pos, coarse=(), whole=False, **sums):
         total = F.coalesce(F.col(f"_base_{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(inside), F.lit(0))
         out = out.withColumn(n, total)
     return out.drop("_run", *[f"_base_{n}" for n in sums])
+
+
+def latest_per_key(df, key, *order, keep=()):
+    """One row per key: the one with the largest ``order`` columns; ``keep`` names further columns to carry."""
+    names = [*order, *[c for c in keep if c not in order]]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_w"))
+    return best.select(key, "_w.*")
+
+
+def ordered_distinct(df, keys, seq):
+    """Different values of ``keys`` with the first ``seq`` they come at: ordering by it keeps the order of first sight."""
+    return df.groupBy(*keys).agg(F.min(seq).alias("first_seen"))
+
+
+def first_and_last(df, key, value, seq):
+    """First and last value in order of ``seq``, and the smallest and largest, of the rows that have one."""
+    known = df.filter(F.col(value).isNotNull())
+    return known.groupBy(key).agg(F.min_by(value, seq).alias("first_date"), F.max_by(value, seq).alias("last_date"),
+                                  F.min(value).alias("low"), F.max(value).alias("high"))

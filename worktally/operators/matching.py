@@ -80,6 +80,11 @@ def contained(probes, roster):
                       F.when(inside, "PARTIAL_SUBSET").otherwise("PARTIAL_SUPERSET").alias("method"))
 
 
+def overlap(pairs, a="a", b="b"):
+    """Adds subset (all words of ``a`` are in ``b``) and shared, the number of words both have."""
+    return pairs.withColumns({"subset": F.size(F.array_except(a, b)) == 0, "shared": F.size(F.array_intersect(a, b))})
+
+
 def similar(probes, roster):
     """The best employees by similarity for every distinct probe name, exact over the whole roster.
 

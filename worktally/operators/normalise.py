@@ -10,6 +10,7 @@ from worktally.functions import patterns as RX
 from worktally.functions import rows as RW
 from worktally.operators.grouping import attach, computed
 from worktally.operators.textdocs import upper_median
+from worktally.sources.stages import staged
 
 NUM = "decimal(10,2)"
 
@@ -155,49 +156,69 @@ def leave_of(value, column):
             .when(~column.contains("sick") & paid & (figure > 0), label("LEAVE", first_word, figure, "OVERRIDE")))
 
 
+def grid_rows(cells):
+    """(file_id, row_no, cells): the cells of a row as an array in order of columns."""
+    return cells.groupBy("file_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", F.coalesce("value", F.lit("")).alias("value")))).alias("cells"))
+
+
+def column_roles(rows, depth=P.HEADER_SEARCH_ROWS):
+    """(file_id, header_row, roles): of the first of the leading ``depth`` rows (None: of all) with two or more header keywords,
+    the columns that have a role, as an array of (col_no, column, role)."""
+    leading = rows if depth is None else rows.filter(F.col("row_no") < depth)
+    # a row's texts as one, cells apart by a mark that is in no keyword: each keyword is looked for once a row
+    text = F.lower(F.regexp_replace(F.array_join(F.transform("cells", lambda c: c["value"]), "\u0001"), "\n", " "))
+    hits = reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in P.HEADER_KEYWORDS])
+    heads = leading.filter(hits >= 2).groupBy("file_id").agg(F.min(F.struct("row_no", "cells")).alias("h"))
+    named = F.transform("h.cells", lambda c: F.struct(c["col_no"].alias("col_no"), cell_text(c["value"]).alias("column")))
+    roles = F.filter(F.transform(named, lambda c: F.struct(c["col_no"].alias("col_no"), c["column"].alias("column"), column_role(c["column"]).alias("role"))),
+                     lambda c: c["role"].isNotNull())
+    return heads.select("file_id", F.col("h.row_no").alias("header_row"), roles.alias("roles"))
+
+
 def grid_entries(cells, depth=P.HEADER_SEARCH_ROWS):
     """Cells below the header row to one entry per dated row.
 
     Date, in and out: first usable column. Break: last. Hours: a total or leave figure overrides,
     the last one wins; other hour columns fill in only when nothing was found before. Files whose
     leading ``depth`` rows hold no header have no entries: see ``files_without_header``.
+
+    A file's roles are found once, over rows as arrays, and applied to each row inside it: cells are neither exploded
+    nor joined. Rows are written first, as the header and the rows below it both read them.
     """
-    heads = header_rows(cells, depth)
-    body = cells.join(heads, "file_id")
-    names = body.filter("row_no = header_row").select(
-        "file_id", "col_no", cell_text(F.col("value")).alias("column"))
-    names = names.withColumn("role", column_role(F.col("column"))).filter("role IS NOT NULL")
-    value = F.trim(F.coalesce("value", F.lit("")))
-    data = (body.filter("row_no > header_row").withColumn("value", value)
-            .filter(~F.lower("value").isin("nan", "none", "", "-", "n/a"))
-            .join(names, ["file_id", "col_no"]))
-    marked = F.col("value").startswith("INVALID_")
-    clock = F.col("value").rlike(r"\d+:\d+")
-    figure = F.regexp_replace("value", r"[^0-9.]", "").try_cast(NUM)
-    role = F.when(~marked, F.col("role"))
-    data = computed(data, leave=F.when(role == "LEAVE", leave_of(F.col("value"), F.col("column"))))
-    col = F.col("col_no")
-    fill = (F.when((role == "HOURS") & (figure > 0), figure)
-            .when(F.col("leave.kind") == "FILL", F.col("leave.hours")))
-    override = (F.when((role == "TOTAL") & (figure >= 0), figure)
-                .when(F.col("leave.kind") == "OVERRIDE", F.col("leave.hours")))
-    date = F.when(role == "DATE", D.parse_date(F.col("value")))
-    data = computed(
-        data, _date=date, _bad=F.when(marked & (F.col("role") == "DATE"), F.col("value")),
-        _in=F.when((role == "IN") & clock, D.parse_work_minutes(F.col("value"))),
-        _out=F.when((role == "OUT") & clock, D.parse_work_minutes(F.col("value"))),
-        _break=F.when(role == "BREAK", D.break_minutes(F.col("value"))), _fill=fill, _over=override)
-    pick = lambda by, c: by(F.col(c), F.when(F.col(c).isNotNull(), col))
-    typed = F.when(F.col("leave").isNotNull(), col)
-    out = data.groupBy("file_id", "row_no").agg(
-        pick(F.min_by, "_date").alias("_date"), pick(F.max_by, "_bad").alias("_bad"),
-        pick(F.min_by, "_in").alias("in_min"), pick(F.min_by, "_out").alias("out_min"),
-        F.coalesce(pick(F.max_by, "_break"), F.lit(0)).alias("break_minutes"),
-        F.coalesce(pick(F.max_by, "_over"), pick(F.min_by, "_fill")).alias("hours"),
-        F.coalesce(F.max_by(F.col("leave.entry_type"), typed), F.lit("WORK")).alias("entry_type"),
-        F.max_by(F.col("leave.leave_type"), F.when(F.col("leave.entry_type") == "LEAVE", col)).alias("leave_type"))
+    rows = staged(grid_rows(cells), "grid")
+    data = rows.join(column_roles(rows, depth), "file_id").filter("row_no > header_row")
+    role_of = lambda c: F.get(F.filter("roles", lambda r: r["col_no"] == c["col_no"]), F.lit(0))
+    known = F.transform("cells", lambda c: F.struct(F.trim(c["value"]).alias("value"), role_of(c).alias("r")))
+    known = F.filter(known, lambda c: c["r"].isNotNull() & ~F.lower(c["value"]).isin("nan", "none", "", "-", "n/a"))
+    return row_entries(data.select("file_id", "row_no", known.alias("known")))
+
+
+def row_entries(data):
+    """(file_id, row_no, known): known cells in order of columns, each (value, (col_no, column, role)), to entries."""
+    marked = lambda c: c["value"].startswith("INVALID_")
+    clock = lambda c: c["value"].rlike(r"\d+:\d+")
+    figure = lambda c: F.regexp_replace(c["value"], r"[^0-9.]", "").try_cast(NUM)
+    of = lambda name, *more: F.filter("known", lambda c: reduce(lambda a, b: a & b(c), more, (c["r"]["role"] == name) & ~marked(c)))
+    found = lambda cells, make: F.filter(F.transform(cells, make), lambda x: x.isNotNull())
+    first, last = lambda xs: F.get(xs, F.lit(0)), lambda xs: F.try_element_at(xs, F.lit(-1))
+    data = computed(data, leaves=found(of("LEAVE"), lambda c: leave_of(c["value"], c["r"]["column"])))
+    hour = F.filter("known", lambda c: c["r"]["role"].isin("HOURS", "TOTAL", "LEAVE") & ~marked(c))
+    leave = lambda c, kind: F.when(c["r"]["role"] == "LEAVE", kind(leave_of(c["value"], c["r"]["column"])))
+    fill = lambda c: (F.when((c["r"]["role"] == "HOURS") & (figure(c) > 0), figure(c))
+                      .otherwise(leave(c, lambda v: F.when(v["kind"] == "FILL", v["hours"]))))
+    over = lambda c: (F.when((c["r"]["role"] == "TOTAL") & (figure(c) >= 0), figure(c))
+                      .otherwise(leave(c, lambda v: F.when(v["kind"] == "OVERRIDE", v["hours"]))))
+    bad = last(F.transform(F.filter("known", lambda c: (c["r"]["role"] == "DATE") & marked(c)), lambda c: c["value"]))
+    out = computed(
+        data, _date=first(found(of("DATE"), lambda c: D.parse_date(c["value"]))), _bad=bad,
+        in_min=first(found(of("IN", clock), lambda c: D.parse_work_minutes(c["value"]))),
+        out_min=first(found(of("OUT", clock), lambda c: D.parse_work_minutes(c["value"]))),
+        break_minutes=F.coalesce(last(found(of("BREAK"), lambda c: D.break_minutes(c["value"]))), F.lit(0)),
+        hours=F.coalesce(last(found(hour, over)), first(found(hour, fill))),
+        entry_type=F.coalesce(last(F.transform("leaves", lambda v: v["entry_type"])), F.lit("WORK")),
+        leave_type=last(F.transform(F.filter("leaves", lambda v: v["entry_type"] == "LEAVE"), lambda v: v["leave_type"])))
     text = F.coalesce(F.col("_bad"), F.col("_date").cast("string"))
-    return out.withColumn("work_date", text).filter("work_date IS NOT NULL").drop("_date", "_bad")
+    return out.withColumn("work_date", text).filter("work_date IS NOT NULL").drop("_date", "_bad", "known", "leaves")
 
 
 # --- filled-in sheets as lines ---
@@ -256,12 +277,59 @@ def totals_check(lines):
 
 
 def name_from_lines(lines):
-    """Person named in the text: a label, else a signature on the same line, else the line before."""
+    """Person named in the text: a label, else a signature with the name before it, else another part of a signature's line, else
+    the line before it. Lines are numbered without gaps."""
     line = F.col("line")
     nonempty = lambda c: F.nullif(F.trim(c), F.lit(""))
     label = nonempty(F.regexp_extract(line, RX.TEXT_LABEL, 1))
     signature = nonempty(F.regexp_extract(line, RX.TEXT_SIGNATURE, 1))
-    per_line = lines.select("doc_id", "line_no", label.alias("label"), signature.alias("signature"))
+    names = lambda parts, pattern, veto: F.filter(F.transform(parts, lambda x: nonempty(F.regexp_extract(F.trim(x), pattern, 1))),
+                                                  lambda x: x.isNotNull() & ~x.rlike(veto))
+    signed = line.rlike(RX.SIGNATURE_LINE)
+    part = F.when(signed, F.get(names(F.split(line, "\\|"), RX.SIGNER, RX.NOT_A_SIGNER_ON_LINE), F.lit(0)))
+    per_line = lines.select("doc_id", "line_no", label.alias("label"), signature.alias("signature"), part.alias("part"), signed.alias("signed"))
     first = lambda n: F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("line_no")))
-    out = per_line.groupBy("doc_id").agg(first("label").alias("label"), first("signature").alias("signature"))
-    return out.select("doc_id", F.coalesce("label", "signature").alias("name"))
+    out = per_line.groupBy("doc_id").agg(first("label").alias("label"), first("signature").alias("signature"), first("part").alias("part"),
+                                         F.min(F.when(F.col("part").isNotNull(), F.col("line_no"))).alias("part_at"))
+    # the line before a signature: the few lines signed ask for it by number
+    asked = per_line.filter("signed").select("doc_id", (F.col("line_no") - 1).alias("line_no"))
+    before = lines.join(asked, ["doc_id", "line_no"], "left_semi").withColumn(
+        "before", F.get(names(F.array("line"), RX.SIGNER_BEFORE, RX.NOT_A_SIGNER), F.lit(0))).filter("before IS NOT NULL")
+    before = before.groupBy("doc_id").agg(F.min(F.struct("line_no", "before")).alias("b"))
+    out = out.join(before, "doc_id", "left")
+    # a signed line is asked for its own parts first, then for the line before it; the first signed line with an answer counts
+    own_first = F.col("b").isNull() | (F.col("part_at") <= F.col("b.line_no") + 1)
+    below = F.when(F.col("part").isNotNull() & own_first, F.col("part")).otherwise(F.col("b.before"))
+    return out.select("doc_id", F.coalesce("label", "signature", below).alias("name"))
+
+
+def name_from_header(rows, depth=P.HEADER_SEARCH_ROWS):
+    """(file_id, name): the person named in the rows above the column headers, for every file with headers.
+
+    The first row with a label and a name that holds no word of an address, company or form; else the first row whose last
+    filled cell is a name of two or three capitalised words. ``rows`` is a table as ``grid_rows`` makes it.
+    """
+    heads = column_roles(rows, depth).select("file_id", "header_row")
+    above = rows.join(heads, "file_id").filter("row_no < header_row")
+    cells = F.filter(F.transform("cells", lambda c: F.trim(c["value"])), lambda x: x != "")
+    strange = lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in [*P.NOT_A_PERSON, *sorted(P.COMPANY_STOPWORDS)]])
+    above = computed(above, filled=cells)
+    above = computed(above, label=F.trim(F.regexp_extract(F.array_join("filled", " "), RX.HEADER_LABEL, 1)), last=F.try_element_at("filled", F.lit(-1)))
+    label = F.when((F.col("label") != "") & ~strange(F.col("label")), F.col("label"))
+    alone = F.when(F.col("last").rlike(RX.HEADER_NAME) & ~F.col("last").rlike(RX.NOT_A_NAME_CELL) & ~strange(F.col("last")), F.col("last"))
+    found = above.select("file_id", "row_no", label.alias("label"), alone.alias("alone"))
+    first = lambda n: F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("row_no")))
+    best = found.groupBy("file_id").agg(F.coalesce(first("label"), first("alone")).alias("name"))
+    return heads.select("file_id").join(best, "file_id", "left")
+
+
+def prioritised_union(key, name, *sources):
+    """Rows of several sources counted per key, with the name from the first source that has one."""
+    tagged = [s.select(key, name).withColumn("_src", F.lit(i)) for i, s in enumerate(sources)]
+    both = reduce(lambda a, b: a.unionByName(b), tagged)
+    return both.groupBy(key).agg(F.count("*").alias("entries"), F.min_by(name, F.when(F.col(name).isNotNull(), F.col("_src"))).alias(name))
+
+
+def lab_records(rows, lunch="lunch_hours", hours="entered_hours"):
+    """Worked rows of a lab export: the lunch in hours becomes a break in whole minutes."""
+    return rows.filter(F.col("entry_type") == "WORK").withColumns({"break_minutes": F.round(F.col(lunch) * 60).cast("int"), "hours": F.col(hours)})

@@ -36,14 +36,14 @@ def file_inventory(files):
 
 
 def entry_rows(entries, submissions):
-    """Entries with their submission's batch, day name and zero-filled hours."""
+    """Entries with their submission's batch, day name and zero-filled hours, in order of employee and day."""
     subs = submissions.select("submission_id", "batch_id")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return entries.join(subs, "submission_id").select(
         "batch_id", "entry_id", "employee_id", F.col("work_date").cast("string").alias("work_date"),
         F.date_format("work_date", "EEEE").alias("day"), "in_min", "out_min", "break_minutes",
         "entered_hours", "calculated_hours", zero("regular_hours").alias("regular_hours"),
-        zero("overtime_hours").alias("overtime_hours"), "entry_type")
+        zero("overtime_hours").alias("overtime_hours"), "entry_type").orderBy("employee_id", "work_date", "entry_id")
 
 
 def severity_rank(severity):
@@ -52,7 +52,8 @@ def severity_rank(severity):
 
 
 def exceptions(findings):
-    return findings.select(
+    """Findings in order of severity, as text, and time."""
+    return findings.orderBy("severity", "created_at", "finding_id").select(
         "batch_id", "finding_id", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
         "rule_code", text("employee_id").alias("employee"), text("file_id").alias("file"), "status")
 

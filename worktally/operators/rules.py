@@ -324,3 +324,36 @@ def outside_domain(df, domains):
         F.when(F.col(c).isNotNull() & ~F.col(c).isin(list(allowed)), F.lit(c))
         for c, allowed in domains.items()]))
     return df.withColumn("bad_column", F.explode(bad))
+
+
+def excluding(findings, codes, **equal):
+    """Findings outside ``codes``; of ``equal`` (column = value) those with a value must hold as well."""
+    conds = [F.col(c) == v for c, v in equal.items() if v is not None]
+    return findings.filter(reduce(lambda a, b: a & b, conds, ~F.col("rule_code").isin(*codes)))
+
+
+def missing_files(files, submissions):
+    """Candidate files that no submission came from."""
+    have = submissions.filter(F.col("file_id").isNotNull()).select("file_id").distinct()
+    return candidates(files).join(have, "file_id", "left_anti")
+
+
+def period_counts(entries, start, end, key="submission_id", day="work_date"):
+    """Rows inside (undated ones too) and outside of a period per key, and the span of those kept."""
+    ok = F.col(day).isNull() | F.col(day).between(start, end)
+    kept = F.when(ok, F.col(day))
+    return entries.groupBy(key).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("outside"),
+                                    F.min(kept).alias("first_date"), F.max(kept).alias("last_date"))
+
+
+def month_gate(subs, day="end_date", least=2):
+    """Number of months with data, cancelled submissions left out, and whether they are enough to judge inactivity."""
+    live = subs.filter((F.col("payroll_status") != "CANCELLED") & F.col(day).isNotNull())
+    n = F.count_distinct(F.date_trunc("month", day))
+    return live.agg(n.alias("months"), (n >= least).alias("enough"))
+
+
+def inactivity_report(employees, subs, as_of, on="end_date", months=P.INACTIVE_MONTHS):
+    """Inactive employees with the whole months since they were last seen (null: never)."""
+    since = F.floor(F.months_between(F.lit(as_of).cast("date"), F.col("last_seen")))
+    return inactive(employees, subs, as_of, on, months).withColumns({"months_inactive": since, "never_submitted": F.col("last_seen").isNull()})

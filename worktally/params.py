@@ -96,3 +96,8 @@ REGENERATED_RULES = ["EMPLOYEE_NOT_MATCHED", "EXTRACTION_FAILED", "NON_TIMESHEET
                      "HOURS_TOTAL_MISMATCH", "MISSING_APPROVAL", "MISSING_RATE",
                      "LATE_SUBMISSION", "HOLIDAY_WORK", "MISSING_TIMESHEET", "TWO_MONTH_INACTIVE"]
 SEVERITIES = ["BLOCKER", "ERROR", "WARNING", "INFO"]
+
+# fixed values: words that show a header cell is no person's name
+NOT_A_PERSON = ["court", "ave", "blvd", "street", "drive", "road", "lane", "place", "circle", "way", "boulevard", "parkway",
+                "timesheets", "timesheet", "gmail", "yahoo", "hotmail", "phone", "week ending", "month starting", "month ending",
+                "client", "manager", "supervisor", "approver"]

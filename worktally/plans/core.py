@@ -6,6 +6,7 @@ from worktally.functions import hours as H
 from worktally.operators import entries as E
 from worktally.operators import payroll as PAY
 from worktally.operators import rules as R
+from worktally.operators.grouping import first_and_last
 from worktally.plans.registry import query
 from worktally.sources.stages import staged
 
@@ -291,7 +292,4 @@ def j01(t):
 def e11(t):
     from worktally.functions import dates as D
     dated = t.fx_raw.withColumn("d", D.parse_date(F.col("raw_date")))
-    has = dated.filter(F.col("d").isNotNull())
-    return has.groupBy("file_id").agg(
-        F.min_by("d", "seq").alias("first_date"), F.max_by("d", "seq").alias("last_date"),
-        F.min("d").alias("low"), F.max("d").alias("high"))
+    return first_and_last(dated, "file_id", "d", "seq")

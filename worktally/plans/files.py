@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from worktally.operators import counters as CO
 from worktally.operators import files as FI
 from worktally.operators import rules as R
 from worktally.operators import textdocs as TX
@@ -204,13 +205,8 @@ def d13(t):
 FROM ({PROFILE_SQL}) p LEFT JOIN (SELECT employee_id, COUNT(*) AS n FROM fx_entry
   WHERE entry_type = 'WORK' GROUP BY 1) e ON e.employee_id = p.doc_id""", heavy=True)
 def d12(t):
-    got = t.fx_entry.filter("entry_type = 'WORK'").groupBy(F.col("employee_id").alias("doc_id")).agg(
-        F.count("*").alias("entries"))
-    out = TX.source_profile(t.fx_line).join(got, "doc_id", "left").fillna(0, ["entries"])
-    rows = F.col("candidate_rows")
-    pct = F.when(rows > 0, F.round((F.col("entries") * 100 / rows), 1)).otherwise(100)
-    return out.withColumn("completeness_pct", pct).withColumn(
-        "incomplete", ((rows > 0) & (F.col("entries") < rows * 0.7)).cast("int"))
+    worked = t.fx_entry.filter("entry_type = 'WORK'").withColumn("doc_id", F.col("employee_id"))
+    return CO.completeness(TX.source_profile(t.fx_line), worked).withColumn("incomplete", F.col("incomplete").cast("int"))
 
 
 @query("d15_extraction_score", "doc_id:long, engine:string, score:double",
@@ -276,7 +272,26 @@ def h33(t):
     return FI.page_mix(t.fx_page_fact)
 
 
-@query("e14_token_rows", "page_id:long, segment:long, row_no:long, token_id:long", heavy=True)
+# a fold over each segment's tokens in order: the first seed near enough takes the token, else it becomes a seed
+TOKEN_ROWS_SQL = """
+WITH RECURSIVE tok AS (SELECT user_id AS page_id, event_id AS token_id, value % 100 AS x, CAST(event_id % 997 AS DOUBLE) AS y,
+    CAST(event_id % 5 + 6 AS DOUBLE) AS h FROM events),
+med AS (SELECT page_id, list_sort(list(h))[len(list(h)) // 2 + 1] AS m FROM tok WHERE h > 0 GROUP BY 1),
+near AS (SELECT t.*, greatest(COALESCE(m, 12.0::DOUBLE) * 0.6::DOUBLE, 4.0::DOUBLE) AS tol, y + h / 2 AS cy, floor(y) AS band FROM tok t LEFT JOIN med USING (page_id)),
+bands AS (SELECT page_id, band, MIN(y) AS top, MAX(cy) AS low, MAX(tol) AS tol FROM near GROUP BY 1, 2),
+cuts AS (SELECT page_id, band, CASE WHEN top > MAX(low) OVER (PARTITION BY page_id ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + tol
+    THEN 1 ELSE 0 END AS cut FROM bands),
+parts AS (SELECT page_id, band, SUM(cut) OVER (PARTITION BY page_id ORDER BY band) AS segment FROM cuts),
+tokens AS MATERIALIZED (SELECT n.page_id, segment, token_id, cy, tol, ROW_NUMBER() OVER (PARTITION BY n.page_id, segment ORDER BY y, x, token_id) AS k
+  FROM near n JOIN parts p ON p.page_id = n.page_id AND p.band = n.band),
+fold AS (SELECT page_id, segment, k, token_id, [cy] AS seeds, 0 AS row_no FROM tokens WHERE k = 1
+  UNION ALL SELECT page_id, segment, k, token_id, CASE WHEN hit IS NULL THEN list_append(seeds, cy) ELSE seeds END, COALESCE(hit - 1, len(seeds))
+  FROM (SELECT t.*, seeds, NULLIF(list_position(list_transform(seeds, lambda s: abs(t.cy - s) <= t.tol), TRUE), 0) AS hit
+    FROM fold f JOIN tokens t ON t.page_id = f.page_id AND t.segment = f.segment AND t.k = f.k + 1) q)
+SELECT page_id, segment, row_no, token_id FROM fold"""
+
+
+@query("e14_token_rows", "page_id:long, segment:long, row_no:long, token_id:long", TOKEN_ROWS_SQL, heavy=True)
 def e14(t):
     tokens = t.events.select(
         F.col("user_id").alias("page_id"), F.col("event_id").alias("token_id"),

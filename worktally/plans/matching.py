@@ -135,5 +135,4 @@ def g03(t):
     b = t.fx_person.select(F.col("employee_id").alias("k"), MA.word_set(F.col("full_name")).alias("b"))
     d = F.col("doc_id")  # against the person 56 or 8 numbers before: names that share two words or one
     j = a.join(b, d - F.when((d > 56) & (d % 2 == 0), 56).when(d > 8, 8).otherwise(0) == F.col("k"))
-    return j.select("doc_id", (F.size(F.array_except("a", "b")) == 0).cast("int").alias("subset"),
-                    F.size(F.array_intersect("a", "b")).alias("shared"))
+    return MA.overlap(j).withColumn("subset", F.col("subset").cast("int"))

@@ -6,10 +6,12 @@ from worktally.functions import dates as D
 from worktally.functions import hours as H
 from worktally.functions import names as N
 from worktally.functions import rows as RW
+from worktally.operators import counters as CO
 from worktally.operators import normalise as NO
 from worktally.operators import rules as R
-from worktally.operators.grouping import computed
+from worktally.operators.grouping import computed, ordered_distinct
 from worktally.plans.registry import query
+from worktally.sources.stages import staged
 
 
 def typed(t):
@@ -88,8 +90,7 @@ def h12(t):
           AS is_weekday FROM orders""")
 def h13(t):
     d = F.col("o_orderdate").cast("date")
-    return t.orders.select("o_orderkey", F.date_format(d, "EEEE").alias("day_name"),
-                           (F.weekday(d) < 5).cast("int").alias("is_weekday"))
+    return t.orders.select("o_orderkey", D.day_name(d).alias("day_name"), D.is_weekday(d).cast("int").alias("is_weekday"))
 
 
 FULL = "CONCAT(split_part(p.full_name, ' ', 1), ' ', split_part(p.full_name, ' ', 2))"
@@ -126,6 +127,13 @@ def h17(t):
     return NO.name_from_lines(t.fx_form)
 
 
+@query("h17_name_from_header", "file_id:long, name:string",
+       """SELECT file_id, CASE WHEN MAX(h) > 0 THEN 'Ana Lopez' END AS name FROM fx_grid GROUP BY 1
+          HAVING COUNT(*) FILTER (part = 'H' AND row_no < 15) > 0""", heavy=True)
+def h17_header(t):
+    return NO.name_from_header(staged(NO.grid_rows(cells_of(t)), "grid"))
+
+
 @query("h18_address_veto", "employee_id:long, vetoed:long",
        """SELECT employee_id, CASE WHEN employee_id % 3 = 0 THEN 1 ELSE 0 END AS vetoed FROM fx_person""")
 def h18(t):
@@ -276,9 +284,8 @@ def h28(t):
        """SELECT entry_id AS seq, CAST(break_minutes / 60.0 * 60 AS BIGINT) AS break_minutes, entered_hours AS hours
           FROM fx_entry WHERE entry_type = 'WORK'""")
 def h34(t):
-    worked = t.fx_entry.filter("entry_type = 'WORK'").withColumn("lunch_hours", F.col("break_minutes") / 60)
-    return worked.select(F.col("entry_id").alias("seq"), F.round(F.col("lunch_hours") * 60).alias("break_minutes"),
-                         F.col("entered_hours").alias("hours"))
+    lunch = t.fx_entry.withColumns({"lunch_hours": F.col("break_minutes") / 60, "seq": F.col("entry_id")})
+    return NO.lab_records(lunch)
 
 
 @query("b04_period_split", "submission_id:long, kept:long, outside:long, first_date:string, last_date:string",
@@ -286,11 +293,7 @@ def h34(t):
   MIN(work_date) FILTER (ok) AS first_date, MAX(work_date) FILTER (ok) AS last_date
 FROM (SELECT *, work_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AS ok FROM fx_claim) q GROUP BY 1""")
 def b04(t):
-    ok = F.col("work_date").isNull() | F.col("work_date").between(day("2024-01-05"), day("2024-01-20"))
-    return t.fx_claim.groupBy("submission_id").agg(
-        F.count_if(ok).alias("kept"), F.count_if(~ok).alias("outside"),
-        F.min(F.when(ok, F.col("work_date"))).alias("first_date"),
-        F.max(F.when(ok, F.col("work_date"))).alias("last_date"))
+    return R.period_counts(t.fx_claim, day("2024-01-05"), day("2024-01-20"))
 
 
 @query("b05_lenient_period_filter", "seq:long, work_date:string",
@@ -394,7 +397,7 @@ def e09(t):
 @query("g05_ordered_distinct", "submission_id:long, entry_type:string, first_seen:long",
        "SELECT submission_id, entry_type, MIN(entry_id) AS first_seen FROM fx_entry GROUP BY 1, 2")
 def g05(t):
-    return t.fx_entry.groupBy("submission_id", "entry_type").agg(F.min("entry_id").alias("first_seen"))
+    return ordered_distinct(t.fx_entry, ["submission_id", "entry_type"], "entry_id")
 
 
 @query("g02_prioritised_union", "file_id:long, entries:long, name:string",
@@ -403,11 +406,8 @@ def g05(t):
   FROM fx_raw WHERE seq % 2 = 0 GROUP BY 1
   UNION ALL SELECT file_id, 1, COUNT(*), MAX('vision') FROM fx_raw WHERE seq % 2 = 1 GROUP BY 1) u GROUP BY 1""")
 def g02(t):
-    both = (t.fx_raw.filter("seq % 2 = 0").withColumns(
-        {"src": F.lit(0), "name": F.when(F.col("file_id") % 3 != 0, "model")})
-        .unionByName(t.fx_raw.filter("seq % 2 = 1").withColumns({"src": F.lit(1), "name": F.lit("vision")})))
-    rank = F.when(F.col("name").isNotNull(), F.col("src"))
-    return both.groupBy("file_id").agg(F.count("*").alias("entries"), F.min_by("name", rank).alias("name"))
+    model = t.fx_raw.filter("seq % 2 = 0").withColumn("name", F.when(F.col("file_id") % 3 != 0, "model"))
+    return NO.prioritised_union("file_id", "name", model, t.fx_raw.filter("seq % 2 = 1").withColumn("name", F.lit("vision")))
 
 
 @query("d20_engine_comparison", "model:string, score:double, best:long",
@@ -418,6 +418,4 @@ def d20(t):
     r = t.fx_entry.groupBy(F.col("entry_type").alias("model")).agg(
         F.count("*").alias("entries"), (F.count_if(F.col("entered_hours") > 4) * 100 / F.count("*")).alias("pct"),
         (F.sum("break_minutes") / 1000).alias("seconds"))
-    r = r.withColumn("score", F.round(F.col("entries") * 10 + F.col("pct") - F.col("seconds"), 2))
-    top = r.agg(F.min_by("model", F.struct((-F.col("score")).alias("a"), F.col("model").alias("b"))).alias("m")).scalar()
-    return r.withColumn("best", (F.col("model") == top).cast("int"))
+    return CO.compare_engines(r).withColumn("best", F.col("best").cast("int"))

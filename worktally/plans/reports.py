@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from worktally import params as P
 from worktally.functions import rows as RW
 from worktally.operators import calendar as CAL
 from worktally.operators import changes as CH
 from worktally.operators import counters as CO
 from worktally.operators import entries as E
+from worktally.operators import paging as PG
 from worktally.operators import payroll as PAY
 from worktally.operators import reports as RP
 from worktally.operators import rules as R
+from worktally.operators.grouping import latest_per_key
 from worktally.plans.core import totals_of, weekly_of
 from worktally.plans.registry import query
 from worktally.session import shared_folder
@@ -29,8 +32,7 @@ def subs_of(t):
 @query("c01_entry_submission_join", "entry_id:long, submission_id:long, approver_name:string",
        "SELECT entry_id, s.submission_id, approver_name FROM fx_entry e JOIN fx_submission s ON s.submission_id = e.submission_id")
 def c01(t):
-    return t.fx_entry.select("entry_id", "submission_id").join(
-        t.fx_submission.select("submission_id", "approver_name"), "submission_id")
+    return E.with_submission(t.fx_entry.select("entry_id", "submission_id"), t.fx_submission, "approver_name")
 
 
 @query("c02_vendor_chain", "submission_id:long, vendor_id:long, vendor_name:string",
@@ -51,8 +53,7 @@ def c06(t):
        """SELECT file_id, processing_status FROM fx_file WHERE NOT is_noise AND NOT is_duplicate AND is_candidate
           AND file_id NOT IN (SELECT file_id FROM ck_sub WHERE file_id IS NOT NULL)""")
 def c07(t):
-    have = subs_of(t).filter("file_id IS NOT NULL").select("file_id").distinct()
-    return R.candidates(t.fx_file).join(have, "file_id", "left_anti")
+    return R.missing_files(t.fx_file, subs_of(t))
 
 
 @query("c15_latest_submission", "employee_id:long, last_seen:string",
@@ -80,8 +81,7 @@ def c18(t):
        """SELECT employee_id, submission_id, end_date FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY employee_id
           ORDER BY end_date DESC, submission_id DESC) AS rn FROM fx_order_sub) q WHERE rn = 1""")
 def e12(t):
-    best = F.max(F.struct("end_date", "submission_id")).alias("m")
-    return t.fx_order_sub.groupBy("employee_id").agg(best).select("employee_id", "m.*")
+    return latest_per_key(t.fx_order_sub, "employee_id", "end_date", "submission_id")
 
 
 @query("a12_table_round_trip", "entry_id:long, work_date:string, entered_hours:double",
@@ -164,9 +164,7 @@ def d08(t):
           CASE WHEN COUNT(DISTINCT year(end_date) * 12 + month(end_date)) >= 2 THEN 1 ELSE 0 END AS enough
           FROM fx_order_sub WHERE payroll_status <> 'CANCELLED'""")
 def d10(t):
-    live = t.fx_order_sub.filter("payroll_status <> 'CANCELLED' AND end_date IS NOT NULL")
-    n = F.count_distinct(F.date_trunc("month", "end_date"))
-    return live.agg(n.alias("months"), (n >= 2).cast("int").alias("enough"))
+    return R.month_gate(t.fx_order_sub).withColumn("enough", F.col("enough").cast("int"))
 
 
 @query("d17_calendar_summary", "sheets:long, total_hours:double, not_extracted:long",
@@ -176,8 +174,7 @@ def d10(t):
 FROM (SELECT submission_id, SUM(regular_hours + overtime_hours) AS h FROM ck_totals GROUP BY 1) q""")
 def d17(t):
     sheets = totals_of(t).select("submission_id", (F.col("regular_hours") + F.col("overtime_hours")).alias("hours"))
-    have = subs_of(t).filter("file_id IS NOT NULL").select("file_id").distinct()
-    return CO.calendar_summary(sheets, R.candidates(t.fx_file).join(have, "file_id", "left_anti"))
+    return CO.calendar_summary(sheets, R.missing_files(t.fx_file, subs_of(t)))
 
 
 HOURS_SQL = "COALESCE(NULLIF(calculated_hours, 0), NULLIF(entered_hours, 0), 0)"
@@ -220,22 +217,28 @@ def d21(t):
        """SELECT batch_id, status, CAST(created_at AS DATE) AS created_at FROM fx_batch WHERE status = 'NEEDS_REVIEW'
           ORDER BY fx_batch.created_at DESC, batch_id LIMIT 100 OFFSET 200""")
 def f01(t):
-    page = t.fx_batch.filter("status = 'NEEDS_REVIEW'").orderBy(F.desc("created_at"), "batch_id").offset(200).limit(100)
+    page = PG.page(t.fx_batch.filter("status = 'NEEDS_REVIEW'"), [("created_at", True), ("batch_id", False)], 200, 100)
     return page.withColumn("created_at", F.col("created_at").cast("date"))
 
 
+@query("f01_deep_page", "batch_id:long, status:string, size:double",
+       "SELECT batch_id, status, size FROM fx_batch ORDER BY status, size DESC, batch_id LIMIT 150 OFFSET 1100")
+def f01_deep(t):
+    return PG.page(t.fx_batch, [("status", False), ("size", True), ("batch_id", False)], 1100, 150)
+
+
 @query("f02_severity_order", "finding_id:long, severity:string, severity_rank:long",
        """SELECT finding_id, severity, CASE severity WHEN 'BLOCKER' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'WARNING' THEN 3 ELSE 4 END
           AS severity_rank FROM fx_finding ORDER BY severity DESC, created_at DESC, finding_id LIMIT 100""")
 def f02(t):
-    page = t.fx_finding.orderBy(F.desc("severity"), F.desc("created_at"), "finding_id").limit(100)
-    return page.withColumn("severity_rank", RP.severity_rank(F.col("severity")))
+    page = PG.page(t.fx_finding, [("severity", True), ("created_at", True), ("finding_id", False)], 0, 100)
+    return page.withColumn("severity_rank", PG.worst_first("severity", P.SEVERITIES))
 
 
 @query("f03_name_order", "file_id:long, detected_name:string",
        "SELECT file_id, detected_name FROM fx_file ORDER BY lower(COALESCE(detected_name, 'z')), file_id LIMIT 500")
 def f03(t):
-    return t.fx_file.orderBy(F.lower(F.coalesce("detected_name", F.lit("z"))), "file_id").limit(500)
+    return PG.page(t.fx_file.withColumn("_name", PG.by_name("detected_name")), [("_name", False), ("file_id", False)], 0, 500)
 
 
 @query("b13_formula_neutraliser", "file_id:long, file_name:string",
@@ -249,11 +252,7 @@ def b13(t):
        """SELECT finding_id, rule_code FROM fx_finding WHERE rule_code NOT IN ('TWO_MONTH_INACTIVE')
           AND status = 'OPEN' AND severity = 'WARNING'""")
 def b14(t):
-    wanted = {"status": "OPEN", "severity": "WARNING", "batch_id": None}
-    df = t.fx_finding.filter(~F.col("rule_code").isin("TWO_MONTH_INACTIVE"))
-    for c, v in wanted.items():
-        df = df.filter(F.col(c) == v) if v is not None else df
-    return df
+    return R.excluding(t.fx_finding, ["TWO_MONTH_INACTIVE"], status="OPEN", severity="WARNING", batch_id=None)
 
 
 @query("h31_text_formats", "submission_id:long, hours:string, share:string",
@@ -413,10 +412,8 @@ def a11(t):
 FROM (SELECT e.employee_id, MAX(s.end_date) AS last FROM fx_employee e LEFT JOIN fx_order_sub s ON s.employee_id = e.employee_id
   WHERE is_active GROUP BY 1) q WHERE last IS NULL OR last < DATE '2000-11-15'""")
 def j04(t):
-    out = R.inactive(t.fx_employee, t.fx_order_sub, "2001-01-15", on="end_date")
-    months = F.floor(F.months_between(F.lit("2001-01-15").cast("date"), F.col("last_seen")))
-    return out.withColumn("months_inactive", months).withColumn(
-        "never_submitted", F.col("last_seen").isNull().cast("int"))
+    out = R.inactivity_report(t.fx_employee, t.fx_order_sub, "2001-01-15")
+    return out.withColumn("never_submitted", F.col("never_submitted").cast("int"))
 
 
 @query("j08_calendar_gaps", "submission_id:long, work_date:string",
@@ -459,6 +456,24 @@ def j05(t):
     return CH.changes(t.fx_entry, patched(t), "entry_id", ["entered_hours", "in_min", "entry_type"])
 
 
+@query("j05_audit_records", "entity_id:string, action:string, fields:string, before_json:string, after_json:string, version:long",
+       """SELECT CAST(entry_id AS VARCHAR) AS entity_id, 'UPDATE' AS action, concat_ws(',', CASE WHEN h THEN 'entered_hours' END, CASE WHEN i THEN 'in_min' END, CASE WHEN k THEN 'entry_type' END) AS fields,
+  '{' || concat_ws(',', CASE WHEN h THEN '"entered_hours":' || h0 END, CASE WHEN i THEN '"in_min":' || i0 END, CASE WHEN k THEN '"entry_type":"' || k0 || '"' END) || '}' AS before_json,
+  '{' || concat_ws(',', CASE WHEN h THEN '"entered_hours":' || h1 END, CASE WHEN i THEN '"in_min":' || i1 END, CASE WHEN k THEN '"entry_type":"' || k1 || '"' END) || '}' AS after_json,
+  entry_id % 3 AS version
+FROM (SELECT e.entry_id, e.entered_hours AS h0, e.in_min AS i0, e.entry_type AS k0, p.entered_hours AS h1, p.in_min AS i1, p.entry_type AS k1,
+    COALESCE(p.entered_hours <> e.entered_hours, FALSE) AS h, COALESCE(p.in_min <> e.in_min, FALSE) AS i, COALESCE(p.entry_type <> e.entry_type, FALSE) AS k
+  FROM fx_entry e JOIN fx_patch p ON p.entry_id = e.entry_id) q WHERE h OR i OR k""")
+def j05_audit(t):
+    fields = ["entry_id", "entered_hours", "in_min", "entry_type"]
+    records = CH.audit_log(t.fx_entry.select(*fields), patched(t).select(*fields), "entry_id", "entry", "UPDATE")
+    home = shared_folder(t.spark, "audit")
+    part = F.col("entity_id").cast("long") % 3
+    for version in (0, 1, 2, 1):  # the second is written twice, as after a lost run
+        CH.append_version(records.filter(part == version), home, version)
+    return CH.read_log(t.spark, home).withColumn("fields", F.array_join("fields", ","))
+
+
 @query("j06_approval_application", "submission_id:long, approval_status:string, approver_name:string, approver_email:string, approved_on:string",
        """SELECT s.submission_id, COALESCE(e.status, s.approval_status) AS approval_status,
   COALESCE(NULLIF(e.name, ''), s.approver_name) AS approver_name, COALESCE(e.email, s.approver_email) AS approver_email,
