@@ -6,20 +6,21 @@ symbols become one, and the new neighbours go into the heap. Each merge takes on
 of initial symbols minus the number of merges; a symbol outside the model at the end counts its UTF-8 bytes. No
 identifier is made.
 
-No piece has a space mark after another character, so merges never cross the start of a run of spaces: a text is cut there
-into words, and a task merges each different word once. Texts are neither shuffled nor sent anywhere: only counts leave
+A merge makes a piece, so where no piece has two characters side by side none is made across them: a text is cut at the
+start of each run of spaces, which no piece has after another character, and, where the model's pieces allow it, between
+letters and other characters. A task merges each different word once. Texts are neither shuffled nor sent anywhere: only counts leave
 the task.
 """
 
-import heapq
 import re
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from worktally.llm import blocks as B
 
-CACHE = 400_000  # different words kept with their counts in a task
+CACHE = 1_000_000  # different words kept with their counts in a task
 KEPT = 64  # longer words are counted anew each time
 LONG = 1 << 20  # texts of more characters are not cut into a list of words at once
 SPACE = "▁"
@@ -37,9 +38,18 @@ class Pieces(dict):
         probe = " a  ﬁ①\t"
         if p.normalize(probe) != SPACE + probe.replace(" ", SPACE) or any(p.is_unused(i) for i in plain):
             raise ValueError("only models that leave texts as they are, put a space first and have no unused pieces are counted")
-        self.ranks = {p.id_to_piece(i): -p.get_score(i) for i in plain}
+        # whole numbers in the order of the scores; pieces of one score share one, and the leftmost goes first
+        order = {x: k for k, x in enumerate(sorted({-p.get_score(i) for i in plain}))}
+        self.ranks = {p.id_to_piece(i): order[-p.get_score(i)] for i in plain}
+        self.letters = {x for x in self.ranks if len(x) == 1}
         if any(SPACE in x.lstrip(SPACE) for x in self.ranks):
             raise ValueError("a piece reaches over the start of a run of spaces")
+        # letters apart from all else, if no piece mixes them
+        odd = re.escape("".join(sorted({c for x in self.ranks for c in x if c.isalnum() and not c.isalpha()})))
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        mixed = lambda x: 0 < len(letter.findall(x)) < len(x)
+        part = re.compile(rf" *[^\W\d_{odd}]+| *(?:[^\w ]|[\d_{odd}])+| +")
+        self.words = _WORD if any(mixed(x.lstrip(SPACE)) for x in self.ranks) else part
         self.unknown = any(p.is_byte(i) for i in range(p.vocab_size()))  # an unknown symbol counts its bytes
 
     def __missing__(self, word):
@@ -52,38 +62,43 @@ class Pieces(dict):
 
     def merged(self, text):
         """Initial symbols minus merges, with unknown symbols counted by their bytes."""
-        ranks, n = self.ranks, len(text)
-        symbol = list(text)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = [(ranks[x], i, x) for i, x in enumerate(map("".join, zip(symbol, symbol[1:], strict=False))) if x in ranks]
-        heapq.heapify(heap)
+        rank_of, n = self.ranks.get, len(text)
+        symbol, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [rank_of(text[i:i + 2]) for i in range(n - 1)]  # of a symbol and the next; the heap has rank * n + place
+        pair.append(None)
+        heap = [r * n + i for i, r in enumerate(pair) if r is not None]
+        heapify(heap)
         left = n
         while heap:
-            _, i, piece = heapq.heappop(heap)
-            j = after[i]
-            if symbol[i] is None or j >= n or symbol[i] + symbol[j] != piece:
+            rank, i = divmod(heappop(heap), n)
+            if pair[i] != rank:
                 continue  # one of the two has changed meanwhile
-            symbol[i], symbol[j] = piece, None
+            j = after[i]
+            piece = symbol[i] = symbol[i] + symbol[j]
+            pair[j] = symbol[j] = None
             left -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (x := piece + symbol[k]) in ranks:
-                    heapq.heappush(heap, (ranks[x], i, x))
+                rank = pair[i] = rank_of(piece + symbol[k])
+                if rank is not None:
+                    heappush(heap, rank * n + i)
+            else:
+                pair[i] = None
             h = before[i]
-            if h >= 0 and (x := symbol[h] + piece) in ranks:
-                heapq.heappush(heap, (ranks[x], h, x))
-        strange = [x for x in symbol if x and x not in ranks]
-        if self.unknown:
-            return left + sum(len(x.encode()) - 1 for x in strange)
-        return left
+            if h >= 0:
+                rank = pair[h] = rank_of(symbol[h] + piece)
+                if rank is not None:
+                    heappush(heap, rank * n + h)
+        if not self.unknown or self.letters.issuperset(text):
+            return left
+        return left + sum(len(x.encode()) - 1 for x in symbol if x and x not in self.ranks)
 
     def count(self, text):
         if not text:
             return 0
         text = " " + text.replace(SPACE, " ")
-        words = _WORD.findall(text) if len(text) <= LONG else (m[0] for m in _WORD.finditer(text))
+        words = self.words.findall(text) if len(text) <= LONG else (m[0] for m in self.words.finditer(text))
         return sum(map(self.__getitem__, words))
 
 
