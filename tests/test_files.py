@@ -25,11 +25,11 @@ def test_archive_guard(spark):
 
 
 def test_triage(spark):
-    names = ["desktop.ini", "Thumbs.db", "timesheet.xlsx", "image.png", "IMG_0042.jpg", "a.sh", "notes.txt", "README", ".csv"]
+    names = ["desktop.ini", "Thumbs.db", "hours.xlsx", "image.png", "IMG_0042.jpg", "a.sh", "notes.txt", "README", ".csv"]
     df = spark.createDataFrame([(n, False) for n in names] + [("copy.pdf", True)], "name string, dup boolean")
     got = {r["name"]: (r.processing_status, r.is_noise, r.is_candidate) for r in FI.triage(df, F.col("name"), F.col("dup")).collect()}
     assert got["desktop.ini"][0] == got["Thumbs.db"][0] == "IGNORED_NOISE"
-    assert got["timesheet.xlsx"] == ("DETECTED", False, True) and got["image.png"][2] and got["IMG_0042.jpg"][2]
+    assert got["hours.xlsx"] == ("DETECTED", False, True) and got["image.png"][2] and got["IMG_0042.jpg"][2]
     assert got["a.sh"] == ("UNSUPPORTED_FILE_TYPE", True, False) and got["notes.txt"] == ("UNSUPPORTED_FILE_TYPE", False, False)
     assert got["README"][2] and got["copy.pdf"][0] == "DUPLICATE_FILE"
 

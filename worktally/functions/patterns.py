@@ -68,11 +68,6 @@ HEADER_LABEL = (r"(?i)(?:employee|name|staff|worker|consultant|contractor|prepar
                 r"[:\s]+([A-Za-z][A-Za-z\-' ]{2,})")
 HEADER_NAME = r"^([A-Z][A-Za-z\-']{1,}\s+[A-Z][A-Za-z\-']{1,}(?:\s+[A-Z][A-Za-z\-']{1,})?)$"
 NOT_A_NAME_CELL = r"[@\d/\-:]"
-SIGNER = r"([A-Za-z][A-Za-z\-' ]{2,})"
-SIGNER_BEFORE = r"([A-Za-z][A-Za-z\-' ]{5,})"
-NOT_A_SIGNER_ON_LINE = r"(?i)employee|signature|date|manager|supervisor"
-SIGNATURE_LINE = r"(?i)employee\s+(?:signature|sign)"
-NOT_A_SIGNER = r"(?i)employee|signature|date|manager"
 PROPER_RUN = r"([A-Z][A-Za-z\-']{1,}(?:\s+[A-Z][A-Za-z\-']{1,})+)"
 
 # messages

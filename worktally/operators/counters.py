@@ -59,7 +59,7 @@ def file_stats(files):
         count_where(match.isNotNull()).alias("matched"),
         count_where(match.isNull() & candidate).alias("unmatched"),
         count_where(status.isin("EXTRACTION_FAILED", "FAILED")).alias("extraction_failed"),
-        count_where(status == "NON_TIMESHEET_DOCUMENT").alias("non_timesheet"))
+        count_where(status == "NON_TIMESHEET_DOCUMENT").alias("non_sheet"))
 
 
 def severity_histogram(findings):

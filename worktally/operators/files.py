@@ -100,7 +100,7 @@ def path_metadata(files, path="rel_path"):
 
 
 def document_type(text):
-    """Keyword hits decide between timesheet, other document and unknown."""
+    """Keyword hits decide between hours sheet, other document and unknown."""
     def decide(h):
         return (F.when((h.yes >= 2) & (h.yes > h.no), "TIMESHEET_CANDIDATE")
                 .when((h.no >= 2) & (h.no >= h.yes), "NON_TIMESHEET_DOCUMENT")
@@ -120,7 +120,7 @@ def extraction_score(text, table_rows, confidence):
 
 
 def is_sufficient(text, widest_table):
-    """Enough text or a real table, and something that looks like a timesheet."""
+    """Enough text or a real table, and something that looks like an hours sheet."""
     table = widest_table > 2
     enough = F.length(F.trim(text)) >= P.MIN_TEXT_CHARS
     return table | (enough & text.rlike(RX.HAS_SHEET_SIGNS))

@@ -42,7 +42,7 @@ def with_sender(messages, column="sender"):
 
 
 def classify_by_rules(messages):
-    """is_timesheet, confidence and reasons from subject, body and attachments (name, mime)."""
+    """is_sheet, confidence and reasons from subject, body and attachments (name, mime)."""
     subject, body = F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))
     files = F.coalesce(F.col("attachments"), F.array().cast("array<struct<name:string,mime:string>>"))
     fits = F.exists(files, lambda a: F.coalesce(is_document(a["name"]), F.lit(False))
@@ -59,7 +59,7 @@ def classify_by_rules(messages):
     reasons = F.array_compact(F.array(F.when(F.col("_subj"), "SUBJECT"), F.when(F.col("_body"), "BODY"),
                                       F.when(F.col("_fits"), "ATTACHMENT")))
     return df.withColumns({
-        "is_timesheet": ~F.col("_veto") & ~bare & yes,
+        "is_sheet": ~F.col("_veto") & ~bare & yes,
         "confidence": F.when(F.col("_veto"), dec(P.VETO_CONFIDENCE)).when(bare, dec(P.NO_ATTACHMENT_CONFIDENCE)).otherwise(conf),
         "reason": F.when(F.col("_veto"), "VETO").when(bare, "NO_ATTACHMENT")
         .when(F.size(reasons) == 0, "NO_SIGNAL").otherwise(F.array_join(reasons, ","))}).drop(
@@ -67,7 +67,7 @@ def classify_by_rules(messages):
 
 
 def blend(rule_yes, rule_conf, model_yes, model_conf):
-    """(is_timesheet, confidence, method) of the rule tier and a model's scores."""
+    """(is_sheet, confidence, method) of the rule tier and a model's scores."""
     dec = lambda v: F.lit(v).cast("decimal(6,3)")
     mixed = F.least(model_conf * dec(0.6) + rule_conf * dec(0.4) + dec(0.1), dec(1))
     rules = (rule_conf >= dec(P.DECISIVE_CONFIDENCE)) | model_conf.isNull()
@@ -87,15 +87,15 @@ def triage(new, stored):
     fresh = classify_by_rules(new.join(done, "message_id", "left_anti"))
     saved = F.size(F.filter(F.coalesce(F.col("attachments"), F.array().cast("array<struct<name:string,mime:string>>")),
                             lambda a: F.coalesce(is_document(a["name"]), F.lit(False))))
-    return (fresh.withColumn("saved", F.when(F.col("is_timesheet"), saved).otherwise(0))
+    return (fresh.withColumn("saved", F.when(F.col("is_sheet"), saved).otherwise(0))
             .withColumn("status", F.when(F.col("saved") > 0, "PENDING_APPROVAL").otherwise("SKIPPED"))
-            .withColumn("skip_reason", F.when(~F.col("is_timesheet"), "NOT_A_TIMESHEET")
+            .withColumn("skip_reason", F.when(~F.col("is_sheet"), "NOT_A_TIMESHEET")
                         .when(F.col("saved") == 0, "NO_DOCUMENT")))
 
 
 def job_counts(triaged):
     return triaged.groupBy("job_id").agg(
-        F.count("*").alias("scanned"), F.count_if(F.col("status") == "PENDING_APPROVAL").alias("timesheets"),
+        F.count("*").alias("scanned"), F.count_if(F.col("status") == "PENDING_APPROVAL").alias("sheets"),
         F.count_if(F.col("status") == "SKIPPED").alias("skipped"), F.sum("saved").alias("attachments"))
 
 

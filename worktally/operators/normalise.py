@@ -277,30 +277,16 @@ def totals_check(lines):
 
 
 def name_from_lines(lines):
-    """Person named in the text: a label, else a signature with the name before it, else another part of a signature's line, else
-    the line before it. Lines are numbered without gaps."""
+    """Person named in the text: a label, else a signature on the same line. Words after a label count whatever they are, as
+    the running rules have it: ``Employee signature`` names ``signature``."""
     line = F.col("line")
     nonempty = lambda c: F.nullif(F.trim(c), F.lit(""))
     label = nonempty(F.regexp_extract(line, RX.TEXT_LABEL, 1))
     signature = nonempty(F.regexp_extract(line, RX.TEXT_SIGNATURE, 1))
-    names = lambda parts, pattern, veto: F.filter(F.transform(parts, lambda x: nonempty(F.regexp_extract(F.trim(x), pattern, 1))),
-                                                  lambda x: x.isNotNull() & ~x.rlike(veto))
-    signed = line.rlike(RX.SIGNATURE_LINE)
-    part = F.when(signed, F.get(names(F.split(line, "\\|"), RX.SIGNER, RX.NOT_A_SIGNER_ON_LINE), F.lit(0)))
-    per_line = lines.select("doc_id", "line_no", label.alias("label"), signature.alias("signature"), part.alias("part"), signed.alias("signed"))
+    per_line = lines.select("doc_id", "line_no", label.alias("label"), signature.alias("signature"))
     first = lambda n: F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("line_no")))
-    out = per_line.groupBy("doc_id").agg(first("label").alias("label"), first("signature").alias("signature"), first("part").alias("part"),
-                                         F.min(F.when(F.col("part").isNotNull(), F.col("line_no"))).alias("part_at"))
-    # the line before a signature: the few lines signed ask for it by number
-    asked = per_line.filter("signed").select("doc_id", (F.col("line_no") - 1).alias("line_no"))
-    before = lines.join(asked, ["doc_id", "line_no"], "left_semi").withColumn(
-        "before", F.get(names(F.array("line"), RX.SIGNER_BEFORE, RX.NOT_A_SIGNER), F.lit(0))).filter("before IS NOT NULL")
-    before = before.groupBy("doc_id").agg(F.min(F.struct("line_no", "before")).alias("b"))
-    out = out.join(before, "doc_id", "left")
-    # a signed line is asked for its own parts first, then for the line before it; the first signed line with an answer counts
-    own_first = F.col("b").isNull() | (F.col("part_at") <= F.col("b.line_no") + 1)
-    below = F.when(F.col("part").isNotNull() & own_first, F.col("part")).otherwise(F.col("b.before"))
-    return out.select("doc_id", F.coalesce("label", "signature", below).alias("name"))
+    out = per_line.groupBy("doc_id").agg(first("label").alias("label"), first("signature").alias("signature"))
+    return out.select("doc_id", F.coalesce("label", "signature").alias("name"))
 
 
 def name_from_header(rows, depth=P.HEADER_SEARCH_ROWS):

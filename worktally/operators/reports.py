@@ -115,7 +115,7 @@ def pay_export(submissions, totals, rates, people):
 
 
 def file_summary(files, submissions, hours, findings, people):
-    """One row per file, also for files without a timesheet; the reason is in ``notes``."""
+    """One row per file, also for files without an hours sheet; the reason is in ``notes``."""
     latest = submissions.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(
         F.max_by(F.struct("submission_id", "start_date", "end_date", "approval_status", "payroll_status"),
                  F.struct("submitted_at", "submission_id")).alias("sub"))

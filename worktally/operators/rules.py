@@ -29,7 +29,7 @@ def union_all(frames):
 
 
 def candidates(files):
-    """Files that are neither noise nor duplicate and may hold a timesheet."""
+    """Files that are neither noise nor duplicate and may hold an hours sheet."""
     return files.filter(~F.col("is_noise") & ~F.col("is_duplicate") & F.col("is_candidate"))
 
 
@@ -55,7 +55,7 @@ def extraction_failed(files, extractions, existing):
     return without_open(finding(rows, "EXTRACTION_FAILED", "BLOCKER"), existing)
 
 
-def non_timesheet(files, existing):
+def non_sheet(files, existing):
     rows = files.filter(F.col("processing_status") == "NON_TIMESHEET_DOCUMENT")
     return without_open(finding(rows, "NON_TIMESHEET_DOCUMENT", "INFO"), existing, any_status=True)
 
@@ -265,7 +265,7 @@ def not_submitted(employees, subs):
     return employees.filter("is_active").join(sent, "employee_id", "left_anti")
 
 
-def missing_timesheet(employees, subs):
+def missing_sheet(employees, subs):
     return finding(not_submitted(employees, subs), "MISSING_TIMESHEET", "ERROR")
 
 

@@ -7,7 +7,7 @@ from worktally.operators import files as FI
 from worktally.operators import rules as R
 from worktally.operators import textdocs as TX
 from worktally.plans.registry import query
-from worktally.session import shared_folder
+from worktally.session import by_value, shared_folder
 from worktally.sources import files as SF
 from worktally.sources import tables as ST
 
@@ -47,17 +47,30 @@ def a03(t):
           CASE WHEN entry_id % 5 = 0 THEN '' ELSE COALESCE(CAST(calculated_hours AS VARCHAR), '') END AS hours FROM fx_claim
           UNION ALL SELECT 'Läufe', '', ''""")
 def a03_mixed(t):
-    """Two files of other delimiters and encodings below one folder, the second with a title line; each fifth row is short."""
+    """Files of two delimiters and encodings below one folder, those of the second with a title line each; each fifth row is short."""
     path = shared_folder(t.spark, "mixed")
     parts = [F.col("entry_id").cast("string"), F.col("work_date").cast("string"),
              F.when(F.col("entry_id") % 5 != 0, F.coalesce(F.col("calculated_hours").cast("string"), F.lit("")))]
     rows = t.fx_claim
     for i, (sep, encoding) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1")]):
-        lines = rows.filter(F.col("entry_id") % 2 == i).select(F.concat_ws(sep, *parts).alias("line")).coalesce(1)
-        if i:  # one file, so that the title tells the encoding of all its lines
-            lines = t.spark.range(1).select(F.lit("Läufe").alias("line")).unionByName(lines).coalesce(1)
+        lines = rows.filter(F.col("entry_id") % 2 == i).select(F.concat_ws(sep, *parts).alias("line"))
+        if i:  # a task writes one file, whose title tells the encoding of its lines
+            lines = lines.mapInArrow(_titled, "line string")
         lines.select(F.encode("line", encoding).cast("string").alias("line")).write.mode("append").text(path)
-    return SF.read_delimited(t.spark, path, ["entry_id", "work_date", "hours"])[0]
+    read = SF.read_delimited(t.spark, path, ["entry_id", "work_date", "hours"])[0]
+    title = F.col("entry_id") == "Läufe"
+    return read.filter(~title).unionByName(read.filter(title).distinct())
+
+
+def _titled(batches):
+    import pyarrow as pa
+    for i, batch in enumerate(batches):
+        if i == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(["Läufe"], batch.schema.field(0).type)], schema=batch.schema)
+        yield batch
+
+
+by_value(__name__)
 
 
 @query("a04_json_ingest", "event_id:long, k:double, outcome:string",
@@ -94,14 +107,14 @@ def a06(t):
 
 @query("a07_text_append", "file_id:long, text:string, warnings:string, tables:string",
        """SELECT f.doc_id AS file_id, CASE WHEN f.doc_id % 3 = 0 THEN f.text
-    WHEN f.doc_id % 5 = 0 THEN 'scanned' ELSE trim(CONCAT(f.text, chr(10), chr(10), '[OCR]', chr(10), 'scanned'), chr(10) || ' ') END AS text,
+    WHEN COALESCE(f.text, '') = '' THEN 'scanned' ELSE trim(CONCAT(f.text, chr(10), chr(10), '[OCR]', chr(10), 'scanned')) END AS text,
   CASE WHEN f.doc_id % 3 = 0 THEN 'old' ELSE 'old,ocr' END AS warnings,
   CASE WHEN f.doc_id % 3 <> 0 AND f.doc_id % 2 = 0 THEN 'new table' ELSE 'old table' END AS tables
-FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN '' ELSE CONCAT('a', lang, source) END AS text FROM documents) f""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN '' ELSE text END AS text FROM documents) f""")
 def a07(t):
     k = F.col("doc_id")
     old = t.documents.select(
-        k.alias("file_id"), F.when((k % 5 == 0) & (k % 3 != 0), "").otherwise(F.concat(F.lit("a"), "lang", "source")).alias("text"),
+        k.alias("file_id"), F.when((k % 5 == 0) & (k % 3 != 0), "").otherwise(F.col("text")).alias("text"),
         F.array(F.lit("old")).alias("warnings"), F.lit("old table").alias("tables"))
     new = t.documents.filter(k % 3 != 0).select(
         k.alias("file_id"), F.lit("scanned").alias("text"), F.array(F.lit("ocr")).alias("warnings"),

@@ -9,7 +9,7 @@ from worktally.plans.registry import query
 CONF = "decimal(6,3)"
 # subjects of fx_message by number, and what the patterns make of them
 RULES_SQL = """
-SELECT *, CASE WHEN veto THEN 0 WHEN bare THEN 0 WHEN score >= 0.40 THEN 1 ELSE 0 END AS is_timesheet,
+SELECT *, CASE WHEN veto THEN 0 WHEN bare THEN 0 WHEN score >= 0.40 THEN 1 ELSE 0 END AS is_sheet,
   CASE WHEN veto THEN 0.95 WHEN bare THEN 0.70 WHEN score >= 0.40 THEN LEAST(score, 0.95) ELSE GREATEST(0.05, 1 - score) END AS confidence,
   CASE WHEN veto THEN 'VETO' WHEN bare THEN 'NO_ATTACHMENT' WHEN score = 0 THEN 'NO_SIGNAL' ELSE concat_ws(',',
     CASE WHEN s > 0 THEN 'SUBJECT' END, CASE WHEN b > 0 THEN 'BODY' END, CASE WHEN a > 0 THEN 'ATTACHMENT' END) END AS reason
@@ -51,27 +51,27 @@ def a09(t):
     return flat.withColumn("files", files)
 
 
-@query("b10_message_rules", "message_id:string, is_timesheet:long, confidence:double, reason:string",
-       f"SELECT message_id, is_timesheet, confidence, reason FROM ({RULES_SQL}) q")
+@query("b10_message_rules", "message_id:string, is_sheet:long, confidence:double, reason:string",
+       f"SELECT message_id, is_sheet, confidence, reason FROM ({RULES_SQL}) q")
 def b10(t):
     out = M.classify_by_rules(messages_of(t))
-    return out.withColumn("is_timesheet", F.col("is_timesheet").cast("int"))
+    return out.withColumn("is_sheet", F.col("is_sheet").cast("int"))
 
 
-@query("b11_two_source_blend", "message_id:string, is_timesheet:long, confidence:double, method:string",
-       f"""SELECT message_id, CASE WHEN decisive THEN is_timesheet WHEN model = is_timesheet THEN model
-    WHEN mconf >= 0.7 THEN model ELSE is_timesheet END AS is_timesheet,
-  CASE WHEN decisive THEN confidence WHEN model = is_timesheet THEN LEAST(0.6 * mconf + 0.4 * confidence + 0.1, 1)
+@query("b11_two_source_blend", "message_id:string, is_sheet:long, confidence:double, method:string",
+       f"""SELECT message_id, CASE WHEN decisive THEN is_sheet WHEN model = is_sheet THEN model
+    WHEN mconf >= 0.7 THEN model ELSE is_sheet END AS is_sheet,
+  CASE WHEN decisive THEN confidence WHEN model = is_sheet THEN LEAST(0.6 * mconf + 0.4 * confidence + 0.1, 1)
     WHEN mconf >= 0.7 THEN mconf ELSE confidence END AS confidence,
-  CASE WHEN NOT decisive AND (model = is_timesheet OR mconf >= 0.7) THEN 'MODEL' ELSE 'RULE_BASED' END AS method
+  CASE WHEN NOT decisive AND (model = is_sheet OR mconf >= 0.7) THEN 'MODEL' ELSE 'RULE_BASED' END AS method
 FROM (SELECT *, confidence >= 0.8 AS decisive, CAST(job_id % 2 AS INT) AS model,
    CAST((job_id * 13 + turn * 7) % 101 AS DECIMAL(6,3)) * 0.01 AS mconf FROM ({RULES_SQL}) r) q""")
 def b11(t):
     r = M.classify_by_rules(messages_of(t))
     mconf = (F.col("job_id") * 13 + F.col("turn") * 7) % 101
-    yes, conf, method = M.blend(F.col("is_timesheet"), F.col("confidence"), F.col("job_id") % 2 == 1,
+    yes, conf, method = M.blend(F.col("is_sheet"), F.col("confidence"), F.col("job_id") % 2 == 1,
                                 (mconf.cast(CONF) / 100).cast(CONF))
-    return r.select("message_id", yes.cast("int").alias("is_timesheet"), conf.alias("confidence"), method.alias("method"))
+    return r.select("message_id", yes.cast("int").alias("is_sheet"), conf.alias("confidence"), method.alias("method"))
 
 
 @query("c17_approved_subset", "message_id:string, status:string",
@@ -82,9 +82,9 @@ def c17(t):
     return M.approve(m, m.filter("job_id % 2 = 0").select("message_id"))
 
 
-@query("j10_message_triage", "job_id:long, scanned:long, timesheets:long, skipped:long, attachments:long",
-       f"""SELECT job_id, COUNT(*) AS scanned, COUNT(*) FILTER (n > 0) AS timesheets, COUNT(*) FILTER (n = 0) AS skipped, SUM(n) AS attachments
-FROM (SELECT *, CASE WHEN is_timesheet = 1 AND attachment_name = 'sheet.xlsx' THEN 1 ELSE 0 END AS n FROM ({RULES_SQL}) r
+@query("j10_message_triage", "job_id:long, scanned:long, sheets:long, skipped:long, attachments:long",
+       f"""SELECT job_id, COUNT(*) AS scanned, COUNT(*) FILTER (n > 0) AS sheets, COUNT(*) FILTER (n = 0) AS skipped, SUM(n) AS attachments
+FROM (SELECT *, CASE WHEN is_sheet = 1 AND attachment_name = 'sheet.xlsx' THEN 1 ELSE 0 END AS n FROM ({RULES_SQL}) r
   WHERE stored_status NOT IN ('EXTRACTED', 'SKIPPED')) q GROUP BY 1""")
 def j10(t):
     stored = t.fx_message.select("message_id", F.col("stored_status").alias("status"))

@@ -122,11 +122,11 @@ def d03(t):
     return CO.progress(t.fx_file)
 
 
-@query("d04_file_stats", "batch_id:long, ocr_files:long, matched:long, unmatched:long, extraction_failed:long, non_timesheet:long",
+@query("d04_file_stats", "batch_id:long, ocr_files:long, matched:long, unmatched:long, extraction_failed:long, non_sheet:long",
        """SELECT batch_id, COUNT(*) FILTER (ocr_required) AS ocr_files, COUNT(matched_employee_id) AS matched,
   COUNT(*) FILTER (matched_employee_id IS NULL AND NOT is_noise AND NOT is_duplicate AND is_candidate) AS unmatched,
   COUNT(*) FILTER (processing_status IN ('EXTRACTION_FAILED', 'FAILED')) AS extraction_failed,
-  COUNT(*) FILTER (processing_status = 'NON_TIMESHEET_DOCUMENT') AS non_timesheet FROM fx_file GROUP BY 1""")
+  COUNT(*) FILTER (processing_status = 'NON_TIMESHEET_DOCUMENT') AS non_sheet FROM fx_file GROUP BY 1""")
 def d04(t):
     return CO.file_stats(t.fx_file)
 

@@ -122,7 +122,7 @@ def i02(t):
 
 @query("i03_non_timesheet_document", COLS, SQL["i03"])
 def i03(t):
-    return R.non_timesheet(t.fx_file, t.fx_finding)
+    return R.non_sheet(t.fx_file, t.fx_finding)
 
 
 @query("i04_daily_hours_exceed", COLS, SQL["i04"])
@@ -214,7 +214,7 @@ def i11(t):
 
 @query("i12_missing_timesheet", COLS, SQL["i12"])
 def i12(t):
-    return R.missing_timesheet(t.fx_employee, t.fx_submission)
+    return R.missing_sheet(t.fx_employee, t.fx_submission)
 
 
 @query("i13_two_month_inactive", COLS, SQL["i13"])
@@ -296,7 +296,7 @@ def batch_findings(t, subs=None):
         R.weekly_hours_exceed(weekly),
         R.apply_rules(claims, [R.daily_hours_rule(), R.holiday_rule()]),
         R.apply_rules(subs, R.submission_rules()),
-        R.missing_timesheet(t.fx_employee, subs)])
+        R.missing_sheet(t.fx_employee, subs)])
 
 
 def submission_facts(t):
