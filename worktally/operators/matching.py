@@ -62,6 +62,7 @@ def contained(probes, roster):
     anchor = index.join(counts, "word").groupBy("words", "asks").agg(
         F.min_by(F.struct("word", "employee_id", "first"), F.struct("c", "word")).alias("a"))
     anchor = anchor.select(F.col("words").alias("part"), F.col("asks").alias("part_asks"), "a.*").withColumnRenamed("employee_id", "part_id")
+    anchor = staged(anchor, "anchors")
     single = (F.size("part") == 1) & F.col("part_asks")
     direct = anchor.filter(single & F.col("first").isNotNull()).select(
         F.col("part").alias("words"), F.struct(F.col("first").alias("employee_id"), F.lit(1).alias("rank"), F.lit(None).cast("int").alias("m")).alias("w"))
