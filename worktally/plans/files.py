@@ -257,7 +257,7 @@ FROM (SELECT *, CASE rule WHEN 'PAGE_BREAK' THEN CASE WHEN chars > 50 AND line <
         WHEN 'SECTION' THEN NULLIF(sect, 0) ELSE CAST(FLOOR(solid / 60) AS BIGINT) END AS block
   FROM (SELECT *, CASE WHEN COUNT(DISTINCT CASE WHEN chars > 50 THEN page END) OVER (PARTITION BY doc_id) > 1
            THEN 'PAGE_BREAK' WHEN MAX(sect) OVER (PARTITION BY doc_id) > 1 THEN 'SECTION' ELSE 'LINE_COUNT' END AS rule
-    FROM (SELECT l.*, chars FROM ck_lines l JOIN (
+    FROM (SELECT l.*, chars FROM ck_lines l LEFT JOIN (
         SELECT doc_id, page, length(trim(string_agg(line, chr(10) ORDER BY line_no), chr(10))) AS chars FROM ck_lines
         WHERE line <> '=====' GROUP BY 1, 2) p ON p.doc_id = l.doc_id AND p.page = l.page) a) b) c
 WHERE block IS NOT NULL GROUP BY doc_id, block, rule HAVING COUNT(*) FILTER (line <> '') > 0""")
