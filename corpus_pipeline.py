@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from worktally.llm import jaccard_join, language_id, line_dedup, packing, replication
 from worktally.llm.queries import MIX_SEED, tokenizer
 from worktally.session import prepare, shared_folder
+from worktally.sources.stages import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # hashing vectors and a tokenizer are beyond SQL: tests compare with brute force
@@ -19,8 +20,9 @@ def identify_language(spark, docs, sf_dir):
     model = language_id.train(docs, F.lit(True))
     if not model[0]:
         return docs.where(F.col("text").rlike("\\p{L}")).select(*docs.columns)
-    least = F.array(*[F.lit(x) for x in language_id.least_scores(docs, model)])
-    judged = language_id.predict(docs, model, keep=docs.columns)
+    # judged once and written: the least scores and the rows kept are both read from there
+    judged = staged(language_id.predict(docs, model, keep=docs.columns), "judged")
+    least = F.array(*[F.lit(x) for x in language_id.least_scores(judged)])
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= F.get(least, language_id.length_class()))).select(*docs.columns)
 
 

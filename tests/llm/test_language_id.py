@@ -51,3 +51,16 @@ def test_held_out_accuracy(spark):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     got = L.predict(df.where(held), L.train(df, ~held), keep=["lang"]).collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_least_scores_come_from_all_rows(spark):
+    """Some 24,000 labelled rows: the rank that 99 of 100 reach is that of all of them, not of a part."""
+    rng = np.random.default_rng(4)
+    rows = [("a" * n, "en", "en" if i % 7 else "de", round(x, 6)) for i, (n, x) in enumerate(zip(rng.choice([5, 40, 200], 28_000).tolist(), rng.random(28_000).tolist(), strict=True))]
+    rows += [("b" * 600, None, "en", 0.5), (None, "en", "und", 0.0)]
+    got = L.least_scores(spark.createDataFrame(rows, "text string, lang string, lang_pred string, score double"))
+    for k, n in enumerate([5, 40, 200]):
+        scores = sorted((int(x * L.STEPS) for t, g, p, x in rows if t and len(t) == n and g == p), reverse=True)
+        most = max(s for s in set(scores) if 100 * sum(x >= s for x in scores) >= 99 * len(scores))
+        assert abs(got[k] - most / L.STEPS / 2) < 1e-9
+    assert got[3] == 0.0

@@ -11,6 +11,7 @@ and coordinate. The prototypes are languages x dimensions numbers whatever the c
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from worktally.llm import blocks as B
@@ -18,6 +19,7 @@ from worktally.llm import blocks as B
 DIM = 1024
 MOST_LANGUAGES = 4096  # more values than that are no language column
 RUN_CHARS = 1 << 20
+STEPS = 10_000
 _FOLD = []
 
 
@@ -147,10 +149,11 @@ def predict(docs, model, text_col="text", keep=()):
     dim = protos.shape[1]
     norms = np.sqrt((protos**2).sum(1))
     unit = protos / np.where(norms > 0, norms, 1)[:, None]
+    text = text_col if text_col in keep else "_text"  # a kept text goes to Python once
 
     def judge(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             lang, score = [], []
             for i, j in _runs(texts):
                 doc, number, codes, vectors, letters = trigrams(texts[i:j], dim)
@@ -168,7 +171,7 @@ def predict(docs, model, text_col="text", keep=()):
             out = {c: batch.column(c) for c in batch.schema.names if c != "_text"}
             yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(c) for c in keep], *([] if text_col in keep else [F.col(text_col).alias(text)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(judge, f"{schema + ', ' if schema else ''}lang_pred string, score double")
 
@@ -179,16 +182,18 @@ def length_class(text_col="text"):
     return F.when(n < 32, 0).when(n < 128, 1).when(n < 512, 2).otherwise(3)
 
 
-def least_scores(docs, model, text_col="text", lang_col="lang", rows=10_000):
+def least_scores(judged, text_col="text", lang_col="lang"):
     """The cosine that a text of each ``length_class`` needs to count as one of the languages learned.
 
-    Half the cosine that 99 of 100 labelled texts of the class reach whose label is the language found; 0 for a class
-    without such texts. About ``rows`` labelled texts are judged, drawn by a hash of the text.
+    Half the cosine that 99 of 100 texts of the class reach, of all whose label is the language found; 0 for a class without
+    such texts. ``judged`` holds the rows of ``predict``. Cosines are counted in steps of 1 / ``STEPS``, rounded down.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
-    known = known.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, known.count() // rows))) == 0).withColumn("_class", length_class(text_col))
-    found = predict(known, model, text_col, keep=[lang_col, "_class"]).where(F.col("lang_pred") == F.col(lang_col))
-    low = {x["_class"]: x["low"] / 2 for x in found.groupBy("_class").agg(F.percentile("score", F.lit(0.01)).alias("low")).collect()}
+    right = judged.where(F.col("lang_pred") == F.col(lang_col))
+    steps = right.groupBy(length_class(text_col).alias("k"), F.floor(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    by_class = W.partitionBy("k")  # STEPS + 1 rows at most
+    below = F.coalesce(F.sum("n").over(by_class.orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumns({"below": below, "all": F.sum("n").over(by_class)})
+    low = {x["k"]: x["step"] / STEPS / 2 for x in steps.where("100 * below <= all").groupBy("k").agg(F.max("step").alias("step")).collect()}
     return [low.get(k, 0.0) for k in range(4)]
 
 
