@@ -143,3 +143,26 @@ def test_alternatives_stay_with_a_match(spark):
     assert out[1].method == "FUZZY" and {a.employee_id for a in out[1].alternatives} == {1, 2, 3} - {out[1].employee_id}
     assert [a.score for a in out[1].alternatives] == sorted((a.score for a in out[1].alternatives), reverse=True)
     assert out[2].method == "EXACT" and out[2].alternatives is None
+
+
+def test_few_pairs_are_compared_and_none_is_lost(monkeypatch):
+    """Of names with one letter changed only blocks and rows whose bound reaches the floor are looked at; the best few stay exact."""
+    rnd = random.Random(6)
+    full = [f"{rnd.choice(['Ana', 'Boris', 'Chloe', 'Dmitri'])} {rnd.choice(['Lopez', 'Smith', 'Okafor'])} {rnd.randint(100, 999)}" for _ in range(400)] + ["y" * 70, "Ana Zed"]
+    names = [f[:2].lower() + f[3:].lower() for f in full[::40]] + ["ana lopez 1", "x" * 65 + " ana", "zed ana"]
+    seen = []
+    monkeypatch.setattr(S, "pairs_lcs", lambda a, at, *x, f=S.pairs_lcs: seen.append(len(at)) or f(a, at, *x))
+    block = S.Roster(range(len(full)), full, full, 0.9)
+    got = {}
+    floors = [-1.0] * len(names)
+    at, _, value = block.best(S.Names(names), 6, floors, windows=False)
+    floors = [min(v for i, v in zip(at, value) if i == k) for k in range(len(names))]
+    whole = max(seen)
+    seen.clear()
+    for i, who, v in zip(*block.best(S.Names(names), 6, floors)):
+        got.setdefault(names[i], []).append((-round(float(v), 9), int(who)))
+    for name in names:
+        assert got[name] == sorted((-round(score(name, f, f), 9), i) for i, f in enumerate(full))[:6]
+    assert max(seen) < whole / 3
+    pairs = [(rnd.choice(names), rnd.choice(full).lower()) for _ in range(60)] + [("", "a"), ("", ""), ("ab", "ba")]
+    assert all(abs(x - S.partial_ratio(a, b)) < 1e-9 for x, (a, b) in zip(S.partial_ratios(*zip(*pairs)), pairs))

@@ -84,45 +84,167 @@ def partial_ratio(a, b):
     return max(best, best_window(long, short)) if len(a) == len(b) else best
 
 
+def partial_ratios(first, second):
+    """``partial_ratio`` of many pairs at once, in runs of bounded size; pairs with a long string one by one."""
+    out = np.zeros(len(first))
+    both = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(first, second)]
+    easy = [i for i, (a, b) in enumerate(both) if 0 < len(a) <= WORD and len(b) <= 4 * WORD]
+    for x in range(0, len(easy), 4096):
+        run = easy[x:x + 4096]
+        out[run] = best_windows([both[i] for i in run])
+        even = [i for i in run if len(both[i][0]) == len(both[i][1])]
+        if even:
+            out[even] = np.maximum(out[even], best_windows([both[i][::-1] for i in even]))
+    for i in set(range(len(both))) - set(easy):
+        out[i] = partial_ratio(*both[i])
+    return out
+
+
+def best_windows(pairs):
+    """``best_window`` of pairs (short, long), both not empty and the shorter of ``WORD`` characters at most."""
+    n, m = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    points = np.frombuffer("".join(a + b for a, b in pairs).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, code = np.unique(points, return_inverse=True)
+    begin, row = np.cumsum(n + m) - n - m, np.arange(len(pairs))
+    table = np.zeros((len(letters) + 1, len(pairs)), np.uint64)
+    for j in range(int(n.max())):
+        has = np.flatnonzero(j < n)
+        table[code[begin[has] + j], has] |= np.uint64(1 << j)
+    text = np.full((int(m.max()), len(pairs)), len(letters))
+    for j in range(len(text)):
+        has = np.flatnonzero(j < m)
+        text[j, has] = code[begin[has] + n[has] + j]
+    full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    best = np.zeros(len(pairs))
+    for i in range(1 - int(n.max()), len(text)):
+        low = max(i, 0)
+        high = np.minimum(i + n, m)
+        free = full.copy()
+        for t in range(low, int(high.max())):
+            hit = np.where(t < high, free & table[text[t], row], np.uint64(0))
+            free = ((free + hit) | (free - hit)) & full
+        best = np.maximum(best, np.where(high > low, 2 * (n - np.bitwise_count(free).astype(np.int64)) / (n + np.maximum(high - low, 0)), 0.0))
+    return best
+
+
 def token_sorted(text):
     return " ".join(sorted(text.split()))
 
 
+CHARS = 128          # counters of characters; code points that share one only loosen a bound
+LONGEST = 30_000     # counters hold no more; longer names are compared without bounds
+SURE = 1e-9
+
+
+def char_counts(texts):
+    """texts x ``CHARS`` numbers: how often each character occurs."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % CHARS
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(row * CHARS + points, minlength=len(texts) * CHARS).clip(max=LONGEST).astype(np.int16).reshape(-1, CHARS)
+
+
+def shared_chars(a, b):
+    """Sum of the smaller counts, for all rows of ``a`` with all of ``b``: no common subsequence is longer."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for c in np.flatnonzero(a.any(0) & b.any(0)):
+        out += np.minimum(a[:, c, None], b[None, :, c])
+    return out
+
+
+class Names:
+    """Probe names: as they are, with sorted words, and what bounds need."""
+
+    def __init__(self, names):
+        self.raw, self.key = list(names), [token_sorted(n) for n in names]
+        self.counts = np.maximum(char_counts(self.raw), char_counts(self.key))
+        self.size = np.array([[len(n), len(k)] for n, k in zip(self.raw, self.key)], np.int64).reshape(-1, 2)
+
+
+def upper_bounds(names, counts, least, weight):
+    """The best score each name can have with rows of which ``counts`` are the most of each character and ``least`` the
+    least lengths: words of the full name sorted, those of the cleaned one (-1: empty), full name as it is."""
+    common = shared_chars(names.counts, counts).astype(np.float64)
+    n, k = names.size[:, 0, None], names.size[:, 1, None]
+
+    def whole(size):
+        c = np.minimum(common, k)
+        return np.where(k + size > 0, 2 * c / np.maximum(k + np.maximum(c, size), 1), 1.0)
+
+    shorter = np.minimum(n, least[:, 2])
+    c = np.minimum(common, n)
+    part = np.where(shorter <= c, 1.0, 2 * c / np.maximum(shorter + c, 1))
+    best = np.maximum(np.maximum(whole(least[:, 0]), np.where(least[:, 1] >= 0, whole(np.maximum(least[:, 1], 0)), 0.0)), weight * part)
+    return np.where(n > LONGEST, 1.0, best)
+
+
 class Roster:
-    """A block of the roster: full and cleaned names, in roster order."""
+    """A block of the roster: full and cleaned names."""
 
     def __init__(self, ids, full, cleaned, weight):
         self.ids, self.weight = np.asarray(ids), weight
         self.full = [f.lower() for f in full]
-        self.sorted_full = Texts(token_sorted(f) for f in self.full)
-        self.sorted_clean = Texts(token_sorted(c.lower()) for c in cleaned)
-        self.raw = Texts(self.full)
+        key, clean = [token_sorted(f) for f in self.full], [token_sorted(c.lower()) for c in cleaned]
+        self.texts = [Texts(key), Texts(clean), Texts(self.full)]
+        self.counts = np.maximum(np.maximum(char_counts(key), char_counts(clean)), char_counts(self.full))
+        self.least = np.stack([t.length for t in self.texts], 1)
+        self.least[self.least[:, 1] == 0, 1] = -1
 
-    def best(self, name, k):
-        """The ``k`` best (id, score), highest first, roster order on ties; exact.
+    def best(self, names, k, floors, windows=True):
+        """(row of the name, id, score) of the ``k`` best of each name that score its floor or more; exact.
 
-        Whole-string ratios come first. A window ratio is computed only where its upper bound
-        could still lift a candidate into the first ``k``.
+        A pair is compared only where its bound reaches the floor, and its windows only where theirs does; the floor
+        rises to the ``k``-th best whole-string ratio. Without ``windows`` scores are whole-string ratios, never above the true ones.
         """
-        key = token_sorted(name)
-        clean = self.sorted_clean.ratio(key)
-        score = np.maximum(self.sorted_full.ratio(key), np.where(self.sorted_clean.length > 0, clean, 0.0))
-        shorter = np.minimum(len(name), self.raw.length)
-        common = self.raw.lcs(name)  # no window has a longer common subsequence than the whole
-        bound = self.weight * np.where(shorter > 0, 2 * common / np.maximum(shorter + common, 1), 0.0)
-        floor = np.partition(score, -k)[-k] if len(score) > k else -1.0
-        order = np.argsort(-bound, kind="stable")
-        for i in order:
-            if bound[i] < floor:
-                break
-            if bound[i] > score[i]:
-                value = self.weight * partial_ratio(name, self.full[i])
-                if value > score[i]:
-                    score[i] = value
-                    if len(score) > k:
-                        floor = np.partition(score, -k)[-k]
-        top = np.lexsort((self.ids, -score))[:k]
-        return [(int(self.ids[i]), float(score[i])) for i in top]
+        floors = np.asarray(floors, np.float64)
+        at, to = np.nonzero(upper_bounds(names, self.counts, self.least, self.weight) >= floors[:, None] - SURE)
+        key, clean = (self._ratio(names.key, at, to, t) for t in self.texts[:2])
+        score = np.maximum(key, np.where(self.texts[1].length[to] > 0, clean, 0.0))
+        order = np.lexsort((-score, at))
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kth = order[rank == k - 1]
+        floors = floors.copy()
+        floors[at[kth]] = np.maximum(floors[at[kth]], score[kth])
+        size, length = names.size[at, 0], self.texts[2].length[to]
+        shorter, common = np.minimum(size, length), pairs_lcs(names.raw, at, to, self.texts[2])
+        bound = self.weight * np.where(shorter > 0, 2 * common / np.maximum(shorter + common, 1), size == length)
+        if windows:
+            near = np.flatnonzero((bound > score) & (bound >= floors[at] - SURE))
+            score[near] = np.maximum(score[near], self.weight * partial_ratios([names.raw[i] for i in at[near]], [self.full[j] for j in to[near]]))
+        order = np.lexsort((self.ids[to], -score, at))
+        first = order[rank < k]
+        first = first[score[first] >= floors[at[first]] - SURE]
+        return at[first], self.ids[to[first]], score[first]
+
+    def _ratio(self, names, at, to, texts):
+        total = np.array([len(n) for n in names], np.int64)[at] + texts.length[to]
+        return np.where(total > 0, 2 * pairs_lcs(names, at, to, texts) / np.maximum(total, 1), 1.0)
+
+
+def pairs_lcs(names, at, to, texts):
+    """Common subsequence length of ``names[at]`` and row ``to`` of ``texts``, pair by pair, many at once."""
+    out = np.zeros(len(at), np.int64)
+    if not len(at):
+        return out
+    chars = {ch: i for i, ch in enumerate(texts.masks)}
+    table = np.stack([*texts.masks.values(), np.zeros(len(texts.texts), np.uint64)])
+    size = np.array([len(n) for n in names])
+    step = max(256, (1 << 21) // (int(size.max()) + 1))
+    for a in range(0, len(at), step):
+        i, j = at[a:a + step], to[a:a + step]
+        used = np.unique(i)
+        codes = np.full((len(used), int(size[used].max())), len(chars), np.int64)  # the last row of the table matches nothing
+        for r, x in enumerate(used):
+            codes[r, :size[x]] = [chars.get(ch, len(chars)) for ch in names[x]]
+        codes = codes[np.searchsorted(used, i)].T
+        full = texts.full[j]
+        free = full.copy()
+        for code in codes:
+            hit = free & table[code, j]
+            free = ((free + hit) | (free - hit)) & full
+        out[a:a + step] = texts.length[j] - np.bitwise_count(free).astype(np.int64)
+    for p in np.flatnonzero(~texts.short[to]):
+        out[p] = lcs_long(names[at[p]], texts.texts[to[p]])
+    return out
 
 
 by_value(__name__)

@@ -1,16 +1,20 @@
 """Matching extracted names to the roster: exact, token containment, similarity, decision."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from worktally import params as P
 from worktally.functions import names as N
-from worktally.functions.similarity import Roster
+from worktally.functions.similarity import CHARS, SURE, Names, Roster, upper_bounds
 from worktally.session import by_value
 from worktally.sources.stages import staged
 
-PROBE_BLOCK = 2048   # distinct probes per similarity call
-ROSTER_BLOCK = 20000  # roster names per similarity call
+PROBE_BLOCK = 20000  # distinct probes per similarity call
+ROSTER_BLOCK = 512   # roster names per similarity call; rounded up to a power of two
+BLOCKS = 4096        # blocks of the roster; a larger one has larger blocks
+MOST_PARTS = 256
+FIRST = 2            # blocks a name is compared with before the others
 TOP = 6
 
 
@@ -89,36 +93,76 @@ def overlap(pairs, a="a", b="b"):
 def similar(probes, roster):
     """The best employees by similarity for every distinct probe name, exact over the whole roster.
 
-    Distinct names and roster entries are dealt into blocks of bounded size; each pair of blocks is
-    one call that keeps only its best few, and an aggregate merges them. Neither side passes the
-    driver and no name pairs are written.
+    The roster is dealt into blocks of names with like characters, and each block is described by the most of each character
+    and the least lengths in it: at most some thousand short rows, which every task knows. They bound the score of a
+    name with any row of a block. A name is first compared with the blocks of its highest bounds, by whole
+    strings; its ``TOP``-th best ratio there is a floor, and the blocks whose bound reaches it are compared in full. What a block is asked is
+    dealt to calls of a bounded number of names. Names unlike all others have a low floor and ask many blocks.
     """
     names = probes.select(F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
-    names = staged(names, "open-names")  # counted and read again without redoing the tiers before
-    people = roster.select("employee_id", "full_name", N.clean_for_matching(F.col("full_name")).alias("cleaned"))
-    pb = max(1, -(-names.count() // PROBE_BLOCK))
-    rb = max(1, -(-people.count() // ROSTER_BLOCK))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = names.withColumn("p", spread("name", pb)).withColumn("r", grid(rb))
-    right = people.withColumn("r", spread("employee_id", rb)).withColumn("p", grid(pb))
+    names = staged(names, "open-names")  # read again without redoing the tiers before
+    people = roster.select("employee_id", "full_name", N.clean_for_matching(F.col("full_name")).alias("cleaned")).filter("full_name IS NOT NULL")
+    rows = people.count()
+    bits = max(-(-rows // BLOCKS), ROSTER_BLOCK).bit_length()  # of the number within a block
+    like = F.array_join(F.reverse(F.array_sort(F.split(F.lower("full_name"), ""))), "")
+    parts = max(1, min(MOST_PARTS, rows >> bits))
+    people = people.withColumn("_like", like).repartitionByRange(parts, "_like", "employee_id").sortWithinPartitions("_like", "employee_id").drop("_like")
+    people = staged(people.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)), "roster-blocks")
+    facts = people.groupBy("block").applyInPandas(_block_facts, "block long, counts binary, least array<long>").orderBy("block").toPandas()
     weight, top = P.PARTIAL_WEIGHT, TOP
-
-    def score(lhs, rhs):
+    tasks = max(4 * names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = facts["block"].to_numpy()
+    counts = np.frombuffer(b"".join(facts["counts"]), np.int16).reshape(len(ids), CHARS)
+    least = np.array(facts["least"].tolist(), np.int64).reshape(len(ids), 3)
+
+    def ask(batches):
+        for batch in batches:
+            for a in range(0, len(batch) if len(ids) else 0, 256):
+                pdf = batch.iloc[a:a + 256]
+                bound = upper_bounds(Names(pdf["name"]), counts, least, weight)
+                if "floor" in pdf:
+                    at, to = np.nonzero(bound >= pdf["floor"].to_numpy()[:, None] - SURE)
+                else:
+                    first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+                    at, to = np.repeat(np.arange(len(pdf)), first.shape[1]), first.ravel()
+                yield pd.DataFrame({"name": pdf["name"].to_numpy()[at], "floor": pdf["floor"].to_numpy()[at] if "floor" in pdf else -1.0, "block": ids[to]})
+
+    def score(lhs, rhs, windows):
         if lhs.empty or rhs.empty:
             return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("name", object), ("employee_id", "int64"), ("score", "float64"))})
-        rhs = rhs.sort_values("employee_id")
         block = Roster(rhs["employee_id"], rhs["full_name"], rhs["cleaned"], weight)
-        rows = [(n, e, s) for n in lhs["name"] for e, s in block.best(n, top)]
-        return pd.DataFrame(rows, columns=["name", "employee_id", "score"])
-
-    scored = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInPandas(
-        score, "name string, employee_id long, score double")
-    # at most TOP rows per name and roster block
-    ranked = scored.groupBy("name").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("s"), "employee_id"))).alias("r"))
-    return ranked.select("name", F.transform(F.slice("r", 1, TOP), lambda x: F.struct(
-        x.employee_id.alias("employee_id"), (-x.s).alias("score"))).alias("ranked"))
+        out = []
+        for a in range(0, len(lhs), 256):
+            some = lhs.iloc[a:a + 256]
+            at, who, value = block.best(Names(some["name"]), top, some["floor"], windows)
+            out.append(pd.DataFrame({"name": some["name"].to_numpy()[at], "employee_id": who, "score": value}))
+        return pd.concat(out)
+
+    def compared(rows, label, windows):
+        asks = staged(rows.repartition(tasks).mapInPandas(ask, "name string, floor double, block long"), label)
+        calls = staged(asks.groupBy("block").agg(F.ceil(F.count("*") / PROBE_BLOCK).cast("int").alias("calls")), f"{label}-calls")
+        dealt = asks.join(calls, "block").withColumn("call", F.pmod(F.xxhash64("name"), F.col("calls")).cast("int")).drop("calls")
+        held = people.join(calls, "block").withColumn("call", F.explode(F.sequence(F.lit(0), F.col("calls") - 1))).drop("calls")
+        dealt, held = (x.repartition(tasks, "block", "call") for x in (dealt, held))  # few bytes, much work: not to be coalesced
+        return dealt.groupBy("block", "call").cogroup(held.groupBy("block", "call")).applyInPandas(lambda lhs, rhs: score(lhs, rhs, windows), "name string, employee_id long, score double")
+
+    def ranked(scored):
+        """At most ``TOP`` rows per name and block asked."""
+        best = scored.groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "employee_id"))).alias("r"))
+        return best.select("name", F.slice("r", 1, TOP).alias("r"))
+
+    seen = ranked(compared(names, "first-blocks", windows=False))
+    floor = F.when(F.size("r") == TOP, -F.get("r", F.lit(TOP - 1))["s"]).otherwise(-1.0)
+    found = ranked(compared(seen.select("name", floor.alias("floor")), "open-blocks", windows=True))
+    return found.select("name", F.transform("r", lambda x: F.struct(x.employee_id.alias("employee_id"), (-x.s).alias("score"))).alias("ranked"))
+
+
+def _block_facts(pdf):
+    """The most of each character and the least lengths in a block (cleaned: -1 if all are empty)."""
+    block = Roster(pdf["employee_id"], pdf["full_name"], pdf["cleaned"], 1.0)
+    clean = block.least[block.least[:, 1] >= 0, 1]
+    least = [int(block.least[:, 0].min()), int(clean.min()) if len(clean) else -1, int(block.least[:, 2].min())]
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [block.counts.max(0).tobytes()], "least": [least]})
 
 
 def with_alternatives(scored, keep=5, threshold=P.REVIEW_MATCH):
