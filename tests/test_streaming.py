@@ -101,3 +101,17 @@ def test_ids_are_state_and_no_batch_reads_what_is_stored(spark, tmp_path):
             shutil.move(f"{home}/rows/{part}", str(tmp_path / f"away-{part}"))
     stream_of(spark, tmp_path, [[(1, 9, "again"), (3, 9, "again"), (4, 1, "new")]])
     assert [(r.id, r.text) for r in J.dedup_messages(at, "id", "at", home).collect()] == [(4, "new")]
+
+
+def test_ids_meet_the_engines_own_state_and_a_batch_run_again_changes_nothing(spark, tmp_path):
+    """No row goes to a Python worker, and the first stream may lose its note of a batch that the second has taken."""
+    home = str(tmp_path / "home")
+    s = stream_of(spark, tmp_path, [[(1, 5, "a"), (1, 4, "b"), (None, 1, "n")], [(1, 1, "late"), (2, 3, "c"), (2, 2, "d"), (None, 1, "n")]])
+    at = s.withColumn("at", F.make_date(F.lit(2024), F.lit(1), F.col("version") + 1).cast("timestamp"))
+    run = lambda: sorted((r.id or 0, r.text) for r in J.dedup_messages(at, "id", "at", home).collect())
+    first = run()
+    state = spark.read.format("state-metadata").load(f"{home}/ids/state")
+    assert {r.operatorName for r in state.collect()} == {"dedupe"}
+    for f in ("1", ".1.crc"):
+        os.remove(f"{home}/state/commits/{f}")
+    assert run() == first and [i for i, _ in first] == [0, 0, 1, 2] and os.listdir(f"{home}/arrivals") == []

@@ -5,7 +5,6 @@ skipped, and what it has stored counts. Without ``home`` a new folder in the sha
 """
 
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from worktally.session import by_value, shared_folder
 from worktally.streaming.buckets import BucketTable
@@ -69,53 +68,46 @@ def ingest_latest(stream, key, version, home=None, buckets=16):
     return table.read()
 
 
-class FirstArrival(StatefulProcessor):
-    """Lets the first row of a key through, of one batch the earliest; the key is remembered for good."""
-
-    def init(self, handle):
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows, timer):
-        (_, named) = key
-        if not named:  # rows without an id are no copies of each other
-            for row in rows:
-                yield row
-        elif not self.seen.exists():
-            first = min(rows, key=lambda r: (r["_at"], r["_tie"]))
-            self.seen.update((True,))
-            yield first
-
-    def close(self):
-        pass
+def earliest(rows, key, event_time):
+    """Of every id the row with the earliest time; rows of one id and time are taken in the order of their text. Null times come first."""
+    at = F.coalesce(F.unix_micros(F.col(event_time).cast("timestamp")), F.lit(-(2**63)))
+    order = F.struct(at.alias("at"), F.to_json(F.struct(*rows.columns)).alias("tie"))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), order).alias("_w")).select("_w.*")
 
 
 def dedup_messages(stream, key, event_time, home=None):
     """First arrival of every message id (in one batch the earliest); ids are remembered for good, however late a copy comes.
 
-    The ids are keyed state in RocksDB, checkpointed with the stream: a batch looks up its own ids only, and costs the same
-    however many came before. State and output belong to the batch, so a replay starts from the same ids and writes the same
-    folder. Null ids are no ids: all such messages stay, dealt over the tasks by their content. Rows of one id and
-    time are taken in the order of their text.
+    Two streams: the first reduces a batch to one row per id, a plain aggregate below ``arrivals``; the second is run on what
+    that batch wrote and drops ids it knows. The ids are its keyed state in RocksDB, so a batch looks up its own ids only, and costs
+    the same however many came before. A batch that runs again goes on with the arrivals it wrote; those are deleted once the second
+    stream has noted them, and written anew they hold known ids only. Null ids are no ids: all such messages stay.
     """
     spark = stream.sparkSession
     home = home or shared_folder(spark, "dedup")
-    named = F.col(key).isNotNull()
-    at = F.coalesce(F.unix_micros(F.col(event_time).cast("timestamp")), F.lit(-(2**63)))
-    tie = F.to_json(F.struct(*stream.columns))
-    # the key in text form: it is grouped by, and never read back
-    dealt = F.when(named, F.col(key).cast("string")).otherwise(F.pmod(F.xxhash64(tie), F.lit(1 << 12)).cast("string"))
-    rows = stream.withColumns({"_at": at, "_tie": tie, "_key": dealt, "_named": named})
-    schema = rows.drop("_key", "_named").schema
-    rows = rows.groupBy("_key", "_named")
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = stream.schema
+
+    def admit(batch, batch_id):
+        named = F.col(key).isNotNull()
+        batch.filter(~named).write.mode("overwrite").parquet(f"{home}/rows/batch=unnamed-{batch_id}")
+        arrived = f"{home}/arrivals/batch={batch_id}"
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(arrived).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(path(arrived, "_SUCCESS")):  # the second stream may have begun to read them
+            earliest(batch.filter(named), key, event_time).write.mode("overwrite").parquet(arrived)
+        firsts = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/arrivals").dropDuplicates([key])
+        write = lambda b, i: b.write.mode("overwrite").parquet(f"{home}/rows/batch={i}")
+        run_available(firsts.writeStream.foreachBatch(write), f"{home}/ids")
+        fs.delete(path(arrived), True)
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
     try:
-        first = rows.transformWithState(FirstArrival(), schema, "Append", "None")
-        per_batch(first.drop("_at", "_tie"), "dedup", lambda b, *_: b, home)
+        run_available(stream.writeStream.foreachBatch(admit), home)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return read_parts(spark, home).drop("batch")
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/rows")
 
 
 def progress_counts(stream, event_time, status, width="1 day", home=None):
