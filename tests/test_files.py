@@ -149,3 +149,38 @@ def test_page_mix(spark):
     rows = [(d, 100 if i < n else 3) for d, n in ((1, 10), (2, 0), (3, 7), (4, 3), (5, 5)) for i in range(10)]
     got = {r.doc_id: r.kind for r in FI.page_mix(spark.createDataFrame(rows, "doc_id int, text_chars int")).collect()}
     assert got == {1: "text", 2: "image", 3: "text", 4: "image", 5: "mixed"}
+
+
+def test_reports_by_batch_write_few_files_in_order(spark, tmp_path):
+    """Rows of all batches lie in every part; files number as many as batches and tasks, not their product, and keep the report's order."""
+    from worktally.operators import reports as RP
+    n, batches = 4000, 25
+    rows = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("finding_id"), (F.col("id") % batches).cast("int").alias("batch_id"), F.lit("R").alias("rule_code"),
+        F.element_at(F.array(*[F.lit(x) for x in ("ERROR", "BLOCKER", "INFO")]), (F.col("id") % 3 + 1).cast("int")).alias("severity"),
+        (F.lit(n) - F.col("id")).alias("created_at"), F.lit(1).alias("employee_id"), F.lit(1).alias("file_id"), F.lit("OPEN").alias("status"))
+    files = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("file_id"), (F.col("id") % batches).cast("int").alias("batch_id"), *[F.lit(x).alias(x) for x in (
+            "folder_path", "file_name", "file_ext", "detected_name", "match_status", "processing_status")], F.lit(5).alias("size_bytes"),
+        F.lit(1).alias("matched_employee_id"), *[F.lit(True).alias(x) for x in ("ocr_required", "is_duplicate", "is_noise")])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        SK.write_reports({"exceptions": RP.exceptions(rows), "files": RP.file_inventory(files)}, str(tmp_path))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        labels = ["status", "total", "processed", "failed", "ignored", "duplicates", "review", "payroll_ready"]
+        counters = rows.groupBy("batch_id").agg(*[F.count("*").alias(x) for x in labels])
+        SK.write_reports({"summary": RP.batch_summary(counters)}, str(tmp_path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("exceptions", "files"):
+        parts = [str(f) for f in (tmp_path / name).rglob("*.parquet")]
+        assert len(parts) <= batches + 8, (name, len(parts))
+        assert spark.read.parquet(str(tmp_path / name)).count() == n
+    # some bytes a batch, yet one file each: not all by one task
+    assert len({f.name.split("-")[1] for f in (tmp_path / "summary").rglob("*.parquet")}) >= 4
+    for f in (tmp_path / "exceptions").rglob("*.parquet"):
+        got = [(r.severity, -r.finding_id) for r in spark.read.parquet(str(f)).collect()]
+        assert got == sorted(got)

@@ -17,15 +17,23 @@ def text(c):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def by_batch(df, *order):
+    """In order of the batch, then of ``order``, by as many tasks as a shuffle has. A table written by batch costs a file for each of
+    them, so its parts are not merged for having few bytes; a large batch is dealt over several tasks."""
+    keys = ["batch_id", *order]
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+
+
 def batch_summary(counters):
     """Counters of a batch as label and value rows."""
     labels = ["status", "total", "processed", "failed", "ignored", "duplicates", "review", "payroll_ready"]
     pairs = ", ".join(f"'{c}', cast({c} as string)" for c in labels)
-    return counters.select("batch_id", F.expr(f"stack({len(labels)}, {pairs}) as (label, value)"))
+    return by_batch(counters).select("batch_id", F.expr(f"stack({len(labels)}, {pairs}) as (label, value)"))
 
 
 def file_inventory(files):
-    return files.select(
+    """Files, batch by batch."""
+    return by_batch(files, "file_id").select(
         "batch_id", "file_id", formula_safe(text("folder_path")).alias("folder"),
         formula_safe(F.col("file_name")).alias("file_name"), text("file_ext").alias("file_ext"),
         F.round(F.coalesce("size_bytes", F.lit(0)) / 1024, 1).alias("size_kb"),
@@ -36,14 +44,15 @@ def file_inventory(files):
 
 
 def entry_rows(entries, submissions):
-    """Entries with their submission's batch, day name and zero-filled hours, in order of employee and day."""
+    """Entries with their submission's batch, day name and zero-filled hours, batch by batch in order of employee and day."""
     subs = submissions.select("submission_id", "batch_id")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return entries.join(subs, "submission_id").select(
+    out = entries.join(subs, "submission_id").select(
         "batch_id", "entry_id", "employee_id", F.col("work_date").cast("string").alias("work_date"),
         F.date_format("work_date", "EEEE").alias("day"), "in_min", "out_min", "break_minutes",
         "entered_hours", "calculated_hours", zero("regular_hours").alias("regular_hours"),
-        zero("overtime_hours").alias("overtime_hours"), "entry_type").orderBy("employee_id", "work_date", "entry_id")
+        zero("overtime_hours").alias("overtime_hours"), "entry_type")
+    return by_batch(out, "employee_id", "work_date", "entry_id")
 
 
 def severity_rank(severity):
@@ -52,8 +61,8 @@ def severity_rank(severity):
 
 
 def exceptions(findings):
-    """Findings in order of severity, as text, and time."""
-    return findings.orderBy("severity", "created_at", "finding_id").select(
+    """Findings, batch by batch in order of severity, as text, and time."""
+    return by_batch(findings, "severity", "created_at", "finding_id").select(
         "batch_id", "finding_id", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
         "rule_code", text("employee_id").alias("employee"), text("file_id").alias("file"), "status")
 

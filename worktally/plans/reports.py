@@ -18,6 +18,7 @@ from worktally.plans.registry import query
 from worktally.session import shared_folder
 from worktally.sources import sinks as SK
 from worktally.sources import tables as ST
+from worktally.sources.stages import staged
 
 
 def subs_of(t):
@@ -381,8 +382,8 @@ def r09(t):
 def a10(t):
     root = shared_folder(t.spark, "reports")
     people, rates = t.fx_people, t.fx_rate
-    entries, subs = weekly_of(t).persist(), subs_of(t).persist()  # both feed several reports
-    totals = PAY.submission_totals(entries.withColumn("is_holiday", F.col("entry_type") == "HOLIDAY"))
+    entries, subs = staged(weekly_of(t), "weekly"), staged(subs_of(t), "subs")  # these and the totals feed several reports
+    totals = staged(PAY.submission_totals(entries.withColumn("is_holiday", F.col("entry_type") == "HOLIDAY")), "totals")
     reports = {"summary": RP.batch_summary(CO.finalise(t.fx_file, subs, t.fx_finding)),
                "files": RP.file_inventory(t.fx_file), "entries": RP.entry_rows(entries, subs),
                "exceptions": RP.exceptions(t.fx_finding),
@@ -391,8 +392,6 @@ def a10(t):
                "payroll": RP.payroll_report(subs, totals, rates, people),
                "export": RP.pay_export(subs, totals, rates, people)}
     SK.write_reports(reports, root)
-    entries.unpersist()
-    subs.unpersist()
     return CH.union_counts({n: t.spark.read.parquet(f"{root}/{n}") for n in reports})
 
 

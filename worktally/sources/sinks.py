@@ -2,7 +2,11 @@
 
 
 def write_reports(reports, root, fmt="parquet"):
-    """Each report table under its name; partitioned by batch where it has one."""
+    """Each report table under its name; partitioned by batch where it has one.
+
+    Such a table should come in order of its batch: then a task holds a few batches, or a part of a large one, and the files number as
+    many as there are batches and tasks. In any other order every task writes a file for every batch.
+    """
     for name, df in reports.items():
         w = df.write.mode("overwrite")
         if "batch_id" in df.columns:
