@@ -203,6 +203,27 @@ def test_store_of_a_hot_week_equals_the_sequential_rule(spark, monkeypatch):
     assert {r.seq: (r.regular_hours, r.overtime_hours) for r in kept} == sequential_overtime(split, Decimal(40))
 
 
+def test_whole_rows_are_written_twice_and_exchanged_once(spark, monkeypatch):
+    """First rows and totals of a week come from narrow columns; only the last step moves whole rows."""
+    plans, write = {}, E.staged
+    monkeypatch.setattr(E, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    rows = [(i, 10, 1, "2024-01-02", "08:00", "17:00", "9", "0", "WORK") for i in range(3)]
+    store = E.entry_store(raw_claims(spark, rows), *store_inputs(spark))
+    assert list(plans) == ["claims", "entries"] and store.entries.count() == 3
+    assert "SortAggregate" not in plans["entries"]
+    read = [line for line in plans["entries"].splitlines() if "FileScan" in line]
+    assert sum("file_id" in line.split("ReadSchema")[0] for line in read) == 1
+
+
+def test_breaks_and_hours_that_are_no_numbers(spark):
+    texts = ["nan", "inf", "60 min", "abc", "", None, "30", " 30.4 ", "1e1", "-5", ".5"]
+    rows = [(i, i, 1, "2024-01-02", None, None, x, x, "WORK") for i, x in enumerate(texts)]
+    got = {r.seq: r for r in E.typed_claims(raw_claims(spark, rows), *store_inputs(spark)).collect()}
+    assert [got[i].break_minutes for i in range(len(texts))] == [0, 0, 0, 0, 0, 0, 30, 30, 10, -5, 1]
+    hours = [None] * 6 + [Decimal(x) for x in ("30", "30.4", "10", "-5", "0.5")]
+    assert [got[i].entered_hours for i in range(len(texts))] == hours
+
+
 def test_empty_store(spark):
     store = E.entry_store(raw_claims(spark, []), *store_inputs(spark))
     assert store.entries.count() == 0 and store.submissions.count() == 0

@@ -25,16 +25,30 @@ def try_date(text, layout):
 
 
 def valid_date(year, month, day):
-    """Date of whole numbers, NULL when there is no such day. Never fails, so costs no exceptions."""
+    """Date of whole numbers, NULL when there is no such day. Never fails, so costs no exceptions.
+
+    Every argument is used several times: pass bound values (``_dated``), or each use is worked out anew for every row.
+    """
     ok = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
     date = F.when(ok, F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
     return F.when(F.month(date) == month, date)
 
 
+def _dated(year, month, day, read=None):
+    """``valid_date``, or ``read(year, month, day)``, of values that are worked out once."""
+    parts = F.struct(year.alias("y"), month.alias("m"), day.alias("d"))
+    return bind(parts, lambda x: (read or valid_date)(x.y, x.m, x.d))
+
+
 def _numbers(text, pattern, *groups):
     return [F.regexp_extract(text, pattern, g).try_cast("int") for g in groups]
 
 
+def _digits(text, *spans):
+    """Numbers at fixed places of a text that is known to hold digits there."""
+    return [F.substring(text, at, n).try_cast("int") for at, n in spans]
+
+
 def _full_year(year):
     """Years of two digits: below ``P.CENTURY_PIVOT`` in this century, else in the last one."""
     return F.when(year < P.CENTURY_PIVOT, year + 2000).when(year < 100, year + 1900).otherwise(year)
@@ -47,30 +61,29 @@ def month_number(word):
 
 def year_first_date(text, day_first=False, pattern=YEAR_FIRST):
     """``year/a/b``: month before day, but day before month where ``day_first`` is set and b can be a month."""
-    y, a, b = _numbers(text, pattern, 1, 2, 3)
-    date = valid_date(y, a, b)
-    if day_first:
-        date = F.when(b <= 12, valid_date(y, b, a)).otherwise(date)
-    return F.when(text.rlike(pattern), date)
+    def read(y, a, b):
+        date = valid_date(y, a, b)
+        return F.when(b <= 12, valid_date(y, b, a)).otherwise(date) if day_first else date
+    return F.when(text.rlike(pattern), _dated(*_numbers(text, pattern, 1, 2, 3), read))
 
 
 def numeric_date(text, day_first):
     """``a/b/year``: in the given order, swapped only when that gives no date."""
-    def read(x):
-        usual = (x.y, x.b, x.a) if day_first else (x.y, x.a, x.b)
-        return F.coalesce(valid_date(*usual), valid_date(usual[0], usual[2], usual[1]))
+    def read(y, a, b):
+        y = _full_year(y)
+        usual = (b, a) if day_first else (a, b)
+        return bind(y, lambda full: F.coalesce(valid_date(full, *usual), valid_date(full, *usual[::-1])))
     a, b, y = _numbers(text, NUMERIC, 1, 2, 3)
-    return F.when(text.rlike(NUMERIC), bind(
-        F.struct(a.alias("a"), b.alias("b"), _full_year(y).alias("y")), read))
+    return F.when(text.rlike(NUMERIC), _dated(y, a, b, read))
 
 
 def named_date(text):
-    d, y = _numbers(text, DAY_NAMED, 1, 3)
-    e, z = _numbers(text, MONTH_NAMED, 2, 3)
-    return (F.when(text.rlike(DAY_NAMED), valid_date(
-        _full_year(y), month_number(F.regexp_extract(text, DAY_NAMED, 2)), d))
-        .when(text.rlike(MONTH_NAMED), valid_date(
-            _full_year(z), month_number(F.regexp_extract(text, MONTH_NAMED, 1)), e)))
+    def read(pattern, word, day):
+        def made(y, m, d):
+            return bind(F.struct(_full_year(y).alias("y"), month_number(m).alias("m")), lambda x: valid_date(x.y, x.m, d))
+        d, y = _numbers(text, pattern, day, 3)
+        return _dated(y, F.regexp_extract(text, pattern, word), d, made)
+    return F.when(text.rlike(DAY_NAMED), read(DAY_NAMED, 2, 1)).when(text.rlike(MONTH_NAMED), read(MONTH_NAMED, 1, 2))
 
 
 def parse_date(text, day_first=False):
@@ -85,7 +98,7 @@ def parse_date(text, day_first=False):
     def read(s):
         unusable = F.lower(s).isin(P.EMPTY_TOKENS) | F.upper(s).startswith("INVALID")
         return (F.when(unusable, None)
-                .when(s.rlike(ISO_START), valid_date(*_numbers(s, ISO_START, 1, 2, 3)))
+                .when(s.rlike(ISO_START), _dated(*_digits(s, (1, 4), (6, 2), (9, 2))))
                 .otherwise(bind(bare(s), lambda b: F.coalesce(
                     numeric_date(b, day_first), year_first_date(b, day_first), year_first_date(b, day_first, COMPACT), named_date(b)))))
     return bind(F.trim(text), read)
@@ -94,15 +107,13 @@ def parse_date(text, day_first=False):
 def parse_minutes(text, infer_pm=False):
     """Minute of day from ``9:30``, ``9.30 pm`` or ``5 pm``; NULL when out of range."""
     def read(s):
-        return bind(F.struct(
-            F.regexp_extract(s, CLOCK, 1).alias("clock"), s.contains("pm").alias("pm"),
-            s.contains("am").alias("am"),
-            F.when(s.rlike(BARE_HOUR), F.regexp_extract(s, BARE_HOUR, 1)).alias("bare")), split)
+        """A bare hour is looked for only where there is no clock."""
+        return bind(F.regexp_extract(s, CLOCK, 1), lambda clock: bind(F.struct(
+            F.when(clock != "", F.translate(clock, ".", ":")).otherwise(F.concat(F.regexp_extract(s, BARE_HOUR, 1), F.lit(":0"))).alias("clock"),
+            s.contains("pm").alias("pm"), s.contains("am").alias("am")), split))
 
     def split(x):
-        parts = F.split(x.clock, "[:.]")
-        hour = F.when(x.clock != "", parts[0]).otherwise(x.bare).try_cast("int")
-        minute = F.when(x.clock != "", parts[1]).otherwise("0").try_cast("int")
+        hour, minute = [F.substring_index(x.clock, ":", at).try_cast("int") for at in (1, -1)]
         return bind(F.struct(hour.alias("h"), minute.alias("m"), x.pm.alias("pm"), x.am.alias("am")), shift)
 
     def shift(x):
@@ -142,7 +153,7 @@ def clock_text(minutes):
 
 def iso_week(day):
     """Monday of the week: equal exactly when ISO year and week are equal."""
-    return F.date_trunc("week", day).cast("date")
+    return F.date_sub(day, F.weekday(day))
 
 
 def monday_week_label(day):

@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 from worktally import params as P
 
 HOURS = "decimal(10,2)"
+# What a number can look like. A cast raises, and catches, an exception for any other text, which costs more than all else in a row.
+FIGURE = r"(?i)^[\x00-\x20]*[-+]?[\p{Nd}.][\p{Nd}a-fxp.+-]*[\x00-\x20]*$"
 
 
 def hours_lit(x):
     return F.lit(x).cast(HOURS)
 
 
+def figure(text, kind):
+    """Text as a number, NULL when it is none."""
+    return F.when(text.rlike(FIGURE), text).try_cast(kind)
+
+
 def clock_hours(start, end, pause):
     """Hours between two minutes of day, next day when the end is earlier; never below zero."""
     span = end + F.when(end < start, 1440).otherwise(0) - start - pause

@@ -38,31 +38,48 @@ def top_rows(df, keys, order, k, rank="rank"):
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def totals_before(df, keys, pos, coarse=(), whole=False, **sums):
-    """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first);
-    with ``whole`` also the sum over the group as ``name_all``.
+def in_runs(df, pos):
+    """Adds ``_run``: runs of at most ``RUN`` positions."""
+    return df.withColumn("_run", F.floor(F.col(pos) / RUN))
 
-    Rows are ordered by ``(*coarse, pos)``; ``pos`` holds whole numbers unique within keys and
-    coarse. Detail windows cover runs of at most ``RUN`` positions; only one total per run is
-    ordered over the whole group. ``coarse`` lists leading columns as ``(name, descending)`` pairs.
+
+def run_totals(tagged, keys, coarse=(), whole=False, keep=(), **sums):
+    """One row per run of ``in_runs``, for every ``name=column`` with the sum over earlier runs of the group; see ``totals_before``.
+
+    ``keep`` names columns that are the same in all rows of a run.
     """
     coarse_cols = [c for c, _ in coarse]
     run_keys = [*keys, *coarse_cols, "_run"]
-    tagged = df.withColumn("_run", F.floor(F.col(pos) / RUN))
     order = [F.col(c).desc() if down else F.col(c).asc() for c, down in coarse] + [F.col("_run")]
-    runs = tagged.groupBy(*run_keys).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
+    runs = tagged.groupBy(*run_keys).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()], *[F.first(c).alias(c) for c in keep])
     over = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*keys)
-    runs = runs.select(*run_keys, *[F.sum(f"_sum_{n}").over(over).alias(f"_base_{n}") for n in sums],
+    return runs.select(*run_keys, *keep, *[F.sum(f"_sum_{n}").over(over).alias(f"_base_{n}") for n in sums],
                        *[F.sum(f"_sum_{n}").over(group).alias(f"{n}_all") for n in sums if whole])
-    inside = W.partitionBy(*run_keys).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
-    out = attach(tagged, runs, run_keys)
+
+
+def totals_in_runs(out, keys, pos, coarse=(), **sums):
+    """Sums over earlier rows, for rows that ``run_totals`` has been joined to."""
+    inside = W.partitionBy(*keys, *[c for c, _ in coarse], "_run").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     for n, v in sums.items():
         total = F.coalesce(F.col(f"_base_{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(inside), F.lit(0))
         out = out.withColumn(n, total)
     return out.drop("_run", *[f"_base_{n}" for n in sums])
 
 
+def totals_before(df, keys, pos, coarse=(), whole=False, **sums):
+    """Adds, for every ``name=column``, the sum over earlier rows of the group (0 for the first);
+    with ``whole`` also the sum over the group as ``name_all``.
+
+    Rows are ordered by ``(*coarse, pos)``; ``pos`` holds whole numbers unique within keys and
+    coarse. Detail windows cover runs of at most ``RUN`` positions; only one total per run is
+    ordered over the whole group. ``coarse`` lists leading columns as ``(name, descending)`` pairs.
+    """
+    tagged = in_runs(df, pos)
+    out = attach(tagged, run_totals(tagged, keys, coarse, whole, **sums), [*keys, *[c for c, _ in coarse], "_run"])
+    return totals_in_runs(out, keys, pos, coarse, **sums)
+
+
 def latest_per_key(df, key, *order, keep=()):
     """One row per key: the one with the largest ``order`` columns; ``keep`` names further columns to carry."""
     names = [*order, *[c for c in keep if c not in order]]
