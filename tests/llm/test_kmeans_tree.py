@@ -50,3 +50,40 @@ def test_small_and_empty(spark):
     got = sorted((x.query_id, x.rank, x.id) for x in run(spark, rows))
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert run(spark, [(0, None, "x")]) == [] and run(spark, []) == []
+
+
+def test_the_driver_sees_tree_and_probes_only(spark, monkeypatch):
+    """The sample stays in a task: what comes to the driver does not grow with it, and the tree is the one fitted on it."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(T, "LEAF", 100)
+    monkeypatch.setattr(T, "PROBES", 10)
+    seen = []
+    for name in ("collect", "toArrow", "toPandas"):
+        def counted(self, f=getattr(DataFrame, name)):
+            out = f(self)
+            seen.append(len(out))
+            return out
+        monkeypatch.setattr(DataFrame, name, counted)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2000, 8))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string")
+    T.search(df, lambda c: c % 10 == 0)
+    assert seen and max(seen) < 300  # of 2,000 vectors, all in the sample
+    monkeypatch.undo()
+    sample = df.selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS vector").orderBy("id").limit(2000)
+    (centres, kids, leaves), ids, probes = T.fitted(sample, 3)
+    x = np.array([v for _, v, _ in rows])
+    want = T.fit_tree(T._unit(x), 3)
+    assert np.array_equal(centres, want[0]) and kids == want[1] and leaves == want[2]
+    assert ids.tolist() == list(range(200)) and np.array_equal(probes, x[:200])
+
+
+def test_no_join_can_broadcast_the_queries_of_all_leaves(spark):
+    """Repeated for each leaf it visits, a query is large; Spark takes the size before, so a join would send all to the driver."""
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    found = T.search(df, lambda c: c % 10 == 0)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert found.count() == 150

@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample (``SAMPLE`` vectors) and is shared with all tasks: at most ``SAMPLE / LEAF`` leaves.
+The tree is fitted on a bounded sample (``SAMPLE`` vectors), in the task that gathers the sample, and is shared with all
+tasks: at most ``SAMPLE / LEAF`` leaves. The driver sees the tree and the probes, never the sample.
 Every row is indexed under its leaf. A query walks the tree with a priority queue: the node whose centre is nearest is
 opened next, so leaves come out in order of promise. How many leaves a query visits is calibrated: on ``PROBES`` sample
 vectors, compared with a brute-force pass over all rows, the number is the least that reaches the target recall (and then
@@ -74,6 +75,30 @@ def fit_tree(x, seed=0):
     return np.array(centres), kids, leaves
 
 
+def fitted(sample, seed):
+    """(tree, ids and vectors of the probes) of an ordered sample, fitted by the one task in which its rows are gathered."""
+    n_probes = PROBES
+
+    def fit(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        x = _vectors(t)
+        centres, kids, leaves = fit_tree(_unit(x), seed)
+        ids = np.asarray(t.column("id"))[:n_probes]
+        vectors = [*centres, *x[:n_probes]]
+        yield pa.RecordBatch.from_pydict({
+            "at": pa.array([*range(len(centres)), *range(len(ids))], pa.int32()), "probe": pa.array([None] * len(centres) + ids.tolist(), pa.int64()),
+            "vector": pa.array(vectors, pa.list_(pa.float64())), "kids": pa.array(kids + [None] * len(ids), pa.list_(pa.int32())),
+            "leaf": pa.array(leaves + [None] * len(ids), pa.int32())})
+
+    got = sorted(sample.mapInArrow(fit, "at int, probe long, vector array<double>, kids array<int>, leaf int").collect(), key=lambda r: r.at)
+    nodes, probes = [r for r in got if r.probe is None], [r for r in got if r.probe is not None]
+    tree = np.array([r.vector for r in nodes]), [r.kids for r in nodes], [r.leaf for r in nodes]
+    return tree, np.array([r.probe for r in probes]), np.array([r.vector for r in probes])
+
+
 def leaf_of(tree, x):
     """Leaf of each vector: the nearest child at every node."""
     centres, kids, leaves = tree
@@ -165,12 +190,10 @@ def search(rows, is_query, id_col="vec_id", vector_col="embedding", k=5, recall=
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     total = base.count()
     order = F.xxhash64("id", F.lit(seed))
-    part = base.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * SAMPLE / total) * (1 << 30)))).orderBy(order, "id").limit(SAMPLE).toArrow()
-    ids, x = np.asarray(part.column("id")), _vectors(part)
-    tree = fit_tree(_unit(x), seed)
+    part = base.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * SAMPLE / total) * (1 << 30)))).orderBy(order, "id").limit(SAMPLE)
+    tree, probe_ids, probes = fitted(part, seed)
     shared = spark.sparkContext.broadcast(tree)
     n_leaves = max(tree[2]) + 1
-    probes, probe_ids = x[:PROBES], ids[:PROBES]
 
     def brute(batches):
         for batch in batches:
@@ -200,11 +223,24 @@ def search(rows, is_query, id_col="vec_id", vector_col="embedding", k=5, recall=
             leaf = leaf_of(shared.value, _unit(_vectors(pa.Table.from_batches([batch])))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": batch.column("vector"), "leaf": pa.array(leaf, pa.int32())})
 
+    # a number per leaf comes to the driver and goes out with the tasks: joined, it would let Spark broadcast the other side,
+    # whose size it takes for that of the queries before each is repeated for every leaf it visits
+    indexed = base.mapInArrow(index, "id long, vector array<double>, leaf int")
+    cells = np.zeros(n_leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():
+        cells[r["leaf"]] = -(-r["count"] // CELL)
+
     def walk(batches):
         for batch in batches:
             x = _vectors(pa.Table.from_batches([batch])) if batch.num_rows else np.zeros((0, dim))
-            found = [best_bins(shared.value, q, visits) for q in (_unit(x) if len(x) else x)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": batch.column("vector"), "leaves": pa.array(found, pa.list_(pa.int32()))})
+            leaf, cell = [], []
+            for q in (_unit(x) if len(x) else x):
+                found = np.array(best_bins(shared.value, q, visits), np.int64)
+                n = cells[found]
+                leaf.append(np.repeat(found, n).astype(np.int32))
+                cell.append((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "vector": batch.column("vector"),
+                                              "leaf": pa.array(leaf, pa.list_(pa.int32())), "cell": pa.array(cell, pa.list_(pa.int32()))})
 
     def visit(left, right):
         if not left.num_rows or not right.num_rows:
@@ -214,12 +250,10 @@ def search(rows, is_query, id_col="vec_id", vector_col="embedding", k=5, recall=
         return pa.table({"query_id": pa.array([int(q_ids[f[0]]) for f in found], pa.int64()), "id": pa.array([f[1] for f in found], pa.int64()),
                          "score": pa.array([f[2] for f in found], pa.float64())})
 
-    indexed = base.mapInArrow(index, "id long, vector array<double>, leaf int")
-    cells = indexed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
-    held = indexed.join(cells, "leaf").withColumn("cell", F.pmod(F.xxhash64("id", "vector"), "cells").cast("int")).drop("cells")
-    asked = (base.where(is_query(F.col("id"))).distinct().mapInArrow(walk, "id long, vector array<double>, leaves array<int>")
-             .select("id", "vector", F.explode("leaves").alias("leaf")).join(cells, "leaf")
-             .select("id", "vector", "leaf", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")))
+    of_leaf = F.get(F.array(*map(F.lit, cells.tolist())), F.col("leaf"))
+    held = indexed.withColumn("cell", F.pmod(F.xxhash64("id", "vector"), of_leaf).cast("int"))
+    asked = (base.where(is_query(F.col("id"))).distinct().mapInArrow(walk, "id long, vector array<double>, leaf array<int>, cell array<int>")
+             .select("id", "vector", F.inline(F.arrays_zip("leaf", "cell"))))
     near = asked.groupBy("leaf", "cell").cogroup(held.groupBy("leaf", "cell")).applyInArrow(visit, "query_id long, id long, score double")
     top = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "id"))), 1, k).alias("best"))
     return top.select("query_id", F.posexplode("best").alias("rank", "b")).select(
