@@ -166,3 +166,35 @@ def test_few_pairs_are_compared_and_none_is_lost(monkeypatch):
     assert max(seen) < whole / 3
     pairs = [(rnd.choice(names), rnd.choice(full).lower()) for _ in range(60)] + [("", "a"), ("", ""), ("ab", "ba")]
     assert all(abs(x - S.partial_ratio(a, b)) < 1e-9 for x, (a, b) in zip(S.partial_ratios(*zip(*pairs)), pairs))
+
+
+def test_tries_find_the_best_few_and_leave_off(monkeypatch):
+    """In a block of many rows names are sought along tries: the best six stay exact, few rows are reached."""
+    rnd = random.Random(9)
+    full = [f"{rnd.choice(['Ana', 'Boris', 'Chloe', 'Dmitri'])} {rnd.choice(['Lopez', 'Smith', 'Okafor'])} {rnd.randint(100, 999)}" for _ in range(690)]
+    full += [full[3], full[3].upper(), "y" * 70 + " ana", "Ana", "", "  ", "Zoé \U0001f600 Ito", "77 31"]
+    clean = [" ".join(w for w in f.split() if not w.isdigit()) for f in full]
+    ids = rnd.sample(range(5000), len(full))
+    names = [f[:2].lower() + f[3:].lower() for f in full[:600:50]] + ["ana lopez", "p123@mail.test", "zoé ito", "ana", "x" * 65 + " ana", "q", "31 77", "lopez ana 5"]
+    block = S.Roster(ids, full, clean, 0.9)
+
+    def one(name, f, c):
+        key, low = S.token_sorted(name), f.lower()
+        whole = lambda other: 2 * S.lcs_long(key, other) / (len(key) + len(other))
+        return round(max(whole(S.token_sorted(low)), whole(S.token_sorted(c.lower())) if c else 0.0, 0.9 * S.partial_ratio(name, low)), 9)
+
+    want = {n: sorted((-one(n, f, c), i) for i, f, c in zip(ids, full, clean))[:6] for n in names}
+    reached = []
+    monkeypatch.setattr(S.Tries, "search", lambda self, names, *x, f=S.Tries.search: (lambda out: reached.append(len(out[0])) or out)(f(self, names, *x)))
+    at, _, value = block.best(S.Names(names), 6, [-1.0] * len(names), windows=False)
+    given = [sorted(v for i, v in zip(at, value) if i == k)[-6] for k in range(len(names))]
+    assert all(g <= -want[n][5][0] + 1e-9 for g, n in zip(given, names))
+    for floors in ([-1.0] * len(names), given):
+        reached.clear()
+        got = {}
+        for i, who, v in zip(*block.best(S.Names(names), 6, floors)):
+            got.setdefault(names[i], []).append((-round(float(v), 9), int(who)))
+        assert got == want
+    reached.clear()
+    block.best(S.Names(names[:12]), 6, given[:12])
+    assert 0 < sum(reached) < 12 * len(full) / 10

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from worktally import params as P
 from worktally.functions import names as N
-from worktally.functions.similarity import CHARS, SURE, Names, Roster, upper_bounds
+from worktally.functions.similarity import CHARS, SURE, Names, Roster, likeness, upper_bounds
 from worktally.session import by_value
 from worktally.sources.stages import staged
 
 PROBE_BLOCK = 20000  # distinct probes per similarity call
-ROSTER_BLOCK = 512   # roster names per similarity call; rounded up to a power of two
-BLOCKS = 4096        # blocks of the roster; a larger one has larger blocks
+ROSTER_BLOCK = 512   # roster names per similarity call at least; rounded up to a power of two
+BLOCKS = 50          # blocks of the roster; a larger one has larger blocks, of ``MOST_BLOCK`` names at most
+MOST_BLOCK = 16383
+FACT_ROWS = 1024     # names of a block described together
 MOST_PARTS = 256
 FIRST = 2            # blocks a name is compared with before the others
 TOP = 6
@@ -93,37 +95,40 @@ def overlap(pairs, a="a", b="b"):
 def similar(probes, roster):
     """The best employees by similarity for every distinct probe name, exact over the whole roster.
 
-    The roster is dealt into blocks of names with like characters, and each block is described by the most of each character
-    and the least lengths in it: at most some thousand short rows, which every task knows. They bound the score of a
-    name with any row of a block. A name is first compared with the blocks of its highest bounds, by whole
-    strings; its ``TOP``-th best ratio there is a floor, and the blocks whose bound reaches it are compared in full. What a block is asked is
+    The roster is dealt into blocks of names with like characters, and each thousand rows of a block are described by the most of
+    each character and the least lengths in them: short rows, which every task knows. They bound the score of a
+    name with any row of a block. A name is first compared with the blocks of which a part's mean is most like it, by whole
+    strings; its ``TOP``-th best ratio there is a floor, and the blocks whose bound reaches it are compared in full, along
+    tries that leave off where the floor is out of reach (``similarity.Trie``). What a block is asked is
     dealt to calls of a bounded number of names. Names unlike all others have a low floor and ask many blocks.
     """
     names = probes.select(F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
     names = staged(names, "open-names")  # read again without redoing the tiers before
     people = roster.select("employee_id", "full_name", N.clean_for_matching(F.col("full_name")).alias("cleaned")).filter("full_name IS NOT NULL")
     rows = people.count()
-    bits = max(-(-rows // BLOCKS), ROSTER_BLOCK).bit_length()  # of the number within a block
+    bits = max(min(-(-rows // BLOCKS), MOST_BLOCK), ROSTER_BLOCK).bit_length()  # of the number within a block
     like = F.array_join(F.reverse(F.array_sort(F.split(F.lower("full_name"), ""))), "")
     parts = max(1, min(MOST_PARTS, rows >> bits))
     people = people.withColumn("_like", like).repartitionByRange(parts, "_like", "employee_id").sortWithinPartitions("_like", "employee_id").drop("_like")
     people = staged(people.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits)), "roster-blocks")
-    facts = people.groupBy("block").applyInPandas(_block_facts, "block long, counts binary, least array<long>").orderBy("block").toPandas()
+    facts = people.groupBy("block").applyInPandas(_block_facts, "block long, part int, counts binary, mean binary, least array<long>").orderBy("block", "part").toPandas()
     weight, top = P.PARTIAL_WEIGHT, TOP
     tasks = max(4 * names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = facts["block"].to_numpy()
-    counts = np.frombuffer(b"".join(facts["counts"]), np.int16).reshape(len(ids), CHARS)
-    least = np.array(facts["least"].tolist(), np.int64).reshape(len(ids), 3)
+    ids, begin = np.unique(facts["block"].to_numpy(), return_index=True)
+    counts = np.frombuffer(b"".join(facts["counts"]), np.int16).reshape(len(facts), CHARS)
+    mean = np.frombuffer(b"".join(facts["mean"]), np.float32).reshape(len(facts), CHARS)
+    least = np.array(facts["least"].tolist(), np.int64).reshape(len(facts), 3)
 
     def ask(batches):
         for batch in batches:
             for a in range(0, len(batch) if len(ids) else 0, 256):
                 pdf = batch.iloc[a:a + 256]
-                bound = upper_bounds(Names(pdf["name"]), counts, least, weight)
+                these = Names(pdf["name"])
                 if "floor" in pdf:
+                    bound = np.maximum.reduceat(upper_bounds(these, counts, least, weight), begin, axis=1)
                     at, to = np.nonzero(bound >= pdf["floor"].to_numpy()[:, None] - SURE)
                 else:
-                    first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+                    first = np.argsort(-np.maximum.reduceat(likeness(these, mean), begin, axis=1), axis=1, kind="stable")[:, :FIRST]
                     at, to = np.repeat(np.arange(len(pdf)), first.shape[1]), first.ravel()
                 yield pd.DataFrame({"name": pdf["name"].to_numpy()[at], "floor": pdf["floor"].to_numpy()[at] if "floor" in pdf else -1.0, "block": ids[to]})
 
@@ -132,8 +137,8 @@ def similar(probes, roster):
             return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("name", object), ("employee_id", "int64"), ("score", "float64"))})
         block = Roster(rhs["employee_id"], rhs["full_name"], rhs["cleaned"], weight)
         out = []
-        for a in range(0, len(lhs), 256):
-            some = lhs.iloc[a:a + 256]
+        for a in range(0, len(lhs), 4096):
+            some = lhs.iloc[a:a + 4096]
             at, who, value = block.best(Names(some["name"]), top, some["floor"], windows)
             out.append(pd.DataFrame({"name": some["name"].to_numpy()[at], "employee_id": who, "score": value}))
         return pd.concat(out)
@@ -158,11 +163,13 @@ def similar(probes, roster):
 
 
 def _block_facts(pdf):
-    """The most of each character and the least lengths in a block (cleaned: -1 if all are empty)."""
+    """The most and the mean number of each character and the least lengths (cleaned: -1 if all are empty) in each part of a block."""
     block = Roster(pdf["employee_id"], pdf["full_name"], pdf["cleaned"], 1.0)
-    clean = block.least[block.least[:, 1] >= 0, 1]
-    least = [int(block.least[:, 0].min()), int(clean.min()) if len(clean) else -1, int(block.least[:, 2].min())]
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [block.counts.max(0).tobytes()], "least": [least]})
+    begin = np.arange(0, len(pdf), FACT_ROWS)
+    counts, least = block.facts(begin)
+    mean = np.add.reduceat(block.counts.astype(np.float32), begin) / np.diff(np.append(begin, len(pdf)))[:, None].astype(np.float32)
+    return pd.DataFrame({"block": pdf["block"].iloc[0], "part": np.arange(len(begin)), "counts": [c.tobytes() for c in counts],
+                         "mean": [m.tobytes() for m in mean.astype(np.float32)], "least": least.tolist()})
 
 
 def with_alternatives(scored, keep=5, threshold=P.REVIEW_MATCH):
