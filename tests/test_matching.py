@@ -198,3 +198,27 @@ def test_tries_find_the_best_few_and_leave_off(monkeypatch):
     reached.clear()
     block.best(S.Names(names[:12]), 6, given[:12])
     assert 0 < sum(reached) < 12 * len(full) / 10
+
+
+def test_names_unlike_all_others_share_the_beginnings_of_rows(monkeypatch):
+    """Addresses ask every row; beginnings that rows share are compared once, few windows are, and the best six stay exact."""
+    rnd = random.Random(10)
+    full = [f"{rnd.choice(['Ana', 'Boris', 'Chloe', 'Dmitri'])} {rnd.choice(['Lopez', 'Smith', 'Okafor'])} {rnd.randint(1000, 9999)}" for _ in range(1500)]
+    clean = [" ".join(f.split()[:2]) for f in full]
+    names = [f"p{rnd.randint(1000, 9999)}@mail.test" for _ in range(4)]
+    block = S.Roster(range(len(full)), full, clean, 0.9)
+    compared = []
+    monkeypatch.setattr(S, "partial_ratios", lambda a, b, f=S.partial_ratios: compared.append(len(a)) or f(a, b))
+    at, _, value = block.best(S.Names(names), 6, [-1.0] * len(names), windows=False)
+    got = {}
+    for i, who, v in zip(*block.best(S.Names(names), 6, [sorted(v for i, v in zip(at, value) if i == k)[-6] for k in range(len(names))])):
+        got.setdefault(names[i], []).append((-round(float(v), 9), int(who)))
+    for name in names:
+        key = S.token_sorted(name)
+        whole = lambda other, key=key: 2 * S.lcs_long(key, other) / (len(key) + len(other))
+        want = sorted((-round(max(whole(S.token_sorted(f.lower())), whole(S.token_sorted(c.lower())), 0.9 * S.partial_ratio(name, f.lower())), 9), i)
+                      for i, (f, c) in enumerate(zip(full, clean)))[:6]
+        assert got[name] == want
+    assert sum(compared) < len(names) * len(full) / 2
+    nodes = sum(len(x) for t in block.tries[0].tries.values() for x in t.chars)
+    assert nodes < sum(len(f) for f in full) / 3 and sum(len(x) for t in block.tries[1].tries.values() for x in t.chars) < 150
